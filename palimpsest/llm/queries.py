@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, token_orc
-from .common import scratch_path
+from . import chat, decontamination, licenses, line_rules, mixing, token_orc, warc
+from .common import scratch_path, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +30,35 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    label = lambda of: F.array_join(F.array_sort(F.array_distinct(of)), ",")
+    starts = F.transform("base", lambda x: x["word"].cast("long"))
+    labels = F.concat(F.transform("base", lambda x: x["label"]), F.transform("notices", lambda x: x["label"]))
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                        label(F.transform("base", lambda x: x["label"])).alias("base_labels"), label(labels).alias("labels"), "score", F.size("notices").cast("long").alias("n_notices"))
+
+
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_rules(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(stored(chat.format_turns(rows.unionByName(more)), "chat"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(spark, path)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_decontaminate, op10_mix_sources)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_decontaminate, op4_licenses, op7_line_rules, op8_chat, op9_warc, op10_mix_sources)}
+ORACLE_SQL: dict[str, str] = {"op7_line_rules": line_rules.ORACLE_SQL}
