@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, licenses, line_rules, mixing, token_orc, warc
+from . import chat, decontamination, language_id, licenses, line_rules, mixing, quality_crf, token_orc, warc
 from .common import scratch_path, stored
 
 
@@ -39,6 +39,23 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                         label(F.transform("base", lambda x: x["label"])).alias("base_labels"), label(labels).alias("labels"), "score", F.size("notices").cast("long").alias("n_notices"))
 
 
+def held_out(of: int, value: int) -> Column:
+    return F.coalesce(language_id.remainder(F.col("doc_id"), of) == value, F.lit(False))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn_languages(language_id.learning_rows(docs, "doc_id", "text", "lang"))
+    found = language_id.identify_language(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "letters")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_crf.learn_quality(quality_crf.learning_rows(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality"))
+    return quality_crf.score_quality(docs, model, keep=["doc_id"]).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents"))
 
@@ -60,5 +77,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_decontaminate, op4_licenses, op7_line_rules, op8_chat, op9_warc, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_decontaminate, op4_licenses, op5_language, op6_quality, op7_line_rules, op8_chat, op9_warc, op10_mix_sources)}
 ORACLE_SQL: dict[str, str] = {"op7_line_rules": line_rules.ORACLE_SQL}
