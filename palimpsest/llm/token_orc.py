@@ -11,6 +11,7 @@ doc_id are all kept, ordered by text. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from .common import small_batches, text_bytes
 
 END_ID = 0
 #: Pieces of text whose ids are remembered; twice as many at most.
-MEMORY = 250_000
+MEMORY = 500_000
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("local_start", T.LongType()),
@@ -30,75 +31,79 @@ SCHEMA = T.StructType([
 ])
 
 
-class PieceEncoder:
-    """Encodes whole texts with a byte-level BPE file of the tokenizers library.
+class OtherSpace(Exception):
+    """A piece holds white space that pieces can't be cut at."""
 
-    Byte-level BPE never merges across a blank followed by a letter, so a text whose white space is
-    single blanks and line feeds between words is encoded word by word, and words' ids are
-    remembered. Any other text goes to the library as a whole.
-    """
 
-    def __init__(self, tokenizer_file: str):
-        from tokenizers import Tokenizer
+class Pieces(dict):
+    """Ids of pieces as bytes. A piece is a word after a blank, "\\n" and a word, or "\\0" and the text's first word."""
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.old, self.tails = tokenizer, {}, {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as themselves
         rest = [b for b in range(256) if b not in shown]
         self.shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
         self.newline = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-
-    def word(self, letters: str) -> bytes:
-        """Of one run of letters, with or without a blank before it: no pre-tokenizing is needed."""
-        shown = letters.encode().decode("latin-1").translate(self.shown)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<i4").tobytes()
-
-    def piece(self, key: str) -> bytes | None:
-        """Ids of a piece that begins with its blank, line feed or (at the start) NUL; None if it has other white space."""
-        lead, body = key[0], key[1:]
-        if not body or any(c.isspace() for c in body):
-            return None
-        start, blank = (self.newline, "") if lead == "\n" else (b"", "") if lead == "\0" else (b"", " ")
-        head = body.rstrip(".,;:!?#$%&*")
-        if head.isalpha():
-            tail = body[len(head):]
-            if tail not in self.tails:
-                if len(self.tails) > MEMORY:
-                    self.tails = {"": b""}
-                self.tails[tail] = self.whole(tail)
-            return start + self.word(blank + head) + self.tails[tail]
-        return start + self.whole(blank + body)
-
-    def lookup(self, key: str) -> bytes | None:
-        ids = self.old.get(key)
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
         if ids is None:
-            ids = self.piece(key)
-        if ids is not None:
-            if len(self.young) >= MEMORY:
-                self.old, self.young = self.young, {}
-            self.young[key] = ids
+            ids = self.made(piece)
+        if len(self) >= MEMORY:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
+    def made(self, piece: str) -> bytes:
+        lead = piece[:1]
+        before, blank, body = (self.newline, "", piece[1:]) if lead == "\n" else (b"", "", piece[1:]) if lead == "\0" else (b"", " ", piece)
+        if not body or len(body.split()) != 1 or body[-1].isspace() or body[0].isspace():
+            raise OtherSpace
+        head = body.rstrip(".,;:!?#$%&*")
+        if not head.isalpha():
+            return before + self.whole(blank + body)
+        if len(head) == len(body):
+            # one run of letters, with or without a blank before it: the model needs no pre-tokenizing
+            letters = (blank + head).encode().decode("latin-1").translate(self.shown)
+            return before + array("i", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        tail = body[len(head):]
+        if tail not in self.tails:
+            if len(self.tails) >= MEMORY:
+                self.tails.clear()
+            self.tails[tail] = self.whole(tail)
+        return before + self[head if blank else "\0" + head] + self.tails[tail]
+
+
+class PieceEncoder:
+    """Encodes whole texts with a byte-level BPE file of the tokenizers library.
+
+    Byte-level BPE never merges across a blank followed by a letter, so a text whose white space is
+    single blanks and line feeds between words is encoded word by word, and words' ids are
+    remembered. Any other text goes to the library as a whole.
+    """
+
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+
+        self.pieces = Pieces(Tokenizer.from_file(tokenizer_file))
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         if not text:
             return b""
         if "<|" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or text[0] in " \n" or text[-1] in " \n":
-            return self.whole(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        keys = ["\0" + first, *[r if r[0] == "\n" else " " + r for r in rest]]
-        found = list(map(self.young.get, keys))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None and (ids := self.lookup(keys[i])) is None:
-                    return self.whole(text)
-                found[i] = ids
-        return b"".join(found)
+            return self.pieces.whole(text)
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "\0" + pieces[0]
+        try:
+            return b"".join(map(self.pieces.__getitem__, pieces))
+        except OtherSpace:
+            return self.pieces.whole(text)
 
 
 _encoders: dict[str, PieceEncoder] = {}
