@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, language_id, licenses, line_rules, mixing, quality_crf, token_orc, warc
+from . import chat, decontamination, jaccard_join, language_id, licenses, line_rules, mixing, quality_crf, token_orc, warc
 from .common import scratch_path, stored
 
 
@@ -30,6 +30,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
     label = lambda of: F.array_join(F.array_sort(F.array_distinct(of)), ",")
@@ -77,5 +81,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_decontaminate, op4_licenses, op5_language, op6_quality, op7_line_rules, op8_chat, op9_warc, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_decontaminate, op3_jaccard_join, op4_licenses, op5_language, op6_quality, op7_line_rules, op8_chat, op9_warc, op10_mix_sources)}
 ORACLE_SQL: dict[str, str] = {"op7_line_rules": line_rules.ORACLE_SQL}
