@@ -1,0 +1,5 @@
+"""Registered queries over the driver's tables, with the SQL they are checked against."""
+
+from .detection import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
