@@ -26,19 +26,22 @@ def python_pattern(pattern: str) -> re.Pattern:
     return re.compile("".join(out).encode())
 
 
-def regex_hits_udf(pattern: str):
+def regex_hits_udf(pattern: str, category: str, priority: int, source: str, rule_ord: int):
+    """A UDF from segments (off, seg) to candidates: of group 1 if it took part in a match, else of the match."""
     compiled = python_pattern(pattern)
 
     @F.pandas_udf("array<struct<start:int,end:int,category:string,priority:int,source:string,rule_ord:int,original:string>>")
-    def hits(seg: pd.Series, category: pd.Series, priority: pd.Series, source: pd.Series, rule_ord: pd.Series) -> pd.Series:
-        def one(text, *rest):
-            raw, found = (text or "").encode(), []
-            for m in compiled.finditer(raw):
-                a, b = m.span(1) if compiled.groups and m.start(1) >= 0 else m.span()
-                if a < b:
-                    found.append((a, b, *rest, raw[a:b].decode("utf-8", "replace")))
+    def hits(segments: pd.Series) -> pd.Series:
+        def one(segs):
+            found = []
+            for s in segs if segs is not None else ():
+                raw = s["seg"].encode()
+                for m in compiled.finditer(raw):
+                    a, b = m.span(1) if compiled.groups and m.start(1) >= 0 else m.span()
+                    if a < b:
+                        found.append((s["off"] + a, s["off"] + b, category, priority, source, rule_ord, raw[a:b].decode("utf-8", "replace")))
             return found
 
-        return pd.Series([one(*x) for x in zip(seg, category, priority, source, rule_ord)])
+        return segments.map(one)
 
     return hits

@@ -18,14 +18,11 @@ class PiiEngine:
         self.keywords, self.excludes, self.prefix = list(dict(keywords).items()), list(excludes), prefix
         self.overlap = overlap or ("greedy" if self.rules else "split")
 
-    def candidates(self, text: Column) -> Column:
-        return spans.exclude(spans.detect(text, spans.safe_segments(text), self.rules, self.keywords), self.excludes)
-
     def detect(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """docs with `hits`: disjoint candidates with placeholders, in the order of start."""
         # segments and candidates are columns of their own, so each is worked out once
         rows = docs.withColumn("segments_", spans.safe_segments(docs[text_col]))
-        rows = rows.withColumn("hits", spans.exclude(spans.detect(F.col(text_col), F.col("segments_"), self.rules, self.keywords), self.excludes)).drop("segments_")
+        rows = rows.withColumn("hits", spans.exclude(spans.detect("segments_", self.rules, self.keywords), self.excludes)).drop("segments_")
         chosen = spans.greedy(F.col("hits")) if self.overlap == "greedy" else spans.split_resolution(F.col("hits"), F.col(text_col))
         rows = rows.withColumn("hits", chosen)
         named = F.transform("hits", lambda c: c.withField("placeholder", dictionary.placeholder(self.key, c["category"], c["original"], self.prefix)))

@@ -10,6 +10,7 @@ import re._parser as sre_parser
 
 from pyspark.sql import Column, functions as F
 
+from .arrow_hits import regex_hits_udf
 from ..sources.rules import KEYWORD_PRIORITY, Rule, RuleList, groups, java_pattern, split_at_group
 
 #: Escape sequences, and control and format characters other than line feed, carriage return and tab.
@@ -38,13 +39,16 @@ def safe_segments(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.array().cast("array<struct<off:int,seg:string>>")).when(text.rlike(PROTECTED), cut).otherwise(whole)
 
 
-def required(pattern: str) -> str | None:
-    """The longest literal that every match of a pattern holds, to be looked for before the regular expression runs."""
+def required(pattern: str) -> tuple[str | None, str | None]:
+    """What every match of a pattern holds: the longest literal, and the smallest set of a few characters (as a bracket); each None if there is none.
+
+    Both are looked for before the regular expression runs.
+    """
     try:
         tree = sre_parser.parse(pattern)
     except (re.error, OverflowError):
-        return None
-    runs, fold = [""], bool(tree.state.flags & re.IGNORECASE)
+        return None, None
+    runs, sets, fold = [""], [], bool(tree.state.flags & re.IGNORECASE)
 
     def walk(items) -> None:
         for op, arg in items:
@@ -54,16 +58,32 @@ def required(pattern: str) -> str | None:
                 walk(arg[3])
             else:
                 runs.append("")
+                if op is sre_parser.IN and all(o is sre_parser.LITERAL and not chr(c).isalnum() for o, c in arg):
+                    sets.append("[" + "".join("\\" + chr(c) for _, c in arg) + "]")
                 if op is sre_parser.MAX_REPEAT and arg[0] >= 1:
                     walk(arg[2])
                     runs.append("")
 
     walk(tree)
-    return max(runs, key=len) or None
+    return max(runs, key=len) or None, min(sets, key=len, default=None)
+
+
+def quoted(value: str) -> str:
+    """A Spark SQL string."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\x02", "\\u0002").replace("\x03", "\\u0003") + "'"
 
 
-def regex_hits(segment: Column, rule: Rule, priority: int, source: str, rule_ord: int) -> Column:
-    """Candidates of a rule in one segment, offsets from its start.
+def placed(parts: str, gap: int, keep: str, rule: Rule, priority: int, source: str, rule_ord: int, value: str) -> str:
+    """SQL for candidates from a split segment: a fold that knows where each part begins."""
+    made = f"named_struct('start', acc.at + {'0' if keep == 'odd' else 'octet_length(x)'} + s.off, 'end', acc.at + octet_length(x) + {gap} + s.off, 'category', {quoted(rule.category or 'REGEX')}, 'priority', {priority}, 'source', {quoted(source)}, 'rule_ord', {rule_ord}, 'original', {value})"
+    wanted = "acc.n % 2 = 1 AND x <> ''" if keep == "odd" else "acc.n < acc.last"
+    last = f"size({parts}) - 1" if keep != "odd" else "0"
+    return f"""aggregate({parts}, named_struct('at', 0, 'n', 0, 'last', {last}, 'out', CAST(array() AS {NONE})),
+      (acc, x) -> named_struct('at', acc.at + octet_length(x) + {gap}, 'n', acc.n + 1, 'last', acc.last, 'out', IF({wanted}, CAST(concat(acc.out, array({made})) AS {NONE}), acc.out)), acc -> acc.out)"""
+
+
+def regex_hits(rule: Rule, priority: int, source: str, rule_ord: int) -> str | None:
+    """SQL for a rule's candidates in segment s (off, seg); None if its group can't be marked.
 
     Marks are put around the group in each match, and the marked segment is split at them: the parts
     between two marks are hits, and the lengths of parts give their offsets. Marks are control
@@ -71,18 +91,19 @@ def regex_hits(segment: Column, rule: Rule, priority: int, source: str, rule_ord
     """
     cut = split_at_group(rule.pattern)
     if cut is None:
-        from .arrow_hits import regex_hits_udf
-
-        return regex_hits_udf(rule.pattern)(segment, F.lit(rule.category or "REGEX"), F.lit(priority), F.lit(source), F.lit(rule_ord))
+        return None
     before, group, after = cut
-    body = java_pattern(f"{before}({group}){after}")
-    marked_pattern = regroup(body)
-    marked = F.regexp_replace(segment, marked_pattern, "$1\x02$2\x03$3")
-    parts = F.split(marked, "[\x02\x03]", -1)
-    placed = pieces_with_offsets(parts, F.array().cast("array<int>"))
-    hits = F.filter(F.transform(placed, lambda p, i: F.struct(p["off"].alias("o"), p["seg"].alias("s"), (i % 2).alias("odd"))), lambda p: (p["odd"] == 1) & (p["s"] != ""))
-    found = F.transform(hits, lambda p: candidate(p["o"], p["s"], rule.category or "REGEX", priority, source, rule_ord))
-    return F.when(segment.rlike(body), found).otherwise(no_candidates())
+    marked = f"split(regexp_replace(s.seg, {quoted(regroup(java_pattern(f'{before}({group}){after}')))}, {quoted('$1' + chr(2) + '$2' + chr(3) + '$3')}), {quoted('[' + chr(2) + chr(3) + ']')}, -1)"
+    # cheapest first: what every match holds, then the group alone, which fails at most characters at once
+    literal, some = required(rule.pattern)
+    may = [f"contains(s.seg, {quoted(literal)})"] if literal else []
+    may += [f"s.seg RLIKE {quoted(some)}"] if some else []
+    may.append(f"s.seg RLIKE {quoted(java_pattern(before_flags(before) + group))}")
+    return f"IF({' AND '.join(may)}, {placed(marked, 0, 'odd', rule, priority, source, rule_ord, 'x')}, CAST(array() AS {NONE}))"
+
+
+def before_flags(before: str) -> str:
+    return re.match(r"(?:\(\?[ims-]+\))*", before)[0]
 
 
 def regroup(java: str) -> str:
@@ -92,35 +113,29 @@ def regroup(java: str) -> str:
     return f"{flags}({java[len(flags):start]}){java[start:end]}({java[end:]})"
 
 
-def candidate(off: Column, value: Column, category: str, priority: int, source: str, rule_ord: int) -> Column:
-    return F.struct(off.alias("start"), (off + F.octet_length(value)).alias("end"), F.lit(category).alias("category"), F.lit(priority).alias("priority"), F.lit(source).alias("source"), F.lit(rule_ord).alias("rule_ord"), value.alias("original"))
-
-
-def keyword_hits(segment: Column, rule: Rule, priority: int, source: str, rule_ord: int) -> Column:
-    """Leftmost occurrences that don't overlap; letters' case counts."""
+def keyword_hits(rule: Rule, priority: int, source: str, rule_ord: int) -> str:
+    """SQL for a keyword's leftmost occurrences in segment s that don't overlap; letters' case counts."""
     word = rule.pattern
-    quoted = "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    placed = pieces_with_offsets(F.split(segment, quoted, -1), F.array_repeat(F.lit(len(word.encode())), F.size(F.split(segment, quoted, -1)) - 1))
-    ends = F.transform(F.slice(placed, 1, F.size(placed) - 1), lambda p: p["off"] + F.octet_length(p["seg"]))
-    found = F.transform(ends, lambda e: candidate(e, F.lit(word), rule.category, priority, source, rule_ord))
-    return F.when(F.contains(segment, F.lit(word)), found).otherwise(no_candidates())
+    parts = f"split(s.seg, {quoted(chr(92) + 'Q' + word.replace(chr(92) + 'E', chr(92) + 'E' + chr(92) * 2 + 'E' + chr(92) + 'Q') + chr(92) + 'E')}, -1)"
+    return f"IF(contains(s.seg, {quoted(word)}), {placed(parts, len(word.encode()), 'all but the last', rule, priority, source, rule_ord, quoted(word))}, CAST(array() AS {NONE}))"
 
 
-def detect(text: Column, segments: Column, lists: list[RuleList], keywords: list[tuple[str, str]] = ()) -> Column:
-    """All candidates of a text: keywords first, then rule lists in their order, each segment on its own."""
+def detect(segments: str, lists: list[RuleList], keywords: list[tuple[str, str]] = ()) -> Column:
+    """All candidates in a column of safe segments: keywords first, then rule lists in their order, each segment on its own.
+
+    One SQL expression, parsed once; patterns with a nested or optional group run as Arrow UDFs.
+    """
     todo: list[tuple[Rule, int, str]] = [(Rule("keyword", c, t), KEYWORD_PRIORITY, "keywords") for t, c in keywords if t and c]
     todo += [(r, lst.priority, f"rulelist:{lst.name}") for lst in lists for r in lst.rules]
-
-    def one(seg: Column) -> Column:
-        found = []
-        for ord_, (rule, priority, source) in enumerate(todo):
-            hits = (keyword_hits if rule.kind == "keyword" else regex_hits)(seg, rule, priority, source, ord_)
-            literal = rule.pattern if rule.kind == "keyword" else required(rule.pattern)
-            found.append(F.when(F.contains(text, F.lit(literal)), hits).otherwise(no_candidates()) if literal else hits)
-        return F.concat(*found) if found else no_candidates()
-
-    moved = lambda s: F.transform(one(s["seg"]), lambda c: c.withField("start", c["start"] + s["off"]).withField("end", c["end"] + s["off"]))
-    return F.coalesce(F.flatten(F.transform(segments, moved)), no_candidates())
+    native, other = [], []
+    for ord_, (rule, priority, source) in enumerate(todo):
+        made = (keyword_hits if rule.kind == "keyword" else regex_hits)(rule, priority, source, ord_)
+        if made is None:
+            other.append(regex_hits_udf(rule.pattern, rule.category or "REGEX", priority, source, ord_)(F.col(segments)))
+        else:
+            native.append(made)
+    found = [F.expr(f"flatten(transform({segments}, s -> concat({', '.join(native)})))")] if native else []
+    return F.coalesce(F.concat(*found, *other), no_candidates()) if found or other else no_candidates()
 
 
 def exclude(candidates: Column, values: list[str]) -> Column:

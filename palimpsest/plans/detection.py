@@ -31,7 +31,10 @@ def query(oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of few blocks, which fewer tasks than cores would read, is dealt out first."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores // 2 else rows
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -89,7 +92,7 @@ def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found_in(spark: SparkSession, sf_dir: str, name: str, id_col: str, text_col: str, lists: list[RuleList], keywords=()) -> DataFrame:
     """All hits of rules in a table's texts: id and the candidate's columns."""
     rows = table(spark, sf_dir, name).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("segments", spans.safe_segments(F.col("text")))
-    hits = spans.detect(F.col("text"), F.col("segments"), lists, keywords)
+    hits = spans.detect("segments", lists, keywords)
     return rows.select("id", F.explode(hits).alias("c")).select("id", *candidate_columns())
 
 
@@ -128,7 +131,7 @@ def detect_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT conv_id, turn, start_, end_, category, priority, rule_ord::INTEGER AS rule_ord, original FROM ({sql.candidates('(SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL)', [], KEYWORDS, 'conv_id, turn')})")
 def detect_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("segments", spans.safe_segments(F.col("text")))
-    return rows.select("conv_id", "turn", F.explode(spans.detect(F.col("text"), F.col("segments"), [], KEYWORDS)).alias("c")).select("conv_id", "turn", *candidate_columns())
+    return rows.select("conv_id", "turn", F.explode(spans.detect("segments", [], KEYWORDS)).alias("c")).select("conv_id", "turn", *candidate_columns())
 
 
 BUILTIN = builtin_rules()
@@ -154,7 +157,7 @@ PROBE_ROWS = list(enumerate(PROBES))
 @query(f"SELECT {CAND} FROM ({sql.candidates('(' + sql.values(PROBE_ROWS, 'id int, text string') + ')', [RULES])})")
 def rule_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = literal_rows(spark, PROBE_ROWS, "id int, text string").withColumn("segments", spans.safe_segments(F.col("text")))
-    return rows.select("id", F.explode(spans.detect(F.col("text"), F.col("segments"), [RULES])).alias("c")).select("id", *candidate_columns())
+    return rows.select("id", F.explode(spans.detect("segments", [RULES])).alias("c")).select("id", *candidate_columns())
 
 
 SEGMENTED = list(enumerate(["foo\x1b[90mbar\x1b[0mbaz", "A​B", "tab\there\nline\r", "\x1b", "a\x1b[12", "a\x1b]0;t\x07b", "a\x1b]0;t\x1b\\b", "a\x1b]0;t", "a\x1bcd", "é\x7fé", "﻿x", "", "plain", "a\x00b\x01\x02c", "x­y"]))
