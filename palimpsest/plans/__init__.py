@@ -1,5 +1,6 @@
 """Registered queries over the driver's tables, with the SQL they are checked against."""
 
+from . import services  # noqa: F401  registers its queries
 from .detection import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
