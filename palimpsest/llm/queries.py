@@ -82,4 +82,47 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_orc, op2_decontaminate, op3_jaccard_join, op4_licenses, op5_language, op6_quality, op7_line_rules, op8_chat, op9_warc, op10_mix_sources)}
-ORACLE_SQL: dict[str, str] = {"op7_line_rules": line_rules.ORACLE_SQL}
+ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({ASCII_LOWER}, '{PLAIN}') AS words FROM documents),
+b AS (SELECT item_id, words, least({decontamination.WINDOW}, len(words)) AS n FROM (SELECT item_id, regexp_extract_all({ASCII_LOWER}, '{PLAIN}') AS words FROM benchmark) WHERE len(words) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(words[i:i + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM b)),
+dw AS (SELECT r, n, i, array_to_string(words[i:i + n - 1], ' ') AS win FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM iw))),
+m AS (SELECT dw.r, dw.i, dw.n, iw.item_id FROM dw JOIN iw USING (n, win)),
+hit AS (SELECT r, count(DISTINCT cell) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS cell FROM m) GROUP BY r),
+it AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS names FROM m GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND {decontamination.SHARE} * coalesce(n_hit, 0) >= len(words) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+"""
+
+JACCARD_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({ASCII_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+sh AS (SELECT DISTINCT r, doc_id, s FROM (SELECT r, doc_id, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM d WHERE len(words) > 0))),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+both_ AS (SELECT a.r AS ra, b.r AS rb, a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_ JOIN n x ON ra = x.r JOIN n y ON rb = y.r WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS id, a AS other FROM edge UNION SELECT reach.id, edge.b FROM reach JOIN edge ON reach.other = edge.a),
+comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN comp ON d.doc_id = comp.id
+"""
+
+ESCAPED = r"replace(replace(replace({}, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')"
+CHAT_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) AS x(i)),
+f AS (SELECT *, 15 + length({ESCAPED.format("text")}) + length(replace({ESCAPED.format("role")}, ':', '\:')) AS n FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT html, max(page_id) AS kept, count(*) AS n FROM p WHERE strlen(html) >= {warc.LEAST_REVISIT} GROUP BY html HAVING count(*) > 1)
+SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to FROM p LEFT JOIN k ON p.html = k.html
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": DECONTAMINATION_SQL, "op3_jaccard_join": JACCARD_SQL, "op7_line_rules": line_rules.ORACLE_SQL, "op8_chat": CHAT_SQL, "op9_warc": WARC_SQL}
