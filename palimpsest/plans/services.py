@@ -16,7 +16,8 @@ from ..functions import text as fn
 from ..operators import audit, dictionary, jsonprompt, ner, requests
 from ..operators.engine import PiiEngine
 from ..sources.rules import secret_keywords
-from ..streaming import events as sse, restorer
+from ..sources import logs
+from ..streaming import events as sse, restorer, websocket
 from . import sql
 from .detection import ENGINE, HITS, KEY, KEYWORDS, document_mapping, literal_rows, query, table
 
@@ -351,3 +352,24 @@ def sealed_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = literal_rows(spark, [(0, "secret word"), (1, "é"), (2, "")], "id int, value string").withColumn("sealed", fn.seal(F.col("value"), KEY))
     plain = F.when(F.col("id") == 2, F.lit("not sealed")).otherwise(F.col("sealed"))
     return rows.select("id", fn.open_sealed(plain, KEY).alias("opened"))
+
+
+RAW = [(0, websocket.build_frame(b"hello Alice", mask=b"\x01\x02\x03\x04") + websocket.build_frame(b"", 9) + websocket.build_frame(b"x" * 200, 0, False, 4) + b"\x81\x7f"), (1, websocket.build_frame(b"y" * 70_000, 2))]
+
+
+@query(sql.values([(0, 0, True, 0, 1, 11), (0, 1, True, 0, 9, 0), (0, 2, False, 4, 0, 200), (1, 0, True, 0, 2, 70_000)], "id int, seq int, fin boolean, rsv int, opcode int, n int"))
+def ws_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal_rows(spark, RAW, "id int, raw binary").select("id", F.explode(websocket.frames_of("raw")).alias("f"))
+    return rows.select("id", "f.seq", "f.fin", "f.rsv", "f.opcode", F.octet_length("f.payload").alias("n"))
+
+
+@query(sql.values([("a", "x"), ("b", "y")], "placeholder string, original string"))
+def framed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session log in its binary frames: sealed entries, one that can't be opened, and a cut last one."""
+    mapping = literal_rows(spark, [("a", "x", 1, 5000), ("b", "y", 2, 5001), ("c", "x", 3, 5002), ("d", "z", 4, 10)], "placeholder string, original string, seq long, at long").withColumn("created_at", F.timestamp_seconds("at"))
+    entries = dictionary.seal_log(mapping, KEY).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "entry"))), lambda e: e["entry"]).alias("e"))
+    length = lambda e: F.unhex(F.lpad(F.hex(F.octet_length(e)), 8, "0"))
+    raw = entries.select(F.aggregate("e", F.lit(b""), lambda acc, e: F.concat(acc, length(e), e)).alias("raw"))
+    raw = raw.select(F.concat("raw", F.lit(b"\x00\x00\x00\x14" + b"0" * 20 + b"\x00\x00\x00\xff" + b"cut")).alias("raw"))
+    log = raw.select(F.posexplode(logs.entries_of("raw")).alias("seq", "entry"))
+    return dictionary.restore_log(log, KEY, F.timestamp_seconds(F.lit(6000)), 3600).select("placeholder", "original")

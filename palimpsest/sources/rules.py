@@ -268,6 +268,27 @@ class Config:
         self.rule_lists = list(seen.values())
         self.intercept_mode = self.intercept_mode if self.intercept_mode in ("global", "targets") else "global"
 
+    def add_keyword(self, text: str, category: str = "") -> None:
+        text = clean_pattern(text)
+        if not text:
+            raise RuleError("empty keyword")
+        self.keywords.append((text, clean_category(category) or "TEXT"))
+
+    def update_keyword(self, index: int, text: str, category: str = "") -> None:
+        self.keywords[index] = (clean_pattern(text), clean_category(category) or "TEXT")
+
+    def delete_keyword(self, index: int) -> None:
+        del self.keywords[index]
+
+    def add_rule_list(self, text: str, name: str, priority: int = DEFAULT_PRIORITY) -> RuleList:
+        """Parsed before it is kept: a bad list changes nothing."""
+        made = parse_rules(text, name, priority)
+        self.rule_lists = [r for r in self.rule_lists if r.name != name] + [made]
+        return made
+
+    def delete_rule_list(self, name: str) -> None:
+        self.rule_lists = [r for r in self.rule_lists if r.name != name]
+
     def merge(self, project: Config) -> Config:
         """Lists append, entities replace, other values override if set, switches only turn on; wal and deterministic stay."""
         return Config(

@@ -80,3 +80,27 @@ def test_durations_and_secret_lines(spark):
     assert [fn.parse_duration(x, -1) for x in ("24h", "7d", "1h30m", "250ms", "x", "")] == [86400, 604800, 5400, 0.25, -1, -1]
     rows = spark.createDataFrame([(x,) for x in (" a long secret ", "# no", "short", "a long secret")], "value string")
     assert [tuple(r) for r in secret_keywords(rows, "lines").collect()] == [("a long secret", "SECRET_FILE")]
+
+
+def test_configuration_changes():
+    config = Config()
+    config.add_keyword(" a​b ", "my cat")
+    config.add_keyword("c")
+    config.update_keyword(1, "d", "x")
+    config.delete_keyword(0)
+    assert config.keywords == [("d", "X")]
+    config.add_rule_list("k A word", "mine")
+    with pytest.raises(RuleError):
+        config.add_rule_list("bad", "mine")
+    assert [r.name for r in config.rule_lists] == ["mine"] and config.rule_lists[0].keyword_count == 1
+    config.delete_rule_list("mine")
+    assert config.rule_lists == []
+
+
+def test_framed_log_files(spark, tmp_path):
+    from palimpsest.sources import logs
+
+    (tmp_path / "a.wal").write_bytes(logs.framed([b"one", b"", b"three"]) + b"\x00\x00")
+    got = logs.read_framed_log(spark, str(tmp_path)).select("seq", "entry").collect()
+    assert [(r.seq, bytes(r.entry)) for r in got] == [(0, b"one"), (1, b""), (2, b"three")]
+    assert logs.follow(spark, str(tmp_path)).isStreaming
