@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import secrets
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -32,7 +33,7 @@ def placeholder(key: bytes, category: Column, original: Column, prefix: str = PR
     return F.concat(F.lit(prefix), category, F.lit("_"), F.substring(hmac_sha256(key, original), 1, DIGITS), F.lit("__"))
 
 
-def build_mapping(hits: DataFrame, key: bytes, prefix: str = PREFIX) -> DataFrame:
+def build_mapping(hits: DataFrame, key: bytes, prefix: str = PREFIX, name: Callable[[bytes, Column, Column, str], Column] = placeholder) -> DataFrame:
     """(placeholder, original, category, created_at) from hits (doc_ord, start, category, original, created_at).
 
     An original takes the category of its first hit: documents in order, the last span of each first.
@@ -40,7 +41,7 @@ def build_mapping(hits: DataFrame, key: bytes, prefix: str = PREFIX) -> DataFram
     """
     # the first hit of an original is a minimum, which is gathered before the shuffle; no original's hits are sorted
     first = hits.groupBy("original").agg(F.min(F.struct(F.col("doc_ord"), (-F.col("start")).alias("s"), F.col("category"), F.col("created_at"))).alias("f"))
-    first = first.select("original", "f.category", "f.created_at", "f.doc_ord", "f.s", placeholder(key, F.col("f.category"), F.col("original"), prefix).alias("base"))
+    first = first.select("original", "f.category", "f.created_at", "f.doc_ord", "f.s", name(key, F.col("f.category"), F.col("original"), prefix).alias("base"))
     n = F.row_number().over(W.partitionBy("base").orderBy("doc_ord", "s", "original"))
     numbered = F.when(n > 1, F.concat(F.expr("substring(base, 1, length(base) - 2)"), F.lit("_"), n.cast("string"), F.lit("__"))).otherwise(F.col("base"))
     return first.select(numbered.alias("placeholder"), "original", "category", "created_at")

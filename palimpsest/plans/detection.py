@@ -266,12 +266,7 @@ COLLIDING = [(i, 0, c, o) for i, (c, o) in enumerate([("A", "x"), ("A", "y"), ("
 def collision_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbering of different originals with one placeholder, made to collide."""
     hits = literal_rows(spark, COLLIDING, "doc_ord int, start int, category string, original string").withColumn("created_at", F.timestamp_seconds("doc_ord"))
-    saved = dictionary.placeholder
-    dictionary.placeholder = lambda key, category, original, prefix=dictionary.PREFIX: F.concat(F.lit(prefix), category, F.lit("_000000000000__"))
-    try:
-        mapping = dictionary.build_mapping(hits, KEY)
-    finally:
-        dictionary.placeholder = saved
+    mapping = dictionary.build_mapping(hits, KEY, name=lambda key, category, original, prefix: F.concat(F.lit(prefix), category, F.lit("_000000000000__")))
     return mapping.select("original", "category", F.coalesce(F.nullif(F.regexp_extract("placeholder", r"0_(\d+)__$", 1), F.lit("")).cast("int"), F.lit(1)).alias("n"))
 
 
