@@ -9,12 +9,17 @@ match, and such a segment counts twice. m and G of a band are those with the lea
 signatures that leave room for empty segments and crowded signatures.
 
 Only signatures that several documents share matter. Of a group of up to CROWD documents all pairs
-are compared that aren't connected yet. A crowded signature links its documents to one of them; if
-these comparisons (and those with a second one, and with the few documents outside the main
-component) leave it in several components, it is skipped, and counts against the room of each of its
-documents. A document without room left for all that was skipped may have missed a partner that has
-none either: such documents are joined again with another hash and more room, and at last by prefix
-filtering. No link is lost, and no crowded group is compared pair by pair.
+are compared that aren't connected yet. Crowded signatures are skipped by documents with room for
+that. Of the others, a crowded signature links its documents to two of them; if
+that leaves it in several components, it is skipped, and counts against the room of each of its
+documents. A document without room left for what was skipped may have missed a partner that has none
+either, and both have a skipped signature in common (or had no room from the start). Such documents,
+clustered by skipped signatures, are compared in blocks: those outside a cluster's main component
+with all of the cluster. So no link is lost, and near copies that are connected already are never
+compared pair by pair.
+
+Before two documents are compared, sizes and parity sketches rule most others out: each shingle flips
+one of SKETCH bits, so bits that differ are no more than shingles that differ.
 
 Links are verified on the words themselves. Shingles are told apart by 64-bit hashes when counted.
 
@@ -32,6 +37,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -43,17 +49,21 @@ NGRAM = 5
 NUM, DEN = 80, 100
 #: Groups of more documents are crowded.
 CROWD = 16
-#: Documents outside the main component of a crowded group that are compared with all of it.
-STRAY = 8
+#: Documents on each side of a block comparison.
+BLOCK = 128
+#: Bits of a parity sketch.
+SKETCH = 1024
 #: Hashes of words that are remembered.
-MEMORY = 400_000
+MEMORY = 300_000
+#: Rows and bytes of a shard, whose words and signatures a task holds at once.
+SHARD = (1500, 5 << 20)
 #: Signatures that one bucket is planned for.
 BUCKET = 1_000_000
 #: Ids are broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
-#: Room that levels leave: standard deviations of the number of empty segments, share of crowded signatures.
-LEVELS = ((3.0, 0.10), (4.5, 0.25))
-META = np.dtype([("doc", "<i8"), ("null", "?"), ("n", "<i4"), ("room", "<i4"), ("key", "S16")])
+#: Room that is left: standard deviations of the number of empty segments, share of crowded signatures.
+ROOM = (4.5, 0.10)
+META = np.dtype([("doc", "<i8"), ("null", "?"), ("n", "<i4"), ("room", "<i4"), ("key", "u1", 16), ("sketch", "u1", SKETCH // 8)])
 MIX1, MIX2, MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -189,7 +199,7 @@ def from_planes(data: bytes, width: int) -> np.ndarray:
 PACKED = "bucket int, sigs binary, docs binary, meta binary, crowds binary"
 GROUPS = T.StructType([
     T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("room", T.IntegerType()), T.StructField("key", T.BinaryType()),
-    T.StructField("sig", T.LongType()), T.StructField("members", T.ArrayType(T.LongType())), T.StructField("kind", T.IntegerType()),
+    T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("sig", T.LongType()), T.StructField("members", T.ArrayType(T.LongType())), T.StructField("kind", T.IntegerType()),
 ])
 IS_META, IS_SMALL, IS_CROWDED = 0, 1, 2
 
@@ -204,6 +214,14 @@ def groups_of(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return sig, doc, np.append(begin, len(sig))
 
 
+def sketches(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Parity sketches of each document, as bytes."""
+    size = np.diff(starts)
+    cell = np.repeat(np.arange(len(size)), size) * SKETCH + (mix(sets) >> np.uint64(64 - (SKETCH - 1).bit_length())).astype(np.int64)
+    odd = np.bincount(cell, minlength=len(size) * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(size), SKETCH), axis=1)
+
+
 def shard(ids: list[int | None], texts: list[bytes | None], seed: int, level: tuple[float, float], buckets: int, memory: WordHashes) -> pa.RecordBatch:
     words = [words_of(t) for t in texts]
     key = [hashlib.sha256(b" ".join(w)).digest()[:16] for w in words]
@@ -234,7 +252,8 @@ def shard(ids: list[int | None], texts: list[bytes | None], seed: int, level: tu
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     sig, doc = sig[order], doc[order].astype(np.uint64)
     meta = np.zeros(len(ids), META)
-    meta["doc"], meta["null"], meta["n"], meta["room"], meta["key"] = number, [i is None for i in ids], n, np.minimum(room, np.iinfo(np.int32).max), key
+    meta["doc"], meta["null"], meta["n"], meta["room"] = number, [i is None for i in ids], n, np.minimum(room, np.iinfo(np.int32).max)
+    meta["key"], meta["sketch"] = np.frombuffer(b"".join(key), np.uint8).reshape(-1, 16), sketches(sets, starts)
     rows = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
     home = int.from_bytes(key[0][:4], "little") % buckets
     columns = [rows + [home], [planes(sig[cuts[b]:cuts[b + 1]], 8) for b in rows] + [None], [planes(doc[cuts[b]:cuts[b + 1]], 8) for b in rows] + [None], [None] * len(rows) + [meta.tobytes()],
@@ -257,7 +276,7 @@ def bucket_groups(table: pa.Table) -> pa.Table:
             docs.append(from_planes(d, 8))
         if m is not None:
             meta = np.frombuffer(m, META)
-            add(len(meta), IS_META, doc=[None if x else y for x, y in zip(meta["null"].tolist(), meta["doc"].tolist())], n=meta["n"].tolist(), room=meta["room"].tolist(), key=[x.ljust(16, b"\0") for x in meta["key"].tolist()])
+            add(len(meta), IS_META, doc=[None if x else y for x, y in zip(meta["null"].tolist(), meta["doc"].tolist())], n=meta["n"].tolist(), room=meta["room"].tolist(), key=[x.tobytes() for x in meta["key"]], sketch=np.ascontiguousarray(meta["sketch"]).view("<i8").tolist())
         if c:
             half = len(c) // 2
             sig, doc, at = groups_of(from_planes(c[:half], 8), from_planes(c[half:], 8))
@@ -271,14 +290,14 @@ def bucket_groups(table: pa.Table) -> pa.Table:
         many = np.repeat(length > CROWD, length)
         lead = np.repeat(doc[at[:-1]], length)[many].astype(np.int64)
         add(int(many.sum()), IS_CROWDED, sig=sig[many].view(np.int64).tolist(), members=np.stack([lead, doc[many].astype(np.int64)], 1).tolist())
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int32())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int32())
     return pa.table([pa.array(out[f.name], k) for f, k in zip(GROUPS.fields, kinds)], names=GROUPS.names)
 
 
 def candidate_groups(rows: DataFrame, seed: int, level: tuple[float, float]) -> DataFrame:
     """Rows of GROUPS for documents (i, x)."""
     spark = rows.sparkSession
-    small_batches(spark)
+    small_batches(spark, *SHARD)
     size = rows.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     buckets = min(1 << 16, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (8 * BUCKET))))
 
@@ -292,18 +311,23 @@ def candidate_groups(rows: DataFrame, seed: int, level: tuple[float, float]) ->
     return stored(packed.groupBy("bucket").applyInArrow(bucket_groups, GROUPS), "groups", ("kind",))
 
 
+def beside(ids: DataFrame, *columns: Column, most: int = BROADCAST_IDS) -> DataFrame:
+    """Columns of a stored table of ids, for a join: broadcast if its rows, counted once, are few."""
+    if not hasattr(ids, "counted"):
+        ids.counted = ids.count()
+    chosen = ids.select(*columns)
+    return F.broadcast(chosen) if ids.counted <= most else chosen
+
+
 def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """rows whose column is in ids (a stored table with column `id`)."""
-    ids = ids.withColumnRenamed("id", "wanted_id")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return rows.join(ids, rows[column] == ids["wanted_id"], "left_semi")
+    return rows.join(beside(ids, F.col("id").alias("wanted_id")), F.col(column) == F.col("wanted_id"), "left_semi")
 
 
 def renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """(a, b) with each id replaced by its name (id, name), in order, distinct."""
     for c in ("a", "b"):
-        named = names.select(F.col("id").alias("id_"), F.col("name").alias("name_"))
-        pairs = pairs.join(named, F.col(c) == F.col("id_"), "left").withColumn(c, F.coalesce("name_", c)).drop("id_", "name_")
+        pairs = pairs.join(beside(names, F.col("id").alias("id_"), F.col("name").alias("name_")), F.col(c) == F.col("id_"), "left").withColumn(c, F.coalesce("name_", c)).drop("id_", "name_")
     return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -319,8 +343,18 @@ def linked(x: bytes, y: bytes) -> bool:
     return bool(both) and DEN * both >= NUM * (len(a) + len(b) - both)
 
 
+def may_link() -> Column:
+    """Of a pair's sizes and sketches: nothing rules a link out."""
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    sizes = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
+    return sizes & (differ <= F.floor((F.col("na") + F.col("nb")) * (DEN - NUM) / (DEN + NUM)))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of pairs (a, b); texts: (id, x)."""
+    """The linked ones of pairs (a, b); texts: (id, x, n, sketch). Texts travel only for pairs that may link."""
+    for c in ("a", "b"):
+        pairs = pairs.join(beside(texts, F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), most=BROADCAST_IDS // 10), c)
+    pairs = stored(pairs.filter(may_link()).select("a", "b"), "pairs")
     one = texts.select(F.col("id").alias("a"), F.col("x").alias("xa"))
     two = texts.select(F.col("id").alias("b"), F.col("x").alias("xb"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb")
@@ -343,77 +377,139 @@ def components(edges: DataFrame) -> DataFrame:
         both = live.select(F.col("a").alias("id"), F.col("b").alias("name")).unionByName(live.select(F.col("b").alias("id"), F.col("a").alias("name")))
         hooks = stored(both.groupBy("id").agg(F.min("name").alias("name")).select("id", F.least("id", "name").alias("name")), "hooks")
         while True:  # follow hooks to their ends, by halves
-            up = hooks.select(F.col("id").alias("name"), F.col("name").alias("next"))
+            up = beside(hooks, F.col("id").alias("name"), F.col("name").alias("next"))
             hooks = stored(hooks.join(up, "name").select("id", F.col("next").alias("name"), (F.col("next") != F.col("name")).alias("moved")), "hooks")
             if hooks.filter("moved").isEmpty():
                 break
-            hooks = hooks.select("id", "name")
-        hooks = hooks.select("id", "name")
         if names is None:
-            names = hooks
+            names = hooks.select("id", "name")
         else:
-            up = hooks.select(F.col("id").alias("name"), F.col("name").alias("next"))
-            names = names.join(up, "name", "left").select("id", F.coalesce("next", "name").alias("name"))
+            up = beside(hooks, F.col("id").alias("name"), F.col("name").alias("next"))
+            names = stored(names.join(up, "name", "left").select("id", F.coalesce("next", "name").alias("name")), "names")
         live = stored(renamed(live, hooks), "edges")
-        names = stored(names, "names")
         if live.isEmpty():
             return names
 
 
 def merged_names(names: DataFrame, edges: DataFrame) -> DataFrame:
     """names (id, name) after more links between names or ids."""
-    up = components(stored(renamed(edges, names), "edges")).select(F.col("id").alias("name"), F.col("name").alias("next"))
-    old = names.join(up, "name", "left").select("id", F.coalesce("next", "name").alias("name"))
+    up = components(stored(renamed(edges, names), "edges"))
+    old = names.join(beside(up, F.col("id").alias("name"), F.col("name").alias("next")), "name", "left").select("id", F.coalesce("next", "name").alias("name"))
     # ids that had no name yet
-    new = up.select(F.col("name").alias("id"), F.col("next").alias("name")).join(names.select("id"), "id", "left_anti")
+    new = up.select("id", "name").join(beside(names, F.col("id")), "id", "left_anti")
     return stored(old.unionByName(new), "names")
 
 
 def named(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """Adds `name` of the id in column (the id itself if it has none)."""
-    n = names.select(F.col("id").alias("id_"), "name")
+    n = beside(names, F.col("id").alias("id_"), F.col("name"))
     return rows.join(n, F.col(column) == F.col("id_"), "left").drop("id_").withColumn("name", F.coalesce("name", column))
 
 
-def join_level(rows: DataFrame, groups: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """names after this level's links, and the ids of documents without room for what was skipped."""
-    meta = groups.filter(F.col("kind") == IS_META).filter("doc is not null and n > 0").select("doc", "room", "key")
+def join_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """names (id, name) by all links between documents of groups."""
+    meta = groups.filter(F.col("kind") == IS_META).filter("doc is not null and n > 0").select("doc", "n", "room", "key", "sketch")
     copies = meta.groupBy("key").agg(F.min("doc").alias("name"))
-    copies = stored(meta.join(copies, "key").filter("doc != name").select(F.col("doc").alias("id"), "name"), "copies")
+    copies = stored(meta.select("doc", "key").join(copies, "key").filter("doc != name").select(F.col("doc").alias("id"), "name"), "copies")
     small = stored(groups.filter(F.col("kind") == IS_SMALL).select("members").distinct(), "small")
     crowded = named(groups.filter(F.col("kind") == IS_CROWDED).select("sig", F.element_at("members", 2).alias("m")), "m", copies).select("sig", F.col("name").alias("doc")).distinct()
     crowded = stored(crowded, "crowded")
-    leads = crowded.groupBy("sig").agg(F.min("doc").alias("a"))
-    star = small.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, CROWD)).alias("b")).unionByName(crowded.join(leads, "sig").select("a", F.col("doc").alias("b")))
+    # who has room for all its crowded signatures finds every partner by the others
+    room = meta.groupBy(F.col("doc").alias("id")).agg(F.min("room").alias("room"))
+    many = crowded.groupBy(F.col("doc").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    many = stored(many.join(room, "id").filter("n > room").select("id"), "many")
+    crowded = stored(among(crowded, "doc", many), "crowded")
+    leads = stored(crowded.groupBy("sig").agg(F.min("doc").alias("a")), "leads")
+    star = small.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, CROWD)).alias("b")).unionByName(crowded.join(beside(leads, F.col("sig"), F.col("a")), "sig").select("a", F.col("doc").alias("b")))
     first = stored(renamed(star, copies), "pairs")
-    ids = named(small.select(F.explode("members").alias("doc")), "doc", copies).select(F.col("name").alias("id")).unionByName(crowded.select(F.col("doc").alias("id"))).distinct()
-    texts = stored(among(rows, "i", stored(ids, "ids")).select(F.col("i").alias("id"), "x"), "texts")
+    no_room = meta.filter("room < 0").select(F.col("doc").alias("id"))
+    ids = named(small.select(F.explode("members").alias("doc")), "doc", copies).select(F.col("name").alias("id")).unionByName(crowded.select(F.col("doc").alias("id"))).unionByName(no_room).distinct()
+    ids = stored(ids, "ids")
+    # rows that share a doc_id are one node with several texts, so a document's figures are its texts' own
+    keyed = among(meta, "doc", ids).select(F.col("doc").alias("id"), "key", "n", "sketch", "room").distinct()
+    texts = among(rows, "i", ids).select(F.col("i").alias("id"), "x").withColumn("key", text_key(F.col("x")))
+    texts = stored(texts.join(keyed, ["id", "key"]).select("id", "x", "n", "sketch", "room").distinct(), "texts")
     links = verified(first, texts)
-    names = merged_names(names, copies.select(F.col("name").alias("a"), F.col("id").alias("b")).unionByName(links))
+    names = merged_names(rows.sparkSession.createDataFrame([], "id long, name long"), copies.select(F.col("name").alias("a"), F.col("id").alias("b")).unionByName(links))
 
-    # what isn't connected yet: small groups by all pairs; crowded ones by another document, and by the few outside
+    # what isn't connected yet: small groups by all pairs, crowded ones by a second document
     every = F.flatten(F.transform("members", lambda x: F.transform(F.filter("members", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     rest = apart(renamed(small.filter(F.size("members") > 2).select(F.explode(every).alias("p")).select("p.*"), copies), names)
-    split, others = several(crowded, names)
+    split = several(crowded, names)
     lead = split.groupBy("sig").agg(F.min_by("doc", F.xxhash64("doc", "sig")).alias("a"))
     rest = rest.unionByName(apart(split.join(lead, "sig").select("a", F.col("doc").alias("b")), names))
-    strays = split.join(others.filter(few_apart()), "sig")
-    out = strays.filter("name != main").select("sig", F.col("doc").alias("a"))
-    rest = rest.unionByName(apart(strays.select("sig", F.col("doc").alias("b")).join(out, "sig").select("a", "b"), names))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    names = merged_names(names, verified(stored(rest, "pairs"), texts))
-
-    # crowded groups that were skipped count against their documents' room
-    split, others = several(crowded, names)
-    skipped = split.join(others.filter(~few_apart()).select("sig"), "sig", "left_semi").groupBy(F.col("doc").alias("id")).agg(F.count(F.lit(1)).alias("skipped"))
-    room = meta.join(copies, meta["doc"] == copies["id"], "left_anti").groupBy(F.col("doc").alias("id")).agg(F.min("room").alias("room"))
-    short = room.join(skipped, "id", "left").filter(F.col("room") < F.coalesce("skipped", F.lit(0))).select("id")
-    return names, stored(short, "short")
-
-
-def few_apart() -> Column:
-    """Of a crowded group's figures: few enough are outside the main component to be compared with all."""
-    return (F.col("n") - F.col("main_n") <= STRAY) | (F.col("n") <= CROWD)
+    names = merged_names(names, verified(rest, texts))
+
+    # crowded groups that stay in several components are skipped; who has no room for them is compared in blocks
+    split = several(crowded, names)
+    skipped = split.groupBy(F.col("doc").alias("id")).agg(F.count(F.lit(1)).alias("skipped"))
+    room = texts.groupBy("id").agg(F.min("room").alias("room"))
+    short = stored(room.join(skipped, "id", "left").filter(F.col("room") < F.coalesce("skipped", F.lit(0))), "short")
+    if short.isEmpty():
+        return names
+    return merged_names(names, compared_in_blocks(short, split, names, texts))
+
+
+def text_key(text: Column) -> Column:
+    """The key that shard() gives to a text: exact copies have the same words."""
+
+    @F.pandas_udf(T.BinaryType())
+    def keys(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hashlib.sha256(b" ".join(words_of(t.encode() if t else None))).digest()[:16])
+
+    return keys(text)
+
+
+def compared_in_blocks(short: DataFrame, split: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between documents of short (id, room) that have a skipped signature in common, or had no room from the start.
+
+    Clusters are cut into blocks of about BLOCK documents; each block of those outside the main
+    component meets each block of the cluster in one task. A text goes to as many tasks as there are
+    blocks on the other side.
+    """
+    rows = split.join(beside(short, F.col("id").alias("doc")), "doc", "left_semi")
+    leads = rows.groupBy("sig").agg(F.min("doc").alias("a"))
+    clusters = components(stored(rows.join(leads, "sig").select("a", F.col("doc").alias("b")).distinct(), "edges"))
+    # without room from the start: a cluster for all of them, as such documents are a few in a million
+    alone = short.filter("room < 0").select("id", F.lit(-1).cast("long").alias("cluster"), F.lit(True).alias("apart"))
+    members = clusters.select("id", F.col("name").alias("cluster"), F.lit(False).alias("apart")).unionByName(alone)
+    members = stored(named(members, "id", names), "members")
+    parts = members.groupBy("cluster", "apart", "name").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("cluster", "apart").agg(F.max_by("name", F.struct("k", "name")).alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("out")).filter("out > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    rows = members.join(main, ["cluster", "apart"]).join(texts.select("id", "x"), "id")
+    own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    right = rows.select("id", "name", "x", "cluster", "apart", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("l"), own("all").alias("r"))
+    left = rows.filter("name != main").select("id", "name", "x", "cluster", "apart", F.lit(True).alias("left"), own("out").alias("l"), F.explode(F.sequence(F.lit(0), blocks("all") - 1)).alias("r"))
+    return stored(left.unionByName(right).groupBy("cluster", "apart", "l", "r").applyInArrow(block_links, "a long, b long").distinct(), "links")
+
+
+def block_links(table: pa.Table) -> pa.Table:
+    """Links between a block's left and right documents of different names, by counting shared shingles."""
+    ids, names, left = (table.column(c).to_pylist() for c in ("id", "name", "left"))
+    sets = [exact_set(x) for x in text_bytes(table.column("x").combine_chunks())]
+    number: dict[tuple, int] = {}
+    right = [k for k in range(len(ids)) if not left[k]]
+    holders: list[list[int]] = []
+    for place, k in enumerate(right):
+        for s in sets[k]:
+            at = number.setdefault(s, len(holders))
+            if at == len(holders):
+                holders.append([])
+            holders[at].append(place)
+    held = [np.array(h, np.int64) for h in holders]
+    size = np.array([len(sets[k]) for k in right], np.int64)
+    a, b = [], []
+    for k in range(len(ids)):
+        shared = [held[number[s]] for s in sets[k] if s in number] if left[k] else []
+        if shared:
+            both = np.bincount(np.concatenate(shared), minlength=len(right))
+            for place in np.flatnonzero((both > 0) & (both * DEN >= NUM * (len(sets[k]) + size - both))):
+                if names[right[place]] != names[k]:
+                    a.append(min(ids[k], ids[right[place]]))
+                    b.append(max(ids[k], ids[right[place]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def apart(pairs: DataFrame, names: DataFrame) -> DataFrame:
@@ -422,56 +518,17 @@ def apart(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return named(pairs, "b", names).filter("na != name").select("a", "b")
 
 
-def several(crowded: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (sig, doc, name) of crowded groups in several components; and their figures (sig, n, main, main_n)."""
+def several(crowded: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (sig, doc) of crowded groups in several components."""
     rows = named(crowded, "doc", names)
-    parts = rows.groupBy("sig", "name").agg(F.count(F.lit(1)).alias("k"))
-    figures = parts.groupBy("sig").agg(F.sum("k").alias("n"), F.max("k").alias("main_n"), F.max_by("name", F.struct("k", "name")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    figures = stored(figures, "several")
-    return stored(rows.join(figures.select("sig"), "sig", "left_semi"), "several"), figures
-
-
-def prefix_pairs(rows: DataFrame, seed: int) -> DataFrame:
-    """Pairs of a few documents by prefix filtering: linked sets share one of their first shingles in the order of hashes."""
-    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("n", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHashes()
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            sets, starts = shingle_sets([words_of(t) for t in text_bytes(batch.column(1))], seed, memory)
-            token, doc, n = [], [], []
-            for i, a, b in zip(ids, starts[:-1], starts[1:]):
-                k = int(b - a)
-                first = k - (k * NUM + DEN - 1) // DEN + 1 if k else 0
-                token.append(sets[a:a + first].view(np.int64))
-                doc += [i] * first
-                n += [k] * first
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token) if token else [], pa.int64()), pa.array(doc, pa.int64()), pa.array(n, pa.int64())], names=schema.names)
-
-    tokens = stored(rows.mapInArrow(run, schema), "prefixes")
-    other = tokens.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"))
-    pairs = tokens.join(other, "token").filter(F.col("doc") < F.col("b")).filter(F.least("n", "nb") * DEN >= F.greatest("n", "nb") * NUM)
-    return pairs.select(F.col("doc").alias("a"), "b").distinct()
+    split = rows.groupBy("sig").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least != most").select("sig")
+    return stored(crowded.join(beside(stored(split, "split"), F.col("sig")), "sig", "left_semi"), "split")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
-    spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("x"))
-    names = spark.createDataFrame([], "id long, name long")
-    meta, live = None, rows
-    for k, level in enumerate(LEVELS):
-        groups = candidate_groups(live, k + 1, level)
-        if meta is None:
-            meta = groups.filter(F.col("kind") == IS_META).select("doc", "n")
-        names, short = join_level(live, groups, names)
-        if short.isEmpty():
-            break
-        live = among(rows, "i", short)
-    else:
-        live = stored(live, "rest")
-        pairs = apart(prefix_pairs(live, len(LEVELS) + 1), names)
-        names = merged_names(names, verified(stored(pairs, "pairs"), live.select(F.col("i").alias("id"), "x")))
-    out = named(meta, "doc", names)
+    groups = candidate_groups(rows, 1, ROOM)
+    names = join_groups(rows, groups)
+    out = named(groups.filter(F.col("kind") == IS_META).select("doc", "n"), "doc", names)
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))

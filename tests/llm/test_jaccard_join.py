@@ -77,16 +77,27 @@ def test_crowded_families_and_shared_passages(spark):
     check(spark, [(int(i), t, None) for i, t in zip(rng.permutation(5000), texts)])
 
 
-def test_levels_and_prefixes_find_what_is_left(spark, monkeypatch):
-    """With almost no room and tiny crowds most documents go on to the next level and to prefix filtering."""
+def test_blocks_find_what_is_left(spark, monkeypatch):
+    """With almost no room and tiny crowds many documents are compared in blocks."""
     monkeypatch.setattr(jj, "CROWD", 2)
-    monkeypatch.setattr(jj, "STRAY", 0)
-    monkeypatch.setattr(jj, "LEVELS", ((0.0, 0.0), (0.0, 0.0)))
+    monkeypatch.setattr(jj, "ROOM", (0.0, 0.0))
+    monkeypatch.setattr(jj, "BLOCK", 3)
     rng = np.random.default_rng(9)
     rows = [(i, t, None) for i, t in enumerate([*mixture(rng)[::3], *family(rng, 12, 40, 2)])]
     check(spark, rows)
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(10)
+    memory = jj.WordHashes()
+    texts = [t.encode() for t in [*family(rng, 6, 200, 12), *family(rng, 6, 900, 300)]]
+    sets, starts = jj.shingle_sets([jj.words_of(t) for t in texts], 1, memory)
+    bits = jj.sketches(sets, starts)
+    for i in range(len(texts)):
+        for j in range(i):
+            assert int(np.bitwise_count(bits[i] ^ bits[j]).sum()) <= len(jj.exact_set(texts[i]) ^ jj.exact_set(texts[j]))
+
+
 def test_edge_cases(spark):
     rows = [(1, None, None), (2, "", None), (3, " \n\t", None), (4, "One", "x"), (5, "one", None), (6, "one two", None), (None, "one", None), (None, None, None), (7, "é " * 9, None), (8, "É " * 9, None),
             (9, "a b c d e f", None), (9, "g h i j k l m", None), (10, "a b c d e f", None), (11, "g h i j k l m", None), (11, "g h i j k l m", None), (-3, "a\x0bb\x0cc\rd e f", None), (12, "word " * 30_000, None)]
@@ -106,6 +117,6 @@ def test_allocation_leaves_room(size):
     """Without empty segments, segments and double ones exceed what linked sets can differ in."""
     starts = jj.band_starts(size)
     for a, b in zip(starts, starts[1:]):
-        m, g = jj.allocation(a, b, *jj.LEVELS[0])
+        m, g = jj.allocation(a, b, *jj.ROOM)
         assert g <= m and m + g >= jj.most_different((b - 1) + (b - 1) * 100 // 80) + 1
         assert (b - 1) * 100 // 80 < b * 100 // 80 + 1
