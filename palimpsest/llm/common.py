@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,24 +52,43 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def in_tasks(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow(): at a task's end, memory that is free goes back to the system, as Python workers outlive tasks and stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
 def append_columns(docs: DataFrame, text_col: str, fields: list[T.StructField], compute: Callable[[list[bytes | None]], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (default: all) of docs, then `fields` as compute() makes them from a batch of texts.
 
-    An input column with the name of a new one gives way to it.
+    An input column with the name of a new one gives way to it. The text travels once: as the kept
+    column, if it is a kept string.
     """
     small_batches(docs.sparkSession)
     new = [f.name for f in fields]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    inner = "text_in_hand"
-    while inner in kept:
-        inner += "_"
-    source = docs.select(*[docs[c] for c in kept], docs[text_col].cast("string").alias(inner))
+    if text_col in kept and isinstance(docs.schema[text_col].dataType, T.StringType):
+        at, source = kept.index(text_col), docs.select(*[docs[c] for c in kept])
+    else:
+        inner = "text_in_hand"
+        while inner in kept:
+            inner += "_"
+        at, source = len(kept), docs.select(*[docs[c] for c in kept], docs[text_col].cast("string").alias(inner))
     schema = T.StructType([source.schema[c] for c in kept] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = compute(text_bytes(batch.column(len(kept))))
+                made = compute(text_bytes(batch.column(at)))
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + made, names=kept + new)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(in_tasks(run), schema)

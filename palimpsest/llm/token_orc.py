@@ -10,129 +10,289 @@ doc_id are all kept, ordered by text. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from .common import small_batches, text_bytes
+from .common import in_tasks, small_batches
 
 END_ID = 0
-#: Pieces of text whose ids are remembered; twice as many at most.
-MEMORY = 500_000
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("local_start", T.LongType()),
     T.StructField("n_tokens", T.LongType()),
     T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
 ])
+#: Bytes of text that are encoded at once; longer texts are cut at blanks.
+CHUNK_BYTES = 4 << 20
+#: Longer runs of one class of characters go to the library.
+LONGEST_RUN = 256
+NO_RANK = np.int32(2**31 - 1)
+#: Texts whose white space isn't single blanks and line feeds between words, or that may hold special tokens.
+IRREGULAR = r"<\||  |\n\n| \n|\n |\x00|\A[ \n]|[ \n]\z"
+LETTERS, NUMBERS, OTHERS, SPACE, BREAK = 1, 2, 3, 4, 5
 
 
-class OtherSpace(Exception):
-    """A piece holds white space that pieces can't be cut at."""
-
-
-class Pieces(dict):
-    """Ids of pieces as bytes. A piece is a word after a blank, "\\n" and a word, or "\\0" and the text's first word."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.old, self.tails = tokenizer, {}, {}
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as themselves
-        rest = [b for b in range(256) if b not in shown]
-        self.shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
-        self.newline = self.whole("\n")
-
-    def whole(self, text: str) -> bytes:
-        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.made(piece)
-        if len(self) >= MEMORY:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
-
-    def made(self, piece: str) -> bytes:
-        lead = piece[:1]
-        before, blank, body = (self.newline, "", piece[1:]) if lead == "\n" else (b"", "", piece[1:]) if lead == "\0" else (b"", " ", piece)
-        if not body or len(body.split()) != 1 or body[-1].isspace() or body[0].isspace():
-            raise OtherSpace
-        head = body.rstrip(".,;:!?#$%&*")
-        if not head.isalpha():
-            return before + self.whole(blank + body)
-        if len(head) == len(body):
-            # one run of letters, with or without a blank before it: the model needs no pre-tokenizing
-            letters = (blank + head).encode().decode("latin-1").translate(self.shown)
-            return before + array("i", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
-        tail = body[len(head):]
-        if tail not in self.tails:
-            if len(self.tails) >= MEMORY:
-                self.tails.clear()
-            self.tails[tail] = self.whole(tail)
-        return before + self[head if blank else "\0" + head] + self.tails[tail]
+def take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of runs, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class PieceEncoder:
     """Encodes whole texts with a byte-level BPE file of the tokenizers library.
 
-    Byte-level BPE never merges across a blank followed by a letter, so a text whose white space is
-    single blanks and line feeds between words is encoded word by word, and words' ids are
-    remembered. Any other text goes to the library as a whole.
+    Byte-level BPE never merges across a blank followed by a character, so a text whose white space
+    is single blanks and line feeds between words is encoded piece by piece: each distinct piece of a
+    chunk of texts once, all together, in numpy. Any other text goes to the library as a whole, any
+    piece with an apostrophe or a very long run too. Nothing is remembered from chunk to chunk.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
-        self.pieces = Pieces(Tokenizer.from_file(tokenizer_file))
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        if "<|" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or text[0] in " \n" or text[-1] in " \n":
-            return self.pieces.whole(text)
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = "\0" + pieces[0]
-        try:
-            return b"".join(map(self.pieces.__getitem__, pieces))
-        except OtherSpace:
-            return self.pieces.whole(text)
-
-
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def encoder(tokenizer_file: str) -> PieceEncoder:
-    if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = PieceEncoder(tokenizer_file)
-    return _encoders[tokenizer_file]
+        model = json.loads(tokenizer_json)["model"]
+        self.tokenizer, vocabulary = Tokenizer.from_str(tokenizer_json), model["vocab"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as themselves
+        rest = [b for b in range(256) if b not in shown]
+        names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.byte_ids = np.array([vocabulary[names[b]] for b in range(256)], np.int32)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        left, right = (np.array([vocabulary[p[k]] for p in pairs], np.uint64) for k in (0, 1))
+        keys = left << np.uint64(32) | right
+        # open addressing: slots of keys, with the rank and the merged id beside
+        self.bits = max(12, int(len(keys) * 8).bit_length())
+        self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
+        self.ranks, self.merged = np.full(1 << self.bits, NO_RANK, np.int32), np.zeros(1 << self.bits, np.int32)
+        slots, todo, self.probes = self.slot(keys), np.arange(len(keys)), 0
+        made = np.array([vocabulary["".join(p)] for p in pairs], np.int32)
+        while len(todo):
+            at = (slots[todo] + self.probes) & ((1 << self.bits) - 1)
+            free = self.keys[at] == np.iinfo(np.uint64).max
+            _, first = np.unique(at[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.keys[at[won]], self.ranks[at[won]], self.merged[at[won]] = keys[todo[won]], todo[won], made[todo[won]]
+            todo = np.delete(todo, won)
+            self.probes += 1
+        self.kinds = np.zeros(0x110000, np.uint8)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of each pair."""
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        slots = self.slot(keys)
+        found = np.where(self.keys[slots] == keys, slots, -1)
+        for k in range(1, self.probes):
+            open_ = np.flatnonzero(found < 0)
+            at = (slots[open_] + k) & ((1 << self.bits) - 1)
+            found[open_] = np.where(self.keys[at] == keys[open_], at, -1)
+        return np.where(found < 0, NO_RANK, self.ranks[found]), self.merged[found]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def kinds_of(self, characters: np.ndarray) -> np.ndarray:
+        """How the library's own pre-tokenizer classes each character."""
+        kinds = self.kinds[characters]
+        if not kinds.all():
+            split = lambda s: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(s)) == 1
+            for c in np.unique(characters[kinds == 0]).tolist():
+                self.kinds[c] = next((k for k, x in ((LETTERS, "a"), (NUMBERS, "1"), (OTHERS, "!")) if split(x + chr(c))), SPACE)
+            self.kinds[[10, 0]] = BREAK
+            kinds = self.kinds[characters]
+        return kinds
+
+    def merge(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """BPE of runs of ids that begin at starts: the ids that are left, and how many of each run."""
+        run = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(ids))))
+        live = np.arange(len(starts))  # the runs in hand, by place
+        rank, made = self.ranks_of(ids, np.append(ids[1:], 0))
+        rank[np.append(starts[1:], len(ids)) - 1] = NO_RANK
+        done_run, done_ids = [], []
+        while len(ids):
+            least = np.minimum.reduceat(rank, starts)
+            over = least == NO_RANK
+            if np.count_nonzero(over) * 4 >= len(over):  # runs that are done leave
+                length = np.diff(np.append(starts, len(ids)))
+                out = np.repeat(over, length)
+                done_run.append(np.repeat(live[over], length[over]))
+                done_ids.append(ids[out])
+                keep = ~out
+                ids, rank, made, least, live, length = ids[keep], rank[keep], made[keep], least[~over], live[~over], length[~over]
+                if not len(ids):
+                    break
+                starts = np.cumsum(length) - length
+                run = np.repeat(np.arange(len(starts), dtype=np.int32), length)
+            hit = (rank == least[run]) & (rank != NO_RANK)
+            beside = hit[1:] & hit[:-1]
+            if beside.any():  # one symbol several times: every second pair, from the left
+                first = hit & ~np.append(False, beside)
+                at = np.arange(len(hit))
+                hit &= (at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0
+            at = np.flatnonzero(hit)
+            ids[at], rank[at + 1] = made[at], NO_RANK
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            starts = starts - np.searchsorted(at, starts)
+            place = at - np.arange(len(at))
+            run, ids, rank, made = run[keep], ids[keep], rank[keep], made[keep]
+            # pairs that have changed: of the merged symbol, and of the one before it
+            changed = np.zeros(len(ids), bool)
+            changed[place] = changed[np.maximum(place - 1, 0)] = True
+            rank[changed] = NO_RANK
+            changed[:-1] &= run[1:] == run[:-1]
+            changed[-1] = False
+            changed = np.flatnonzero(changed)
+            rank[changed], made[changed] = self.ranks_of(ids[changed], ids[changed + 1])
+        if not done_run:
+            return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
+        run, ids = np.concatenate(done_run), np.concatenate(done_ids)
+        order = np.argsort(run, kind="stable")
+        return ids[order], run[order]
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces one after another, each piece's number of ids, and which pieces hold other white space.
+
+        A piece is "\\0" and a text's first word, a word that follows a blank, or "\\n" and a word; an
+        empty one has no ids.
+        """
+        n = len(pieces)
+        _, offsets, data = pieces.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[pieces.offset:pieces.offset + n + 1].astype(np.int64)
+        raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data and data.size else np.zeros(0, np.uint8)
+        at, length = offsets[:-1] - offsets[0], np.diff(offsets)
+        lead = np.where(length > 0, raw[np.minimum(at, len(raw) - 1)] if len(raw) else 0, 0)
+        blank = ((length > 0) & (lead != 0) & (lead != 10)).astype(np.int64)
+        # a blank before each word that follows one
+        size = length + blank
+        begin = np.cumsum(size) - size
+        text = np.full(int(size.sum()), 32, np.uint8)
+        text[take(begin + blank, length)] = raw
+        # classes of characters for each of their bytes; the blank goes with what follows
+        wide = (text & 0xC0) != 0x80
+        kind = self.kinds_of(np.frombuffer(text.tobytes().decode().encode("utf-32-le"), np.uint32))
+        kind = kind[np.cumsum(wide) - 1] if len(text) else kind
+        where = begin[blank > 0]
+        kind[where] = kind[where + 1]
+        owner = np.repeat(np.arange(n), size)
+        new = np.append(True, (kind[1:] != kind[:-1]) | (owner[1:] != owner[:-1])) if len(text) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        odd = np.bincount(owner, (text == 39), n) > 0
+        odd[owner[starts[np.diff(np.append(starts, len(text))) > LONGEST_RUN]]] = True
+        other_space = np.bincount(owner, kind == SPACE, n) > 0
+        skip = (odd | other_space)[owner] | (text == 0)
+        ids, run = self.merge(self.byte_ids[text[~skip]], np.flatnonzero(new[~skip])) if not skip.all() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        run_owner = owner[~skip][new[~skip]]
+        count = np.bincount(run_owner[run], minlength=n).astype(np.int64) if len(run) else np.zeros(n, np.int64)
+        few = np.flatnonzero(odd & ~other_space)
+        if len(few):
+            own = [self.whole(text[begin[k]:begin[k] + size[k]].tobytes().decode().replace("\0", "")) for k in few]
+            more = count.copy()
+            more[few] = list(map(len, own))
+            out = np.empty(int(more.sum()), np.int32)
+            mine = np.repeat(np.isin(np.arange(n), few), more)
+            out[mine], out[~mine] = np.concatenate(own), ids
+            ids, count = out, more
+        return ids, count, other_space
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and each text's number of ids; null counts as empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        size, parts, counts = pc.binary_length(texts).to_numpy(zero_copy_only=False), [], []
+        a, n = 0, len(texts)
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(np.cumsum(size[a:]), CHUNK_BYTES, "right")) + a)
+            ids, count = self.chunk(texts.slice(a, b - a))
+            parts.append(ids)
+            counts.append(count)
+            a = b
+        return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    def chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        irregular = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False).copy()
+        if len(texts) == 1 and len(texts[0].as_buffer()) > 2 * CHUNK_BYTES and not irregular[0]:
+            made = self.in_parts(texts[0].as_py())
+            if made is not None:
+                return made, np.array([len(made)])
+            irregular[0] = True
+        pieces, owner = self.split(texts, irregular)
+        coded = pieces.dictionary_encode()
+        ids, count, other_space = self.pieces(coded.dictionary)
+        index = coded.indices.to_numpy()
+        if other_space.any():  # those texts go to the library
+            irregular[owner[other_space[index]]] = True
+            keep = ~irregular[owner]
+            index, owner = index[keep], owner[keep]
+        each = count[index]
+        ids = ids[take((np.cumsum(count) - count)[index], each)]
+        total = np.bincount(owner, each, len(texts)).astype(np.int64)
+        if not irregular.any():
+            return ids, total
+        own = [self.whole(texts[int(k)].as_py()) for k in np.flatnonzero(irregular)]
+        total[irregular] = list(map(len, own))
+        out, mine = np.empty(int(total.sum()), np.int32), np.repeat(irregular, total)
+        out[mine], out[~mine] = np.concatenate(own), ids
+        return out, total
+
+    def split(self, texts: pa.Array, irregular: np.ndarray, first: str = "\0") -> tuple[pa.Array, np.ndarray]:
+        """Pieces and their texts' numbers; irregular texts have an empty piece."""
+        plain = pc.if_else(pa.array(irregular), "", texts)
+        plain = pc.replace_substring(plain, "\n", " \n").cast(pa.string())
+        lists = pc.split_pattern(pc.binary_join_element_wise(first, plain, ""), " ")
+        return lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+
+    def in_parts(self, text: str) -> np.ndarray | None:
+        """Ids of a long regular text, cut before blanks; None if there is other white space or no place to cut."""
+        out, a, step = [], 0, CHUNK_BYTES // 4
+        while a < len(text):
+            b = text.rfind(" ", a + 1, a + step) if a + step < len(text) else len(text)
+            if b < 0:
+                return None
+            pieces, _ = self.split(pa.array([text[a:b]], pa.large_string()), np.zeros(1, bool), "" if a else "\0")
+            coded = pieces.dictionary_encode()
+            ids, count, other_space = self.pieces(coded.dictionary)
+            if other_space.any():
+                return None
+            index = coded.indices.to_numpy()
+            out.append(ids[take((np.cumsum(count) - count)[index], count[index])])
+            a = b
+        return np.concatenate(out)
+
+
+@lru_cache(maxsize=1)
+def encoder(tokenizer_json: str) -> PieceEncoder:
+    return PieceEncoder(tokenizer_json)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, end_id: int = END_ID) -> None:
     """Writes doc_id, local_start (ids before it in its file), n_tokens and ids, files and rows in ascending doc_id order."""
     small_batches(docs.sparkSession)
+    with open(tokenizer_file, encoding="utf-8") as f:  # the driver's file; executors get its contents
+        model = docs.sparkSession.sparkContext.broadcast(f.read())
     ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], "<i4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, before = encoder(tokenizer_file), 0
+        enc, before = encoder(model.value), 0
         for batch in batches:
-            made = [(enc.encode(b.decode("utf-8", "replace")) if b else b"") + end for b in text_bytes(batch.column(1))]
-            n = np.fromiter((len(m) // 4 for m in made), np.int64, len(made))
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(made), "<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before + offsets[:-1]), pa.array(n), ids], names=SCHEMA.names)
-            before += int(offsets[-1])
-
-    (ordered.mapInArrow(encode, SCHEMA).write.option("orc.stripe.size", str(stripe_bytes)).option("orc.create.index", "true")
+            ids, count = enc.encode(batch.column(1))
+            ends = np.cumsum(count + 1)
+            out, own = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.int32), np.ones(len(ids) + len(count), bool)
+            own[ends - 1] = False
+            out[own] = ids
+            starts = np.concatenate([[0], ends])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before + starts[:-1]), pa.array(count + 1), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(out))], names=SCHEMA.names)
+            before += int(starts[-1])
+
+    (ordered.mapInArrow(in_tasks(encode), SCHEMA).write.option("orc.stripe.size", str(stripe_bytes)).option("orc.create.index", "true")
      .option("orc.row.index.stride", "1000").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("compression", "lz4").orc(path))
 
@@ -161,5 +321,5 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     # one row for each file: a running sum in one task stays small
     totals = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     bases = totals.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    digests = table.select("part", "doc_id", "local_start", "ids").mapInArrow(digest, schema)
+    digests = table.select("part", "doc_id", "local_start", "ids").mapInArrow(in_tasks(digest), schema)
     return digests.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
