@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -52,6 +53,42 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+class LongTable:
+    """Distinct keys (int64, not negative) to their places, by open addressing; looks up arrays of keys."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(10, int(4 * len(keys)).bit_length())
+        self.keys, self.places = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        at, todo = self.slots(keys), np.arange(len(keys), dtype=np.int32)
+        while len(todo):
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.places[at[free]] = todo[free]  # of several for one slot the last stays
+            won = free[self.places[at[free]] == todo[free]]
+            self.keys[at[won]] = keys[todo[won]]
+            at, todo = np.delete(at, won), np.delete(todo, won)
+            at = at + 1 & (1 << self.bits) - 1
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for others."""
+        at = self.slots(keys)
+        held = self.keys[at]
+        same = held == keys
+        found = np.where(same, self.places[at], np.int32(-1))
+        open_ = np.flatnonzero(~same & (held >= 0))
+        at = at[open_]
+        while len(open_):
+            at = at + 1 & (1 << self.bits) - 1
+            held = self.keys[at]
+            same = held == keys[open_]
+            found[open_[same]] = self.places[at[same]]
+            more = ~same & (held >= 0)
+            open_, at = open_[more], at[more]
+        return found
+
+
 def in_tasks(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run for mapInArrow(): at a task's end, memory that is free goes back to the system, as Python workers outlive tasks and stages."""
 

@@ -5,10 +5,14 @@ longest phrases that the automaton knows; the number of phrases, over what the l
 needs for as many letters, is its normalised count, and the language with the smallest wins.
 
 Whole texts are parsed. A text is laid out in lanes of LANE symbols that numpy steps through
-together, so a phrase ends at a lane's end too; that is the same for all languages.
+together, so a phrase ends at a lane's end too; that is the same for all languages. Every letter that
+was learnt is a symbol of its own; transitions are kept in one table of those that exist, whose size
+follows the learnt letters and not the alphabets.
 
-Learning takes a bounded sample: at most SAMPLE_DOCUMENTS documents of a language, of LONGEST characters at most, of which
-LEARN_LETTERS symbols make the automaton and the others the language's own rate.
+Learning takes a bounded sample: SAMPLE_DOCUMENTS documents of each language, or SAMPLE_ALL over the
+number of languages if that is less (2 at least), of LONGEST characters at most; of their symbols
+LEARN_LETTERS, or LEARN_ALL over the number of languages, make the automaton, and the others the
+language's own rate. Every language is learnt, whatever their number.
 
 Texts without a letter, null and empty ones are `und` with score 0. With nothing to learn from, all
 are. Ties go to the first label by code point. Repeated rows are judged alike; empty tables give none.
@@ -20,12 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .common import append_columns
+from .common import LongTable, append_columns, stored
 
-SAMPLE_DOCUMENTS, SAMPLE_CHARS, LONGEST, LEARN_LETTERS, MOST_LANGUAGES, MOST_LETTERS = 48, 8000, 40_000, 12_000, 256, 120
+#: Bounds of the learning sample: documents of a language and of all, characters (fewer are preferred), symbols of a language and of all.
+SAMPLE_DOCUMENTS, SAMPLE_ALL, SAMPLE_CHARS, LONGEST, LEARN_LETTERS, LEARN_ALL = 48, 12_000, 8000, 40_000, 12_000, 1_200_000
 LANE = 512
+#: Languages that are stepped through together.
+ABREAST = 16
+#: Bits of a symbol in a transition's key.
+SYMBOL_BITS = 21
 UNKNOWN = "und"
 BLANK, OTHER, FIRST = 0, 1, 2
 #: A text of so many letters that needs more than so many times its language's own phrases is in none of the languages.
@@ -62,25 +71,12 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return go
 
 
-def parse_table(go: list[dict[int, int]], width: int) -> np.ndarray:
-    """For each state and symbol: the next state twice, plus 1 if a phrase begins; the last symbol is padding."""
-    start = np.array([2 * go[0].get(c, 0) + 1 for c in range(width)])
-    table = np.tile(start, (len(go), 1))
-    for s, edges in enumerate(go):
-        for c, to in edges.items():
-            table[s, c] = 2 * to
-    # at the start any phrase begins
-    table[0] = start
-    table[:, width - 1] = 2 * np.arange(len(go))
-    return table.astype(np.int32)
-
-
 @dataclass
 class LanguageModel:
     languages: list[str]
     classes: np.ndarray
-    width: int
-    table: np.ndarray
+    transitions: LongTable
+    to: np.ndarray
     starts: np.ndarray
     rates: np.ndarray
 
@@ -89,26 +85,46 @@ class LanguageModel:
         c = self.classes[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
         return c[(c != BLANK) | np.concatenate([[False], c[:-1] != BLANK])] if len(c) else c
 
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The state after each symbol, -1 if there is none."""
+        found = self.transitions.find(states << SYMBOL_BITS | symbols)
+        return np.where(found < 0, -1, self.to[found])
+
+    def own_phrases(self, language: int, texts: list[np.ndarray]) -> int:
+        """How many phrases texts need by one language."""
+        alone = LanguageModel([self.languages[language]], self.classes, self.transitions, self.to, self.starts[language:language + 1], self.rates)
+        return int(alone.phrases(texts).sum())
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """How many phrases each text (rows) needs by each language (columns)."""
-        lanes = np.array([-(-len(t) // LANE) for t in texts], np.int64)
-        n, found = int(lanes.sum()), np.zeros((len(texts), len(self.languages)), np.int64)
+        size, found = np.fromiter(map(len, texts), np.int64, len(texts)), np.zeros((len(texts), len(self.languages)), np.int64)
+        lanes = -(-size // LANE)
+        n = int(lanes.sum())
         if not n or not self.languages:
             return found
-        flat = np.full(n * LANE, self.width - 1, np.uint8)
-        at = np.concatenate([[0], np.cumsum(lanes)]) * LANE
-        for k, t in enumerate(texts):
-            flat[at[k]:at[k] + len(t)] = t
-        columns = np.ascontiguousarray(flat.reshape(n, LANE).T)
-        start = np.repeat(self.starts.astype(np.int64) * self.width, n).reshape(-1, n)
-        state, count = np.zeros((len(self.languages), n), np.int32), np.zeros((len(self.languages), n), np.int32)
-        for column in columns:
-            step = self.table[start + state * self.width + column]
-            count += step & 1
-            state = step >> 1
+        flat = np.concatenate(texts).astype(np.int64)
         owner = np.repeat(np.arange(len(texts)), lanes)
-        for k in range(len(self.languages)):
-            found[:, k] = np.bincount(owner, count[k], len(texts)).astype(np.int64)
+        place = np.arange(n) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        length = np.minimum(LANE, size[owner] - place * LANE)
+        # longest lanes first: those still open are a prefix
+        order = np.argsort(-length, kind="stable")
+        first, owner, shorter = (np.cumsum(size) - size)[owner[order]] + place[order] * LANE, owner[order], -length[order]
+        for a in range(0, len(self.languages), ABREAST):
+            start = self.starts[a:a + ABREAST]
+            k = len(start)
+            state, count = np.repeat(start[:, None], n, 1), np.zeros((k, n), np.int32)
+            for t in range(-int(shorter[0])):
+                live = int(np.searchsorted(shorter, -t))
+                now, symbol, begin = state[:, :live].ravel(), np.tile(flat[first[:live] + t], k), np.repeat(start, live)
+                then = self.step(now, symbol)
+                fresh = then < 0
+                again = np.flatnonzero(fresh & (now != begin))
+                then[again] = self.step(begin[again], symbol[again])
+                # at the start any phrase begins; a symbol that the language hasn't is a phrase
+                count[:, :live] += (fresh | (now == begin)).reshape(k, live)
+                state[:, :live] = np.where(then < 0, begin, then).reshape(k, live)
+            for j in range(k):
+                found[:, a + j] = np.bincount(owner, count[j], len(texts)).astype(np.int64)
         return found
 
 
@@ -117,32 +133,27 @@ def learn_languages(rows: list[tuple[str, str]]) -> LanguageModel:
     by: dict[str, list[str]] = {}
     for language, text in sorted(set(rows)):
         by.setdefault(language, []).append(text.lower())
-    by = {k: by[k] for k in sorted(by)[:MOST_LANGUAGES]}
-    counts: dict[str, int] = {}
-    for texts in by.values():
-        for t in texts:
-            for c in t:
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-    letters = sorted(counts, key=lambda c: (-counts[c], c))[:MOST_LETTERS]
-    classes = np.where(LETTER, OTHER, BLANK).astype(np.uint8)
-    for k, c in enumerate(letters):
-        classes[ord(c)] = FIRST + k
-    width = FIRST + len(letters) + 1
-    model, tables, lent = LanguageModel([], classes, width, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)), [], {}
+    letters = sorted({c for texts in by.values() for t in texts for c in set(t) if c.isalpha()})
+    classes = np.where(LETTER, OTHER, BLANK).astype(np.int32)
+    classes[[ord(c) for c in letters]] = np.arange(FIRST, FIRST + len(letters))
+    model = LanguageModel([], classes, LongTable(np.zeros(0, np.int64)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    most, states, keys, to, starts, lent = min(LEARN_LETTERS, max(64, LEARN_ALL // max(1, len(by)))), 0, [], [], [], {}
     for language, texts in by.items():
         # pieces of many documents; every fourth text is kept for the language's own rate
         own = [model.symbols(t) for t in texts]
         learn = [s for k, s in enumerate(own) if k % 4 or len(own) < 2]
-        each = max(64, LEARN_LETTERS // max(1, len(learn)))
-        sample = np.concatenate([np.append(s[:each], BLANK) for s in learn])[:LEARN_LETTERS]
+        each = max(64, most // max(1, len(learn)))
+        sample = np.concatenate([np.append(s[:each], BLANK) for s in learn])[:most]
         if (sample >= OTHER).any():
-            tables.append(parse_table(suffix_automaton(sample.tolist()), width))
+            go = suffix_automaton(sample.tolist())
+            keys += [states + s << SYMBOL_BITS | c for s, edges in enumerate(go) for c in edges]
+            to += [states + x for edges in go for x in edges.values()]
+            starts.append(states)
+            states += len(go)
             model.languages.append(language)
             lent[language] = [s for k, s in enumerate(own) if not k % 4 or len(own) < 2]
-    model.starts = np.cumsum([0, *[len(t) for t in tables[:-1]]]) if tables else np.zeros(0, np.int64)
-    model.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-    model.rates = np.array([max(1e-3, model.phrases(lent[x])[:, k].sum() / max(1, sum(map(len, lent[x])))) for k, x in enumerate(model.languages)])
+    model.transitions, model.to, model.starts = LongTable(np.array(keys, np.int64)), np.array(to, np.int64), np.array(starts, np.int64)
+    model.rates = np.array([max(1e-3, model.own_phrases(k, lent[x]) / max(1, sum(map(len, lent[x])))) for k, x in enumerate(model.languages)])
     return model
 
 
@@ -152,17 +163,21 @@ def remainder(doc_id: Column, of: int) -> Column:
 
 
 def learning_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most SAMPLE_DOCUMENTS texts for a language, of documents that may be learnt from: by hash, those of up to SAMPLE_CHARS first."""
+    """SAMPLE_DOCUMENTS texts of each language at most, of documents that may be learnt from: by hash, those of up to SAMPLE_CHARS first."""
     rows = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("x"), docs[lang_col].cast("string").alias("l"))
     rows = rows.filter((remainder(F.col("i"), 5) != 0) & F.col("l").isNotNull() & (F.length("x") <= LONGEST) & F.col("x").rlike(r"\p{L}"))
     hashed = F.xxhash64(F.lit(5), "i")
     order = F.struct(F.length("x").between(200, SAMPLE_CHARS).cast("int") * -1, hashed.alias("h"), F.col("i").alias("i"))
-    picked = rows.groupBy("l", F.pmod(hashed, F.lit(SAMPLE_DOCUMENTS)).alias("b")).agg(F.min(order).alias("o"))
-    ids = [(r.l, r.i) for r in picked.select("l", "o.i").limit(SAMPLE_DOCUMENTS * MOST_LANGUAGES).collect()]
+    picked = stored(rows.groupBy("l", F.pmod(hashed, F.lit(SAMPLE_DOCUMENTS)).alias("b")).agg(F.min(order).alias("o")), "picked")
+    # with many languages, fewer documents of each
+    most = max(2, SAMPLE_ALL // max(1, picked.select("l").distinct().count()))
+    if most < SAMPLE_DOCUMENTS:
+        picked = picked.withColumn("k", F.row_number().over(W.partitionBy("l").orderBy("o"))).filter(F.col("k") <= most)
+    ids = [(r.l, r.i) for r in picked.select("l", "o.i").collect()]
     if not ids:
         return []
     wanted = docs.sparkSession.createDataFrame(ids, "wl string, wi " + rows.schema["i"].dataType.simpleString())
-    # at most SAMPLE_DOCUMENTS x MOST_LANGUAGES rows
+    # at most SAMPLE_ALL rows, or two for each language
     found = rows.join(F.broadcast(wanted), (F.col("i") == F.col("wi")) & (F.col("l") == F.col("wl"))).groupBy("l", "i").agg(F.min("x").alias("x"))
     return [(r.l, r.x) for r in found.collect()]
 

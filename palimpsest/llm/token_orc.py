@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from .common import in_tasks, small_batches
+from .common import LongTable, in_tasks, small_batches
 
 END_ID = 0
 SCHEMA = T.StructType([
@@ -64,37 +64,14 @@ class PieceEncoder:
         names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.byte_ids = np.array([vocabulary[names[b]] for b in range(256)], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        left, right = (np.array([vocabulary[p[k]] for p in pairs], np.uint64) for k in (0, 1))
-        keys = left << np.uint64(32) | right
-        # open addressing: slots of keys, with the rank and the merged id beside
-        self.bits = max(12, int(len(keys) * 8).bit_length())
-        self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
-        self.ranks, self.merged = np.full(1 << self.bits, NO_RANK, np.int32), np.zeros(1 << self.bits, np.int32)
-        slots, todo, self.probes = self.slot(keys), np.arange(len(keys)), 0
-        made = np.array([vocabulary["".join(p)] for p in pairs], np.int32)
-        while len(todo):
-            at = (slots[todo] + self.probes) & ((1 << self.bits) - 1)
-            free = self.keys[at] == np.iinfo(np.uint64).max
-            _, first = np.unique(at[free], return_index=True)
-            won = np.flatnonzero(free)[first]
-            self.keys[at[won]], self.ranks[at[won]], self.merged[at[won]] = keys[todo[won]], todo[won], made[todo[won]]
-            todo = np.delete(todo, won)
-            self.probes += 1
+        left, right = (np.array([vocabulary[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        self.pairs, self.made = LongTable(left << 32 | right), np.array([vocabulary["".join(p)] for p in pairs], np.int32)
         self.kinds = np.zeros(0x110000, np.uint8)
 
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged id of each pair."""
-        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-        slots = self.slot(keys)
-        found = np.where(self.keys[slots] == keys, slots, -1)
-        for k in range(1, self.probes):
-            open_ = np.flatnonzero(found < 0)
-            at = (slots[open_] + k) & ((1 << self.bits) - 1)
-            found[open_] = np.where(self.keys[at] == keys[open_], at, -1)
-        return np.where(found < 0, NO_RANK, self.ranks[found]), self.merged[found]
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        rank = self.pairs.find(left.astype(np.int64) << 32 | right)
+        rank[rank < 0] = NO_RANK
+        return rank
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
@@ -114,7 +91,7 @@ class PieceEncoder:
         """BPE of runs of ids that begin at starts: the ids that are left, and how many of each run."""
         run = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(ids))))
         live = np.arange(len(starts))  # the runs in hand, by place
-        rank, made = self.ranks_of(ids, np.append(ids[1:], 0))
+        rank = self.ranks_of(ids, np.append(ids[1:], 0))
         rank[np.append(starts[1:], len(ids)) - 1] = NO_RANK
         done_run, done_ids = [], []
         while len(ids):
@@ -126,7 +103,7 @@ class PieceEncoder:
                 done_run.append(np.repeat(live[over], length[over]))
                 done_ids.append(ids[out])
                 keep = ~out
-                ids, rank, made, least, live, length = ids[keep], rank[keep], made[keep], least[~over], live[~over], length[~over]
+                ids, rank, least, live, length = ids[keep], rank[keep], least[~over], live[~over], length[~over]
                 if not len(ids):
                     break
                 starts = np.cumsum(length) - length
@@ -138,12 +115,12 @@ class PieceEncoder:
                 at = np.arange(len(hit))
                 hit &= (at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0
             at = np.flatnonzero(hit)
-            ids[at], rank[at + 1] = made[at], NO_RANK
+            ids[at], rank[at + 1] = self.made[rank[at]], NO_RANK
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
             starts = starts - np.searchsorted(at, starts)
             place = at - np.arange(len(at))
-            run, ids, rank, made = run[keep], ids[keep], rank[keep], made[keep]
+            run, ids, rank = run[keep], ids[keep], rank[keep]
             # pairs that have changed: of the merged symbol, and of the one before it
             changed = np.zeros(len(ids), bool)
             changed[place] = changed[np.maximum(place - 1, 0)] = True
@@ -151,7 +128,7 @@ class PieceEncoder:
             changed[:-1] &= run[1:] == run[:-1]
             changed[-1] = False
             changed = np.flatnonzero(changed)
-            rank[changed], made[changed] = self.ranks_of(ids[changed], ids[changed + 1])
+            rank[changed] = self.ranks_of(ids[changed], ids[changed + 1])
         if not done_run:
             return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
         run, ids = np.concatenate(done_run), np.concatenate(done_ids)

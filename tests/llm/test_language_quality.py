@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from palimpsest.llm import language_id, quality_crf, queries
+from palimpsest.llm.common import LongTable
 
 
 def longest_match_phrases(text, sample):
@@ -17,15 +18,72 @@ def longest_match_phrases(text, sample):
     return n
 
 
+def lane_phrases(symbols, sample):
+    """Phrases of all lanes of a text, by brute force."""
+    text = "".join(map(chr, symbols))
+    return sum(longest_match_phrases(text[k:k + language_id.LANE], sample) for k in range(0, len(text), language_id.LANE))
+
+
 def test_automaton_finds_longest_matches():
     rng = np.random.default_rng(2)
     for _ in range(30):
-        sample = rng.integers(1, 4, 60).tolist()
-        table = language_id.parse_table(language_id.suffix_automaton(sample), 6)
-        text = rng.integers(1, 5, int(rng.integers(1, 80))).tolist()
-        model = language_id.LanguageModel(["x"], np.zeros(1, np.uint8), 6, table.ravel(), np.array([0]), np.ones(1))
-        want = longest_match_phrases("".join(map(str, text)), "".join(map(str, sample)))
-        assert model.phrases([np.array(text, np.uint8)]) == [[want]]
+        samples = [rng.integers(1, 4, 60).tolist() for _ in range(3)]
+        keys, to, starts, states = [], [], [], 0
+        for sample in samples:
+            go = language_id.suffix_automaton(sample)
+            keys += [states + s << language_id.SYMBOL_BITS | c for s, edges in enumerate(go) for c in edges]
+            to += [states + x for edges in go for x in edges.values()]
+            starts.append(states)
+            states += len(go)
+        texts = [rng.integers(1, 5, n).astype(np.int32) for n in (0, 1, int(rng.integers(1, 80)), 512, 513, 2000)]
+        model = language_id.LanguageModel(["x", "y", "z"], np.zeros(1, np.int32), LongTable(np.array(keys, np.int64)), np.array(to), np.array(starts), np.ones(3))
+        assert model.phrases(texts).tolist() == [[lane_phrases(t.tolist(), "".join(map(chr, s))) for s in samples] for t in texts]
+
+
+def test_long_table():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(rng.integers(0, 1 << 62, n))
+        table = LongTable(keys)
+        known = {k: i for i, k in enumerate(keys.tolist())}
+        asked = np.concatenate([keys, keys + 1])
+        assert table.find(asked).tolist() == [known.get(k, -1) for k in asked.tolist()]
+
+
+def test_op5_equals_brute_force(spark, sf_dir, monkeypatch):
+    """Every prediction of the query from phrases counted by substring search."""
+    docs = queries.table(spark, sf_dir, "documents")
+    samples, build = [], language_id.suffix_automaton
+    monkeypatch.setattr(language_id, "suffix_automaton", lambda s: samples.append("".join(map(chr, s))) or build(s))
+    model = language_id.learn_languages(language_id.learning_rows(docs, "doc_id", "text", "lang"))
+    assert len(samples) == len(model.languages)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = {r.doc_id: r for r in queries.op5_language(spark, sf_dir).collect()}
+    assert set(rows) == set(texts)
+    for i in sorted(texts)[:40]:
+        symbols = model.symbols(texts[i]).tolist()
+        rate = [lane_phrases(symbols, s) / len(symbols) / r for s, r in zip(samples, model.rates)]
+        assert rows[i].lang_pred == model.languages[int(np.argmin(rate))]
+        assert np.isclose(rows[i].score, 1 / sum(np.exp(-(x - min(rate)) * len(symbols) ** 0.5) for x in rate))
+
+
+def test_many_scripts_and_languages():
+    """Two languages of a thousand ideographs beside one of many letters; and 300 languages."""
+    rng = np.random.default_rng(11)
+    alphabets = {"a": [chr(0x3400 + k) for k in range(154)], "b": [chr(0x4E00 + k) for k in range(1000)], "c": [chr(0x6000 + k) for k in range(1000)]}
+    words = {k: ["".join(rng.choice(v, 3)) for _ in range(400)] for k, v in alphabets.items()}
+    text = lambda k: " ".join(rng.choice(words[k], 60))
+    model = language_id.learn_languages([(k, text(k)) for k in words for _ in range(48)])
+    for k in words:
+        asked = [model.symbols(text(k)) for _ in range(50)]
+        rate = model.phrases(asked) / np.array([[len(x)] for x in asked]) / model.rates
+        assert [model.languages[j] for j in rate.argmin(1)] == [k] * 50
+    words = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(30)] for k in range(300)}
+    model = language_id.learn_languages([(k, text(k)) for k in words for _ in range(8)])
+    assert len(model.languages) == 300
+    asked = [model.symbols(text(k)) for k in words]
+    rate = model.phrases(asked) / np.array([[len(x)] for x in asked]) / model.rates
+    assert [model.languages[j] for j in rate.argmin(1)] == list(words)
 
 
 def test_op5_held_out_accuracy(spark, sf_dir):
