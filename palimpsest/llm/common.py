@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,30 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     """df written once to the shared folder and read from there: what follows survives lost executors and isn't computed twice."""
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def deleted(spark: SparkSession, *paths: str) -> None:
+    """Removes folders of the shared folder that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., DataFrame]]:
+    """stored() for tables that go when the block ends; what leaves the block must be stored by itself."""
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        made.append(stored(df, name, partition_by))
+        return made[-1]
+
+    yield keep
+    for df in made:
+        deleted(df.sparkSession, df.stored_at)
 
 
 def small_batches(spark: SparkSession, rows: int = 4000, size: int = BATCH_BYTES) -> None:

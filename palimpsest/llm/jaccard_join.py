@@ -15,8 +15,9 @@ that leaves it in several components, it is skipped, and counts against the room
 documents. A document without room left for what was skipped may have missed a partner that has none
 either, and both have a skipped signature in common (or had no room from the start). Such documents,
 clustered by skipped signatures, are compared in blocks: those outside a cluster's main component
-with all of the cluster. So no link is lost, and near copies that are connected already are never
-compared pair by pair.
+with all of the cluster. Blocks hold sizes and sketches, and only pairs that these don't rule out are
+verified; blocks of documents too long for a sketch to tell hold texts. So no link is lost, and near
+copies that are connected already are never compared pair by pair.
 
 Before two documents are compared, sizes and parity sketches rule most others out: each shingle flips
 one of SKETCH bits, so bits that differ are no more than shingles that differ.
@@ -32,25 +33,28 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import small_batches, stored, text_bytes
+from .common import in_tasks, scratch, small_batches, stored, text_bytes
 
 NGRAM = 5
 #: Links: DEN x intersection >= NUM x union. Linked sets differ in (DEN - NUM) / (DEN + NUM) of both sizes' sum at most.
 NUM, DEN = 80, 100
 #: Groups of more documents are crowded.
 CROWD = 16
-#: Documents on each side of a block comparison.
-BLOCK = 128
+#: Documents on each side of a block comparison, by sketches and by texts.
+BLOCK, TEXT_BLOCK = 1024, 32
+#: Sketches tell sets of up to so many shingles apart; longer ones are compared by texts.
+TOLD_APART = 2000
+#: Shingles of texts whose sets a verifying task remembers.
+REMEMBERED = 200_000
 #: Bits of a parity sketch.
 SKETCH = 1024
 #: Hashes of words that are remembered.
@@ -247,7 +251,7 @@ def shard(ids: list[int | None], texts: list[bytes | None], seed: int, level: tu
     few = np.arange(len(crowd_sig)) - np.repeat(crowd_at[:-1], np.diff(crowd_at)) <= CROWD
     sig = np.concatenate([s[~many], crowd_sig[few]])
     doc = np.concatenate([doc[order][~many], crowd_doc[few].astype(np.int64)])
-    bucket = (sig >> np.uint64(48)).astype(np.int64) * buckets >> 16
+    bucket = (sig >> np.uint64(33)).astype(np.int64) * buckets >> 31
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     sig, doc = sig[order], doc[order].astype(np.uint64)
@@ -299,7 +303,7 @@ def candidate_groups(rows: DataFrame, seed: int, level: tuple[float, float]) ->
     spark = rows.sparkSession
     small_batches(spark, *SHARD)
     size = rows.agg(F.sum(F.octet_length("x"))).first()[0] or 0
-    buckets = min(1 << 16, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (8 * BUCKET))))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (8 * BUCKET)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
@@ -307,7 +311,7 @@ def candidate_groups(rows: DataFrame, seed: int, level: tuple[float, float]) ->
             if batch.num_rows:
                 yield shard(batch.column(0).to_pylist(), text_bytes(batch.column(1)), seed, level, buckets, memory)
 
-    packed = rows.mapInArrow(run, PACKED)
+    packed = rows.mapInArrow(in_tasks(run), PACKED)
     return stored(packed.groupBy("bucket").applyInArrow(bucket_groups, GROUPS), "groups", ("kind",))
 
 
@@ -331,14 +335,29 @@ def renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-@lru_cache(maxsize=64)
 def exact_set(text: bytes) -> frozenset:
     w = words_of(text)
     return frozenset(zip(*(w[k:] for k in range(NGRAM)))) if len(w) >= NGRAM else frozenset([tuple(w)]) if w else frozenset()
 
 
-def linked(x: bytes, y: bytes) -> bool:
-    a, b = exact_set(x), exact_set(y)
+class ExactSets(dict):
+    """Sets of texts, as many as REMEMBERED shingles allow."""
+
+    held = 0
+
+    def __missing__(self, text: bytes) -> frozenset:
+        made = exact_set(text)
+        if self.held + len(made) > REMEMBERED:
+            self.clear()
+            self.held = 0
+        if len(made) <= REMEMBERED:
+            self[text] = made
+            self.held += len(made)
+        return made
+
+
+def linked(x: bytes, y: bytes, sets: ExactSets) -> bool:
+    a, b = sets[x], sets[y]
     both = len(a & b)
     return bool(both) and DEN * both >= NUM * (len(a) + len(b) - both)
 
@@ -350,22 +369,41 @@ def may_link() -> Column:
     return sizes & (differ <= F.floor((F.col("na") + F.col("nb")) * (DEN - NUM) / (DEN + NUM)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of pairs (a, b); texts: (id, x, n, sketch). Texts travel only for pairs that may link."""
-    for c in ("a", "b"):
-        pairs = pairs.join(beside(texts, F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), most=BROADCAST_IDS // 10), c)
-    pairs = stored(pairs.filter(may_link()).select("a", "b"), "pairs")
-    one = texts.select(F.col("id").alias("a"), F.col("x").alias("xa"))
-    two = texts.select(F.col("id").alias("b"), F.col("x").alias("xb"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb")
+def verified(pairs: DataFrame, figures: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The linked ones of pairs (a, b); figures: (id, n, sketch). Texts are fetched and travel only for pairs that may link."""
+    with scratch() as keep:
+        for c in ("a", "b"):
+            pairs = pairs.join(beside(figures, F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), most=BROADCAST_IDS // 10), c)
+        pairs = keep(pairs.filter(may_link()).select("a", "b").distinct(), "pairs")
+        ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        texts = keep(texts_of(ids), "texts")
+        one = texts.select(F.col("id").alias("a"), F.col("x").alias("xa"))
+        two = texts.select(F.col("id").alias("b"), F.col("x").alias("xb"))
+        joined = pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sets = ExactSets()
+            for batch in batches:
+                found = [linked(x, y, sets) for x, y in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)))]
+                yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+        small_batches(pairs.sparkSession)
+        return stored(joined.mapInArrow(in_tasks(run), "a long, b long").distinct(), "links")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [linked(x, y) for x, y in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    small_batches(pairs.sparkSession)
-    return stored(joined.mapInArrow(run, "a long, b long").distinct(), "links")
+def texts_by_id(rows: DataFrame, meta: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function from a stored table of ids to their texts (id, x); of ids that name several rows, distinct ones."""
+    doubled = stored(meta.groupBy(F.col("doc").alias("id")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("id"), "doubled")
+    none = doubled.isEmpty()
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        found = among(rows, "i", ids).select(F.col("i").alias("id"), "x")
+        if none:
+            return found
+        alone = found.join(beside(doubled, F.col("id")), "id", "left_anti")
+        return alone.unionByName(among(found, "id", doubled).distinct())
+
+    return fetch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -408,81 +446,95 @@ def named(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
 
 def join_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """names (id, name) by all links between documents of groups."""
-    meta = groups.filter(F.col("kind") == IS_META).filter("doc is not null and n > 0").select("doc", "n", "room", "key", "sketch")
-    copies = meta.groupBy("key").agg(F.min("doc").alias("name"))
-    copies = stored(meta.select("doc", "key").join(copies, "key").filter("doc != name").select(F.col("doc").alias("id"), "name"), "copies")
-    small = stored(groups.filter(F.col("kind") == IS_SMALL).select("members").distinct(), "small")
-    crowded = named(groups.filter(F.col("kind") == IS_CROWDED).select("sig", F.element_at("members", 2).alias("m")), "m", copies).select("sig", F.col("name").alias("doc")).distinct()
-    crowded = stored(crowded, "crowded")
-    # who has room for all its crowded signatures finds every partner by the others
-    room = meta.groupBy(F.col("doc").alias("id")).agg(F.min("room").alias("room"))
-    many = crowded.groupBy(F.col("doc").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    many = stored(many.join(room, "id").filter("n > room").select("id"), "many")
-    crowded = stored(among(crowded, "doc", many), "crowded")
-    leads = stored(crowded.groupBy("sig").agg(F.min("doc").alias("a")), "leads")
-    star = small.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, CROWD)).alias("b")).unionByName(crowded.join(beside(leads, F.col("sig"), F.col("a")), "sig").select("a", F.col("doc").alias("b")))
-    first = stored(renamed(star, copies), "pairs")
-    no_room = meta.filter("room < 0").select(F.col("doc").alias("id"))
-    ids = named(small.select(F.explode("members").alias("doc")), "doc", copies).select(F.col("name").alias("id")).unionByName(crowded.select(F.col("doc").alias("id"))).unionByName(no_room).distinct()
-    ids = stored(ids, "ids")
-    # rows that share a doc_id are one node with several texts, so a document's figures are its texts' own
-    keyed = among(meta, "doc", ids).select(F.col("doc").alias("id"), "key", "n", "sketch", "room").distinct()
-    texts = among(rows, "i", ids).select(F.col("i").alias("id"), "x").withColumn("key", text_key(F.col("x")))
-    texts = stored(texts.join(keyed, ["id", "key"]).select("id", "x", "n", "sketch", "room").distinct(), "texts")
-    links = verified(first, texts)
-    names = merged_names(rows.sparkSession.createDataFrame([], "id long, name long"), copies.select(F.col("name").alias("a"), F.col("id").alias("b")).unionByName(links))
-
-    # what isn't connected yet: small groups by all pairs, crowded ones by a second document
-    every = F.flatten(F.transform("members", lambda x: F.transform(F.filter("members", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    rest = apart(renamed(small.filter(F.size("members") > 2).select(F.explode(every).alias("p")).select("p.*"), copies), names)
-    split = several(crowded, names)
-    lead = split.groupBy("sig").agg(F.min_by("doc", F.xxhash64("doc", "sig")).alias("a"))
-    rest = rest.unionByName(apart(split.join(lead, "sig").select("a", F.col("doc").alias("b")), names))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    names = merged_names(names, verified(rest, texts))
-
-    # crowded groups that stay in several components are skipped; who has no room for them is compared in blocks
-    split = several(crowded, names)
-    skipped = split.groupBy(F.col("doc").alias("id")).agg(F.count(F.lit(1)).alias("skipped"))
-    room = texts.groupBy("id").agg(F.min("room").alias("room"))
-    short = stored(room.join(skipped, "id", "left").filter(F.col("room") < F.coalesce("skipped", F.lit(0))), "short")
-    if short.isEmpty():
-        return names
-    return merged_names(names, compared_in_blocks(short, split, names, texts))
-
-
-def text_key(text: Column) -> Column:
-    """The key that shard() gives to a text: exact copies have the same words."""
-
-    @F.pandas_udf(T.BinaryType())
-    def keys(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hashlib.sha256(b" ".join(words_of(t.encode() if t else None))).digest()[:16])
-
-    return keys(text)
-
-
-def compared_in_blocks(short: DataFrame, split: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between documents of short (id, room) that have a skipped signature in common, or had no room from the start.
-
-    Clusters are cut into blocks of about BLOCK documents; each block of those outside the main
-    component meets each block of the cluster in one task. A text goes to as many tasks as there are
-    blocks on the other side.
-    """
+    with scratch() as keep:
+        meta = groups.filter(F.col("kind") == IS_META).filter("doc is not null and n > 0").select("doc", "n", "room", "key", "sketch")
+        copies = meta.groupBy("key").agg(F.min("doc").alias("name"))
+        copies = keep(meta.select("doc", "key").join(copies, "key").filter("doc != name").select(F.col("doc").alias("id"), "name"), "copies")
+        small = keep(groups.filter(F.col("kind") == IS_SMALL).select("members").distinct(), "small")
+        crowded = named(groups.filter(F.col("kind") == IS_CROWDED).select("sig", F.element_at("members", 2).alias("m")), "m", copies).select("sig", F.col("name").alias("doc")).distinct()
+        crowded = keep(crowded, "crowded")
+        # who has room for all its crowded signatures finds every partner by the others
+        room = meta.groupBy(F.col("doc").alias("id")).agg(F.min("room").alias("room"))
+        many = crowded.groupBy(F.col("doc").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        many = keep(many.join(room, "id").filter("n > room").select("id"), "many")
+        crowded = keep(among(crowded, "doc", many), "crowded")
+        leads = keep(crowded.groupBy("sig").agg(F.min("doc").alias("a")), "leads")
+        star = small.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, CROWD)).alias("b")).unionByName(crowded.join(beside(leads, F.col("sig"), F.col("a")), "sig").select("a", F.col("doc").alias("b")))
+        first = keep(renamed(star, copies), "pairs")
+        # rows that share a doc_id are one node with several texts, so a document's figures are its texts' own
+        no_room = meta.filter("room < 0").select(F.col("doc").alias("id"))
+        ids = first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select(F.col("doc").alias("id"))).unionByName(no_room).distinct()
+        figures = keep(among(meta, "doc", keep(ids, "ids")).select(F.col("doc").alias("id"), "n", "sketch", "room").distinct(), "figures")
+        texts_of = texts_by_id(rows, meta)
+        links = verified(first, figures, texts_of)
+        names = merged_names(rows.sparkSession.createDataFrame([], "id long, name long"), copies.select(F.col("name").alias("a"), F.col("id").alias("b")).unionByName(links))
+
+        # what isn't connected yet: small groups by all pairs, crowded ones by a second document
+        every = F.flatten(F.transform("members", lambda x: F.transform(F.filter("members", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        rest = apart(renamed(small.filter(F.size("members") > 2).select(F.explode(every).alias("p")).select("p.*"), copies), names)
+        split = several(crowded, names)
+        lead = keep(split.groupBy("sig").agg(F.min_by("doc", F.xxhash64("doc", "sig")).alias("a")), "leads")
+        rest = rest.unionByName(apart(split.join(beside(lead, F.col("sig"), F.col("a")), "sig").select("a", F.col("doc").alias("b")), names))
+        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        names = merged_names(names, verified(rest, figures, texts_of))
+
+        # crowded groups that stay in several components are skipped; who has no room for them is compared in blocks
+        split = several(crowded, names)
+        skipped = split.groupBy(F.col("doc").alias("id")).agg(F.count(F.lit(1)).alias("skipped"))
+        room = figures.groupBy("id").agg(F.min("room").alias("room"))
+        short = keep(room.join(skipped, "id", "left").filter(F.col("room") < F.coalesce("skipped", F.lit(0))), "short")
+        if short.isEmpty():
+            return names
+        members = keep(clustered(short, split, names), "members")
+        told = figures.filter(F.col("n") <= TOLD_APART * DEN // NUM).select("id", "n", "sketch")
+        links = verified(compared_in_blocks(members.join(told, "id"), BLOCK, block_pairs), figures, texts_of)
+        long = keep(members.join(figures.filter(F.col("n") > TOLD_APART).select("id").distinct(), "id"), "members")
+        if not long.isEmpty():
+            texts = texts_of(keep(long.select("id").distinct(), "ids"))
+            links = links.unionByName(compared_in_blocks(long.join(texts, "id"), TEXT_BLOCK, block_links))
+        return merged_names(names, links)
+
+
+def clustered(short: DataFrame, split: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, cluster, apart, name): documents of short (id, room) that have a skipped signature in common, or had no room from the start; one may be in a cluster of either sort."""
     rows = split.join(beside(short, F.col("id").alias("doc")), "doc", "left_semi")
     leads = rows.groupBy("sig").agg(F.min("doc").alias("a"))
     clusters = components(stored(rows.join(leads, "sig").select("a", F.col("doc").alias("b")).distinct(), "edges"))
-    # without room from the start: a cluster for all of them, as such documents are a few in a million
+    # without room from the start: a cluster for all of them
     alone = short.filter("room < 0").select("id", F.lit(-1).cast("long").alias("cluster"), F.lit(True).alias("apart"))
-    members = clusters.select("id", F.col("name").alias("cluster"), F.lit(False).alias("apart")).unionByName(alone)
-    members = stored(named(members, "id", names), "members")
+    return named(clusters.select("id", F.col("name").alias("cluster"), F.lit(False).alias("apart")).unionByName(alone), "id", names)
+
+
+def compared_in_blocks(members: DataFrame, size: int, compare: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Pairs (a, b) that compare() finds between members (id, cluster, apart, name and what it compares) of different names in one cluster.
+
+    Clusters are cut into blocks of about `size` documents; each block of those outside the main
+    component meets each block of the cluster in one task. A row goes to as many tasks as there are
+    blocks on the other side.
+    """
     parts = members.groupBy("cluster", "apart", "name").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("cluster", "apart").agg(F.max_by("name", F.struct("k", "name")).alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("out")).filter("out > 0")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = members.join(main, ["cluster", "apart"]).join(texts.select("id", "x"), "id")
+    blocks = lambda n: F.ceil(F.col(n) / size).cast("int")
+    rows = members.join(main, ["cluster", "apart"])
     own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
-    right = rows.select("id", "name", "x", "cluster", "apart", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("l"), own("all").alias("r"))
-    left = rows.filter("name != main").select("id", "name", "x", "cluster", "apart", F.lit(True).alias("left"), own("out").alias("l"), F.explode(F.sequence(F.lit(0), blocks("all") - 1)).alias("r"))
-    return stored(left.unionByName(right).groupBy("cluster", "apart", "l", "r").applyInArrow(block_links, "a long, b long").distinct(), "links")
+    held = [*members.columns, "left", "l", "r"]
+    right = rows.withColumns({"left": F.lit(False), "l": F.explode(F.sequence(F.lit(0), blocks("out") - 1)), "r": own("all")}).select(*held)
+    left = rows.filter("name != main").withColumns({"left": F.lit(True), "l": own("out"), "r": F.explode(F.sequence(F.lit(0), blocks("all") - 1))}).select(*held)
+    return stored(left.unionByName(right).groupBy("cluster", "apart", "l", "r").applyInArrow(compare, "a long, b long").distinct(), "pairs")
+
+
+def block_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of a block's left and right documents of different names that sizes and sketches don't rule out."""
+    ids, names, n, left = (table.column(c).to_numpy() for c in ("id", "name", "n", "left"))
+    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+    right = np.flatnonzero(~left)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.flatnonzero(left):
+        may = right[(names[right] != names[k]) & (np.minimum(n[right], n[k]) * DEN >= np.maximum(n[right], n[k]) * NUM)]
+        may = may[np.bitwise_count(sketch[may] ^ sketch[k]).sum(1, dtype=np.int64) <= most_different(n[may] + n[k])]
+        a.append(np.minimum(ids[may], ids[k]))
+        b.append(np.maximum(ids[may], ids[k]))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
 def block_links(table: pa.Table) -> pa.Table:

@@ -77,8 +77,11 @@ def test_crowded_families_and_shared_passages(spark):
     check(spark, [(int(i), t, None) for i, t in zip(rng.permutation(5000), texts)])
 
 
-def test_blocks_find_what_is_left(spark, monkeypatch):
-    """With almost no room and tiny crowds many documents are compared in blocks."""
+@pytest.mark.parametrize("told_apart", [jj.TOLD_APART, 30])
+def test_blocks_find_what_is_left(spark, monkeypatch, told_apart):
+    """With almost no room and tiny crowds many documents are compared in blocks, by sketches and by texts."""
+    monkeypatch.setattr(jj, "TOLD_APART", told_apart)
+    monkeypatch.setattr(jj, "TEXT_BLOCK", 3)
     monkeypatch.setattr(jj, "CROWD", 2)
     monkeypatch.setattr(jj, "ROOM", (0.0, 0.0))
     monkeypatch.setattr(jj, "BLOCK", 3)
