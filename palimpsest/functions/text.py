@@ -76,7 +76,7 @@ SENSITIVE_SEGMENTS = ("token", "tokens", "secret", "secrets")
 
 def canonical_header(name: Column) -> Column:
     """Each hyphenated part with a capital."""
-    return F.array_join(F.transform(F.split(F.lower(F.trim(name)), "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1000))), "-")
+    return F.array_join(F.transform(F.split(F.lower(F.trim(name)), "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "-")
 
 
 def mask_headers(headers: Column) -> Column:

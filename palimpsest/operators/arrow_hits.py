@@ -1,4 +1,4 @@
-"""Detection that Columns can't express: patterns whose capture group is nested, optional or one of several."""
+"""Detection that Columns can't express: patterns whose capture group is nested, optional or one of several, and many keywords at once."""
 
 from __future__ import annotations
 
@@ -11,19 +11,60 @@ from ..sources.rules import java_pattern
 
 
 def python_pattern(pattern: str) -> re.Pattern:
-    """RE2's meaning in Python: $ ends the text, \\d, \\w and \\s are ASCII."""
-    java_pattern(pattern)
-    out, i, in_class = [], 0, False
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            out.append(pattern[i:i + 2].replace("\\z", "\\Z"))
-            i += 2
-            continue
-        in_class = (c == "[" or in_class) and not (c == "]" and in_class)
-        out.append("\\Z" if c == "$" and not in_class else c)
-        i += 1
-    return re.compile("".join(out).encode())
+    """RE2's meaning in Python, on bytes: $ ends the text, \\d, \\w and \\s are ASCII."""
+    java = java_pattern(pattern).removeprefix("(?d)").replace("\\z", "\\Z")
+    java = re.sub(r"\\p\{(\w+)\}", lambda m: PYTHON_CLASSES.get(m[1], m[0]), java)
+    java = re.sub(r"\(\?<(\w+)>", r"(?P<\1>", re.sub(r"\(\?([a-z]*)u", r"(?\1", java))
+    return re.compile(java.encode())
+
+
+#: POSIX classes inside brackets.
+PYTHON_CLASSES = {"Alpha": "a-zA-Z", "Digit": "0-9", "Alnum": "a-zA-Z0-9", "Upper": "A-Z", "Lower": "a-z", "Punct": r"!-/:-@\[-`{-~", "XDigit": "0-9a-fA-F", "Blank": r" \t", "Cntrl": r"\x00-\x1f\x7f", "Graph": "!-~", "Print": " -~", "ASCII": r"\x00-\x7f"}
+
+
+def keyword_hits_udf(keywords: list[tuple[str, str, int, str, int]]):
+    """A UDF from segments (off, seg) to candidates of all keywords (text, category, priority, source, rule_ord), in one pass of an automaton.
+
+    Of one keyword leftmost occurrences that don't overlap; those of different keywords may.
+    """
+    same: dict[str, list[int]] = {}
+    for k, (text, *_) in enumerate(keywords):
+        same.setdefault(text, []).append(k)
+    built: list = []
+
+    @F.pandas_udf("array<struct<start:int,end:int,category:string,priority:int,source:string,rule_ord:int,original:string>>")
+    def hits(segments: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        if not built:
+            automaton = ahocorasick.Automaton()
+            for text, numbers in same.items():
+                automaton.add_word(text, (text, numbers))
+            automaton.make_automaton()
+            built.append(automaton)
+
+        def one(segs):
+            found = []
+            for s in segs if segs is not None else ():
+                seg, free, at, counted = s["seg"], {}, 0, 0
+                plain = seg.isascii()
+                for last, (text, numbers) in sorted(built[0].iter(seg), key=lambda m: m[0] - len(m[1][0])):
+                    first = last + 1 - len(text)
+                    if first < free.get(text, 0):
+                        continue
+                    free[text] = last + 1
+                    if not plain:  # bytes before this one, from those before the one before
+                        at += len(seg[counted:first].encode())
+                        counted = first
+                    begin = s["off"] + (first if plain else at)
+                    for k in numbers:
+                        _, category, priority, source, rule_ord = keywords[k]
+                        found.append((begin, begin + len(text.encode()), category, priority, source, rule_ord, text))
+            return found
+
+        return segments.map(one)
+
+    return hits
 
 
 def regex_hits_udf(pattern: str, category: str, priority: int, source: str, rule_ord: int):

@@ -2,54 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..scratch import stored
 from ..sources.rules import RuleList, default_rules
 from . import dictionary, restore as restoring, spans
 
 
 class PiiEngine:
-    """overlap: "greedy" drops what overlaps a better hit, "split" keeps the parts that are left; None as the reference chooses."""
+    """overlap: "greedy" drops what overlaps a better hit, "split" keeps the parts that are left; None as the reference chooses.
 
-    def __init__(self, key: bytes, rules: Sequence[RuleList] | None = None, keywords: Sequence[tuple[str, str]] = (), excludes: Sequence[str] = (), prefix: str = dictionary.PREFIX, overlap: str | None = None):
+    recognizers: functions from a column of safe segments (off, seg) to candidates, such as
+    ner.segment_recognizer() makes; their candidates come after those of the rule lists.
+    """
+
+    def __init__(self, key: bytes, rules: Sequence[RuleList] | None = None, keywords: Sequence[tuple[str, str]] = (), excludes: Sequence[str] = (), prefix: str = dictionary.PREFIX, overlap: str | None = None, recognizers: Sequence[Callable[[Column], Column]] = ()):
         self.key, self.rules = key, list([default_rules()] if rules is None else rules)
         self.keywords, self.excludes, self.prefix = list(dict(keywords).items()), list(excludes), prefix
-        self.overlap = overlap or ("greedy" if self.rules else "split")
+        self.recognizers = list(recognizers)
+        self.overlap = overlap or ("greedy" if self.rules or self.recognizers else "split")
 
     def detect(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """docs with `hits`: disjoint candidates with placeholders, in the order of start."""
         # segments and candidates are columns of their own, so each is worked out once
         rows = docs.withColumn("segments_", spans.safe_segments(docs[text_col]))
-        rows = rows.withColumn("hits", spans.exclude(spans.detect("segments_", self.rules, self.keywords), self.excludes)).drop("segments_")
+        found = spans.detect("segments_", self.rules, self.keywords)
+        if self.recognizers:
+            found = F.concat(found, *[F.coalesce(r(F.col("segments_")), spans.no_candidates()) for r in self.recognizers])
+        rows = rows.withColumn("hits", spans.exclude(found, self.excludes)).drop("segments_")
         chosen = spans.greedy(F.col("hits")) if self.overlap == "greedy" else spans.split_resolution(F.col("hits"), F.col(text_col))
         rows = rows.withColumn("hits", chosen)
         named = F.transform("hits", lambda c: c.withField("placeholder", dictionary.placeholder(self.key, c["category"], c["original"], self.prefix)))
         return rows.withColumn("hits", named)
 
     def redact(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """detect(), and `redacted`. Each hit has its own category's placeholder, so no row needs another."""
+        """detect(), and `redacted`. Each row by itself: each hit has its own category's placeholder.
+
+        Neither first registrations nor numbers for equal placeholders are taken into account, which
+        need other rows: redact_with_mapping() does that.
+        """
         rows = self.detect(docs, text_col)
         return rows.withColumn("redacted", spans.replace_spans(F.col(text_col), F.col("hits")))
 
-    def redact_with_mapping(self, docs: DataFrame, id_col: str, order_col: str, text_col: str = "text", created_at: Column | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def redact_with_mapping(self, docs: DataFrame, order_col: str, text_col: str = "text", created_at: Column | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """redact(), and the mapping; an original has one placeholder everywhere, that of its first hit or the one it has in `known`.
 
-        One shuffle on originals for the mapping, one join back by hit.
+        Rows are detected once and kept in the shared folder. One shuffle on originals for the mapping;
+        rows with hits meet their spans again by their text, so ids may be null or repeated, and rows
+        without hits never move.
         """
-        rows = self.detect(docs, text_col)
+        rows = stored(self.detect(docs, text_col), "detected")
         made = created_at if created_at is not None else F.current_timestamp()
-        each = rows.select(F.col(id_col).alias("row_"), F.col(order_col).alias("doc_ord"), made.alias("created_at"), F.explode("hits").alias("h"))
-        each = each.select("row_", "doc_ord", "h.start", "h.end", "h.category", "h.original", "created_at")
+        each = exploded(rows.select(F.col(order_col).alias("doc_ord"), made.alias("created_at"), "hits"), "hits").select("doc_ord", "created_at", "h.start", "h.category", "h.original")
         mapping = dictionary.build_mapping(each, self.key, self.prefix)
         if known is not None:
             mapping = dictionary.register(known, mapping)
-        placed = each.drop("category", "created_at").join(mapping.select("original", "placeholder"), "original")
-        spans_ = placed.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("spans_"))
-        rows = rows.join(spans_, rows[id_col] == spans_["row_"], "left").drop("row_")
-        rows = rows.withColumn("spans_", F.coalesce("spans_", F.array().cast("array<struct<start:int,end:int,placeholder:string>>")))
-        return rows.withColumn("redacted", spans.replace_spans(F.col(text_col), F.col("spans_"))).drop("spans_"), mapping
-
-    def restore(self, docs: DataFrame, mapping: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        return restoring.restore(docs, mapping, id_col, text_col, self.prefix)
+        mapping = stored(mapping, "mapping")
+        some = rows.filter(F.size("hits") > 0).withColumn("text_key_", text_key(F.col(text_col)))
+        # texts alike have the same hits
+        places = exploded(some.select("text_key_", "hits"), "hits").select("text_key_", "h.start", "h.end", "h.original").distinct()
+        placed = places.join(mapping.select("original", "placeholder"), "original")
+        spans_ = placed.groupBy("text_key_").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("spans_"))
+        changed = some.join(spans_, "text_key_", "left").withColumn("redacted", spans.replace_spans(F.col(text_col), F.col("spans_")))
+        same = rows.filter(F.coalesce(F.size("hits"), F.lit(0)) <= 0).withColumn("redacted", F.col(text_col))
+        return changed.select(*rows.columns, "redacted").unionByName(same), mapping
+
+    def restore(self, docs: DataFrame, mapping: DataFrame, text_col: str) -> DataFrame:
+        return restoring.restore(docs, mapping, text_col, self.prefix)
+
+
+def text_key(text: Column) -> Column:
+    """Texts alike, and only they, have one key."""
+    return F.sha2(text.cast("binary"), 256)
+
+
+def exploded(rows: DataFrame, column: str) -> DataFrame:
+    """rows without the array column and with its elements as `h`; the array isn't asked for its size below, which would work it out again."""
+    return rows.select(*[c for c in rows.columns if c != column], F.explode_outer(column).alias("h")).filter("h is not null")

@@ -1,8 +1,8 @@
 """Redaction of prompt-like fields inside JSON bodies of any depth.
 
 Under the keys messages, input and contents strings, items' content, parts and text, and parts' text
-are prompts; anything else stays. One Arrow UDF takes the prompts out, Columns redact them, another
-puts them back. A body without a change is returned byte for byte; a changed one has sorted keys and
+are prompts; anything else stays. One Arrow function takes the prompts out, Columns find hits in
+them, another puts placeholders in. A body without a change is returned byte for byte; a changed one has sorted keys and
 HTML characters escaped, and its numbers as they were written.
 """
 
@@ -12,11 +12,13 @@ import json
 import re
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .engine import PiiEngine
+from .python_columns import with_python
 
+#: Between prompts: it ends any escape sequence, and no segment holds it.
+BETWEEN = "\x1b\\\x07"
 CONTAINERS = ("messages", "input", "contents")
 REMINDER = re.compile(r"\s*<system-reminder.*</system-reminder>", re.DOTALL)
 
@@ -97,38 +99,61 @@ def prompts(body: str | None) -> list[str] | None:
     return found
 
 
-def rebuilt(body: str, new: list[str]) -> str:
-    left = iter(new)
+def rebuilt(body: str, change: Callable[[str], str]) -> str:
     changed = []
 
-    def change(old: str) -> str:
-        made = next(left)
+    def new(old: str) -> str:
+        made = change(old)
         changed.append(made != old)
         return made
 
-    made = walk(parse(body), change)
+    made = walk(parse(body), new)
     return dump(made) if any(changed) else body
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def prompts_of(bodies: pd.Series) -> pd.Series:
-    return bodies.map(prompts)
+def put_back(body: str, hits: list[dict]) -> tuple[str, int]:
+    """body with the hits of its joined prompts replaced, and how many they are."""
+    at, used = 0, 0
 
+    def change(prompt: str) -> str:
+        nonlocal at, used
+        raw, out, last = prompt.encode(), b"", 0
+        for h in hits:
+            if at <= h["start"] and h["end"] <= at + len(raw):
+                out += raw[last:h["start"] - at] + h["placeholder"].encode()
+                last, used = h["end"] - at, used + 1
+        at += len(raw) + len(BETWEEN)
+        return (out + raw[last:]).decode()
 
-@F.pandas_udf(T.StringType())
-def rebuild(bodies: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([rebuilt(b, list(n)) for b, n in zip(bodies, new)])
+    return rebuilt(body, change), used
 
 
-def redact_json(engine: PiiEngine, docs: DataFrame, id_col: str, body_col: str) -> DataFrame:
-    """docs with is_json, redacted_body and n_hits; a body that isn't JSON is redacted as a whole. id_col names a row."""
-    rows = docs.withColumn("prompts_", prompts_of(docs[body_col]))
-    each = rows.select(F.col(id_col).alias("row_"), F.posexplode(F.coalesce("prompts_", F.array(body_col))).alias("pos", "prompt"))
-    new = engine.redact(each, "prompt").groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("pos", "redacted"))).alias("new_"), F.sum(F.size("hits")).cast("long").alias("n_hits"))
-    out = rows.join(new, rows[id_col] == new["row_"], "left").withColumn("new_", F.coalesce(F.transform("new_", lambda x: x["redacted"]), F.array().cast("array<string>")))
-    is_json = F.col("prompts_").isNotNull()
-    # the UDF sees only JSON, whatever order conditions are evaluated in
-    body = F.when(is_json, F.col(body_col)).otherwise("null")
-    strings = F.when(is_json, F.col("new_")).otherwise(F.array().cast("array<string>"))
-    out = out.withColumns({"is_json": is_json, "rebuilt_": rebuild(body, strings), "n_hits": F.coalesce("n_hits", F.lit(0))})
-    return out.withColumn("redacted_body", F.when(is_json, F.col("rebuilt_")).otherwise(F.col("new_")[0])).drop("row_", "prompts_", "new_", "rebuilt_")
+def is_valid(body: str | None) -> bool:
+    try:
+        parse(body)
+    except (ValueError, TypeError, RecursionError):
+        return False
+    return True
+
+
+def with_validity(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with whether a text is one JSON value."""
+    return with_python(df, [column], [T.StructField(name, T.BooleanType())], lambda body: (is_valid(body),))
+
+
+def redact_json(engine: PiiEngine, docs: DataFrame, body_col: str, as_json: Column | None = None) -> DataFrame:
+    """docs with is_json, redacted_body, n_hits and hits; a body that isn't JSON, or of a row without as_json, is redacted as a whole, a null one stays null.
+
+    Row by row: prompts are joined to one text by protected characters, so no hit spans two of them.
+    """
+    kept = [c for c in docs.columns if c not in ("is_json", "redacted_body", "n_hits", "hits")]
+    rows = docs.select(*[docs[c] for c in kept], docs[body_col].alias("body_in_hand_"), (F.lit(True) if as_json is None else F.coalesce(as_json, F.lit(False))).alias("as_json_"))
+    rows = with_python(rows, ["body_in_hand_", "as_json_"], [T.StructField("prompts_", T.ArrayType(T.StringType()))], lambda body, read: (prompts(body) if read else None,))
+    rows = rows.withColumn("is_json", F.col("prompts_").isNotNull())
+    rows = rows.withColumn("text_in_hand_", F.when(F.col("is_json"), F.array_join("prompts_", BETWEEN)).otherwise(F.col("body_in_hand_")))
+    rows = engine.redact(rows, "text_in_hand_")
+    hits = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["placeholder"].alias("placeholder")))
+    rows = rows.withColumn("places_", F.when(F.col("is_json"), hits))
+    rows = with_python(rows, ["body_in_hand_", "places_"], [T.StructField("made_", T.StringType()), T.StructField("n_", T.LongType())], lambda body, places: put_back(body, places) if places is not None else (None, None))
+    return rows.select(*kept, "is_json", F.when(F.col("is_json"), F.col("made_")).otherwise(F.col("redacted")).alias("redacted_body"),
+                       F.when(F.col("is_json"), F.col("n_")).otherwise(F.greatest(F.size("hits"), F.lit(0)).cast("long")).alias("n_hits"), "hits")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable
 
@@ -25,22 +26,65 @@ def analyze_url(url: Column) -> Column:
 
 
 def recognizer(analyze: Callable[[list[str]], list[list[tuple[int, int, str, float]]]]):
-    """A UDF from texts to FOUND, in characters; if the model fails, nothing is found."""
+    """A UDF from texts to FOUND, in characters; if the model fails, nothing is found, and the task's log says why."""
 
     @F.pandas_udf(FOUND)
     def run(texts: pd.Series) -> pd.Series:
-        try:
-            return pd.Series(analyze([t or "" for t in texts]))
-        except Exception:  # noqa: BLE001  fails open: a lost model must not stop requests
-            return pd.Series([[] for _ in texts])
+        return pd.Series(analyzed(analyze, [t or "" for t in texts]))
 
     return run
 
 
+def analyzed(analyze: Callable, texts: list[str], **options) -> list:
+    try:
+        return list(analyze(texts, **options))
+    except Exception:  # noqa: BLE001  fails open: a lost model must not stop requests
+        logging.getLogger("palimpsest.ner").warning("the model failed on %d texts; nothing is found in them", len(texts), exc_info=True)
+        return [[] for _ in texts]
+
+
+def request_options(language: str = "", least_score: float = 0.0) -> dict:
+    """What a request says beside the text: the language (en if it isn't set or auto), and a least score above 0."""
+    name = re.sub(r"[-_ ]+", "-", re.sub(r"[^a-z0-9\-_ ]", "", language.strip().lower())).strip("-")
+    return {"language": "en" if name in ("", "auto") else name} | ({"score_threshold": min(1.0, least_score)} if least_score > 0 else {})
+
+
+def segment_recognizer(analyze: Callable[..., list[list[tuple[int, int, str, float]]]], entities: tuple[str, ...] = DEFAULT_ENTITIES, language: str = "", least_score: float = 0.0, rule_ord: int = 10_000) -> Callable[[Column], Column]:
+    """For PiiEngine(recognizers=...): from safe segments to candidates. analyze(texts, language=..., score_threshold=...) gets all segments of a batch at once."""
+    wanted, options = set(entities), request_options(language, least_score)
+    names = {"ORGANIZATION": "ORG", "GPE": "LOCATION", "LOC": "LOCATION"}
+
+    def run(segments: pd.Series) -> pd.Series:
+        flat = [s for segs in segments if segs is not None for s in segs]
+        made = iter(analyzed(analyze, [s["seg"] for s in flat], **options) if flat else [])
+
+        def of(s) -> list:
+            text, out = s["seg"], []
+            raw = text.encode()
+            for start, end, entity, score in next(made):
+                name = names.get(entity, entity)
+                if name not in wanted or score < least_score or not 0 <= start < end <= len(raw):
+                    continue
+                if end <= len(text):  # characters; ends beyond them are taken for bytes
+                    start, end = len(text[:start].encode()), len(text[:end].encode())
+                out.append((s["off"] + start, s["off"] + end, name, NER_PRIORITY, "ner", rule_ord, raw[start:end].decode("utf-8", "replace")))
+            return out
+
+        return pd.Series([[c for s in segs for c in of(s)] if segs is not None else [] for segs in segments], index=segments.index)
+
+    # a schema in words can only be read when there is a session
+    return lambda segments: F.pandas_udf(run, "array<struct<start:int,end:int,category:string,priority:int,source:string,rule_ord:int,original:string>>")(segments)
+
+
 def gazetteer(names: dict[str, str]):
     """A stand-in for a model: whole words by list, name to entity."""
+    return recognizer(word_list(names))
+
+
+def word_list(names: dict[str, str]) -> Callable:
+    """What gazetteer() asks, for recognizers of segments."""
     pattern = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")\b")
-    return recognizer(lambda texts: [[(m.start(), m.end(), names[m[0]], 0.85) for m in pattern.finditer(t)] for t in texts])
+    return lambda texts, **_: [[(m.start(), m.end(), names[m[0]], 0.85) for m in pattern.finditer(t)] for t in texts]
 
 
 def candidates(text: Column, found: Column, entities: tuple[str, ...] = DEFAULT_ENTITIES, least_score: float = 0.0, rule_ord: int = 10_000) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.text import canonical_host, intercept_mode
 
 LARGEST = 10 << 20
-ENCODINGS = ("identity", "gzip", "x-gzip", "br", "brotli", "deflate", "zstd")
+ENCODINGS = ("identity", "gzip", "br", "brotli", "deflate", "zstd")
 
 
 def encodings(header: Column) -> Column:
@@ -27,7 +27,7 @@ def supported_encoding(header: Column) -> Column:
 
 def decompressed(body: bytes, name: str, most: int) -> bytes:
     """One layer taken away; ValueError if it can't be or is larger than `most`."""
-    if name in ("gzip", "x-gzip"):
+    if name == "gzip":
         out, rest = b"", body
         while rest:
             d = zlib.decompressobj(31)

@@ -9,25 +9,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .dictionary import PREFIX
 from .spans import pieces_with_offsets, replace_spans
 
+# Fixed value: what follows the prefix of a placeholder.
 BODY = r"[A-Za-z0-9_]+_[a-f0-9]{12}(?:_\d+)?(?:__)?"
 TOKENS = "array<struct<start:int,end:int,token:string>>"
 
 
-def full_pattern(prefix: str = PREFIX) -> str:
-    return re.escape(prefix) + BODY
-
-
-def bare_pattern(prefix: str = PREFIX) -> str | None:
-    """Placeholders that lost the underscores before their prefix; none if it has none."""
+def patterns(prefix: str = PREFIX) -> list[str]:
+    """Of placeholders, and of those that lost the underscores before their prefix."""
     bare = prefix.lstrip("_")
-    return rf"(?:^|[^_])({re.escape(bare)}{BODY})" if bare != prefix and bare else None
+    return [re.escape(prefix) + BODY] + ([rf"(?<!_){re.escape(bare)}{BODY}"] if bare != prefix and bare else [])
 
 
-def marked(text: Column, before: str, inside: str) -> Column:
-    parts = F.split(F.regexp_replace(text, f"(?d)({before})({inside})", "$1\x02$2\x03"), "[\x02\x03]", -1)
-    placed = pieces_with_offsets(parts, F.array().cast("array<int>"))
-    odd = F.filter(F.transform(placed, lambda p, i: F.struct(p["off"].alias("start"), (p["off"] + F.octet_length(p["seg"])).alias("end"), p["seg"].alias("token"), (i % 2).alias("odd"))), lambda p: p["odd"] == 1)
-    return F.transform(odd, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["token"].alias("token")))
+def found_tokens(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, token>>: offsets from the lengths of what stands between."""
+    found = F.regexp_extract_all(text, F.lit(f"(?d){pattern}"), F.lit(0))
+    before = pieces_with_offsets(F.split(text, f"(?d){pattern}", -1), F.transform(found, F.octet_length))
+    at = lambda p: p["off"] + F.octet_length(p["seg"])
+    return F.transform(found, lambda t, i: F.struct(at(F.get(before, i)).alias("start"), (at(F.get(before, i)) + F.octet_length(t)).alias("end"), t.alias("token")))
 
 
 def normal_token(token: Column, prefix: str = PREFIX) -> Column:
@@ -37,30 +35,29 @@ def normal_token(token: Column, prefix: str = PREFIX) -> Column:
 
 
 def tokens(text: Column, prefix: str = PREFIX) -> Column:
-    """array<struct<start, end, token>> of all placeholders in text, tokens in their normal form.
-
-    Control characters that serve as marks can stand in such a text; then none is restored.
-    """
-    bare_name = prefix.lstrip("_")
-    found = marked(text, "", full_pattern(prefix))
-    if bare_pattern(prefix):
-        found = F.concat(found, marked(text, r"^|[^_]", re.escape(bare_name) + BODY))
+    """array<struct<start, end, token>> of all placeholders in text, tokens in their normal form."""
+    found = F.concat(*[found_tokens(text, p) for p in patterns(prefix)])
     found = F.transform(found, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), normal_token(t["token"], prefix).alias("token")))
-    some = F.contains(text, F.lit(bare_name)) & ~text.rlike("[\x02\x03]")
-    return F.when(some, found).otherwise(F.array().cast(TOKENS))
+    return F.when(F.contains(text, F.lit(prefix.lstrip("_") or prefix)), found).otherwise(F.array().cast(TOKENS))
 
 
-def restore(docs: DataFrame, mapping: DataFrame, id_col: str, text_col: str, prefix: str = PREFIX) -> DataFrame:
-    """docs with `restored` and n_restored; id_col names a row.
+def restore(docs: DataFrame, mapping: DataFrame, text_col: str, prefix: str = PREFIX) -> DataFrame:
+    """docs with `restored` and n_restored.
 
-    Only texts' placeholders meet the mapping, in an equi-join; texts with none don't take part.
+    Placeholders meet the mapping in an equi-join and come back by their text, so rows need no id and
+    may repeat; rows without a placeholder take no part and never move.
     """
-    rows = docs.withColumn("tokens_found", tokens(docs[text_col], prefix))
-    each = rows.filter(F.size("tokens_found") > 0).select(F.col(id_col).alias("row_"), F.explode("tokens_found").alias("t")).select("row_", "t.start", "t.end", "t.token")
+    from .engine import exploded, text_key
+
+    kept = [c for c in docs.columns if c not in ("restored", "n_restored")]
+    rows = docs.select(*[docs[c] for c in kept], docs[text_col].alias("text_in_hand_")).withColumn("tokens_found_", tokens(F.col("text_in_hand_"), prefix))
+    some = F.coalesce(F.size("tokens_found_") > 0, F.lit(False))
+    with_tokens = rows.filter(some).withColumn("text_key_", text_key(F.col("text_in_hand_")))
+    each = exploded(with_tokens.select("text_key_", "tokens_found_"), "tokens_found_").select("text_key_", "h.start", "h.end", "h.token").distinct()
     known = each.join(mapping.select(F.col("placeholder").alias("token"), "original"), "token")
-    spans = known.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("start", "end", "original"))).alias("known_spans"))
-    out = rows.join(spans, rows[id_col] == spans["row_"], "left").drop("row_", "tokens_found")
     free = "array<struct<start:int,end:int,original:string>>"
-    kept = F.aggregate("known_spans", F.array().cast(free), lambda acc, x: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) <= x["start"], F.concat(acc, F.array(x))).otherwise(acc))
-    out = out.withColumn("known_spans", F.coalesce(kept, F.array().cast(free)))
-    return out.withColumns({"restored": replace_spans(F.col(text_col), F.col("known_spans"), "original"), "n_restored": F.size("known_spans").cast("long")}).drop("known_spans")
+    spans = known.groupBy("text_key_").agg(F.array_sort(F.collect_list(F.struct("start", "end", "original"))).alias("known_spans_"))
+    disjoint = F.aggregate("known_spans_", F.array().cast(free), lambda acc, x: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) <= x["start"], F.concat(acc, F.array(x))).otherwise(acc))
+    out = with_tokens.join(spans, "text_key_", "left").withColumn("known_spans_", F.coalesce(disjoint, F.array().cast(free)))
+    out = out.select(*kept, replace_spans(F.col("text_in_hand_"), F.col("known_spans_"), "original").alias("restored"), F.size("known_spans_").cast("long").alias("n_restored"))
+    return out.unionByName(rows.filter(~some).select(*kept, F.col("text_in_hand_").alias("restored"), F.lit(0).cast("long").alias("n_restored")))

@@ -10,13 +10,15 @@ import re._parser as sre_parser
 
 from pyspark.sql import Column, functions as F
 
-from .arrow_hits import regex_hits_udf
+from .arrow_hits import keyword_hits_udf, regex_hits_udf
 from ..sources.rules import KEYWORD_PRIORITY, Rule, RuleList, groups, java_pattern, split_at_group
 
 #: Escape sequences, and control and format characters other than line feed, carriage return and tab.
 PROTECTED = r"\x1b\[[^@-~]*(?:[@-~]|\z)|\x1b[\]PX^_](?s:.*?)(?:\x07|\x1b\\|\z)|\x1b(?s:.)?|[\p{Cc}\p{Cf}&&[^\n\r\t]]"
 CANDIDATE = "struct<start:int,end:int,category:string,priority:int,source:string,rule_ord:int,original:string>"
 NONE = f"array<{CANDIDATE}>"
+#: More keywords are looked for by one automaton, fewer by an expression each.
+MANY_KEYWORDS = 64
 
 
 def no_candidates() -> Column:
@@ -103,7 +105,7 @@ def regex_hits(rule: Rule, priority: int, source: str, rule_ord: int) -> str | N
 
 
 def before_flags(before: str) -> str:
-    return re.match(r"(?:\(\?[ims-]+\))*", before)[0]
+    return re.match(r"(?:\(\?[imsU-]+\))*", before)[0]
 
 
 def regroup(java: str) -> str:
@@ -123,12 +125,17 @@ def keyword_hits(rule: Rule, priority: int, source: str, rule_ord: int) -> str:
 def detect(segments: str, lists: list[RuleList], keywords: list[tuple[str, str]] = ()) -> Column:
     """All candidates in a column of safe segments: keywords first, then rule lists in their order, each segment on its own.
 
-    One SQL expression, parsed once; patterns with a nested or optional group run as Arrow UDFs.
+    One SQL expression, parsed once; patterns with a nested or optional group and many keywords run as Arrow UDFs.
     """
     todo: list[tuple[Rule, int, str]] = [(Rule("keyword", c, t), KEYWORD_PRIORITY, "keywords") for t, c in keywords if t and c]
     todo += [(r, lst.priority, f"rulelist:{lst.name}") for lst in lists for r in lst.rules]
     native, other = [], []
+    words = [(r.pattern, r.category, priority, source, ord_) for ord_, (r, priority, source) in enumerate(todo) if r.kind == "keyword"]
+    if len(words) > MANY_KEYWORDS:
+        other.append(keyword_hits_udf(words)(F.col(segments)))
     for ord_, (rule, priority, source) in enumerate(todo):
+        if rule.kind == "keyword" and len(words) > MANY_KEYWORDS:
+            continue
         made = (keyword_hits if rule.kind == "keyword" else regex_hits)(rule, priority, source, ord_)
         if made is None:
             other.append(regex_hits_udf(rule.pattern, rule.category or "REGEX", priority, source, ord_)(F.col(segments)))
@@ -174,6 +181,11 @@ def split_resolution(candidates: Column, text: Column) -> Column:
     return F.array_sort(F.aggregate(order, zero, step, lambda acc: acc["out"]))
 
 
+def last_first(hits: Column) -> Column:
+    """Hits in the order of start, last first, as matches are reported."""
+    return F.reverse(hits)
+
+
 def replace_spans(text: Column, spans: Column, replacement: str = "placeholder") -> Column:
     """text with each span (start, end, replacement; ascending, disjoint) put in its place."""
     raw = text.cast("binary")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as fn
 from ..operators import dictionary, restore as restoring, spans
-from ..operators.engine import PiiEngine
+from ..operators.engine import PiiEngine, exploded
 from ..sources.rules import RuleList, builtin_rules, default_rules, rules_frame
 from . import sql
 
@@ -93,7 +93,7 @@ def found_in(spark: SparkSession, sf_dir: str, name: str, id_col: str, text_col:
     """All hits of rules in a table's texts: id and the candidate's columns."""
     rows = table(spark, sf_dir, name).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("segments", spans.safe_segments(F.col("text")))
     hits = spans.detect("segments", lists, keywords)
-    return rows.select("id", F.explode(hits).alias("c")).select("id", *candidate_columns())
+    return exploded(rows.select("id", hits.alias("found")), "found").select("id", *candidate_columns("h"))
 
 
 def category_rules(category: str) -> RuleList:
@@ -131,7 +131,7 @@ def detect_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT conv_id, turn, start_, end_, category, priority, rule_ord::INTEGER AS rule_ord, original FROM ({sql.candidates('(SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL)', [], KEYWORDS, 'conv_id, turn')})")
 def detect_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("segments", spans.safe_segments(F.col("text")))
-    return rows.select("conv_id", "turn", F.explode(spans.detect("segments", [], KEYWORDS)).alias("c")).select("conv_id", "turn", *candidate_columns())
+    return exploded(rows.select("conv_id", "turn", spans.detect("segments", [], KEYWORDS).alias("found")), "found").select("conv_id", "turn", *candidate_columns("h"))
 
 
 BUILTIN = builtin_rules()
@@ -175,11 +175,13 @@ def safe_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.posexplode(spans.pieces_with_offsets(pieces, gaps))).select("id", (F.col("pos") + 1).alias("pos"), F.col("col.seg").alias("seg"), F.col("col.off").alias("off")).filter("seg <> ''")
 
 
-@query(f"SELECT {CAND} FROM ({sql.candidates(DOCS, [RULES])}) WHERE original NOT IN (SELECT min(original) FROM ({sql.candidates(DOCS, [category_rules('EMAIL')])}))")
+@query(f"SELECT {CAND} FROM ({sql.candidates(DOCS, [RULES])}) WHERE original IS DISTINCT FROM (SELECT min(original) FROM ({sql.candidates(DOCS, [category_rules('EMAIL')])}))")
 def exclude_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = found_in(spark, sf_dir, "documents", "doc_id", "text", [RULES])
-    least = found_in(spark, sf_dir, "documents", "doc_id", "text", [category_rules("EMAIL")]).agg(F.min("original").alias("original"))
-    return hits.join(least, "original", "left_anti").select("id", "start_", "end_", "category", "priority", "rule_ord", "original")
+    """All hits but those on the least e-mail address found."""
+    least = found_in(spark, sf_dir, "documents", "doc_id", "text", [category_rules("EMAIL")]).agg(F.min("original")).first()[0]
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").withColumn("segments", spans.safe_segments(F.col("text")))
+    kept = spans.exclude(spans.detect("segments", [RULES]), [least] if least is not None else [])
+    return exploded(rows.select("id", kept.alias("found")), "found").select("id", *candidate_columns("h"))
 
 
 OVERLAPS = [(1, 0, 10, "A", 50, 1), (1, 2, 5, "B", 100, 0), (1, 5, 8, "C", 50, 2), (1, 8, 12, "D", 50, 3), (2, 0, 4, "A", 50, 0), (2, 0, 4, "B", 50, 1), (2, 4, 8, "C", 40, 2), (3, 0, 3, "A", 50, 0), (3, 1, 6, "B", 50, 1), (3, 5, 9, "C", 50, 2), (3, 9, 10, "D", 50, 3), (4, 3, 9, "A", 50, 0), (4, 4, 6, "B", 50, 1), (4, 2, 5, "C", 50, 2), (5, 0, 12, "A", 40, 0)]
@@ -196,8 +198,8 @@ def overlap_frame(spark: SparkSession) -> DataFrame:
 @query(f"SELECT id, start_, end_, category, priority, rule_ord, original FROM ({sql.greedy(OVERLAP_SQL)}) UNION ALL SELECT id, start_, end_, category, priority, rule_ord::INTEGER, original FROM ({sql.greedy(sql.candidates(DOCS, [RULES]))})")
 def resolve_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = overlap_frame(spark).select(F.col("id").cast("long").alias("id"), F.explode(spans.greedy(F.col("c"))).alias("c")).select("id", *candidate_columns())
-    two = ENGINE.detect(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", F.explode("hits").alias("c")).select("id", *candidate_columns())
-    return one.unionByName(two)
+    two = ENGINE.detect(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "hits")
+    return one.unionByName(exploded(two, "hits").select("id", *candidate_columns("h")))
 
 
 @query(f"""WITH c AS ({OVERLAP_SQL}), cells AS (SELECT id, unnest(range(start_, end_)) AS cell, start_, end_, category, rule_ord FROM c),
@@ -215,7 +217,7 @@ HITS = sql.greedy(sql.candidates(DOCS, [RULES]))
 @query(f"SELECT id, start_, category, original, {sql.placeholder(KEY)} AS placeholder FROM ({HITS})")
 def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ENGINE.detect(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return rows.select("id", F.explode("hits").alias("c")).select("id", F.col("c.start").alias("start_"), "c.category", "c.original", "c.placeholder")
+    return exploded(rows.select("id", "hits"), "hits").select("id", F.col("h.start").alias("start_"), "h.category", "h.original", "h.placeholder")
 
 
 @query(f"SELECT d.id AS doc_id, md5(d.redacted) AS redacted_md5, length(d.redacted)::BIGINT AS n_chars, coalesce(n, 0)::BIGINT AS n_hits FROM ({sql.replaced('SELECT doc_id AS id, text FROM documents', HITS, sql.placeholder(KEY, 'h.category', 'h.original'))}) d LEFT JOIN (SELECT id, count(*) AS n FROM ({HITS}) GROUP BY id) USING (id)")
@@ -226,7 +228,7 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT category, count(*)::BIGINT AS n_hits, count(DISTINCT original)::BIGINT AS n_originals, count(DISTINCT id)::BIGINT AS n_docs FROM ({HITS}) GROUP BY category")
 def redaction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ENGINE.detect(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("hits").alias("h"))
+    rows = exploded(ENGINE.detect(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "hits"), "hits")
     return rows.groupBy("h.category").agg(F.count(F.lit(1)).alias("n_hits"), F.countDistinct("h.original").alias("n_originals"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -235,7 +237,7 @@ FIRST = f"SELECT original, first(category ORDER BY id, start_ DESC) AS category,
 
 def document_mapping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ENGINE.redact_with_mapping(docs, "doc_id", "doc_id", created_at=F.timestamp_seconds(F.col("doc_id")))
+    return ENGINE.redact_with_mapping(docs, "doc_id", created_at=F.timestamp_seconds(F.col("doc_id")))
 
 
 @query(f"SELECT {sql.placeholder(KEY)} AS placeholder, original, category, make_timestamp(first_doc * 1000000) AS created_at FROM ({FIRST})")
@@ -270,21 +272,25 @@ def collision_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.select("original", "category", F.coalesce(F.nullif(F.regexp_extract("placeholder", r"0_(\d+)__$", 1), F.lit("")).cast("int"), F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, md5(text) AS restored_md5 FROM documents")
+MAPPED_HITS = f"(SELECT h.id, h.c0, h.c1, {sql.placeholder(KEY, 'f.category', 'f.original')} AS placeholder FROM ({HITS}) h JOIN ({FIRST}) f USING (original))"
+
+
+@query(f"""SELECT d.id AS doc_id, md5(r.redacted) AS redacted_md5, md5(d.text) AS restored_md5, coalesce(n, 0)::BIGINT AS n_hits, coalesce(n, 0)::BIGINT AS n_restored FROM (SELECT doc_id AS id, text FROM documents) d
+  JOIN ({sql.replaced('SELECT doc_id AS id, text FROM documents', MAPPED_HITS, 'h.placeholder')}) r USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM {MAPPED_HITS} GROUP BY id) USING (id)""")
 def restore_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redacted and restored documents are the documents: no two hits of theirs stand without a character between."""
+    """Redacted documents, and the documents that they restore to: no two hits of theirs stand without a character between."""
     redacted, mapping = document_mapping(spark, sf_dir)
-    rows = ENGINE.restore(redacted.select("doc_id", "redacted"), mapping, "doc_id", "redacted")
-    return rows.select("doc_id", F.md5(F.col("restored").cast("binary")).alias("restored_md5"))
+    rows = ENGINE.restore(redacted.select("doc_id", "redacted", F.size("hits").cast("long").alias("n_hits")), mapping, "redacted")
+    return rows.select("doc_id", F.md5(F.col("redacted").cast("binary")).alias("redacted_md5"), F.md5(F.col("restored").cast("binary")).alias("restored_md5"), "n_hits", "n_restored")
 
 
 MAPPED = [("__VG_NAME_0123456789ab__", "Alice"), ("__VG_EMAIL_aaaaaaaaaaaa__", "a@b.co"), ("__VG_NAME_0123456789ab_2__", "Bob"), ("__VG_CHINA_PHONE_bbbbbbbbbbbb__", "13800138000")]
-TO_RESTORE = list(enumerate(["hi __VG_NAME_0123456789ab__!", "VG_NAME_0123456789ab__ first", "x VG_EMAIL_aaaaaaaaaaaa end", "__VG_NAME_0123456789ab then", "__VG_NAME_ffffffffffff__ unknown", "__VG_NAME_0123456789ab____VG_EMAIL_aaaaaaaaaaaa__", "__VG_NAME_0123456789ab_2__ é __VG_CHINA_PHONE_bbbbbbbbbbbb__", "none", "_VG_NAME_0123456789ab__", "é VG_CHINA_PHONE_bbbbbbbbbbbb, __VG_EMAIL_aaaaaaaaaaaa__"]))
-RESTORED = ["hi Alice!", "Alice first", "x a@b.co end", "Alice then", "__VG_NAME_ffffffffffff__ unknown", "__VG_NAME_0123456789ab____VG_EMAIL_aaaaaaaaaaaa__", "Bob é 13800138000", "none", "_VG_NAME_0123456789ab__", "é 13800138000, a@b.co"]
+TO_RESTORE = list(enumerate(["a\x02b __VG_NAME_0123456789ab__\x03", "hi __VG_NAME_0123456789ab__!", "VG_NAME_0123456789ab__ first", "x VG_EMAIL_aaaaaaaaaaaa end", "__VG_NAME_0123456789ab then", "__VG_NAME_ffffffffffff__ unknown", "__VG_NAME_0123456789ab____VG_EMAIL_aaaaaaaaaaaa__", "__VG_NAME_0123456789ab_2__ é __VG_CHINA_PHONE_bbbbbbbbbbbb__", "none", "_VG_NAME_0123456789ab__", "é VG_CHINA_PHONE_bbbbbbbbbbbb, __VG_EMAIL_aaaaaaaaaaaa__"]))
+RESTORED = ["a\x02b Alice\x03", "hi Alice!", "Alice first", "x a@b.co end", "Alice then", "__VG_NAME_ffffffffffff__ unknown", "__VG_NAME_0123456789ab____VG_EMAIL_aaaaaaaaaaaa__", "Bob é 13800138000", "none", "_VG_NAME_0123456789ab__", "é 13800138000, a@b.co"]
 
 
-@query(sql.values([(i, r, n) for (i, _), r, n in zip(TO_RESTORE, RESTORED, (1, 1, 1, 1, 0, 0, 2, 0, 0, 2))], "id int, restored string, n_restored long"))
+@query(sql.values([(i, r, n) for (i, _), r, n in zip(TO_RESTORE, RESTORED, (1, 1, 1, 1, 1, 0, 0, 2, 0, 0, 2))], "id int, restored string, n_restored long"))
 def restore_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = literal_rows(spark, MAPPED, "placeholder string, original string")
-    return restoring.restore(literal_rows(spark, TO_RESTORE, "id int, text string"), mapping, "id", "text").select("id", "restored", "n_restored")
+    return restoring.restore(literal_rows(spark, TO_RESTORE, "id int, text string"), mapping, "text").select("id", "restored", "n_restored")
 

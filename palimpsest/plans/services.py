@@ -5,8 +5,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import hmac
-import tempfile
-import uuid
 import zlib
 
 import pyarrow as pa
@@ -15,25 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as fn
 from ..operators import audit, dictionary, jsonprompt, ner, requests
 from ..operators.engine import PiiEngine
+from ..scratch import scratch_path, stored
 from ..sources.rules import secret_keywords
 from ..sources import logs
 from ..streaming import events as sse, restorer, websocket
 from . import sql
 from .detection import ENGINE, HITS, KEY, KEYWORDS, document_mapping, literal_rows, query, table
 
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; in local mode without one, in a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="palimpsest-"))
-    return f"{base.rstrip('/')}/palimpsest/{name}-{uuid.uuid4().hex}"
-
-
 PROMPTED = PiiEngine(KEY, [], KEYWORDS[:2], overlap="greedy")
 TURNS = "(SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)"
 
@@ -48,7 +34,7 @@ def keyword_replaced(column: str) -> str:
 def redact_json_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content")))).alias("m"))
     bodies = rows.select("conv_id", F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("body"))
-    out = jsonprompt.redact_json(PROMPTED, bodies, "conv_id", "body")
+    out = jsonprompt.redact_json(PROMPTED, bodies, "body")
     read = F.from_json("redacted_body", "messages array<struct<role:string,content:string>>")
     return out.select("conv_id", F.array_join(F.transform(read["messages"], lambda x: x["content"]), "\n").alias("contents"), "n_hits")
 
@@ -68,7 +54,7 @@ REDACTED = [
 
 @query(sql.values([(i, r.replace("@", TOKEN), r.count("@"), i not in (4, 5)) for i, r in enumerate(REDACTED)], "id int, redacted_body string, n_hits long, is_json boolean"))
 def redact_json_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jsonprompt.redact_json(ALICE, literal_rows(spark, list(enumerate(BODIES)), "id int, body string"), "id", "body").select("id", "redacted_body", "n_hits", "is_json")
+    return jsonprompt.redact_json(ALICE, literal_rows(spark, list(enumerate(BODIES)), "id int, body string"), "body").select("id", "redacted_body", "n_hits", "is_json")
 
 
 BODY = b'{"messages":"hi"}'
@@ -176,7 +162,7 @@ SHOWN = f"""SELECT id, n, category, CASE WHEN length(original) <= 4 THEN repeat(
 @query(SHOWN)
 def audit_match_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ENGINE.detect(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    shown = rows.select("id", F.posexplode(audit.shown_matches(F.col("hits"))).alias("pos", "m"))
+    shown = rows.select("id", F.posexplode_outer(audit.shown_matches(F.col("hits"))).alias("pos", "m")).filter("m is not null")
     return shown.select("id", (F.col("pos") + 1).alias("n"), "m.category", "m.value", "m.length")
 
 
@@ -261,25 +247,35 @@ def redacted_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[s
     return chunks, known
 
 
-@query("SELECT conv_id || '-' || turn AS stream_id, md5(coalesce(text, '')) AS restored_md5 FROM conversations")
+REDACTED_TURN = keyword_replaced("text")
+STREAMED = f"""SELECT conv_id || '-' || turn AS stream_id, md5({REDACTED_TURN}) AS redacted_md5, md5(text) AS restored_md5, (len(string_split(text, 'ththre')) + len(string_split(text, 'cióntall')) - 2)::BIGINT AS n_hits FROM {TURNS}"""
+
+
+def stream_digests(chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """Digests of what went in (fragments of redacted text, with their placeholders counted) and of what came out."""
+    whole = lambda df, c: df.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c]), "").alias("whole"))
+    sent, got = whole(chunks, "fragment"), whole(rows, "output").withColumnRenamed("whole", "out")
+    n = F.regexp_count("whole", F.lit("__VG_CODE_[0-9a-f]{12}__")).cast("long")
+    return sent.join(got, "stream_id").select("stream_id", F.md5(F.col("whole").cast("binary")).alias("redacted_md5"), F.md5(F.col("out").cast("binary")).alias("restored_md5"), n.alias("n_hits"))
+
+
+@query(STREAMED)
 def stream_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restored by a streaming query over files of fragments: the conversations as they were."""
     chunks, known = redacted_chunks(spark, sf_dir)
-    source, out = scratch(spark, "chunks"), scratch(spark, "restored")
+    source, out = scratch_path(spark, "chunks"), scratch_path(spark, "restored")
     chunks.write.parquet(source)
     stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1000).parquet(source)
-    q = restorer.restore_stream(stream, known).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start()
+    q = restorer.restore_stream(stream, known).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    rows = spark.read.schema("stream_id string, seq long, output string").parquet(out)
-    joined = rows.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "output"))).alias("p"))
-    return joined.select("stream_id", F.md5(F.array_join(F.transform("p", lambda x: x["output"]), "").cast("binary")).alias("restored_md5"))
+    return stream_digests(spark.read.schema(chunks.schema).parquet(source), spark.read.schema("stream_id string, seq long, output string").parquet(out))
 
 
-@query("SELECT conv_id || '-' || turn AS stream_id, md5(coalesce(text, '')) AS restored_md5 FROM conversations")
+@query(STREAMED)
 def stream_restore_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, known = redacted_chunks(spark, sf_dir)
-    joined = restorer.restore_batch(chunks, known).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "output"))).alias("p"))
-    return joined.select("stream_id", F.md5(F.array_join(F.transform("p", lambda x: x["output"]), "").cast("binary")).alias("restored_md5"))
+    chunks = stored(chunks, "chunks")
+    return stream_digests(chunks, restorer.restore_batch(chunks, known))
 
 
 def delta(text: str, nested: bool = False) -> str:
@@ -321,21 +317,21 @@ def ws_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.values([("c", "up", 1, f"hello {TOKEN}", "hello Alice"), ("c", "up", 2, f"hello {TOKEN}", "hello Alice"), ("c", "up", 3, "packed", "packed"), ("c", "down", 0, "orphan", "orphan"), ("c", "down", 1, "binary", "binary"), ("d", "up", 1, "open", "open")], "conn string, dir string, message long, redacted string, restored string"))
 def ws_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text messages redacted on the way up and restored on the way down."""
-    rows = audit.reassembled(literal_rows(spark, FRAMES, FRAME_SCHEMA)).withColumn("key", F.concat_ws("/", "conn", "dir", "message"))
-    red = ALICE.redact(rows, "payload").withColumn("redacted", F.when(F.col("is_text"), F.col("redacted")).otherwise(F.col("payload"))).select("key", "conn", "dir", "message", "redacted")
+    rows = audit.reassembled(literal_rows(spark, FRAMES, FRAME_SCHEMA))
+    red = ALICE.redact(rows, "payload").withColumn("redacted", F.when(F.col("is_text"), F.col("redacted")).otherwise(F.col("payload"))).select("conn", "dir", "message", "redacted")
     mapping = literal_rows(spark, [(TOKEN, "Alice")], "placeholder string, original string")
-    return ALICE.restore(red, mapping, "key", "redacted").select("conn", "dir", "message", "redacted", "restored")
+    return ALICE.restore(red, mapping, "redacted").select("conn", "dir", "message", "redacted", "restored")
 
 
-SESSION = [("x", "px", 0), ("y", "py", 10), ("x", "px", 50), ("x", "px", 61), ("x", "px", 100), ("y", "py", 200)]
+SESSION = [("x", "px", 1000), ("y", "py", 1010), ("x", "px", 1050), ("x", "px", 1061), ("x", "px", 1100), ("y", "py", 1200)]
 
 
-@query(sql.values([("x", "px", 0), ("x", "px", 61), ("y", "py", 10), ("y", "py", 200)], "original string, placeholder string, registered_at long"))
+@query(sql.values([("x", "px", 1000), ("x", "px", 1061), ("y", "py", 1010), ("y", "py", 1200)], "original string, placeholder string, registered_at long"))
 def session_ttl_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, out = scratch(spark, "hits"), scratch(spark, "sessions")
+    source, out = scratch_path(spark, "hits"), scratch_path(spark, "sessions")
     literal_rows(spark, SESSION, "original string, placeholder string, at long").coalesce(1).write.parquet(source)
     stream = spark.readStream.schema("original string, placeholder string, at long").parquet(source)
-    restorer.session_stream(stream, 60).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    restorer.session_stream(stream, 60).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("original string, placeholder string, registered_at long").parquet(out)
 
 

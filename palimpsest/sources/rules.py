@@ -120,6 +120,7 @@ POSIX = {"alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "u
 def java_pattern(pattern: str) -> str:
     """The Java pattern that matches as RE2 does; what RE2 hasn't (lookaround, back references) is refused."""
     out, i, n, in_class = [], 0, len(pattern), False
+    flags, stack = frozenset(), []  # of m and U, here and outside each open group
     while i < n:
         c = pattern[i]
         if c == "\\":
@@ -151,22 +152,39 @@ def java_pattern(pattern: str) -> str:
             i += m.end()
             continue
         elif c == "$":
-            out.append(r"\z")
+            out.append(r"(?=\n|\z)" if "m" in flags else r"\z")
+        elif c == "^" and "m" in flags:
+            out.append(r"(?:(?<=\n)|\A)")
         elif pattern.startswith("(?", i):
             m = re.match(r"\(\?(?:P<(\w+)>|<(\w+)>|([imsU]*(?:-[imsU]+)?)([:)]))", pattern[i:])
             if not m:
                 raise RuleError(f"{pattern[i:i + 4]!r} isn't in RE2")
             if m[1] or m[2]:
+                stack.append(flags)
                 out.append(f"(?<{m[1] or m[2]}>")
             else:
-                if "U" in m[3] or "m" in m[3].partition("-")[0]:
-                    raise RuleError("flags m and U aren't supported")
-                out.append("(?" + m[3].replace("i", "iu", 1) + m[4])
+                on, _, off = m[3].partition("-")
+                if m[4] == ":":
+                    stack.append(flags)
+                flags = (flags | {x for x in on if x in "mU"}) - set(off)
+                kept = re.sub("[mU]", "", on).replace("i", "iu", 1) + ("-" + re.sub("[mU]", "", off) if re.sub("[mU]", "", off) else "")
+                out.append("(?" + kept + m[4] if kept or m[4] == ":" else "")
             i += m.end()
             continue
-        elif c in "*+?}" and pattern[i + 1:i + 2] == "+":
-            raise RuleError("possessive repetition isn't in RE2")
+        elif c in "*+?" or c == "{" and (counted := re.match(r"\{\d+(?:,\d*)?\}", pattern[i:])):
+            most = c if c != "{" else counted[0]
+            i += len(most)
+            if pattern[i:i + 1] == "+":
+                raise RuleError("possessive repetition isn't in RE2")
+            lazy = pattern[i:i + 1] == "?"
+            i += lazy
+            out.append(most + ("?" if lazy != ("U" in flags) else ""))
+            continue
         else:
+            if c == "(":
+                stack.append(flags)
+            elif c == ")" and stack:
+                flags = stack.pop()
             out.append(c)
         i += 1
     if in_class:
@@ -213,7 +231,7 @@ def groups(pattern: str) -> list[tuple[int, int, int]]:
 def split_at_group(pattern: str) -> tuple[str, str, str] | None:
     """Before, inside and after the only capture group, or nothing, the pattern and nothing; None if it is nested, optional or one of several."""
     own = groups(pattern)
-    flags = re.match(r"(?:\(\?[ims-]+\))*", pattern)[0]
+    flags = re.match(r"(?:\(\?[imsU-]+\))*", pattern)[0]
     if not own:
         return flags, pattern[len(flags):], ""
     start, end, depth = own[0]

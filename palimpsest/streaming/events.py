@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+import re
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dictionary import PREFIX
-from .restorer import Restorer
+from .restorer import MOST_MAPPINGS, Restorer, fragments_in_order
 
 
 def split_events(body: Column) -> Column:
@@ -92,3 +94,59 @@ def restore_events(streams: DataFrame, mapping: Mapping[str, str], prefix: str =
         return pd.DataFrame({"stream_id": [key[0]] * len(out), "seq": range(len(out)), "event": out})
 
     return parsed_events(streams).groupBy("stream_id").applyInPandas(run, "stream_id string, seq long, event string")
+
+
+BREAK = re.compile(r"\r?\n\r?\n")
+ENDS = re.compile("done|completed|complete", re.IGNORECASE)
+
+
+def read_event(event: str) -> dict:
+    """What event_fields() says of an event's text."""
+    lines = re.split(r"\r?\n", event)
+    of = lambda field: [re.sub("^ ", "", x[len(field):]) for x in lines if x.startswith(field)]
+    names, data = of("event:"), "\n".join(of("data:"))
+    name = names[-1].strip(" ") if names else ""
+    try:
+        value = json.loads(data)
+    except ValueError:
+        value = None
+    kind, delta = (value.get("type") or "", value.get("delta")) if isinstance(value, dict) else ("", None)
+    text = delta.get("text") if isinstance(delta, dict) else delta
+    shown = isinstance(text, str) and ("delta" in name or isinstance(kind, str) and "delta" in kind)
+    ends = data.strip(" ") == "[DONE]" or bool(ENDS.search(name)) or isinstance(kind, str) and bool(ENDS.search(kind))
+    return {"event": event, "data": data, "is_terminal": ends, "is_delta": shown, "delta": text if shown else None}
+
+
+def restore_event_stream(chunks: DataFrame, mapping: Mapping[str, str], prefix: str = PREFIX) -> DataFrame:
+    """(stream_id, seq, event): events as they go out, from a stream of (stream_id, seq, fragment, is_last) cut anywhere.
+
+    State, until the last fragment: the part of an event that has come, the delta that waits for the
+    next event, and the restorer's tail. seq numbers a stream's events as they go out.
+    """
+    if len(mapping) > MOST_MAPPINGS:
+        raise ValueError(f"a session holds {MOST_MAPPINGS} mappings at most")
+    known = dict(mapping)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        r = EventRestorer(known, prefix)
+        buffer, r.before, r.tail, pending, n = state.get if state.exists else ("", "", "", "", 0)
+        r.pending = tuple(json.loads(pending)) if pending else None
+        out, over = [], False
+        for row in fragments_in_order(frames).itertuples():
+            buffer += row.fragment or ""
+            over = bool(row.is_last)
+            *whole, buffer = BREAK.split(buffer)
+            if over:
+                whole, buffer = [*whole, buffer], ""
+            for event in whole:
+                if event:
+                    out += r.feed(read_event(event))
+            if over:
+                out += r.flush()
+        if not over:
+            state.update((buffer, r.before, r.tail, json.dumps(r.pending) if r.pending else "", n + len(out)))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "seq": range(n, n + len(out)), "event": out})
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, event string", "buffer string, before string, tail string, pending string, n long", "append", GroupStateTimeout.NoTimeout)

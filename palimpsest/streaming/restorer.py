@@ -7,17 +7,20 @@ before it goes out. So the output doesn't depend on where fragments are cut.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dictionary import PREFIX
 from ..operators.restore import BODY
 
 LONGEST_TAIL = 512
+#: A session's capacity.
+MOST_MAPPINGS = 100_000
 RUN = re.compile(r"[A-Za-z0-9_]*\Z")
 
 
@@ -58,21 +61,26 @@ def fragments_in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def restore_stream(chunks: DataFrame, mapping: Mapping[str, str], prefix: str = PREFIX) -> DataFrame:
-    """(stream_id, seq, output) from a stream of (stream_id, seq, fragment, is_last); state: the tail and the character before it.
+    """(stream_id, seq, output) from a stream of (stream_id, seq, fragment, is_last); state: the tail and the character before it, until the last fragment.
 
-    The mapping is one session's and goes to the tasks with the function; sessions are bounded.
+    The mapping is one session's and goes to the tasks with the function, so it may have MOST_MAPPINGS entries at most.
     """
+    if len(mapping) > MOST_MAPPINGS:
+        raise ValueError(f"a session holds {MOST_MAPPINGS} mappings at most")
     restorer = Restorer(dict(mapping), prefix)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before, tail = state.get if state.exists else ("", "")
-        rows = []
+        rows, over = [], False
         for r in fragments_in_order(frames).itertuples():
             out, before, tail = restorer.feed(before, tail, r.fragment or "")
             if r.is_last:
-                out, before, tail = out + restorer.restore(tail, before), "", ""
+                out, before, tail, over = out + restorer.restore(tail, before), "", "", True
             rows.append((key[0], r.seq, out))
-        state.update((before, tail))
+        if not over:
+            state.update((before, tail))
+        elif state.exists:  # a stream that has ended leaves nothing behind
+            state.remove()
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "output"])
 
     return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, output string", "before string, tail string", "append", GroupStateTimeout.NoTimeout)
@@ -95,18 +103,52 @@ def restore_batch(chunks: DataFrame, mapping: Mapping[str, str], prefix: str = P
 
 
 def session_stream(hits: DataFrame, ttl_seconds: int) -> DataFrame:
-    """(original, placeholder, registered_at): registrations from a stream of hits (original, placeholder, at); a hit after the time to live registers anew."""
+    """(original, placeholder, registered_at): registrations from a stream of hits (original, placeholder, at); a hit after the time to live registers anew.
+
+    An original's state goes when the watermark has passed its time to live; hits that come later than that are late and left out.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         since, rows = state.get[0] if state.exists else None, []
         for r in pd.concat(list(frames)).sort_values("at").itertuples():
             if since is None or r.at - since > ttl_seconds:
                 since = int(r.at)
                 rows.append((key[0], r.placeholder, since))
         state.update((since,))
+        state.setTimeoutTimestamp(max((since + ttl_seconds) * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(rows, columns=["original", "placeholder", "registered_at"])
 
-    return hits.groupBy("original").applyInPandasWithState(run, "original string, placeholder string, registered_at long", "since long", "append", GroupStateTimeout.NoTimeout)
+    timed = hits.withColumn("time_", F.timestamp_seconds("at")).withWatermark("time_", f"{ttl_seconds} seconds")
+    return timed.groupBy("original").applyInPandasWithState(run, "original string, placeholder string, registered_at long", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def eviction_stream(mappings: DataFrame, most: int) -> DataFrame:
+    """(session_id, placeholder, created_at) of mappings that leave a full session, from a stream of (session_id, placeholder, created_at).
 
-__all__ = ["Restorer", "restore_batch", "restore_stream", "session_stream"]
+    Before one comes to a session that holds `most`, the oldest goes (the first placeholder of those of one time); state: what a session holds.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get)) if state.exists else []
+        heapq.heapify(held)
+        known, rows = {name for _, name in held}, []
+        for r in pd.concat(list(frames)).sort_values(["created_at", "placeholder"]).itertuples():
+            if r.placeholder in known:
+                continue
+            while len(held) >= most:
+                at, name = heapq.heappop(held)
+                known.discard(name)
+                rows.append((key[0], name, int(at)))
+            heapq.heappush(held, (int(r.created_at), r.placeholder))
+            known.add(r.placeholder)
+        held.sort()
+        state.update(([at for at, _ in held], [name for _, name in held]))
+        yield pd.DataFrame(rows, columns=["session_id", "placeholder", "created_at"])
+
+    return mappings.groupBy("session_id").applyInPandasWithState(run, "session_id string, placeholder string, created_at long", "at array<long>, names array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+__all__ = ["Restorer", "eviction_stream", "restore_batch", "restore_stream", "session_stream"]

@@ -27,7 +27,10 @@ def build_frame(payload: bytes, opcode: int = 1, fin: bool = True, rsv: int = 0,
 
 
 def parse_frames(raw: bytes | None) -> list[tuple[int, bool, int, int, bytes]]:
-    """(seq, fin, rsv, opcode, payload) of each whole frame; a cut last frame is left out."""
+    """(seq, fin, rsv, opcode, payload) of each whole frame; a cut last frame is left out.
+
+    A length over 63 bits is no frame: what is left passes on as it is, in a last row without an opcode.
+    """
     found, at, raw = [], 0, bytes(raw or b"")
     while at + 2 <= len(raw):
         first, second = raw[at], raw[at + 1]
@@ -37,6 +40,8 @@ def parse_frames(raw: bytes | None) -> list[tuple[int, bool, int, int, bytes]]:
             if at_next + width > len(raw):
                 break
             n, at_next = int.from_bytes(raw[at_next:at_next + width], "big"), at_next + width
+            if n >> 63:
+                return [*found, (len(found), None, None, None, raw[at:])]
         mask = raw[at_next:at_next + 4] if second & 0x80 else b""
         begin = at_next + (4 if second & 0x80 else 0)
         if begin + n > len(raw):
