@@ -6,8 +6,8 @@ a suffix array (prefix doubling) gives the Burrows-Wheeler transform, a wavelet
 All phrases are searched backward together, a word at a time; occurrences are located by walking to
 the next sampled suffix position. Occurrences become spans of words, merged for each document.
 
-Null or empty texts have no words. Null or empty benchmark texts have no windows; a benchmark row
-without an item_id marks words but isn't listed. Rows with the same item_id are one item. Documents
+Null or empty texts have no words. Null or empty benchmark texts have no windows; benchmark rows
+without an item_id are one item, listed last as null. Rows with the same item_id are one item. Documents
 are rows: repeated ones are judged alike, each on its own. Empty tables give no hits or no rows.
 """
 
@@ -21,13 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import PLAIN_WORDS, append_columns, stored
+from .common import PLAIN_WORDS, append_columns, deleted, stored
 
 WINDOW = 13
 #: A document is contaminated if this share of its words is hit.
 SHARE = 20
 #: Benchmark text that one pass over the documents searches for; more takes more passes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Pieces of long items have a word for so many bytes of a block.
+PIECE_SHARE = 256
+WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Distance of sampled suffix positions.
 SAMPLE = 16
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)]), False)
@@ -101,12 +104,13 @@ class FMIndex:
         self.samples = order[self.marked]
         self.n = n
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [low, high) of each pattern; patterns are right-aligned in their rows."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        for k in range(patterns.shape[1] - 1, -1, -1):
-            live = np.flatnonzero((lengths > patterns.shape[1] - 1 - k) & (low < high))
-            c = patterns[live, k]
+    def search(self, stream: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [low, high) of each pattern: `lengths` symbols of stream from `first`."""
+        low, high = np.zeros(len(first), np.int64), np.full(len(first), self.n, np.int64)
+        live = np.arange(len(first))
+        for k in range(1, int(lengths.max(initial=0)) + 1):
+            live = live[(lengths[live] >= k) & (low[live] < high[live])]
+            c = stream[first[live] + lengths[live] - k].astype(np.int64)
             low[live], high[live] = self.first[c] + self.bwt.rank(c, low[live]), self.first[c] + self.bwt.rank(c, high[live])
         return low, high
 
@@ -121,28 +125,38 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """Distinct windows of a block of benchmark items."""
+    """Distinct windows of a block of benchmark items, as places in the stream of the items' words."""
 
     vocabulary: dict[bytes, int]
-    patterns: np.ndarray
+    stream: np.ndarray
+    first: np.ndarray
     lengths: np.ndarray
-    items: list[list[int]]
+    #: the items of window k are items[item_at[k]:item_at[k + 1]], numbers of names
+    items: np.ndarray
+    item_at: np.ndarray
     names: list[str | None]
 
 
 def phrases_of(items: list[tuple[object, bytes | None]], window: int) -> Phrases:
     vocabulary: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[int]] = {}
     names: dict[object, int] = {}
-    for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        k = names.setdefault(item, len(names))
-        for i in range(max(1, len(ids) - window + 1) if ids else 0):
-            found.setdefault(tuple(ids[i:i + window]), set()).add(k)
-    patterns = np.zeros((len(found), window), np.int64)
-    for row, p in enumerate(found):
-        patterns[row, window - len(p):] = p
-    return Phrases(vocabulary, patterns, np.fromiter(map(len, found), np.int64, len(found)), [sorted(s) for s in found.values()], [None if x is None else str(x) for x in names])
+    coded = [(names.setdefault(item, len(names)), np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], np.int32)) for item, text in items]
+    coded = [(k, ids) for k, ids in coded if len(ids)]
+    size = np.array([len(ids) for _, ids in coded], np.int64)
+    stream = np.concatenate([np.zeros(0, np.int32), *[ids for _, ids in coded]])
+    count = np.maximum(1, size - window + 1)
+    first = np.repeat(np.cumsum(size) - size - np.cumsum(count) + count, count) + np.arange(count.sum())
+    lengths = np.repeat(np.minimum(size, window), count)
+    owner = np.repeat(np.array([k for k, _ in coded], np.int64), count)
+    # equal windows side by side: rows of their words, padded with 0, in order
+    padded = np.append(stream, np.zeros(window, np.int32))
+    rows = np.stack([np.where(lengths > k, padded[first + k], 0) for k in range(window)], 1) if len(first) else np.zeros((0, window), np.int32)
+    order = np.lexsort([owner, *rows.T[::-1]])
+    rows, owner = rows[order], owner[order]
+    new = np.append(True, (rows[1:] != rows[:-1]).any(1))[:len(rows)]
+    own = new | np.append(True, owner[1:] != owner[:-1])[:len(rows)]
+    number = np.cumsum(new) - 1
+    return Phrases(vocabulary, stream, first[order][new], lengths[order][new], owner[own].astype(np.int32), np.searchsorted(number[own], np.arange(int(new.sum()) + 1)), [None if x is None else str(x) for x in names])
 
 
 def find_in_shard(texts: list[bytes | None], phrases: Phrases) -> tuple[np.ndarray, list[np.ndarray], list[set[int]]]:
@@ -171,7 +185,7 @@ def find_in_shard(texts: list[bytes | None], phrases: Phrases) -> tuple[np.ndarr
     at = np.concatenate([[1], 1 + np.cumsum(sizes)])
     text = np.concatenate([[0], symbols[np.repeat(starts - at[:-1], sizes) + np.arange(1, at[-1])]])
     index = FMIndex(text, len(phrases.vocabulary) + 1)
-    low, high = index.search(phrases.patterns, phrases.lengths)
+    low, high = index.search(phrases.stream, phrases.first, phrases.lengths)
     n = np.maximum(high - low, 0)
     if not n.sum():
         return counts, spans, items
@@ -190,15 +204,21 @@ def find_in_shard(texts: list[bytes | None], phrases: Phrases) -> tuple[np.ndarr
         end = np.maximum.accumulate(first[a:b] + phrases.lengths[which[a:b]])
         new = np.concatenate([[True], first[a + 1:b] > end[:-1]])
         spans[doc[a]] = np.stack([first[a:b][new], end[np.concatenate([new[1:], [True]])]], 1)
-        items[doc[a]] = {i for w in set(which[a:b].tolist()) for i in phrases.items[w]}
+        items[doc[a]] = {i for w in set(which[a:b].tolist()) for i in phrases.items[phrases.item_at[w]:phrases.item_at[w + 1]].tolist()}
     return counts, spans, items
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[object, bytes]]]]:
-    """How many blocks of about block_bytes the benchmark makes, and these; an item's rows stay in one block."""
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, window: int) -> tuple[int, Iterator[list[tuple[object, bytes]]]]:
+    """How many blocks of about block_bytes the benchmark makes, and these. Long items are cut into pieces that share window - 1 words."""
     rows = benchmark.select(benchmark[id_col].alias("i"), benchmark[text_col].cast("string").alias("t")).filter("t is not null").distinct()
     n = max(1, -(-(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
-    parts = (rows.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k) if n > 1 else rows for k in range(n))
+    if n == 1:
+        return 1, ([(r.i, r.t.encode()) for r in part.collect()] for part in [rows])
+    step = max(1, block_bytes // PIECE_SHARE)
+    words = rows.withColumn("w", F.regexp_extract_all("t", F.lit(WORD_PATTERN), F.lit(0)))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(step))
+    pieces = words.select("i", F.posexplode(F.transform(starts, lambda s: F.array_join(F.slice("w", s + 1, step + window - 1), " "))).alias("piece", "t"))
+    parts = (pieces.filter(F.pmod(F.xxhash64("i", "piece", F.col("t")), F.lit(n)) == k) for k in range(n))
     return n, ([(r.i, r.t.encode()) for r in part.collect()] for part in parts)
 
 
@@ -207,23 +227,27 @@ def shard_columns(texts: list[bytes | None], phrases: Phrases) -> list[pa.Array]
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
     flat = np.concatenate(spans)
     pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0], pa.int32()), pa.array(flat[:, 1], pa.int32())], fields=[pa.field("first", pa.int32(), False), pa.field("end", pa.int32(), False)])
-    names = [sorted({phrases.names[i] for i in s if phrases.names[i] is not None}) for s in items]
+    names = [sorted({phrases.names[i] for i in s}, key=lambda x: (x is None, x)) for s in items]
     return [pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pairs), pa.array(names, pa.list_(pa.string()))]
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = SHARE, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (default: all) of docs, n_words, spans (merged, of words, half open), items (sorted strings), n_hit and contaminated."""
-    n, blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType(), False))]
+    n, blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes, window)
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in {"n_words", "spans", "items", "n_hit", "contaminated"}]
     carried = "benchmarked_text"
     while carried in kept:
         carried += "_"
     out = docs if n == 1 else docs.select(*[docs[c] for c in kept], docs[text_col].alias(carried))
+    before = None
     for k, block in enumerate(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(phrases_of(block, window))
         if k:
             out = stored(out.withColumnsRenamed({"spans": "spans_before", "items": "items_before"}), "decontamination")
+            if before:
+                deleted(docs.sparkSession, before)
+            before = out.stored_at
         out = append_columns(out, text_col if n == 1 else carried, fields, lambda texts, shared=shared: shard_columns(texts, shared.value), kept if n == 1 else None)
         if k:
             out = out.withColumns({"spans": merged(F.concat("spans_before", "spans")), "items": F.array_sort(F.array_union("items_before", "items"))}).drop("spans_before", "items_before")

@@ -23,6 +23,7 @@ LEAST_KEPT = 0.5
 LEAST_WORDS, REPEATED_SHARE = 50, 50
 #: Lines above the limit are broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_ROWS = 100_000
+#: Bits of a window's place beside its hash.
 PLACE_BITS = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,25 +36,35 @@ def split_words(text: Column) -> Column:
 def repeated_words(profile: DataFrame) -> DataFrame:
     """Adds n_repeat_words to rows with words: words in three-word windows that occur twice or more.
 
-    Hash and place of a window share a long, so sorting longs brings equal windows together; texts of
-    over 2**20 words sort pairs of both instead.
+    Hash and place of a window share a long, so sorting longs brings equal windows together, and
+    neighbours with one hash are held against each other word by word. Texts where such neighbours
+    differ, and those with too many words for a place, sort hashes with the words themselves instead,
+    so the figure is exact whatever hashes do.
     """
-    window = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
+    word = lambda i: F.get("words", i)
+    window = lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))
     places = F.sequence(F.lit(0), F.col("n_words").cast("int") - 3)
     low = (1 << PLACE_BITS) - 1
-    fits = F.col("n_words") <= low
-    none = F.array().cast("array<bigint>")
-    packed = F.when(fits & (F.col("n_words") > 3), F.sort_array(F.transform(places, lambda i: window(i).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))).otherwise(none)
-    pairs = F.when(~fits, F.sort_array(F.transform(places, lambda i: F.struct(window(i).alias("h"), i.cast("long").alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:bigint>>"))
+    fits = (F.col("n_words") <= low) & (F.col("n_words") > 3)
+    packed = F.when(fits, F.sort_array(F.transform(places, lambda i: window(i).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))).otherwise(F.array().cast("array<bigint>"))
     same = lambda a, b: F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)
-    rows = profile.withColumns({"packed": packed, "pairs": pairs})
+    rows = profile.withColumn("packed", packed)
     short = F.filter("packed", lambda p, k: same(F.coalesce(F.get("packed", k - 1), F.bitwise_not(p)), p) | same(F.coalesce(F.get("packed", k + 1), F.bitwise_not(p)), p))
-    long = F.filter("pairs", lambda p, k: (F.get("pairs", k - 1)["h"].eqNullSafe(p["h"])) | (F.get("pairs", k + 1)["h"].eqNullSafe(p["h"])))
-    starts = F.sort_array(F.concat(F.transform(short, lambda p: p.bitwiseAND(F.lit(low))), F.transform(long, lambda p: p["i"])))
-    rows = rows.withColumn("starts", starts)
+    rows = rows.withColumn("alike", short)
+    place = lambda p: p.bitwiseAND(F.lit(low)).cast("int")
+    differ = lambda i, j: (word(i) != word(j)) | (word(i + 1) != word(j + 1)) | (word(i + 2) != word(j + 2))
+    after = lambda p, k: F.coalesce(F.get("alike", k + 1), F.bitwise_not(p))
+    mixed = F.size(F.filter("alike", lambda p, k: same(after(p, k), p) & differ(place(p), place(after(p, k))))) > 0
+    rows = rows.withColumn("by_words", (F.col("n_words") > low) | mixed)
+    spelt = F.sort_array(F.transform(places, lambda i: F.struct(window(i).alias("h"), word(i).alias("a"), word(i + 1).alias("b"), word(i + 2).alias("c"), i.cast("long").alias("i"))))
+    rows = rows.withColumn("spelt", F.when(F.col("by_words"), spelt).otherwise(F.array().cast("array<struct<h:bigint,a:string,b:string,c:string,i:bigint>>")))
+    equal = lambda x, p: F.coalesce((x["h"] == p["h"]) & (x["a"] == p["a"]) & (x["b"] == p["b"]) & (x["c"] == p["c"]), F.lit(False))
+    long = F.filter("spelt", lambda p, k: equal(F.get("spelt", k - 1), p) | equal(F.get("spelt", k + 1), p))
+    starts = F.when(F.col("by_words"), F.transform(long, lambda p: p["i"])).otherwise(F.transform("alike", lambda p: p.bitwiseAND(F.lit(low))))
+    rows = rows.withColumn("starts", F.sort_array(starts))
     first = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("starts", first, lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3).cast("long"), p - acc["last"])).alias("n")), lambda acc: acc["n"])
-    return rows.withColumn("n_repeat_words", covered).drop("packed", "pairs", "starts")
+    return rows.withColumn("n_repeat_words", covered).drop("packed", "alike", "by_words", "spelt", "starts")
 
 
 def text_profile(docs: DataFrame, text_col: str, host_col: str, id_col: str) -> DataFrame:

@@ -92,7 +92,7 @@ iw AS (SELECT DISTINCT item_id, n, array_to_string(words[i:i + n - 1], ' ') AS w
 dw AS (SELECT r, n, i, array_to_string(words[i:i + n - 1], ' ') AS win FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM iw))),
 m AS (SELECT dw.r, dw.i, dw.n, iw.item_id FROM dw JOIN iw USING (n, win)),
 hit AS (SELECT r, count(DISTINCT cell) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS cell FROM m) GROUP BY r),
-it AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS names FROM m GROUP BY r)
+it AS (SELECT r, count(DISTINCT item_id) + max(CASE WHEN item_id IS NULL THEN 1 ELSE 0 END) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR) FILTER (item_id IS NOT NULL)), ',') AS names FROM m GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND {decontamination.SHARE} * coalesce(n_hit, 0) >= len(words) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """

@@ -4,7 +4,8 @@ Writing: each task writes files of records and the committed list of files (_arc
 places where a reader may start) is written last, so files of lost or repeated tasks are never read.
 Reading: file ranges become partitions; filters on record_type, record_id, target_uri and refers_to
 are pushed down; a record's header is parsed first and the payload of a record that isn't wanted is
-skipped by its length, never read or decoded. Option payload=false skips all payloads.
+skipped by its length, never decoded (nor fetched, beyond what a buffered request holds). Option
+payload=false skips all payloads.
 
 Archives must lie where Python can write, by a path or URI that pyarrow.fs knows.
 
@@ -33,6 +34,8 @@ SCHEMA = T.StructType([
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_length": "X-Payload-Length"}
 #: A reader may start after so many bytes; a file ends after so many.
 RANGE_BYTES, FILE_BYTES, BATCH_BYTES = 16 << 20, 256 << 20, 8 << 20
+#: Bytes of a request for payloads, and of one for headers alone.
+PAYLOAD_REQUEST, HEADER_REQUEST = 1 << 20, 64 << 10
 MANIFEST = "_archives.json"
 #: Payloads under this size are always written whole.
 LEAST_REVISIT = 1000
@@ -65,8 +68,8 @@ def record(row: dict) -> bytes:
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, range_bytes: int = RANGE_BYTES, file_bytes: int = FILE_BYTES):
+        self.path, self.range_bytes, self.file_bytes = path, range_bytes, file_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = fs.FileSystem.from_uri(self.path)
@@ -78,12 +81,12 @@ class WarcWriter(DataSourceArrowWriter):
                     files.append({"file": f"{uuid.uuid4().hex}.warc", "bytes": 0, "starts": [0]})
                     out = system.open_output_stream(f"{folder}/{files[-1]['file']}")
                 now = files[-1]
-                if now["bytes"] - now["starts"][-1] >= RANGE_BYTES:
+                if now["bytes"] - now["starts"][-1] >= self.range_bytes:
                     now["starts"].append(now["bytes"])
                 made = record(row)
                 out.write(made)
                 now["bytes"] += len(made)
-                if now["bytes"] >= FILE_BYTES:
+                if now["bytes"] >= self.file_bytes:
                     out.close()
                     out = None
         if out is not None:
@@ -103,9 +106,22 @@ class WarcWriter(DataSourceArrowWriter):
                 system.delete_file(f"{folder}/{f['file']}")
 
 
+class Buffered:
+    """Reads of a file by place, in requests of `size` bytes at least."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.at, self.held = file, size, 0, b""
+
+    def read_at(self, n: int, at: int) -> bytes:
+        if not self.at <= at <= at + n <= self.at + len(self.held):
+            self.at, self.held = at, self.file.read_at(max(n, self.size), at)
+        return self.held[at - self.at:at - self.at + n]
+
+
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, with_payload: bool):
+    def __init__(self, path: str, with_payload: bool, request_bytes: int | None = None):
         self.path, self.with_payload, self.wanted = path, with_payload, []
+        self.request_bytes = request_bytes or (PAYLOAD_REQUEST if with_payload else HEADER_REQUEST)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -127,8 +143,8 @@ class WarcReader(DataSourceReader):
             return
         system, folder = fs.FileSystem.from_uri(self.path)
         rows, held = [], 0
-        with system.open_input_file(f"{folder}/{file}") as f:
-            at = start
+        with system.open_input_file(f"{folder}/{file}") as opened:
+            f, at = Buffered(opened, self.request_bytes), start
             while at < end:
                 header, body_at = self.header(f, at)
                 length = int(header["Content-Length"])
@@ -173,10 +189,10 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: T.StructType) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true") == "true")
+        return WarcReader(self.options["path"], self.options.get("payload", "true") == "true", int(self.options.get("request_bytes", 0)))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), int(self.options.get("file_bytes", FILE_BYTES)))
 
 
 def register(spark: SparkSession) -> None:
@@ -193,8 +209,11 @@ def id_of(uri: Column) -> Column:
     return F.when(found != "", found.cast("long"))
 
 
-def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> None:
-    """One record for each row; of equal payloads the largest id's is the response, others are revisits without payload."""
+def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT, **options) -> None:
+    """One record for each row; of equal payloads the largest id's is the response, others are revisits without payload.
+
+    options: range_bytes and file_bytes, after which a reader may start and a file ends.
+    """
     spark = pages.sparkSession
     register(spark)
     small_batches(spark)
@@ -209,18 +228,18 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     rows.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"), page_uri(F.col("id")).alias("record_id"), "target_uri", F.when(again, page_uri(F.col("kept_id"))).alias("refers_to"),
         F.concat(F.lit("sha1:"), "payload_digest").alias("payload_digest"), "payload_length", F.when(~again, F.col("payload")).alias("payload"),
-    ).write.format("warc").mode("append").save(path)
+    ).write.format("warc").options(**options).mode("append").save(path)
 
 
-def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, payload: bool = True, **options) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").options(**options).option("payload", str(payload).lower()).load(path)
 
 
-def page_records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: of responses by their payloads, of revisits by their headers."""
-    whole = read_archive(spark, path).filter("record_type = 'response'")
-    whole = whole.select("record_type", "record_id", "refers_to", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    again = read_archive(spark, path, payload=False).filter("record_type = 'revisit'")
-    again = again.select("record_type", "record_id", "refers_to", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), F.col("payload_length").alias("payload_bytes"))
-    return whole.unionByName(again).select(id_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_of(F.col("refers_to")).alias("refers_to"))
+def page_records(spark: SparkSession, path: str, **options) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: of responses by their payloads, of revisits by their headers; one read of the archives."""
+    rows, whole = read_archive(spark, path, **options), F.col("record_type") == "response"
+    return rows.select(
+        id_of(F.col("record_id")).alias("page_id"), F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(whole, F.sha1("payload")).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"), "record_type", id_of(F.col("refers_to")).alias("refers_to"),
+    )

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -39,6 +41,46 @@ def test_near_notices(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "i int, text string")).count() == 0
 
 
+def test_other_notices(spark):
+    texts = ["SPDX-License-Identifier: MPL-2.0", "Redistribution and use in source and binary form are", "Creative Commons Atribution 4.0", "the BSD License", "is license", "Mozilla Public Licence, v. 2.0\n" + "x " * 300_000 + "Permission is hereby granted, free of charge, to any person obtaining a copy", "Lesser General Public License"]
+    docs = spark.createDataFrame([(i, t, "clash", 0.5) for i, t in enumerate(texts)], "i int, text string, notices string, score double")
+    got = {r.i: r for r in licenses.scan_licenses(docs).collect()}
+    assert [sorted({n.label for n in got[i].notices}) for i in range(7)] == [["mpl"], ["bsd"], ["cc-by"], ["bsd"], [], ["mit", "mpl"], ["gpl", "lgpl"]]
+    assert got[5].n_words == 300_000 + 6 + 13 and [b.label for b in got[6].base] == ["gpl"] and not got[3].base
+    assert licenses.scan_licenses(docs).columns == ["i", "text", "n_words", "base", "notices", "score"]
+    assert not any(r.notices for r in licenses.scan_licenses(docs.filter("i = 3"), notices=()).collect())
+
+
+def test_near_notices_on_documents_equal_brute_force(spark, sf_dir):
+    """Labels of the query: every phrase within its edits of some run of words, by edit distance at each start."""
+    docs = {r.doc_id: r.text for r in queries.table(spark, sf_dir, "documents").collect()}
+    phrases = [(p, label, len(p) // licenses.CHARS_PER_EDIT) for p, label in licenses.PHRASES] + [(p, label, len(p) // licenses.CHARS_PER_NOTICE_EDIT) for p, label in licenses.NOTICES] + [(p, label, 0) for p, label in licenses.IDENTIFIERS]
+
+    def near(words, phrase, most):
+        n = len(phrase.split())
+        for i in range(len(words)):
+            for k in range(max(1, n - most), n + most + 1):
+                run = " ".join(words[i:i + k])
+                if i + k <= len(words) and abs(len(run) - len(phrase)) <= most and distance(run, phrase) <= most:
+                    return True
+        return False
+
+    rows = queries.op4_licenses(spark, sf_dir).collect()
+    hits = [r for r in rows if r.labels]
+    for r in [*hits[:4], *[r for r in rows if not r.labels][:3]]:
+        words = plain(docs[r.doc_id])
+        assert set(filter(None, r.labels.split(","))) == {label for p, label, most in phrases if near(words, p, most)}, r.doc_id
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_op7_equals_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
@@ -67,6 +109,19 @@ def test_very_long_text_takes_the_other_sort(spark, monkeypatch):
     assert {r.doc_id: r.n_repeat_words for r in line_rules.line_rules(docs).collect()} == {1: 6, 2: 6}
 
 
+@pytest.mark.parametrize("bits", [line_rules.PLACE_BITS, 59])
+def test_repeats_are_exact_whatever_hashes_do(spark, monkeypatch, bits):
+    """With 59 bits of place, only 5 are left to tell windows apart, so most texts hold equal hashes of different windows."""
+    monkeypatch.setattr(line_rules, "PLACE_BITS", bits)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))) for _ in range(120)] + [None, "a b c", "a b c a b c", " ".join(map(str, range(3000))) + " 1 2 3"]
+    docs = spark.createDataFrame([(i, t, "h", i) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_words int")
+    for r in line_rules.line_rules(docs).collect():
+        w = (texts[r.doc_id] or "").split()
+        windows = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+        assert r.n_repeat_words == len({i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(3)}), texts[r.doc_id]
+
+
 def test_op8_equals_digests_of_turns(spark, sf_dir):
     turns = {}
     for r in queries.table(spark, sf_dir, "conversations").orderBy("conv_id", "turn").collect():
@@ -123,18 +178,20 @@ def test_op9_equals_brute_force(spark, sf_dir):
     assert sorted(map(tuple, queries.op9_warc(spark, sf_dir).collect()), key=repr) == expected_records(rows)
 
 
-def test_warc_cases(spark, monkeypatch):
-    monkeypatch.setattr(warc, "RANGE_BYTES", 3000)
+@pytest.mark.parametrize("request_bytes", [100, 1 << 20])
+def test_warc_cases(spark, request_bytes):
+    asked = {"request_bytes": str(request_bytes)}
     big = "é\r\n\r\nWARC/1.1\r\n" * 100
-    rows = [(1, big), (9, big), (4, big), (9, big), (None, big), (2, None), (3, ""), (5, "short"), (6, "short"), (7, big + "x"), (8, "y" * 999), (10, "y" * 999)]
+    rows = [(1, big), (9, big), (4, big), (9, big), (None, big), (2, None), (3, ""), (5, "short"), (6, "short"), (7, big + "x"), (8, "y" * 999), (10, "y" * 999), (11, "z" * 3_000_000), (12, "z" * 3_000_000)]
     pages = spark.createDataFrame([(i, None if i == 2 else f"http://h/{i}\r\nx", h, "clash") for i, h in rows], "page_id long, url string, html string, payload string")
     path = scratch_path(spark, "w")
-    warc.write_pages(pages.repartition(2), path)
-    assert sorted(map(tuple, warc.page_records(spark, path).collect()), key=repr) == expected_records(rows)
-    one = warc.read_archive(spark, path).filter(F.col("record_id") == "<urn:page:7>")
+    warc.write_pages(pages.repartition(2), path, range_bytes="3000", file_bytes="4000")
+    assert len(list(Path(path.removeprefix("file://")).glob("*.warc"))) > 2
+    assert sorted(map(tuple, warc.page_records(spark, path, **asked).collect()), key=repr) == expected_records(rows)
+    one = warc.read_archive(spark, path, **asked).filter(F.col("record_id") == "<urn:page:7>")
     assert [r.payload.decode() for r in one.collect()] == [big + "x"]
-    assert warc.read_archive(spark, path, payload=False).filter("payload is not null").count() == 0
-    assert warc.read_archive(spark, path).filter("record_type in ('revisit') and target_uri is not null").count() == 3
+    assert warc.read_archive(spark, path, payload=False, **asked).filter("payload is not null").count() == 0
+    assert warc.read_archive(spark, path).filter("record_type in ('revisit') and target_uri is not null").count() == 4
     empty = scratch_path(spark, "w")
     warc.write_pages(pages.limit(0), empty)
     assert warc.page_records(spark, empty).count() == 0

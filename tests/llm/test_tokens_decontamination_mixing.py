@@ -103,8 +103,8 @@ def brute(text, items, window=13):
             for i in range(len(words) - len(p) + 1):
                 if tuple(words[i:i + len(p)]) == p:
                     hit |= set(range(i, i + len(p)))
-                    found.add(str(item))
-    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
+                    found.add(item)
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
 def test_op2_equals_brute_force(spark, sf_dir):
@@ -117,9 +117,10 @@ def test_op2_equals_brute_force(spark, sf_dir):
 
 
 @pytest.mark.parametrize("block", [1 << 20, 60])
-def test_contamination_cases(spark, block):
+def test_contamination_cases(spark, block, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE_SHARE", 10)
     rng = np.random.default_rng(1)
-    items = [(1, "a b"), (2, "c"), (10, "a a a"), (3, None), (4, "..."), (1, "b a c"), (5, " ".join(rng.choice(list("abcd"), 20)))]
+    items = [(1, "a b"), (2, "c"), (10, "a a a"), (3, None), (4, "..."), (1, "b a c"), (None, "d d"), (None, "b b b"), (6, " ".join(rng.choice(list("abcd"), 90))), (5, " ".join(rng.choice(list("abcd"), 20)))]
     texts = [None, "", "c", "A! B", "x a b x", "a a a a", "b a c b", *(" ".join(rng.choice(list("abcdx"), n, p=[.3, .3, .2, .1, .1])) for n in rng.integers(1, 60, 40)), f"q {items[-1][1]} q"]
     docs = spark.createDataFrame([(i, t, "s", "p", "clash") for i, t in enumerate(texts)], DOCS).withColumnRenamed("ids", "items")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -130,9 +131,11 @@ def test_contamination_cases(spark, block):
     for i, t in enumerate(texts):
         want = brute(t, [(k, x) for k, v in by_item.items() for x in v])
         r = got[i]
-        assert (r.n_words, r.n_hit, len(r["items"]), decontamination.item_digest(r["items"]), r.contaminated) == want, t
+        assert (r.n_words, r.n_hit, len(r["items"]), decontamination.item_digest([x for x in r["items"] if x is not None]), r.contaminated) == want, t
     assert decontamination.mark_contamination(docs.limit(0), bench).count() == 0
     assert decontamination.mark_contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
+    long = spark.createDataFrame([(1, "x " * 200_000 + items[-1][1] + " y" * 200_000, "s", "p", "c")], DOCS)
+    assert [(r.n_words, r.n_hit >= 20, "5" in r["items"]) for r in decontamination.mark_contamination(long.drop("ids"), bench, block_bytes=block).collect()] == [(400_020, True, True)]
     assert decontamination.remove_spans("One two, three four!", [(1, 3)]) == "One  four!"
 
 
