@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,7 +23,7 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own, which goes with the process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
@@ -29,7 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
-        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        folder = tempfile.mkdtemp(prefix="palimpsest-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folder[app] = f"file://{folder}"
     return _own_folder[app]
 
 

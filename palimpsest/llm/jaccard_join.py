@@ -373,13 +373,14 @@ def verified(pairs: DataFrame, figures: DataFrame, texts_of: Callable[[DataFrame
     """The linked ones of pairs (a, b); figures: (id, n, sketch). Texts are fetched and travel only for pairs that may link."""
     with scratch() as keep:
         for c in ("a", "b"):
-            pairs = pairs.join(beside(figures, F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), most=BROADCAST_IDS // 10), c)
+            pairs = pairs.join(beside(figures, F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), most=BROADCAST_IDS // 5), c)
         pairs = keep(pairs.filter(may_link()).select("a", "b").distinct(), "pairs")
         ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         texts = keep(texts_of(ids), "texts")
         one = texts.select(F.col("id").alias("a"), F.col("x").alias("xa"))
         two = texts.select(F.col("id").alias("b"), F.col("x").alias("xb"))
-        joined = pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb")
+        # few pairs go to the texts, which then move once for each side and not twice for one
+        joined = one.join(beside(pairs, F.col("a"), F.col("b")), "a").join(two, "b").select("a", "b", "xa", "xb")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = ExactSets()
@@ -499,7 +500,8 @@ def clustered(short: DataFrame, split: DataFrame, names: DataFrame) -> DataFrame
     """(id, cluster, apart, name): documents of short (id, room) that have a skipped signature in common, or had no room from the start; one may be in a cluster of either sort."""
     rows = split.join(beside(short, F.col("id").alias("doc")), "doc", "left_semi")
     leads = rows.groupBy("sig").agg(F.min("doc").alias("a"))
-    clusters = components(stored(rows.join(leads, "sig").select("a", F.col("doc").alias("b")).distinct(), "edges"))
+    leads = stored(leads, "leads")
+    clusters = components(stored(rows.join(beside(leads, F.col("sig"), F.col("a")), "sig").select("a", F.col("doc").alias("b")).distinct(), "edges"))
     # without room from the start: a cluster for all of them
     alone = short.filter("room < 0").select("id", F.lit(-1).cast("long").alias("cluster"), F.lit(True).alias("apart"))
     return named(clusters.select("id", F.col("name").alias("cluster"), F.lit(False).alias("apart")).unionByName(alone), "id", names)
@@ -515,7 +517,8 @@ def compared_in_blocks(members: DataFrame, size: int, compare: Callable[[pa.Tabl
     parts = members.groupBy("cluster", "apart", "name").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("cluster", "apart").agg(F.max_by("name", F.struct("k", "name")).alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("out")).filter("out > 0")
     blocks = lambda n: F.ceil(F.col(n) / size).cast("int")
-    rows = members.join(main, ["cluster", "apart"])
+    main = stored(main, "main")
+    rows = members.join(beside(main, *main.columns), ["cluster", "apart"])
     own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
     held = [*members.columns, "left", "l", "r"]
     right = rows.withColumns({"left": F.lit(False), "l": F.explode(F.sequence(F.lit(0), blocks("out") - 1)), "r": own("all")}).select(*held)
