@@ -61,6 +61,25 @@ def unexpired(mapping: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     return mapping.filter(F.col("created_at") >= now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
 
 
+def lookup(mapping: DataFrame, placeholders: DataFrame) -> DataFrame:
+    """(placeholder, original) of placeholders; the time to live isn't looked at."""
+    return placeholders.select("placeholder").distinct().join(mapping.select("placeholder", "original"), "placeholder")
+
+
+def reverse(mapping: DataFrame, originals: DataFrame) -> DataFrame:
+    """(original, placeholder) of originals."""
+    return originals.select("original").distinct().join(mapping.select("original", "placeholder"), "original")
+
+
+def gauges(mapping: DataFrame, most: int, ttl_seconds: int) -> DataFrame:
+    """One row: how many mappings a session holds, may hold, and for how long."""
+    return mapping.agg(F.count(F.lit(1)).alias("active"), F.lit(most).cast("long").alias("most"), F.lit(ttl_seconds).cast("long").alias("ttl_seconds"))
+
+
+def cleared(mapping: DataFrame) -> DataFrame:
+    return mapping.limit(0)
+
+
 def listed_category(placeholder_: Column) -> Column:
     """What a listing shows: letters up to the first underscore after the standard prefix, else UNKNOWN."""
     return F.coalesce(F.nullif(F.regexp_extract(placeholder_, f"^{PREFIX}([^_]+)_", 1), F.lit("")), F.lit("UNKNOWN"))

@@ -39,3 +39,10 @@ def read_framed_log(spark: SparkSession, path: str) -> DataFrame:
 def follow(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of lines of the text files that come to a folder."""
     return spark.readStream.text(folder)
+
+
+def tail_file(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(line_no from the end, value) of a text file's last n lines, in order; one task reads each block, and only n lines of each leave it."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    last = rows.orderBy(F.col("file").desc(), F.col("block").desc(), F.col("place").desc()).limit(n)
+    return last.orderBy("file", "block", "place").select("value")

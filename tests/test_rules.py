@@ -104,3 +104,27 @@ def test_framed_log_files(spark, tmp_path):
     got = logs.read_framed_log(spark, str(tmp_path)).select("seq", "entry").collect()
     assert [(r.seq, bytes(r.entry)) for r in got] == [(0, b"one"), (1, b""), (2, b"three")]
     assert logs.follow(spark, str(tmp_path)).isStreaming
+
+
+def test_settings_files_are_read_again_when_they_change(tmp_path):
+    from palimpsest.sources.settings import ConfigFile
+
+    one, two = tmp_path / "global.yaml", tmp_path / "project.yaml"
+    (tmp_path / "a.rules").write_text("k A word")
+    one.write_text("proxy: {placeholder_prefix: __P_}\npatterns: {keywords: [{value: sealed, category: c}], rule_lists: [{path: a.rules, enabled: true}]}\nsession: {ttl: 1h, max_mappings: 9}\n")
+    files = ConfigFile(one, two, opened=lambda v: {"sealed": "open", "lost": None}.get(v, v))
+    assert (files.config.keywords, files.config.prefix, files.config.max_mappings, [r.name for r in files.config.rule_lists]) == ([("open", "C")], "__P_", 9, ["a.rules"])
+    assert not files.refresh()
+    two.write_text("patterns: {keywords: [{value: more}, {value: lost}]}\n")
+    assert files.refresh() and files.config.keywords == [("open", "C"), ("more", "TEXT")] and files.config.max_mappings == 9
+    two.write_text("patterns: [")
+    assert not files.refresh() and len(files.config.keywords) == 2
+
+
+def test_plans_detect_once(spark, sf_dir):
+    """Each of the 24 rules stands once in a plan: neither filters nor generators ask for hits again."""
+    from palimpsest.plans import QUERIES
+
+    for name in ("match_spans", "redact_documents", "redaction_stats", "placeholders", "resolve_greedy", "audit_match_preview"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("rulelist:") == 24, name
