@@ -6,12 +6,14 @@ documents are ranked by random odds over inclusion odds, u / (1 - u) : p / (1 -
 ranks are taken until the words left are used up. Inclusion probabilities follow the square root of
 a document's size. Random numbers come from MD5 of seed and doc_id, so reruns agree.
 
-Documents over one twentieth of their source are fewer than twenty, so they are drawn first, for
-their share of the words; smaller ones fill what is left; only if these don't suffice do more large
-ones that fit follow. The target is missed by half of the last document at most. No source is
-ordered in one task: ranks are cut into classes, the classes' sums find the one where the target is
-met, and only that one is ordered. What is known of a source ends as a largest rank and the ranks of
-a few large documents, which every row is held against.
+Documents over one twentieth of their source are fewer than twenty. They stand in the same order, but
+one that doesn't fit into the words left when its turn comes is passed over, and smaller ones of
+higher rank fill what is left; only if these don't suffice do more large ones that fit follow. So the
+target is missed by half of the last document at most, and a large document's chance is its inclusion
+probability less the times when it comes last and doesn't fit. No source is ordered in one task: words
+of small documents before each large one are summed, ranks are cut into classes, the classes' sums
+find the one where the target is met, and only that one is ordered. What is known of a source ends as
+a largest rank and the ranks of a few large documents, which every row is held against.
 
 Null text has size 0. Null sources are one source, weighed last. Rows of one source that share
 doc_id and size share a rank and are taken together. An empty table gives an empty result.
@@ -27,6 +29,7 @@ WEIGHTS = (5, 2, 1)
 TOTAL, CAP, LARGE, CLASSES, SEED = 1.5, 2.0, 20, 4096, 17
 #: A table of sources is broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_SOURCES = 100_000
+DRAWN = "array<struct<rank:double,size:bigint>>"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -88,18 +91,23 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources = stored(sources.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "sources")
     wanted = ranked(beside(rows, sources)).filter("part > 0 and size > 0")
 
-    # large documents, fewer than LARGE of a source: by rank, those that fit into their share of the words
+    # large documents, fewer than LARGE of a source, with the words of small ones before each
     large = F.array_sort(F.collect_list(F.when(F.col("large"), F.struct("rank", "size"))))
-    drawn = wanted.groupBy("source").agg(large.alias("large"), F.sum(F.when(~F.col("large"), F.col("size")).otherwise(0)).alias("small_words"))
-    sources = with_figures(sources, drawn).withColumns({"large": F.coalesce("large", F.array().cast("array<struct<rank:double,size:bigint>>")), "small_words": F.coalesce("small_words", F.lit(0))})
-    sources = sources.withColumn("drawn", fitting(F.col("large"), F.col("part") * words_in(F.col("large"))))
+    found = wanted.groupBy("source").agg(large.alias("large_docs"), F.sum(F.when(~F.col("large"), F.col("size")).otherwise(0)).alias("small_words"))
+    sources = with_figures(sources, found).withColumns({"large_docs": F.coalesce("large_docs", F.array().cast(DRAWN)), "small_words": F.coalesce("small_words", F.lit(0))})
+    sources = stored(sources, "sources")
+    small = ranked(beside(rows, sources.filter(F.size("large_docs") > 0))).filter("part > 0 and size > 0 and not large")
+    places = small.withColumn("place", F.size(F.filter("large_docs", lambda x: x["rank"] < F.col("rank")))).groupBy("source", "place").agg(F.sum("size").alias("words"))
+    places = places.groupBy("source").agg(F.collect_list(F.struct("place", "words")).alias("places"))
+    sources = with_figures(sources, places).withColumn("places", F.coalesce("places", F.array().cast("array<struct<place:int,words:bigint>>")))
+    sources = sources.withColumn("drawn", drawn_in_order()).drop("places")
     sources = sources.withColumn("rest", F.col("rest") - words_in(F.col("drawn")))
     # if all the others together leave a gap: large ones that fit into it, and one more if that is nearer
     gap = F.col("rest") - F.col("small_words")
-    sources = sources.withColumn("more", fitting(F.array_except("large", "drawn"), gap))
-    over = F.array_sort(F.array_except(F.array_except("large", "drawn"), F.col("more")), lambda x, y: F.when(x["size"] != y["size"], F.signum(x["size"] - y["size"]).cast("int")).otherwise(F.signum(x["rank"] - y["rank"]).cast("int")))
+    sources = sources.withColumn("more", fitting(F.array_except("large_docs", "drawn"), gap))
+    over = F.array_sort(F.array_except(F.array_except("large_docs", "drawn"), F.col("more")), lambda x, y: F.when(x["size"] != y["size"], F.signum(x["size"] - y["size"]).cast("int")).otherwise(F.signum(x["rank"] - y["rank"]).cast("int")))
     sources = sources.withColumn("more", F.concat("more", F.filter(F.slice(over, 1, 1), lambda x: x["size"] / 2 <= gap - words_in(F.col("more")))))
-    sources = stored(sources.withColumn("large_ranks", F.transform(F.concat("drawn", "more"), lambda x: x["rank"])).drop("large", "drawn", "more", "small_words"), "sources")
+    sources = stored(sources.withColumn("large_ranks", F.transform(F.concat("drawn", "more"), lambda x: x["rank"])).drop("large_docs", "drawn", "more", "small_words"), "sources")
 
     # the others by class of rank
     others = ranked(beside(rows, sources)).filter("part > 0 and size > 0 and not large").withColumn("class", rank_class())
@@ -122,9 +130,17 @@ def words_in(large: Column) -> Column:
     return F.aggregate(large, F.lit(0).cast("long"), lambda total, x: total + x["size"])
 
 
+def drawn_in_order() -> Column:
+    """Of a source's large documents in the order of rank, each that fits into what is left of `rest` by the large ones taken and all small ones before it."""
+    before = lambda k: F.aggregate(F.filter("places", lambda e: e["place"] <= k), F.lit(0).cast("long"), lambda n, e: n + e["words"])
+    turns = F.transform("large_docs", lambda x, k: F.struct(x["rank"].alias("rank"), x["size"].alias("size"), before(k).alias("before")))
+    fits = lambda taken, x: words_in(taken) + x["before"] + x["size"] <= F.col("rest")
+    return F.aggregate(turns, F.array().cast(DRAWN), lambda taken, x: F.when(fits(taken, x), F.concat(taken, F.array(F.struct(x["rank"].alias("rank"), x["size"].alias("size"))))).otherwise(taken))
+
+
 def fitting(large: Column, words: Column) -> Column:
     """Of a few documents in the order of rank, each that fits into what the ones before it have left of words."""
-    return F.aggregate(large, F.array().cast("array<struct<rank:double,size:bigint>>"), lambda taken, x: F.when(words_in(taken) + x["size"] <= words, F.concat(taken, F.array(x))).otherwise(taken))
+    return F.aggregate(large, F.array().cast(DRAWN), lambda taken, x: F.when(words_in(taken) + x["size"] <= words, F.concat(taken, F.array(x))).otherwise(taken))
 
 
 def rank_class() -> Column:

@@ -189,3 +189,19 @@ def test_pareto_order_draws_by_odds(spark):
     rank = {r.doc_id: int(hashlib.md5(f"{mixing.SEED}|{r.doc_id}".encode()).hexdigest()[:13], 16) for r in got if r.source == "b"}
     taken = {r.doc_id for r in got if r.source == "b" and r.taken}
     assert taken == set(sorted(rank, key=rank.get)[:100])
+
+
+def test_large_documents_are_drawn_by_their_odds(spark):
+    """Inclusion rates over many sources alike: near the stated probabilities, whatever a document's share of its source."""
+    sizes = [160, 90, 60, 40] + [10] * 40 + [4] * 30
+    rows = [(s * 1000 + k, "w " * n, f"s{s:03d}") for s in range(250) for k, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words, weighed = sum(sizes), sum(n * max(1, int(n**0.5)) for n in sizes)
+    rate, taken = {}, {}
+    for r in mixing.mix_sources(docs, total=0.5, weights=(1,)).collect():
+        rate.setdefault(r.size, []).append(r.taken > 0)
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    for n in rate:
+        p = min(1, 0.5 * max(1, int(n**0.5)) * words / weighed)
+        assert abs(np.mean(rate[n]) - p) < 0.12, (n, p, np.mean(rate[n]))
+    assert max(abs(v - words / 2) for v in taken.values()) <= 40 / 2
