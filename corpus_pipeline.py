@@ -5,7 +5,8 @@ writes each stage's rows to the shared folder as Parquet and reads them as the n
 stages but the last return the columns of documents.
 
 Rows with a null doc_id are kept by the near-duplicate stage: they can't be named in links. Of rows
-that share the smallest doc_id of a group all stay. Every stage takes an empty table.
+that share the smallest doc_id of a group all stay. Every stage takes an empty table, and extra
+columns of any name.
 """
 
 from __future__ import annotations
@@ -13,14 +14,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest.llm import decontamination, jaccard_join, language_id, mixing, token_orc
-from palimpsest.llm.common import scratch_path, stored
+from palimpsest.llm.common import deleted, scratch_path, stored
 from palimpsest.llm.queries import byte_bpe, table
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names that no operator makes, and these by the columns' own."""
+    names = {c: f"given_{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learnt; those without letters or in no such language go."""
-    model = language_id.learn_languages(language_id.learning_rows(docs, "doc_id", "text", "lang"))
-    return language_id.identify_language(docs, model).filter(~language_id.rejected()).select(docs.columns)
+    given, names = renamed(docs)
+    model = language_id.learn_languages(language_id.learning_rows(given, names["doc_id"], names["text"], names["lang"]))
+    return back(language_id.identify_language(given, model, names["text"]).filter(~language_id.rejected()), names)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +45,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make less than the share that contaminates."""
-    return decontamination.mark_contamination(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(docs.columns)
+    given, names = renamed(docs)
+    return back(decontamination.mark_contamination(given, table(spark, sf_dir, "benchmark"), names["text"]).filter("not contaminated"), names)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), "stage")
-    return stored(STAGES[-1][1](spark, docs, sf_dir), "stage")
+        if before:  # its only reader is done
+            deleted(spark, before)
+        before = docs.stored_at
+    return docs
