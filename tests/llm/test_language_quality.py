@@ -144,6 +144,28 @@ def test_op6_held_out_accuracy(spark):
     assert len(rows) == queries.table(spark, d, "documents").count()
 
 
+def test_op6_equals_brute_force(spark, sf_dir):
+    """Scores of the query from the model's weights, each text by itself and line by line in plain Python."""
+    docs = queries.table(spark, sf_dir, "documents")
+    model = quality_crf.learn_quality(quality_crf.learning_rows(docs, queries.table(spark, sf_dir, "labels"), "doc_id", "text", "quality"))
+    got = {r.doc_id: r for r in queries.op6_quality(spark, sf_dir).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+    for i in sorted(texts)[:60]:
+        x, _, size = quality_crf.line_features([texts[i].encode()])
+        s = [sum(w * (f - m) / d for w, f, m, d in zip(model.weights, row, model.mean, model.spread)) for row in x.tolist()]
+        ahead, behind = [], [np.zeros(2)]
+        for k, v in enumerate(s):  # log sums over the lines before, and over those after
+            before = np.array([np.logaddexp(*(ahead[-1] + model.trans[:, y])) for y in (0, 1)]) if k else np.zeros(2)
+            ahead.append(before + np.array([0.0, v]))
+        for v in reversed(s[1:]):
+            behind.append(np.array([np.logaddexp(*(model.trans[y] + np.array([0.0, v]) + behind[-1])) for y in (0, 1)]))
+        both = [a + b for a, b in zip(ahead, reversed(behind))]
+        good = [1 / (1 + np.exp(b[0] - b[1])) for b in both]
+        p = min(max(sum(g * n for g, n in zip(good, size)) / sum(size), 1e-9), 1 - 1e-9)
+        assert np.isclose(got[i].score, 1 / (1 + np.exp(-(model.slope * np.log(p / (1 - p)) + model.shift))), atol=1e-6), i
+
+
 def test_quality_cases(spark):
     rows = [(i, "Good plain words here.\nAnd more of them." if i % 2 else "### $$$ BUY!! BUY!! BUY!!\n### BUY!!") for i in range(40)]
     rows += [(100, None), (101, ""), (102, " \n \n"), (103, "Good plain words.\n" * 5000), (None, "x"), (5, "Good plain words here.\nAnd more of them.")]

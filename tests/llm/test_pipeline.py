@@ -41,7 +41,13 @@ def test_stages_equal_brute_force(spark, sf_dir):
 
 def test_pipeline_takes_odd_and_empty_rows(spark, sf_dir):
     rows = [(1, "the and thing " * 30, "en", None, None), (1, "the and thing " * 30, "en", None, None), (2, None, None, None, None), (None, "thing of the and " * 30, "en", "s", 3), (3, "", "en", "s", 0), (4, "###", None, "s", 3)]
-    for docs in (spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")):
-        for _, stage in corpus_pipeline.STAGES:
+    clash = ("lang_pred", "score", "spans", "items", "rank", "id", "i", "x", "n_words", "row_in_hand", "name", "size")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    rows = [(*r, *[f"{c} {k}" for c in clash]) for k, r in enumerate(rows)]
+    given = {tuple(r[1:]) for r in rows}
+    for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), "stage")
-        docs.count()
+            assert docs.columns == columns and {tuple(r[1:]) for r in docs.collect()} <= given, name
+        corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count()
