@@ -9,6 +9,7 @@ from ..functions.text import preview, truncate
 RING, DEBUG_RING, MATCHES, MATCH_CHARS = 200, 50, 50, 256
 DEFAULT_INTERVAL, LEAST_INTERVAL = 24 * 3600, 600
 LARGEST_LIST = 10 << 20
+DEBUG_BODY, LEAST_DEBUG_BODY, LARGEST_DEBUG_BODY = 1 << 20, 4 << 10, 20 << 20
 
 
 def upsert(events: DataFrame, updates: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
@@ -59,6 +60,17 @@ def merge_debug(requests: DataFrame, responses: DataFrame, most: int = DEBUG_RIN
     return last(rows, most)
 
 
+def body_cap(asked: int) -> int:
+    """Bytes of a body that a capture keeps: what is asked for within bounds, DEBUG_BODY for nothing."""
+    return min(LARGEST_DEBUG_BODY, max(LEAST_DEBUG_BODY, asked)) if asked > 0 else DEBUG_BODY
+
+
+def get_debug(requests: DataFrame, responses: DataFrame, wanted: int) -> DataFrame:
+    """(id, request, response) of one capture."""
+    of = lambda rows, name: rows.filter(F.col("id") == wanted).select("id", F.struct("body", "truncated").alias(name))
+    return of(requests, "request").join(of(responses, "response"), "id", "full")
+
+
 def interval_seconds(text: Column) -> Column:
     """Hours or days ("24h", "7d", "30m"); not under the least, the default for anything else."""
     n = F.regexp_extract(text, r"^(\d+)([dhms])$", 1)

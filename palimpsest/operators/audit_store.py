@@ -92,6 +92,10 @@ class AuditStore:
     def clear(self) -> None:
         self._replace(self.spark.createDataFrame([], self.schema))
 
+    def follow(self) -> DataFrame:
+        """A stream of rows as they are written: what the store holds now, then what is appended; ends with the generation."""
+        return self.spark.readStream.schema(self.schema).parquet(f"{self.path}/g{max(1, self.generation())}")
+
     def feed(self, events: DataFrame, checkpoint: str) -> StreamingQuery:
         """A query that inserts a stream's events, all that are there now."""
         return events.writeStream.foreachBatch(lambda batch, _: self.insert(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -35,9 +36,16 @@ def recognizer(analyze: Callable[[list[str]], list[list[tuple[int, int, str, flo
     return run
 
 
-def analyzed(analyze: Callable, texts: list[str], **options) -> list:
+def analyzed(analyze: Callable, texts: list[str], timeout: float | None = None, **options) -> list:
+    """What a model finds in each text; nothing if it fails or takes longer than `timeout` seconds."""
     try:
-        return list(analyze(texts, **options))
+        if timeout is None:
+            return list(analyze(texts, **options))
+        pool = ThreadPoolExecutor(1)
+        try:
+            return list(pool.submit(analyze, texts, **options).result(timeout))
+        finally:
+            pool.shutdown(wait=False)
     except Exception:  # noqa: BLE001  fails open: a lost model must not stop requests
         logging.getLogger("palimpsest.ner").warning("the model failed on %d texts; nothing is found in them", len(texts), exc_info=True)
         return [[] for _ in texts]
@@ -49,14 +57,14 @@ def request_options(language: str = "", least_score: float = 0.0) -> dict:
     return {"language": "en" if name in ("", "auto") else name} | ({"score_threshold": min(1.0, least_score)} if least_score > 0 else {})
 
 
-def segment_recognizer(analyze: Callable[..., list[list[tuple[int, int, str, float]]]], entities: tuple[str, ...] = DEFAULT_ENTITIES, language: str = "", least_score: float = 0.0, rule_ord: int = 10_000) -> Callable[[Column], Column]:
-    """For PiiEngine(recognizers=...): from safe segments to candidates. analyze(texts, language=..., score_threshold=...) gets all segments of a batch at once."""
+def segment_recognizer(analyze: Callable[..., list[list[tuple[int, int, str, float]]]], entities: tuple[str, ...] = DEFAULT_ENTITIES, language: str = "", least_score: float = 0.0, rule_ord: int = 10_000, timeout: float | None = None) -> Callable[[Column], Column]:
+    """For PiiEngine(recognizers=...): from safe segments to candidates. analyze(texts, language=..., score_threshold=...) gets all segments of a batch at once, and has `timeout` seconds for them."""
     wanted, options = set(entities), request_options(language, least_score)
     names = {"ORGANIZATION": "ORG", "GPE": "LOCATION", "LOC": "LOCATION"}
 
     def run(segments: pd.Series) -> pd.Series:
         flat = [s for segs in segments if segs is not None for s in segs]
-        made = iter(analyzed(analyze, [s["seg"] for s in flat], **options) if flat else [])
+        made = iter(analyzed(analyze, [s["seg"] for s in flat], timeout, **options) if flat else [])
 
         def of(s) -> list:
             text, out = s["seg"], []

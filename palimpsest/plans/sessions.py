@@ -8,13 +8,14 @@ import hmac
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as fn
-from ..operators import audit, dictionary, ner, spans
+from ..operators import audit, dictionary, ner, requests, spans
 from ..operators.audit_store import AuditStore
 from ..operators.engine import PiiEngine, exploded
 from ..scratch import scratch_path, stored
 from ..sources import logs
 from ..sources.rules import Config, Rule, RuleError, RuleList, merge_keywords, parse_rules
-from ..sources.settings import RuleListCache, config_of, secret_files
+from ..sources.requests import read_requests
+from ..sources.settings import RuleListCache, config_of, opener, secret_files
 from . import sql
 from .detection import KEY, literal_rows, query, table
 from .services import AUDITED, audited
@@ -220,3 +221,49 @@ def log_file_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "log")
     table(spark, sf_dir, "documents").filter("source is not null and lang is not null").orderBy("doc_id").select(F.concat_ws(" ", "source", "lang", "doc_id").alias("value")).coalesce(1).write.text(path)
     return logs.tail_file(spark, path, 100)
+
+
+SENT = [(1, "a.com", "application/json", b"{}"), (2, "a.com", "application/json", b"x" * ((10 << 20) + 9)), (3, "a.com", "image/png", b"x"), (4, "a.com", None, None)]
+
+
+@query(sql.values([(1, 2, ""), (2, (10 << 20) + 1, "too_large"), (3, 1, "not_text"), (4, None, "no_body")], "id long, n int, note string"))
+def request_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests read from files, their bodies cut where the gate says they are too large."""
+    path = scratch_path(spark, "requests")
+    literal_rows(spark, SENT, "id long, host string, content_type string, body binary").write.parquet(path)
+    return requests.gate(read_requests(spark, path)).select("id", F.octet_length("body").alias("n"), "note")
+
+
+CAPTURED = [(1, "ab", False), (2, "cd", True)]
+
+
+@query(sql.values([(2, "cd", True, None), (1, "ab", False, "xy")], "id long, request string, cut boolean, response string"))
+def debug_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures by id, with the bounds of what they keep."""
+    assert [audit.body_cap(n) for n in (0, 1, 1 << 20, 1 << 30)] == [1 << 20, 4 << 10, 1 << 20, 20 << 20]
+    sent, got = literal_rows(spark, CAPTURED, "id long, body string, truncated boolean"), literal_rows(spark, [(1, "xy", False)], "id long, body string, truncated boolean")
+    out = audit.get_debug(sent, got, 2).unionByName(audit.get_debug(sent, got, 1))
+    return out.select("id", F.col("request.body").alias("request"), F.col("request.truncated").alias("cut"), F.col("response.body").alias("response"))
+
+
+FOLLOWED = [("GET", 1), ("POST", 2), ("PUT", 3)]
+
+
+@query(sql.values([(1, "GET"), (2, "POST"), (3, "PUT")], "id long, method string"))
+def audit_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store held and what came after, as a stream tells it."""
+    store, out, state = AuditStore(spark, scratch_path(spark, "store")), scratch_path(spark, "followed"), scratch_path(spark, "state")
+    run = lambda: store.follow().select("id", "method").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    store.insert(literal_rows(spark, FOLLOWED[:2], "method string, n int").coalesce(1).orderBy("n"))
+    run()
+    store.insert(literal_rows(spark, FOLLOWED[2:], "method string, n int"))
+    run()
+    return spark.read.schema("id long, method string").parquet(out)
+
+
+@query(sql.values([("open", "C"), ("plain", "TEXT")], "text string, category string"))
+def sealed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of settings, sealed ones opened and those that can't be left out."""
+    sealed = spark.range(1).select(fn.seal(F.lit("open"), KEY)).first()[0]
+    tree = {"patterns": {"keywords": [{"value": sealed, "category": "c"}, {"value": "plain"}, {"value": "__VG_ENC_V1__:AAAA"}]}}
+    return literal_rows(spark, config_of(tree, str, opener(spark, KEY)).keywords, "text string, category string")

@@ -6,10 +6,21 @@ import hashlib
 from collections.abc import Callable
 from pathlib import Path
 
-from ..functions.text import parse_duration
+from pyspark.sql import SparkSession, functions as F
+
+from ..functions.text import open_sealed, parse_duration
 from .rules import BUILTIN, Config, Rule, RuleError, RuleList, clean_category, clean_pattern, parse_rules
 
 
+def opener(spark: SparkSession, key: bytes) -> Callable[[str], str | None]:
+    """For ConfigFile(opened=...): opens sealed values, leaves others, None for one that can't be opened."""
+
+    def opened(value: str) -> str | None:
+        return spark.range(1).select(open_sealed(F.lit(value), key)).first()[0]
+
+    return opened
+
+
 def rule_list_key(entry: dict) -> str:
     """What names a rule list: its id, else its path or address."""
     return (entry.get("id") or "").strip() or (entry.get("path") or "").strip() or (entry.get("url") or "").strip()
