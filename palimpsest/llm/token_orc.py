@@ -30,7 +30,7 @@ SCHEMA = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
 ])
 #: Bytes of text that are encoded at once; longer texts are cut at blanks.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Longer runs of one class of characters go to the library.
 LONGEST_RUN = 256
 NO_RANK = np.int32(2**31 - 1)
@@ -271,7 +271,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, id_col: str =
 
     (ordered.mapInArrow(in_tasks(encode), SCHEMA).write.option("orc.stripe.size", str(stripe_bytes)).option("orc.create.index", "true")
      .option("orc.row.index.stride", "1000").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-     .option("compression", "lz4").orc(path))
+     .option("compression", "zstd").orc(path))
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None) -> DataFrame:
