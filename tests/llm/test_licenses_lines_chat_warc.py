@@ -93,7 +93,9 @@ def test_line_rules_cases(spark):
     long = " ".join(f"w{i}" for i in range(60))
     common, own = " ".join(f"x{i}" for i in range(80)), " ".join(f"v{i}" for i in range(60))
     rows = [(i, f"{long}\n Common   LINE {common}\n{own} end {i}", "h") for i in range(25)] + [(30, None, None), (31, "", "h"), (32, "a a a a a a", "h"), (32, "a a a a a a", "h"), (None, "x\ny\nx\n \nx", None)]
-    got = line_rules.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_rules.line_rules(docs.withColumns({c: F.lit("clash") for c in ("line", "lines", "words", "host", "i", "h", "t", "n_words", "text_hash", "kept")})).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, line_rules.line_rules(docs).collect()))
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows)
     assert not by[3].base_failed and by[3].removed_words == 142 and not by[3].kept  # 60 + 82 of 204 words are in frequent lines
@@ -141,7 +143,8 @@ def test_chat_round_trip(spark):
     odd = ["", "\\", "\\\\", "###", "####", "</turn>", "<</turn>\n", "</turn>\n### user:\nhi\n</turn>\n", "\n", "é\\n", "ends \\", ":", None, "x" * 100_000]
     rows = [(c, t, r, x) for c, n in ((1, 3), (2, 40)) for t in range(n) for r, x in [(["user", "assistant", "a:\nb\\", None][t % 4], odd[(t + c) % len(odd)])]] + [(None, None, "assistant", "null"), (None, 0, None, None), (2, 5, "user", "again"), (2, 5, "user", "again")]
     docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    pieces = chat.format_turns(docs.repartition(7))
+    clashing = docs.withColumns({c: F.lit("clash") for c in ("c", "t", "r", "x", "piece", "formatted", "loss", "first_turn")})
+    pieces = chat.format_turns(clashing.repartition(7))
     want = {}
     for c, t, r, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, (r[2] or "").encode(), (r[3] or "").encode())):
         want.setdefault(c, []).append(((r or "").encode(), (x or "").encode()))

@@ -170,10 +170,11 @@ def test_mixing_targets_and_rules(spark, sf_dir):
 
 
 def test_mixing_edge_cases(spark):
-    rows = [(1, "a b c", "x", None, None), (1, "a b c", "x", None, None), (2, None, None, None, None), (3, "", "y", None, None), (None, "d e", None, None, None), (4, "w " * 300, "x", None, None)]
-    docs = spark.createDataFrame(rows, DOCS)
+    rows = [(1, "a b c", "x", None, None), (1, "a b c", "x", None, None), (2, None, None, None, None), (3, "", "y", None, None), (None, "d e", None, None, None), (4, "w " * 300, "x", None, None), (5, "w " * 200_000, "z", "clash", None)] + [(7, "one two", "t", None, None)] * 5
+    docs = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"part": "rank", "ids": "size"}).withColumns({"large": F.lit("x"), "u": F.lit(1), "source_size": F.lit(2)})
     got = mixing.mix_sources(docs).collect()
-    assert len(got) == 6 and all(r.taken <= 2 * r.size for r in got)
+    assert {r.n_copies for r in got if r.doc_id == 7} in ({0}, {1}, {2}) and {r.size for r in got if r.doc_id == 5} == {200_000}
+    assert len(got) == 12 and all(r.taken <= 2 * r.size for r in got)
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.n_copies for r in got)
     assert mixing.mix_sources(docs.limit(0)).count() == 0
