@@ -58,7 +58,7 @@ REMEMBERED = 200_000
 #: Bits of a parity sketch.
 SKETCH = 1024
 #: Hashes of words that are remembered.
-MEMORY = 300_000
+MEMORY = 150_000
 #: Rows and bytes of a shard, whose words and signatures a task holds at once.
 SHARD = (1500, 5 << 20)
 #: Signatures that one bucket is planned for.

@@ -33,6 +33,8 @@ SAMPLE_DOCUMENTS, SAMPLE_ALL, SAMPLE_CHARS, LONGEST, LEARN_LETTERS, LEARN_ALL =
 LANE = 512
 #: Languages that are stepped through together.
 ABREAST = 16
+#: Symbols of texts that are parsed together.
+TOGETHER = 3_000_000
 #: Bits of a symbol in a transition's key.
 SYMBOL_BITS = 21
 UNKNOWN = "und"
@@ -102,7 +104,7 @@ class LanguageModel:
         n = int(lanes.sum())
         if not n or not self.languages:
             return found
-        flat = np.concatenate(texts).astype(np.int64)
+        flat = np.concatenate(texts)
         owner = np.repeat(np.arange(len(texts)), lanes)
         place = np.arange(n) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         length = np.minimum(LANE, size[owner] - place * LANE)
@@ -115,7 +117,7 @@ class LanguageModel:
             state, count = np.repeat(start[:, None], n, 1), np.zeros((k, n), np.int32)
             for t in range(-int(shorter[0])):
                 live = int(np.searchsorted(shorter, -t))
-                now, symbol, begin = state[:, :live].ravel(), np.tile(flat[first[:live] + t], k), np.repeat(start, live)
+                now, symbol, begin = state[:, :live].ravel(), np.tile(flat[first[:live] + t].astype(np.int64), k), np.repeat(start, live)
                 then = self.step(now, symbol)
                 fresh = then < 0
                 again = np.flatnonzero(fresh & (now != begin))
@@ -189,12 +191,17 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
 
     def compute(texts: list[bytes | None]) -> list[pa.Array]:
         m = shared.value
-        symbols = [m.symbols(t.decode("utf-8", "replace") if t else "") for t in texts]
-        letters = np.array([int((s != BLANK).sum()) for s in symbols])
-        size = np.maximum(1, np.array([len(s) for s in symbols]))
+        letters, size, found = np.zeros(len(texts), np.int64), np.ones(len(texts), np.int64), np.zeros((len(texts), len(m.languages)), np.int64)
+        held, first = [], 0
+        for k, t in enumerate(texts):  # parsed in parts, so that memory doesn't follow the batch
+            held.append(m.symbols(t.decode("utf-8", "replace") if t else ""))
+            letters[k], size[k] = (held[-1] != BLANK).sum(), max(1, len(held[-1]))
+            if size[first:k + 1].sum() >= TOGETHER or k + 1 == len(texts):
+                found[first:k + 1] = m.phrases(held)
+                held, first = [], k + 1
         if not m.languages:
             return [pa.array([UNKNOWN] * len(texts)), pa.array(np.zeros(len(texts))), pa.array(letters), pa.array(np.zeros(len(texts)))]
-        rate = m.phrases(symbols) / size[:, None] / m.rates
+        rate = found / size[:, None] / m.rates
         best = rate.argmin(1)
         lead = (rate - rate.min(1, keepdims=True)) * np.sqrt(size)[:, None]
         score = 1 / np.exp(-lead).sum(1)
