@@ -10,7 +10,7 @@ Turns are dealt by ranges of (conversation, turn), so a very long conversation i
 tasks, each giving one row of it for a batch; only digests need its pieces in order, and read them
 as a stream.
 
-A batch holds 16 MiB of texts or one text, and its formatted bytes must stay under 2 GiB, as offsets
+A batch holds 8 MiB of texts or one text, and its formatted bytes must stay under 2 GiB, as offsets
 in an Arrow string column do; a text that is longer than that once escaped can't be formatted.
 
 Null text and null role count as empty. Turns of a null conversation are one conversation. Null

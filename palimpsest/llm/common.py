@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 #: Bytes an Arrow batch of texts may hold, so that a task's memory doesn't follow the rows' lengths.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: ASCII upper case to lower case; every other ASCII byte that is no digit or letter to a space.
 PLAIN_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 

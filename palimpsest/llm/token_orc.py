@@ -31,6 +31,8 @@ SCHEMA = T.StructType([
 ])
 #: Bytes of text that are encoded at once; longer texts are cut at blanks.
 CHUNK_BYTES = 2 << 20
+#: Bytes of a batch between the JVM and Python, beside which the writer holds stripes.
+BATCH_BYTES = 4 << 20
 #: Longer runs of one class of characters go to the library.
 LONGEST_RUN = 256
 NO_RANK = np.int32(2**31 - 1)
@@ -251,7 +253,7 @@ def encoder(tokenizer_json: str) -> PieceEncoder:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, end_id: int = END_ID) -> None:
     """Writes doc_id, local_start (ids before it in its file), n_tokens and ids, files and rows in ascending doc_id order."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH_BYTES)
     with open(tokenizer_file, encoding="utf-8") as f:  # the driver's file; executors get its contents
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -284,7 +286,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: Iterable[int] | None =
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, from the files alone."""
-    small_batches(spark)
+    small_batches(spark, size=BATCH_BYTES)
     table = read_tokens(spark, path)
     schema = T.StructType([T.StructField("part", T.IntegerType()), *SCHEMA.fields[:3], T.StructField("ids_crc32", T.LongType())])
 
