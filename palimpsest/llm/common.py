@@ -66,9 +66,11 @@ def scratch() -> Iterator[Callable[..., DataFrame]]:
         made.append(stored(df, name, partition_by))
         return made[-1]
 
-    yield keep
-    for df in made:
-        deleted(df.sparkSession, df.stored_at)
+    try:
+        yield keep
+    finally:
+        for df in made:
+            deleted(df.sparkSession, df.stored_at)
 
 
 def small_batches(spark: SparkSession, rows: int = 4000, size: int = BATCH_BYTES) -> None:

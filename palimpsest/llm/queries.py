@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, jaccard_join, language_id, licenses, line_rules, mixing, quality_crf, token_orc, warc
+from . import chat, decontamination, jaccard_join, language_id, late_overwrite, licenses, line_rules, mixing, quality_crf, token_orc, warc
 from .common import scratch_path, stored
 
 
@@ -81,7 +81,42 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_decontaminate, op3_jaccard_join, op4_licenses, op5_language, op6_quality, op7_line_rules, op8_chat, op9_warc, op10_mix_sources)}
+LATE_FROM = "2024-03-20 00:00:00"
+FILES = 1100
+
+
+def with_copies(sales: DataFrame) -> DataFrame:
+    """sales, and of some rows a copy that arrives later, perhaps with another day."""
+    h = F.crc32(F.col("sale_id").cast("string").cast("binary"))
+    day = late_overwrite.Layout("", sales.schema, "sale_id", "sold_at", "arrived_at", 1)
+    named = sales.toDF(*day.names).withColumn("day", day.day()).toDF(*sales.columns, "day_in_hand")
+    days = lambda n: F.make_dt_interval(n.cast("int"))
+    copies = named.filter((h % 3 == 0) & (F.pmod("day_in_hand", F.lit(4)) == 0)).drop("day_in_hand")
+    copies = copies.withColumns({"total": F.col("total") + 1, "sold_at": F.col("sold_at") + days(h % 2), "arrived_at": F.col("arrived_at") + days(1 + h % 97)})
+    return sales.unionByName(copies)
+
+
+def op13_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = table(spark, sf_dir, "sales")
+    sales = sales.select("sale_id", "client_id", "status", "total", "sold_at", "arrived_at", "priority")
+    layout = late_overwrite.Layout(scratch_path(spark, "sales"), sales.schema, "sale_id", "sold_at", "arrived_at", 1 + sales.count() // FILES)
+    rows = with_copies(sales)
+    early = F.coalesce(F.col("arrived_at") < F.lit(LATE_FROM).cast(sales.schema["arrived_at"].dataType), F.lit(False))
+    late_overwrite.write_layout(rows.filter(early), layout)
+    days = late_overwrite.merge_late(rows.filter(~early), layout)
+    standing = layout.standing(spark)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    time = lambda c: text(late_overwrite.micros(F.col(layout.name(c)), sales.schema[c].dataType))
+    id_ = F.col(layout.name("sale_id"))
+    crc = F.crc32(F.concat_ws(":", text(id_), time("sold_at"), time("arrived_at")).cast("binary"))
+    cents = F.coalesce(F.floor(100 * F.col(layout.name("total")) + 0.5).cast("long"), F.lit(0).cast("long"))
+    digests = late_overwrite.file_digests(standing.select("day", "part", "row_index", id_.alias("id"), cents.alias("cents"), crc.alias("crc")))
+    files = late_overwrite.layout_files(spark, layout).select("day", "part", "file_no", "path")
+    columns = ",".join(late_overwrite.layout_columns(spark, layout)) if files.limit(1).count() else ""
+    return digests.join(files, ["day", "part"]).select("day", "file_no", "n_rows", "cents", "rows_crc", "path", F.lit(columns).alias("columns"), "ids_sha256", F.col("day").isin(days).alias("rewritten"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_decontaminate, op3_jaccard_join, op4_licenses, op5_language, op6_quality, op7_line_rules, op8_chat, op9_warc, op10_mix_sources, op13_late_overwrite)}
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
