@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, jaccard_join, language_id, late_overwrite, licenses, line_rules, mixing, quality_crf, token_orc, warc
+from . import centroids, chat, decontamination, jaccard_join, language_id, late_overwrite, licenses, line_rules, mixing, quality_crf, token_orc, url_filter, warc
 from .common import scratch_path, stored
 
 
@@ -81,6 +81,27 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    hashes = spark.createDataFrame(list(enumerate(centroids.centroid_hashes(found.centroids))), "cluster int, centroid_sha256 string")
+    inertia = found.rows.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    whole = inertia.agg(F.sum("cluster_inertia").alias("x")).first().x  # one number
+    figures = inertia.join(hashes, "cluster").withColumn("inertia", F.lit(whole).cast("long"))
+    return found.rows.join(F.broadcast(figures), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # a row for each centroid
+
+
+# Rules that come first, and hosts that are blocked where no rule fits.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+LISTED_HOSTS = ("adult-x.example.com", "ads-track.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = [(*rule, 1) for rule in URL_RULES] + [(host, "", "block", 0) for host in LISTED_HOSTS]
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(listed, "host string, path string, verdict string, priority int"), keep=["page_id"])
+    rule = F.when(F.col("priority") == 1, F.concat("entry_host", "entry_path"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), "verdict", F.col("entry_host").alias("listed_host"))
+
+
 LATE_FROM = "2024-03-20 00:00:00"
 FILES = 1100
 
@@ -116,7 +137,7 @@ def op13_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.join(files, ["day", "part"]).select("day", "file_no", "n_rows", "cents", "rows_crc", "path", F.lit(columns).alias("columns"), "ids_sha256", F.col("day").isin(days).alias("rewritten"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_decontaminate, op3_jaccard_join, op4_licenses, op5_language, op6_quality, op7_line_rules, op8_chat, op9_warc, op10_mix_sources, op13_late_overwrite)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_decontaminate, op3_jaccard_join, op4_licenses, op5_language, op6_quality, op7_line_rules, op8_chat, op9_warc, op10_mix_sources, op11_centroids, op12_url_filter, op13_late_overwrite)}
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -160,4 +181,13 @@ SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload
   CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to FROM p LEFT JOIN k ON p.html = k.html
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": DECONTAMINATION_SQL, "op3_jaccard_join": JACCARD_SQL, "op7_line_rules": line_rules.ORACLE_SQL, "op8_chat": CHAT_SQL, "op9_warc": WARC_SQL}
+LISTED_SQL = ", ".join(f"('{h}', '{p}', '{v}', 1)" for h, p, v in URL_RULES) + ", " + ", ".join(f"('{h}', '', 'block', 0)" for h in LISTED_HOSTS)
+URL_SQL = rf"""
+WITH l(lh, lp, lv, pri) AS (VALUES {LISTED_SQL}),
+u AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+m AS (SELECT r, lh, lp, lv, pri, row_number() OVER (PARTITION BY r ORDER BY pri DESC, length(lh) DESC, length(lp) DESC) AS k FROM u JOIN l ON (host = lh OR ends_with(host, '.' || lh)) AND starts_with(path, lp))
+SELECT page_id, host, path, CASE WHEN pri = 1 THEN lh || lp END AS rule, coalesce(lv, 'allow') AS verdict, lh AS listed_host FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": DECONTAMINATION_SQL, "op3_jaccard_join": JACCARD_SQL, "op7_line_rules": line_rules.ORACLE_SQL, "op8_chat": CHAT_SQL, "op9_warc": WARC_SQL, "op12_url_filter": URL_SQL}
