@@ -70,7 +70,7 @@ def preview(c: Column, head: int = 2, tail: int = 2) -> Column:
 
 
 # Header names that are masked whole; segments that mask a name.
-SENSITIVE_HEADERS = ("authorization", "proxy-authorization", "cookie", "set-cookie", "x-api-key", "api-key", "x-auth-token", "x-goog-api-key")
+SENSITIVE_HEADERS = ("authorization", "proxy-authorization", "cookie", "set-cookie", "x-api-key", "api-key", "x-goog-api-key", "openai-api-key", "x-openai-api-key", "anthropic-api-key", "x-anthropic-api-key")
 SENSITIVE_SEGMENTS = ("token", "tokens", "secret", "secrets")
 
 
@@ -85,6 +85,7 @@ def mask_headers(headers: Column) -> Column:
     names = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["k"])))
 
     def hidden(value: Column) -> Column:
+        value = trim_space(value)
         scheme = F.substring_index(value, " ", 1)
         named = (F.length(scheme) < F.length(value)) & (F.octet_length(scheme) > 0) & (F.octet_length(scheme) <= 16)
         return F.when(value == "", value).when(named, F.concat(scheme, F.lit(" ***"))).otherwise("***")
@@ -92,7 +93,7 @@ def mask_headers(headers: Column) -> Column:
     def merged(name: Column) -> Column:
         values = F.flatten(F.transform(F.filter(entries, lambda e: e["k"] == name), lambda e: e["v"]))
         low = F.lower(name)
-        secret = low.isin(*SENSITIVE_HEADERS) | F.arrays_overlap(F.split(low, "-"), F.array(*map(F.lit, SENSITIVE_SEGMENTS)))
+        secret = low.isin(*SENSITIVE_HEADERS) | F.arrays_overlap(F.transform(F.split(low, "-"), trim_space), F.array(*map(F.lit, SENSITIVE_SEGMENTS)))
         return F.when(secret, F.transform(values, hidden)).otherwise(values)
 
     return F.map_from_arrays(names, F.transform(names, merged))

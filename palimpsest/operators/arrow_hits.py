@@ -10,16 +10,83 @@ from pyspark.sql import functions as F
 from ..sources.rules import java_pattern
 
 
-def python_pattern(pattern: str) -> re.Pattern:
-    """RE2's meaning in Python, on bytes: $ ends the text, \\d, \\w and \\s are ASCII."""
-    java = java_pattern(pattern).removeprefix("(?d)").replace("\\z", "\\Z")
-    java = re.sub(r"\\p\{(\w+)\}", lambda m: PYTHON_CLASSES.get(m[1], m[0]), java)
-    java = re.sub(r"\(\?<(\w+)>", r"(?P<\1>", re.sub(r"\(\?([a-z]*)u", r"(?\1", java))
-    return re.compile(java.encode())
+#: POSIX classes, and ASCII classes that Python's own would take more for, as they stand inside brackets.
+PYTHON_CLASSES = {"Alpha": "a-zA-Z", "Digit": "0-9", "Alnum": "a-zA-Z0-9", "Upper": "A-Z", "Lower": "a-z", "Punct": r"!-/:-@\[-`{-~", "XDigit": "0-9a-fA-F", "Blank": r" \t", "Cntrl": r"\x00-\x1f\x7f", "Graph": "!-~", "Print": " -~", "ASCII": r"\x00-\x7f"}
+ASCII_CLASSES = {"d": "0-9", "w": "0-9A-Za-z_", "s": r"\t\n\f\r "}
 
 
-#: POSIX classes inside brackets.
-PYTHON_CLASSES = {"Alpha": "a-zA-Z", "Digit": "0-9", "Alnum": "a-zA-Z0-9", "Upper": "A-Z", "Lower": "a-z", "Punct": r"!-/:-@\[-`{-~", "XDigit": "0-9a-fA-F", "Blank": r" \t", "Cntrl": r"\x00-\x1f\x7f", "Graph": "!-~", "Print": " -~", "ASCII": r"\x00-\x7f"}
+def python_pattern(pattern: str):
+    """RE2's meaning in Python, on text: $ ends the text, \\d, \\w, \\s and \\b are ASCII, flags hold to the end of their group.
+
+    Flags set inside a group become a group of their own, which is opened again behind each bar.
+    """
+    java = java_pattern(pattern).removeprefix("(?d)")
+    out, i, in_class, class_at, opened = [], 0, False, 0, [[]]
+    while i < len(java):
+        c = java[i]
+        if c == "\\":
+            named = re.match(r"\\([pP])\{(\w+)\}", java[i:])
+            e = java[i + 1]
+            if named and named[2] in PYTHON_CLASSES:
+                inner = PYTHON_CLASSES[named[2]]
+                out.append(inner if in_class and named[1] == "p" else f"[{'^' if named[1] == 'P' else ''}{inner}]")
+                if in_class and named[1] == "P":
+                    raise re.error("a class can't hold a negated POSIX class here")
+            elif named:
+                out.append(named[0])
+            elif e in "dwsDWS":
+                inner, negated = ASCII_CLASSES[e.lower()], e.isupper()
+                if in_class and negated:  # the whole bracket reads ASCII
+                    out.insert(class_at, "(?a:")
+                    in_class = "ascii"
+                out.append("\\" + e if in_class and negated else inner if in_class else f"[{'^' if negated else ''}{inner}]")
+            else:
+                out.append({"z": r"\Z"}.get(e, "\\" + e))
+            i += len(named[0]) if named else 2
+            continue
+        if in_class:
+            out.append("])" if c == "]" and in_class == "ascii" else c)
+            in_class = in_class if c != "]" else False
+        elif c == "[":
+            in_class, class_at = True, len(out)
+            m = re.match(r"\[\^?(?:\\\])?", java[i:])
+            out.append(m[0])
+            i += m.end()
+            continue
+        elif flags := re.match(r"\(\?([a-z]*)(-[a-z]+)?\)", java[i:]):
+            opened[-1].append(f"(?{flags[1].replace('u', '')}{flags[2] or ''}:")
+            out.append(opened[-1][-1])
+            i += flags.end()
+            continue
+        elif c == "(":
+            m = re.match(r"\(\?<(?![=!])|\(\?[a-z]*(?:-[a-z]+)?:|\((?:\?<?[=!])?", java[i:])
+            out.append("(?P<" if m[0] == "(?<" else m[0].replace("u", "") if m[0].endswith(":") else m[0])
+            opened.append([])
+            i += m.end()
+            continue
+        elif c in "|)":
+            out.append(")" * len(opened[-1]) + c)
+            if c == ")":
+                opened.pop()
+            else:
+                out += opened[-1]
+        else:
+            out.append(c)
+        i += 1
+    made = "".join(out) + ")" * len(opened[0])
+    if re.search(r"\\[pP]", made):
+        import regex
+
+        return regex.compile(made)
+    return re.compile(made)
+
+
+def matches(compiled, text: str):
+    """Matches from left to right; behind an empty one the search goes on at the next character, as RE2's does."""
+    at = 0
+    while at <= len(text) and (m := compiled.search(text, at)):
+        yield m
+        at = m.end() + (m.end() == m.start())
 
 
 def keyword_hits_udf(keywords: list[tuple[str, str, int, str, int]]):
@@ -76,11 +143,14 @@ def regex_hits_udf(pattern: str, category: str, priority: int, source: str, rule
         def one(segs):
             found = []
             for s in segs if segs is not None else ():
-                raw = s["seg"].encode()
-                for m in compiled.finditer(raw):
+                seg, at, counted = s["seg"], s["off"], 0
+                plain = seg.isascii()
+                for m in matches(compiled, seg):
                     a, b = m.span(1) if compiled.groups and m.start(1) >= 0 else m.span()
                     if a < b:
-                        found.append((s["off"] + a, s["off"] + b, category, priority, source, rule_ord, raw[a:b].decode("utf-8", "replace")))
+                        at += a - counted if plain else len(seg[counted:a].encode()) if a >= counted else -len(seg[a:counted].encode())
+                        counted = a
+                        found.append((at, at + (b - a if plain else len(seg[a:b].encode())), category, priority, source, rule_ord, seg[a:b]))
             return found
 
         return segments.map(one)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .dictionary import PREFIX
-from .spans import pieces_with_offsets, replace_spans
+from .spans import by_cluster, pieces_with_offsets, replace_spans
 
 # Fixed value: what follows the prefix of a placeholder.
 BODY = r"[A-Za-z0-9_]+_[a-f0-9]{12}(?:_\d+)?(?:__)?"
@@ -57,7 +57,8 @@ def restore(docs: DataFrame, mapping: DataFrame, text_col: str, prefix: str = PR
     known = each.join(mapping.select(F.col("placeholder").alias("token"), "original"), "token")
     free = "array<struct<start:int,end:int,original:string>>"
     spans = known.groupBy("text_key_").agg(F.array_sort(F.collect_list(F.struct("start", "end", "original"))).alias("known_spans_"))
-    disjoint = F.aggregate("known_spans_", F.array().cast(free), lambda acc, x: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) <= x["start"], F.concat(acc, F.array(x))).otherwise(acc))
+    first = lambda some: F.aggregate(some, F.array().cast(free), lambda acc, x: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) <= x["start"], F.concat(acc, F.array(x))).otherwise(acc))
+    disjoint = by_cluster(F.col("known_spans_"), first)
     out = with_tokens.join(spans, "text_key_", "left").withColumn("known_spans_", F.coalesce(disjoint, F.array().cast(free)))
     out = out.select(*kept, replace_spans(F.col("text_in_hand_"), F.col("known_spans_"), "original").alias("restored"), F.size("known_spans_").cast("long").alias("n_restored"))
     return out.unionByName(rows.filter(~some).select(*kept, F.col("text_in_hand_").alias("restored"), F.lit(0).cast("long").alias("n_restored")))

@@ -8,15 +8,19 @@ from __future__ import annotations
 import re
 import re._parser as sre_parser
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .arrow_hits import keyword_hits_udf, regex_hits_udf
-from ..sources.rules import KEYWORD_PRIORITY, Rule, RuleList, groups, java_pattern, split_at_group
+from ..sources.rules import KEYWORD_PRIORITY, Rule, RuleList, groups, java_pattern, split_at_group, unquoted
 
 #: Escape sequences, and control and format characters other than line feed, carriage return and tab.
 PROTECTED = r"\x1b\[[^@-~]*(?:[@-~]|\z)|\x1b[\]PX^_](?s:.*?)(?:\x07|\x1b\\|\z)|\x1b(?s:.)?|[\p{Cc}\p{Cf}&&[^\n\r\t]]"
 CANDIDATE = "struct<start:int,end:int,category:string,priority:int,source:string,rule_ord:int,original:string>"
 NONE = f"array<{CANDIDATE}>"
+#: Whether a segment is asked for what every match of a rule holds before the rule's own pattern runs.
+PREFILTERS = True
 #: More keywords are looked for by one automaton, fewer by an expression each.
 MANY_KEYWORDS = 64
 
@@ -25,12 +29,40 @@ def no_candidates() -> Column:
     return F.array().cast(NONE)
 
 
+#: Folds append to arrays of so many elements at most, which are joined once: an array that grows by one is copied each time.
+FOLDED = 64
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each of values (array<int>) what step() has made of 0 and all values before it."""
+    part = "struct<at:int,out:array<int>>"
+
+    def chunk(acc: Column, some: Column) -> Column:
+        zero = F.struct(F.coalesce(F.try_element_at(acc, F.lit(-1))["at"], F.lit(0)).alias("at"), F.array().cast("array<int>").alias("out")).cast(part)
+        made = F.aggregate(some, zero, lambda a, v: F.struct(step(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")).cast(part))
+        return F.concat(acc, F.array(made)).cast(f"array<{part}>")
+
+    chunks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / FOLDED).cast("int")), lambda k: F.slice(v, k * FOLDED + 1, F.lit(FOLDED)))
+    folded = lambda v: F.flatten(F.transform(F.aggregate(chunks(v), F.array().cast(f"array<{part}>"), chunk), lambda c: c["out"]))
+    return let(values, lambda v: F.when(F.size(v) > 0, folded(v)).otherwise(F.array().cast("array<int>")))
+
+
+def running_sum_sql(values: str) -> str:
+    """SQL for the sums of all values before each of an array<int> with a value at least."""
+    part, empty = "struct<at:int,out:array<int>>", "CAST(array() AS array<int>)"
+    one = f"aggregate(slice(z, CAST(k * {FOLDED} + 1 AS INT), {FOLDED}), CAST(named_struct('at', coalesce(try_element_at(acc, -1).at, 0), 'out', {empty}) AS {part}), (a, v) -> CAST(named_struct('at', a.at + v, 'out', concat(a.out, array(a.at))) AS {part}))"
+    return f"transform(array({values}), z -> flatten(transform(aggregate(sequence(0, CAST((size(z) - 1) DIV {FOLDED} AS INT)), CAST(array() AS array<{part}>), (acc, k) -> CAST(concat(acc, array({one})) AS array<{part}>)), c -> c.out)))[0]"
+
+
 def pieces_with_offsets(pieces: Column, gaps: Column) -> Column:
     """array<struct<off, seg>> of pieces that stand between gaps of so many bytes."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<off:int,seg:string>>").alias("out"))
-    sizes = F.zip_with(pieces, gaps, lambda p, g: F.struct(p.alias("p"), F.coalesce(g, F.lit(0)).alias("g")))
-    step = lambda acc, x: F.struct((acc["at"] + F.octet_length(x["p"]) + x["g"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("off"), x["p"].alias("seg")))).alias("out"))
-    return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
+    sizes = lambda p: F.zip_with(p, gaps, lambda x, g: (F.octet_length(x) + F.coalesce(g, F.lit(0))).cast("int"))
+    return let(pieces, lambda p: F.zip_with(running(sizes(p), lambda a, v: a + v), p, lambda at, x: F.struct(at.alias("off"), x.alias("seg"))))
 
 
 def safe_segments(text: Column) -> Column:
@@ -44,29 +76,35 @@ def safe_segments(text: Column) -> Column:
 def required(pattern: str) -> tuple[str | None, str | None]:
     """What every match of a pattern holds: the longest literal, and the smallest set of a few characters (as a bracket); each None if there is none.
 
-    Both are looked for before the regular expression runs.
+    Both are looked for before the regular expression runs. Characters whose case doesn't count, by the
+    pattern's flags or a group's own, are no literals. Patterns that Python would read otherwise have neither.
     """
+    pattern = unquoted(pattern)
+    if "[:" in pattern:
+        return None, None
     try:
         tree = sre_parser.parse(pattern)
     except (re.error, OverflowError):
         return None, None
-    runs, sets, fold = [""], [], bool(tree.state.flags & re.IGNORECASE)
+    runs, sets = [""], []
+    one_case = lambda c: c.lower() == c == c.upper()
 
-    def walk(items) -> None:
+    def walk(items, fold: bool) -> None:
         for op, arg in items:
-            if op is sre_parser.LITERAL and not (fold and chr(arg).isalpha()):
+            if op is sre_parser.LITERAL and (not fold or one_case(chr(arg))):
                 runs[-1] += chr(arg)
             elif op is sre_parser.SUBPATTERN:
-                walk(arg[3])
+                _, on, off, inner = arg
+                walk(inner, (fold or bool(on & re.IGNORECASE)) and not off & re.IGNORECASE)
             else:
                 runs.append("")
-                if op is sre_parser.IN and all(o is sre_parser.LITERAL and not chr(c).isalnum() for o, c in arg):
+                if op is sre_parser.IN and all(o is sre_parser.LITERAL and not chr(c).isalnum() and one_case(chr(c)) for o, c in arg):
                     sets.append("[" + "".join("\\" + chr(c) for _, c in arg) + "]")
                 if op is sre_parser.MAX_REPEAT and arg[0] >= 1:
-                    walk(arg[2])
+                    walk(arg[2], fold)
                     runs.append("")
 
-    walk(tree)
+    walk(tree, bool(tree.state.flags & re.IGNORECASE))
     return max(runs, key=len) or None, min(sets, key=len, default=None)
 
 
@@ -76,12 +114,13 @@ def quoted(value: str) -> str:
 
 
 def placed(parts: str, gap: int, keep: str, rule: Rule, priority: int, source: str, rule_ord: int, value: str) -> str:
-    """SQL for candidates from a split segment: a fold that knows where each part begins."""
-    made = f"named_struct('start', acc.at + {'0' if keep == 'odd' else 'octet_length(x)'} + s.off, 'end', acc.at + octet_length(x) + {gap} + s.off, 'category', {quoted(rule.category or 'REGEX')}, 'priority', {priority}, 'source', {quoted(source)}, 'rule_ord', {rule_ord}, 'original', {value})"
-    wanted = "acc.n % 2 = 1 AND x <> ''" if keep == "odd" else "acc.n < acc.last"
-    last = f"size({parts}) - 1" if keep != "odd" else "0"
-    return f"""aggregate({parts}, named_struct('at', 0, 'n', 0, 'last', {last}, 'out', CAST(array() AS {NONE})),
-      (acc, x) -> named_struct('at', acc.at + octet_length(x) + {gap}, 'n', acc.n + 1, 'last', acc.last, 'out', IF({wanted}, CAST(concat(acc.out, array({made})) AS {NONE}), acc.out)), acc -> acc.out)"""
+    """SQL for candidates from a split segment: each part's place is the sum of the lengths before it."""
+    start = "o[i] + s.off" if keep == "odd" else "o[i] + octet_length(x) + s.off"
+    size = "octet_length(x)" if keep == "odd" else str(gap)
+    made = f"named_struct('start', {start}, 'end', {start} + {size}, 'category', {quoted(rule.category or 'REGEX')}, 'priority', {priority}, 'source', {quoted(source)}, 'rule_ord', {rule_ord}, 'original', {value})"
+    wanted = "i % 2 = 1 AND x <> ''" if keep == "odd" else "i < size(p) - 1"
+    sums = running_sum_sql(f"transform(p, x -> CAST(octet_length(x) + {gap} AS INT))")
+    return f"CAST(transform(array({parts}), p -> transform(array({sums}), o -> filter(transform(p, (x, i) -> IF({wanted}, {made}, NULL)), h -> h IS NOT NULL))[0])[0] AS {NONE})"
 
 
 def regex_hits(rule: Rule, priority: int, source: str, rule_ord: int) -> str | None:
@@ -101,6 +140,7 @@ def regex_hits(rule: Rule, priority: int, source: str, rule_ord: int) -> str | N
     may = [f"contains(s.seg, {quoted(literal)})"] if literal else []
     may += [f"s.seg RLIKE {quoted(some)}"] if some else []
     may.append(f"s.seg RLIKE {quoted(java_pattern(before_flags(before) + group))}")
+    may = may if PREFILTERS else ["true"]
     return f"IF({' AND '.join(may)}, {placed(marked, 0, 'odd', rule, priority, source, rule_ord, 'x')}, CAST(array() AS {NONE}))"
 
 
@@ -151,21 +191,40 @@ def exclude(candidates: Column, values: list[str]) -> Column:
     return F.filter(kept, lambda c: ~c["original"].isin(*values)) if values else kept
 
 
+def by_cluster(ordered: Column, resolve: Callable[[Column], Column]) -> Column:
+    """resolve() of each run of spans, ordered by start, that hang together by overlaps; spans without any stay as they are.
+
+    Overlaps don't reach from one cluster to another, so what resolve() costs is bounded by the largest
+    cluster, and the rest is linear.
+    """
+
+    def cut(c: Column) -> Column:
+        ends = running(F.transform(c, lambda x: x["end"].cast("int")), lambda a, v: F.greatest(a, v))
+        first = lambda e: F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (F.get(c, i)["start"] >= F.get(e, i)))
+        slices = lambda f: F.transform(f, lambda b, k: F.slice(c, b + 1, F.coalesce(F.get(f, k + 1), F.size(c)) - b))
+        clusters = let(let(ends, first), slices)
+        return F.flatten(F.transform(clusters, lambda x: F.when(F.size(x) > 1, resolve(x)).otherwise(x)))
+
+    return let(ordered, lambda c: F.when(F.size(c) > 1, cut(c)).otherwise(c))
+
+
 def greedy(candidates: Column) -> Column:
     """By priority, length, start (then rule order, category): each that overlaps none taken before. In the order of start."""
-    order = F.transform(candidates, lambda c: F.struct((-c["priority"]).alias("p"), (c["start"] - c["end"]).alias("n"), c["start"].alias("s"), c["rule_ord"].alias("r"), c["category"].alias("g"), c.alias("c")))
-    ranked = F.transform(F.array_sort(order), lambda x: x["c"])
-    free = lambda acc, x: ~F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    taken = F.aggregate(ranked, no_candidates(), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return F.when(F.size(candidates) > 1, F.array_sort(taken)).otherwise(candidates)
+
+    def one(cluster: Column) -> Column:
+        order = F.transform(cluster, lambda c: F.struct((-c["priority"]).alias("p"), (c["start"] - c["end"]).alias("n"), c["start"].alias("s"), c["rule_ord"].alias("r"), c["category"].alias("g"), c.alias("c")))
+        ranked = F.transform(F.array_sort(order), lambda x: x["c"])
+        free = lambda acc, x: ~F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+        taken = F.aggregate(ranked, no_candidates(), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+        return F.array_sort(taken)
+
+    return F.when(F.size(candidates) > 1, by_cluster(F.array_sort(candidates), one)).otherwise(candidates)
 
 
 def split_resolution(candidates: Column, text: Column) -> Column:
     """By start then end, last first: of each the parts that nothing before it covers. In the order of start."""
     raw = text.cast("binary")
-    order = F.array_sort(F.transform(candidates, lambda c: F.struct((-c["start"]).alias("s"), (-c["end"]).alias("e"), c["rule_ord"].alias("r"), c.alias("c"))))
     span = "array<struct<s:int,e:int>>"
-    zero = F.struct(F.array().cast(span).alias("covered"), no_candidates().alias("out"))
 
     def minus(parts: Column, y: Column) -> Column:
         left = F.filter(F.transform(parts, lambda p: F.struct(p["s"].alias("s"), F.least(p["e"], y["s"]).alias("e"))), lambda p: p["s"] < p["e"])
@@ -175,10 +234,16 @@ def split_resolution(candidates: Column, text: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         own = F.array(F.struct(x["c"]["start"].alias("s"), x["c"]["end"].alias("e")))
         parts = F.aggregate(acc["covered"], own.cast(span), minus)
-        made = F.transform(parts, lambda p: x["c"].withField("start", p["s"]).withField("end", p["e"]).withField("original", F.decode(F.substring(raw, p["s"] + 1, p["e"] - p["s"]), "UTF-8")))
+        made = F.transform(parts, lambda p: x["c"].withField("start", p["s"]).withField("end", p["e"]))
         return F.struct(F.concat(acc["covered"], own).cast(span).alias("covered"), F.concat(acc["out"], made).cast(NONE).alias("out"))
 
-    return F.array_sort(F.aggregate(order, zero, step, lambda acc: acc["out"]))
+    def one(cluster: Column) -> Column:
+        order = F.array_sort(F.transform(cluster, lambda c: F.struct((-c["start"]).alias("s"), (-c["end"]).alias("e"), c["rule_ord"].alias("r"), c.alias("c"))))
+        zero = F.struct(F.array().cast(span).alias("covered"), no_candidates().alias("out"))
+        return F.array_sort(F.aggregate(order, zero, step, lambda acc: acc["out"]))
+
+    left = F.when(F.size(candidates) > 1, by_cluster(F.array_sort(candidates), one)).otherwise(candidates)
+    return F.transform(left, lambda c: c.withField("original", F.substring(raw, c["start"] + 1, c["end"] - c["start"]).cast("string")))
 
 
 def last_first(hits: Column) -> Column:
@@ -189,7 +254,8 @@ def last_first(hits: Column) -> Column:
 def replace_spans(text: Column, spans: Column, replacement: str = "placeholder") -> Column:
     """text with each span (start, end, replacement; ascending, disjoint) put in its place."""
     raw = text.cast("binary")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(raw, acc["at"] + 1, s["start"] - acc["at"]), s[replacement].cast("binary")).alias("out"))
-    made = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(raw, acc["at"] + 1, F.octet_length(raw))))
-    return F.when(F.size(spans) > 0, F.decode(made, "UTF-8")).otherwise(text)
+    end = lambda s, i: F.coalesce(F.get(s, i)["end"], F.lit(0))
+    gap = lambda a, n: F.substring(raw, a + 1, n).cast("string")
+    parts = lambda s: F.transform(s, lambda x, i: F.concat(gap(end(s, i - 1), x["start"] - end(s, i - 1)), x[replacement]))
+    last = lambda s: gap(end(s, F.size(s) - 1), F.octet_length(raw))
+    return F.when(F.size(spans) > 0, let(spans, lambda s: F.concat(F.array_join(parts(s), ""), last(s)))).otherwise(text)

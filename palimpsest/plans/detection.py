@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as fn
 from ..operators import dictionary, restore as restoring, spans
 from ..operators.engine import PiiEngine, exploded
-from ..sources.rules import RuleList, builtin_rules, default_rules, rules_frame
+from ..sources.rules import Rule, RuleList, builtin_rules, default_rules, groups, rules_frame
 from . import sql
 
 KEY = bytes(range(32))
@@ -134,6 +134,26 @@ def detect_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(rows.select("conv_id", "turn", spans.detect("segments", [], KEYWORDS).alias("found")), "found").select("conv_id", "turn", *candidate_columns("h"))
 
 
+#: Flags of a group and flags set inside one, optional and nested groups and several, bars, boundaries, quotes and letters of two bytes.
+DIALECT = RuleList([Rule("regex", "R", p) for p in (
+    r"(?i:TH)(er\w+)", r"\bt(?i)(HE|ion)\b", r"é(.)?t|(?:(ou.)|x)", r"(?:([éèàöü]+)|q.)u", r"(?U)(e.*n)\b", r"((?:ein)(heit)?)s?", r"(?s:(l.u))(.)?", r"\Q. \E(\w)?", r"(?i)(É\w|ÜB)?er",
+    r"(\d{2,4})(?:[-.]\d+)+", r"([a-z](?-i:n))|(?i:ST)(\w)", r"\B(o)(?:u|n)\B", r"(?i)[^\W\d]é(s)?", r"(?P<first>ch)|(?P<second>sch)",
+)], "dialect")
+
+
+def dialect_sql(table: str, id_col: str, text_col: str) -> str:
+    own = " UNION ALL ".join(
+        f"SELECT {id_col} AS id, {i} AS rule_ord, unnest(regexp_extract_all({text_col}, {sql.text(r.pattern)}, 0)) AS whole, unnest(regexp_extract_all({text_col}, {sql.text(r.pattern)}, {1 if groups(r.pattern) else 0})) AS part FROM {table}" for i, r in enumerate(DIALECT.rules))
+    return f"SELECT '{table}' AS source, id, rule_ord::INTEGER AS rule_ord, coalesce(part, whole) AS original, count(*)::BIGINT AS n FROM ({own}) WHERE coalesce(part, whole) <> '' GROUP BY ALL"
+
+
+@query(f"{dialect_sql('documents', 'doc_id', 'text')} UNION ALL {dialect_sql('pages', 'page_id', 'html')}")
+def detect_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that use what RE2 has and Java or Python read otherwise, on documents and pages."""
+    found = [found_in(spark, sf_dir, *of, [DIALECT]).select(F.lit(of[0]).alias("source"), "id", "rule_ord", "original") for of in (("documents", "doc_id", "text"), ("pages", "page_id", "html"))]
+    return found[0].unionByName(found[1]).groupBy("source", "id", "rule_ord", "original").agg(F.count(F.lit(1)).alias("n"))
+
+
 BUILTIN = builtin_rules()
 
 

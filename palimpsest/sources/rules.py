@@ -117,8 +117,19 @@ def builtin_rules(*names: str) -> RuleList:
 POSIX = {"alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "punct": r"\p{Punct}", "space": r"\s", "xdigit": r"\p{XDigit}", "word": r"\w", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "graph": r"\p{Graph}", "print": r"\p{Print}", "ascii": r"\p{ASCII}"}
 
 
+#: Where a word of ASCII letters, digits and underscores begins or ends, and where not; Java's own knows other letters.
+WORD = "[0-9A-Za-z_]"
+BOUNDARY, NO_BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))", f"(?:(?<={WORD})(?={WORD})|(?<!{WORD})(?!{WORD}))"
+
+
+def unquoted(pattern: str) -> str:
+    """pattern with each character between \\Q and \\E escaped."""
+    return re.sub(r"\\(?:Q(.*?)(?:\\E|\Z)|.)", lambda m: m[0] if m[1] is None else re.sub(r"[^\w\s]", r"\\\g<0>", m[1], flags=re.ASCII), pattern, flags=re.DOTALL)
+
+
 def java_pattern(pattern: str) -> str:
     """The Java pattern that matches as RE2 does; what RE2 hasn't (lookaround, back references) is refused."""
+    pattern = unquoted(pattern)
     out, i, n, in_class = [], 0, len(pattern), False
     flags, stack = frozenset(), []  # of m and U, here and outside each open group
     while i < n:
@@ -129,7 +140,8 @@ def java_pattern(pattern: str) -> str:
                 raise RuleError("trailing backslash")
             if e.isdigit() and e != "0" or e in "kCGRXhHVeZ":
                 raise RuleError(f"\\{e} isn't in RE2")
-            out.append({"z": r"\z", "v": r"\x0B"}.get(e, "\\" + e))
+            own = {"z": r"\z", "v": r"\x0B"} if in_class else {"z": r"\z", "v": r"\x0B", "b": BOUNDARY, "B": NO_BOUNDARY}
+            out.append(own.get(e, "\\" + e))
             i += 2
             continue
         if in_class:
@@ -196,7 +208,7 @@ def java_pattern(pattern: str) -> str:
 
 def groups(pattern: str) -> list[tuple[int, int, int]]:
     """(start, end, depth) of each capture group; refuses unbalanced ones."""
-    found, stack, i, in_class = [], [], 0, False
+    found, stack, i, in_class, pattern = [], [], 0, False, unquoted(pattern)
     while i < len(pattern):
         c = pattern[i]
         if c == "\\":
@@ -229,17 +241,23 @@ def groups(pattern: str) -> list[tuple[int, int, int]]:
 
 
 def split_at_group(pattern: str) -> tuple[str, str, str] | None:
-    """Before, inside and after the only capture group, or nothing, the pattern and nothing; None if it is nested, optional or one of several."""
+    """Before, inside and after the only capture group, or nothing, the pattern and nothing; None if it is nested, optional or one of several, or if flags are set later on."""
+    pattern = unquoted(pattern)
     own = groups(pattern)
     flags = re.match(r"(?:\(\?[imsU-]+\))*", pattern)[0]
     if not own:
         return flags, pattern[len(flags):], ""
     start, end, depth = own[0]
-    if len(own) > 1 or depth or pattern[end:end + 1] in ("?", "*", "+", "{") or has_top_alternation(pattern[len(flags):]):
+    if len(own) > 1 or depth or pattern[end:end + 1] in ("?", "*", "+", "{") or has_top_alternation(pattern[len(flags):]) or sets_flags(pattern[len(flags):]):
         return None
     return pattern[:start], pattern[start + 1:end - 1], pattern[end:]
 
 
+def sets_flags(pattern: str) -> bool:
+    """Whether flags are set for what follows in a group; such a pattern can't be cut."""
+    return bool(re.search(r"\(\?[imsU-]+\)", re.sub(r"\\.", "__", pattern, flags=re.DOTALL)))
+
+
 def has_top_alternation(pattern: str) -> bool:
     depth, i, in_class = 0, 0, False
     while i < len(pattern):

@@ -7,7 +7,7 @@ from palimpsest.functions import text as fn
 from palimpsest.operators import spans
 from palimpsest.operators.dictionary import derived_key, hmac_sha256, random_key
 from palimpsest.operators.engine import PiiEngine
-from palimpsest.sources.rules import Config, Rule, RuleError, RuleList, builtin_rules, default_rules, java_pattern, merge_keywords, parse_rules, secret_keywords, split_at_group
+from palimpsest.sources.rules import Config, Rule, RuleError, RuleList, builtin_rules, default_rules, groups, java_pattern, merge_keywords, parse_rules, secret_keywords, split_at_group
 
 
 def test_rule_text():
@@ -42,6 +42,70 @@ def test_optional_groups_take_the_whole_match(spark):
     assert sorted(map(tuple, got)) == [(4, 5, "X", "a"), (7, 9, "X", "kb"), (10, 11, "Y", "c"), (11, 12, "Y", "d")]
 
 
+def random_pattern(rng):
+    """An RE2 pattern with groups, flags of their own, bars and letters of one to three bytes."""
+    atom = lambda: rng.choice(["k", "é", "日", "S", "s", ".", r"\w", r"\W", "[ké]", "[^s]", r"[\d日]", r"\b", "K", r"\Qk.\E"])
+
+    def part(depth):
+        made = "".join(atom() + rng.choice(["", "", "", "?", "+", "{1,2}"]) if rng.random() < 0.6 or depth > 2 else group(depth) for _ in range(rng.randint(1, 3)))
+        return made + ("|" + part(depth + 1) if rng.random() < 0.2 else "")
+
+    def group(depth):
+        return rng.choice(["(", "(?:", "(?i:", "(?s:", "(?-i:", "(?:(?i)"]) + part(depth + 1) + ")" + rng.choice(["", "", "?"])
+
+    made = part(0)
+    return rng.choice(["", "", "(?i)"]) + re.sub(r"(\\b)[?+]|(\\b)\{1,2\}", r"\1\2", made)
+
+
+def test_random_rules_find_what_re2_finds(spark, monkeypatch):
+    import duckdb
+    import random
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("kKsSé日É. x1\n") for _ in range(rng.randint(0, 25))) for _ in range(60)] + ["SECRET=abc secret=x", "kéx", "ã x zzéè"]
+    patterns = [r"(?i:secret)=(\w+)", r"(?:(k.)|zz)", r"(?:([éè]+)|zz)", r"x(?i)(K|s)", *(random_pattern(rng) for _ in range(120))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id INTEGER, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    want, used = {}, []
+    for p in patterns:
+        first = 1 if groups(p) else 0
+        rows = con.execute("SELECT id, regexp_extract_all(text, ?, 0), regexp_extract_all(text, ?, ?) FROM t", [p, p, first]).fetchall()
+        found = [(i, whole if part is None else part) for i, wholes, parts in rows for whole, part in zip(wholes, parts)]
+        want[len(used)] = sorted(x for x in found if x[1])
+        used.append(Rule("regex", "R", p))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("segments", spans.safe_segments(F.col("text")))
+    for prefilters in (True, False):
+        monkeypatch.setattr(spans, "PREFILTERS", prefilters)
+        found = {k: [] for k in want}
+        for r in rows.select("id", "text", F.explode(spans.detect("segments", [RuleList(used)])).alias("c")).collect():
+            assert r.text.encode()[r.c.start:r.c.end].decode() == r.c.original
+            found[r.c.rule_ord].append((r.id, r.c.original))
+        for k, p in enumerate(used):
+            assert sorted(found[k]) == want[k], (p.pattern, prefilters)
+
+
+@pytest.mark.parametrize("pattern,literal", [("(?i:secret)=", "="), ("(?i)abc", None), ("a(?i:b(?-i:cd)e)f", "cd"), ("[[:alpha:]]+x", None), (r"\Qa.b\E+", "a."), ("(?:ab|ac)dd", "dd"), ("x{0,3}yz", "yz"), ("(?i:ⓐ)1", "1")])
+def test_what_every_match_holds(pattern, literal):
+    assert spans.required(pattern)[0] == literal
+
+
+def test_cost_is_linear_in_hits(spark):
+    import time
+
+    def seconds(engine, n, unit):
+        docs = spark.createDataFrame([(unit * n,)], "text string")
+        began = time.time()
+        found = engine.redact(docs).select(F.size("hits").alias("n")).first().n
+        assert found >= n
+        return time.time() - began
+
+    for engine, unit in ((PiiEngine(bytes(range(32)), [], keywords=[("aa", "A"), ("ab", "B"), ("bb", "C")]), "aab bb "), (PiiEngine(bytes(range(32))), "u1@ex.com; ")):
+        seconds(engine, 2000, unit)
+        few, many = seconds(engine, 10_000, unit), seconds(engine, 40_000, unit)
+        assert many < 4 * few * 2
+
+
 def test_keywords_with_odd_characters(spark):
     words = [("a.b", "P"), ("\\E$", "Q"), ("it's", "R"), ("aa", "S")]
     rows = spark.createDataFrame([("x a.b a_b \\E$ it's aaaa",)], "text string").withColumn("segments", spans.safe_segments(F.col("text")))
