@@ -30,7 +30,7 @@ class PiiEngine:
         rows = docs.withColumn("segments_", spans.safe_segments(docs[text_col]))
         found = spans.detect("segments_", self.rules, self.keywords)
         if self.recognizers:
-            found = F.concat(found, *[F.coalesce(r(F.col("segments_")), spans.no_candidates()) for r in self.recognizers])
+            found = F.concat(found, *[F.coalesce(spans.beside("segments_", r), spans.no_candidates()) for r in self.recognizers])
         rows = rows.withColumn("hits", spans.exclude(found, self.excludes)).drop("segments_")
         chosen = spans.greedy(F.col("hits")) if self.overlap == "greedy" else spans.split_resolution(F.col("hits"), F.col(text_col))
         rows = rows.withColumn("hits", chosen)

@@ -172,19 +172,24 @@ def detect(segments: str, lists: list[RuleList], keywords: list[tuple[str, str]]
     native, other = [], []
     words = [(r.pattern, r.category, priority, source, ord_) for ord_, (r, priority, source) in enumerate(todo) if r.kind == "keyword"]
     if len(words) > MANY_KEYWORDS:
-        other.append(keyword_hits_udf(words)(F.col(segments)))
+        other.append(beside(segments, keyword_hits_udf(words)))
     for ord_, (rule, priority, source) in enumerate(todo):
         if rule.kind == "keyword" and len(words) > MANY_KEYWORDS:
             continue
         made = (keyword_hits if rule.kind == "keyword" else regex_hits)(rule, priority, source, ord_)
         if made is None:
-            other.append(regex_hits_udf(rule.pattern, rule.category or "REGEX", priority, source, ord_)(F.col(segments)))
+            other.append(beside(segments, regex_hits_udf(rule.pattern, rule.category or "REGEX", priority, source, ord_)))
         else:
             native.append(made)
     found = [F.expr(f"flatten(transform({segments}, s -> concat({', '.join(native)})))")] if native else []
     return F.coalesce(F.concat(*found, *other), no_candidates()) if found or other else no_candidates()
 
 
+def beside(segments: str, find: Callable[[Column], Column]) -> Column:
+    """find() as an Arrow UDF of a column of segments. The column is asked for twice, so that the optimizer keeps it as one: it loses track of a UDF whose arguments hold lambda functions."""
+    return F.when(F.size(segments) > 0, find(F.col(segments))).otherwise(no_candidates())
+
+
 def exclude(candidates: Column, values: list[str]) -> Column:
     """Without hits on excluded values, and without empty categories."""
     kept = F.filter(candidates, lambda c: c["category"] != "")
