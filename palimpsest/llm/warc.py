@@ -1,7 +1,9 @@
 """WARC archives as a Spark data source, with revisit records for equal payloads.
 
-Writing: each task writes files of records and the committed list of files (_archives.json, with
+Writing: each task writes files of records and the committed list of files (_archives-*.json, with
 places where a reader may start) is written last, so files of lost or repeated tasks are never read.
+Each write adds a list of its own, and all lists of a folder are read. In a folder without any, such
+as others have written, every .warc file is read as one part.
 Reading: file ranges become partitions; filters on record_type, record_id, target_uri and refers_to
 are pushed down; a record's header is parsed first and the payload of a record that isn't wanted is
 skipped by its length, never decoded (nor fetched, beyond what a buffered request holds). Option
@@ -36,7 +38,7 @@ HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_ur
 RANGE_BYTES, FILE_BYTES, BATCH_BYTES = 16 << 20, 256 << 20, 8 << 20
 #: Bytes of a request for payloads, and of one for headers alone.
 PAYLOAD_REQUEST, HEADER_REQUEST = 1 << 20, 64 << 10
-MANIFEST = "_archives.json"
+MANIFEST = "_archives-"
 #: Payloads under this size are always written whole.
 LEAST_REVISIT = 1000
 #: Payloads found twice are broadcast up to so many rows, and joined by a shuffle beyond.
@@ -96,7 +98,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, folder = fs.FileSystem.from_uri(self.path)
         system.create_dir(folder, recursive=True)
-        with system.open_output_stream(f"{folder}/{MANIFEST}") as out:
+        with system.open_output_stream(f"{folder}/{MANIFEST}{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps([f for m in messages if m for f in m.files]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -133,8 +135,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         system, folder = fs.FileSystem.from_uri(self.path)
-        with system.open_input_stream(f"{folder}/{MANIFEST}") as f:
-            files = json.loads(f.read())
+        there, files = system.get_file_info(fs.FileSelector(folder)), []
+        lists = [x for x in there if x.base_name.startswith(MANIFEST)]
+        for x in sorted(lists, key=lambda x: x.base_name):
+            with system.open_input_stream(x.path) as f:
+                files += json.loads(f.read())
+        if not lists:
+            files = [{"file": x.base_name, "bytes": x.size, "starts": [0]} for x in sorted(there, key=lambda x: x.base_name) if x.base_name.endswith(".warc")]
         return [Range(x["file"], a, b) for x in files for a, b in zip(x["starts"], [*x["starts"][1:], x["bytes"]])] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:

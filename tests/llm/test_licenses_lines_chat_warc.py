@@ -105,6 +105,12 @@ def test_line_rules_cases(spark):
     assert line_rules.line_rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_a_text_of_very_many_lines(spark):
+    text = "\n".join(f"line {k % 400_000} of a log" for k in range(500_000))
+    row = line_rules.line_rules(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert (row.n_words, row.n_dup_lines, row.line_words) == (2_500_000, 100_000, 2_000_000)
+
+
 def test_very_long_text_takes_the_other_sort(spark, monkeypatch):
     monkeypatch.setattr(line_rules, "PLACE_BITS", 4)
     docs = spark.createDataFrame([(1, "a b c d a b c " + " ".join(map(str, range(30))), "h"), (2, "a b c a b c", "h")], "doc_id long, text string, source string")
@@ -198,6 +204,13 @@ def test_warc_cases(spark, request_bytes):
     empty = scratch_path(spark, "w")
     warc.write_pages(pages.limit(0), empty)
     assert warc.page_records(spark, empty).count() == 0
+    # a second write adds to the first; archives without a list are read whole
+    warc.write_pages(pages, empty)
+    warc.write_pages(pages.filter("page_id = 5"), empty)
+    assert sorted(map(tuple, warc.page_records(spark, empty, **asked).collect()), key=repr) == sorted([*expected_records(rows), *expected_records([(5, "short")])], key=repr)
+    for x in Path(empty.removeprefix("file://")).glob(f"{warc.MANIFEST}*"):
+        x.unlink()
+    assert warc.page_records(spark, empty, **asked).count() == len(rows) + 1
 
 
 @pytest.mark.parametrize("wanted,left", [("record_type", 0), ("payload_length", 1)])
