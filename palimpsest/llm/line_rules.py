@@ -76,8 +76,9 @@ def text_profile(docs: DataFrame, text_col: str, host_col: str, id_col: str) ->
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
     rows = repeated_words(rows)
     normal = lambda x: F.regexp_replace(F.btrim(x, F.lit(BLANKS)), r"[\x20\x09-\x0D]+", " ")
-    # lower() would also fold other alphabets; that only makes more lines alike
-    hashed = F.array_distinct(F.transform(F.transform("own_lines", lambda x: F.lower(normal(x))), lambda x: F.struct(F.xxhash64(x).alias("line"), (F.regexp_count(x, F.lit(" ")) + 1).alias("words"))))
+    # lower() would also fold other alphabets; that only makes more lines alike; strings are told apart by a hash set, structs one by one
+    different = F.array_distinct(F.transform("own_lines", lambda x: F.lower(normal(x))))
+    hashed = F.transform(different, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.regexp_count(x, F.lit(" ")) + 1).alias("words")))
     return rows.select(
         "doc_id", "host", F.xxhash64("text").alias("text_hash"), "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("own_lines") - F.size(F.array_distinct("own_lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words", hashed.alias("lines"),
