@@ -1,19 +1,18 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source gets a target number of words. A target of c times the source's size gives every
-document floor(c) certain whole copies; the rest of the target is a sample without replacement:
-documents are ranked by random odds over inclusion odds, u / (1 - u) : p / (1 - p), and the smallest
-ranks are taken until the words left are used up. Inclusion probabilities follow the square root of
-a document's size. Random numbers come from MD5 of seed and doc_id, so reruns agree.
-
-Documents over one twentieth of their source are fewer than twenty. They stand in the same order, but
-one that doesn't fit into the words left when its turn comes is passed over, and smaller ones of
-higher rank fill what is left; only if these don't suffice do more large ones that fit follow. So the
-target is missed by half of the last document at most, and a large document's chance is its inclusion
-probability less the times when it comes last and doesn't fit. No source is ordered in one task: words
-of small documents before each large one are summed, ranks are cut into classes, the classes' sums
-find the one where the target is met, and only that one is ordered. What is known of a source ends as
-a largest rank and the ranks of a few large documents, which every row is held against.
+document floor(c) certain whole copies; the rest of the target is a sample without replacement.
+Inclusion probabilities follow the square root of a document's size, so that the words expected are
+the rest; documents whose probability would be 1 or more are certain, and what they leave is dealt
+again to the others until none exceeds 1. The others are ranked by random odds over inclusion odds,
+u / (1 - u) : p / (1 - p), and the smallest ranks are taken until the words left are used up; the
+last one is taken if that comes nearer. One rule holds for documents of any size. Random numbers come
+from MD5 of seed and doc_id, so reruns agree.
+
+The target is missed by half of the last document at most. No source is ordered in one task: sizes
+are summed by weight to find what is certain, ranks are cut into classes, the classes' sums find the
+one where the target is met, and only that one is ordered. What is known of a source ends as a least
+weight that is certain and a largest rank, which every row is held against.
 
 Null text has size 0. Null sources are one source, weighed last. Rows of one source that share
 doc_id and size share a rank and are taken together. An empty table gives an empty result.
@@ -26,10 +25,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import stored
 
 WEIGHTS = (5, 2, 1)
-TOTAL, CAP, LARGE, CLASSES, SEED = 1.5, 2.0, 20, 4096, 17
+TOTAL, CAP, CLASSES, SEED = 1.5, 2.0, 4096, 17
 #: A table of sources is broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_SOURCES = 100_000
-DRAWN = "array<struct<rank:double,size:bigint>>"
+NO_WEIGHT = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,10 +64,15 @@ def size_weight(size: Column) -> Column:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """Adds rank and whether a row is large, from its source's figures."""
-    p = F.try_divide(F.col("part") * size_weight(F.col("size")) * F.col("source_size"), F.col("weighed"))
+    """Adds weight and rank, from a source's figures, to rows of documents that aren't certain."""
+    p = F.try_divide(F.col("left") * size_weight(F.col("size")), F.col("weighed"))
     p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-    return rows.withColumns({"p": p, "large": F.col("size") * LARGE > F.col("source_size")}).withColumn("rank", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    return rows.withColumn("p", p).withColumn("rank", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+
+
+def open_rows(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Ranked rows that chance decides on."""
+    return ranked(beside(rows, sources)).filter((F.col("part") > 0) & (F.col("size") > 0) & (size_weight(F.col("size")) < F.col("certain_weight")))
 
 
 def beside(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -83,42 +87,34 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
 
 
 def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, total: float = TOTAL, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
-    """Stored tables: doc_id, source, size, u of each document; and each source's figures with its two largest ranks that are taken."""
+    """Stored tables: doc_id, source, size, u of each document; and each source's figures with its least certain weight and its largest rank that is taken."""
     rows = stored(docs.select(docs[id_col].alias("doc_id"), *[c.alias(k) for k, c in sized(docs, id_col, text_col, source_col, seed).items()]), "sizes")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * size_weight(F.col("size"))).alias("weighed"))
-    sources = source_targets(sources, total, cap, weights).withColumn("copies", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
+    sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), total, cap, weights)
+    sources = sources.withColumn("copies", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     sources = sources.withColumn("part", F.coalesce(F.try_divide("target", "source_size") - F.col("copies"), F.lit(0.0)))
     sources = stored(sources.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "sources")
-    wanted = ranked(beside(rows, sources)).filter("part > 0 and size > 0")
-
-    # large documents, fewer than LARGE of a source, with the words of small ones before each
-    large = F.array_sort(F.collect_list(F.when(F.col("large"), F.struct("rank", "size"))))
-    found = wanted.groupBy("source").agg(large.alias("large_docs"), F.sum(F.when(~F.col("large"), F.col("size")).otherwise(0)).alias("small_words"))
-    sources = with_figures(sources, found).withColumns({"large_docs": F.coalesce("large_docs", F.array().cast(DRAWN)), "small_words": F.coalesce("small_words", F.lit(0))})
-    sources = stored(sources, "sources")
-    small = ranked(beside(rows, sources.filter(F.size("large_docs") > 0))).filter("part > 0 and size > 0 and not large")
-    places = small.withColumn("place", F.size(F.filter("large_docs", lambda x: x["rank"] < F.col("rank")))).groupBy("source", "place").agg(F.sum("size").alias("words"))
-    places = places.groupBy("source").agg(F.collect_list(F.struct("place", "words")).alias("places"))
-    sources = with_figures(sources, places).withColumn("places", F.coalesce("places", F.array().cast("array<struct<place:int,words:bigint>>")))
-    sources = sources.withColumn("drawn", drawn_in_order()).drop("places")
-    sources = sources.withColumn("rest", F.col("rest") - words_in(F.col("drawn")))
-    # if all the others together leave a gap: large ones that fit into it, and one more if that is nearer
-    gap = F.col("rest") - F.col("small_words")
-    sources = sources.withColumn("more", fitting(F.array_except("large_docs", "drawn"), gap))
-    over = F.array_sort(F.array_except(F.array_except("large_docs", "drawn"), F.col("more")), lambda x, y: F.when(x["size"] != y["size"], F.signum(x["size"] - y["size"]).cast("int")).otherwise(F.signum(x["rank"] - y["rank"]).cast("int")))
-    sources = sources.withColumn("more", F.concat("more", F.filter(F.slice(over, 1, 1), lambda x: x["size"] / 2 <= gap - words_in(F.col("more")))))
-    sources = stored(sources.withColumn("large_ranks", F.transform(F.concat("drawn", "more"), lambda x: x["rank"])).drop("large_docs", "drawn", "more", "small_words"), "sources")
+
+    # a source has as many weights as the square root of its largest size at most; the largest weights are certain first
+    sums = rows.filter("size > 0").groupBy("source", size_weight(F.col("size")).alias("weight")).agg(F.sum("size").alias("words"))
+    down = W.partitionBy("source").orderBy(F.col("weight").desc())
+    sums = beside(sums, sources.select("source", "rest", "part")).withColumns({
+        "above": F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        "below": F.sum(F.col("words") * F.col("weight")).over(down.rowsBetween(W.currentRow, W.unboundedFollowing)),
+    })
+    sums = sums.withColumn("sure", (F.col("part") > 0) & ((F.col("rest") - F.col("above")) * F.col("weight") >= F.col("below")))
+    found = sums.groupBy("source").agg(F.min(F.when(F.col("sure"), F.col("weight"))).alias("certain_weight"), F.sum(F.when(F.col("sure"), F.col("words")).otherwise(0)).alias("certain_words"), F.sum(F.when(~F.col("sure"), F.col("words") * F.col("weight")).otherwise(0)).alias("weighed"))
+    sources = with_figures(sources, found).withColumns({"certain_weight": F.coalesce("certain_weight", F.lit(NO_WEIGHT)), "weighed": F.coalesce("weighed", F.lit(0)), "left": F.col("rest") - F.coalesce("certain_words", F.lit(0))})
+    sources = stored(sources.drop("certain_words"), "sources")
 
     # the others by class of rank
-    others = ranked(beside(rows, sources)).filter("part > 0 and size > 0 and not large").withColumn("class", rank_class())
-    classes = others.groupBy("source", "class").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-    classes = classes.withColumn("before", F.sum("words").over(W.partitionBy("source").orderBy("class")) - F.col("words")).filter("before <= rest")
+    classes = open_rows(rows, sources).withColumn("class", rank_class()).groupBy("source", "class").agg(F.sum("size").alias("words"), F.max("left").alias("left"))
+    classes = classes.withColumn("before", F.sum("words").over(W.partitionBy("source").orderBy("class")) - F.col("words")).filter("before <= left")
     last = classes.groupBy("source").agg(F.max_by(F.struct("class", "before"), "class").alias("last")).select("source", F.col("last.class").alias("last_class"), F.col("last.before").alias("before"))
     sources = stored(with_figures(sources, last).withColumn("last_class", F.coalesce("last_class", F.lit(-1))), "sources")
-    edge = ranked(beside(rows, sources)).filter("part > 0 and size > 0 and not large").filter(rank_class() == F.col("last_class"))
+    edge = open_rows(rows, sources).filter(rank_class() == F.col("last_class"))
     by_rank = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     edge = edge.withColumn("before", F.col("before") + F.sum("size").over(by_rank) - F.col("size"))
-    edge = edge.filter("before + size / 2 <= rest").groupBy("source").agg(F.max("rank").alias("rank_in_class"))
+    edge = edge.filter("before + size / 2 <= left").groupBy("source").agg(F.max("rank").alias("rank_in_class"))
     return rows, stored(with_figures(sources, edge).withColumn("rank_in_class", F.coalesce("rank_in_class", F.lit(-1.0))), "sources")
 
 
@@ -126,23 +122,6 @@ def with_figures(sources: DataFrame, more: DataFrame) -> DataFrame:
     return sources.join(more.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
 
 
-def words_in(large: Column) -> Column:
-    return F.aggregate(large, F.lit(0).cast("long"), lambda total, x: total + x["size"])
-
-
-def drawn_in_order() -> Column:
-    """Of a source's large documents in the order of rank, each that fits into what is left of `rest` by the large ones taken and all small ones before it."""
-    before = lambda k: F.aggregate(F.filter("places", lambda e: e["place"] <= k), F.lit(0).cast("long"), lambda n, e: n + e["words"])
-    turns = F.transform("large_docs", lambda x, k: F.struct(x["rank"].alias("rank"), x["size"].alias("size"), before(k).alias("before")))
-    fits = lambda taken, x: words_in(taken) + x["before"] + x["size"] <= F.col("rest")
-    return F.aggregate(turns, F.array().cast(DRAWN), lambda taken, x: F.when(fits(taken, x), F.concat(taken, F.array(F.struct(x["rank"].alias("rank"), x["size"].alias("size"))))).otherwise(taken))
-
-
-def fitting(large: Column, words: Column) -> Column:
-    """Of a few documents in the order of rank, each that fits into what the ones before it have left of words."""
-    return F.aggregate(large, F.array().cast(DRAWN), lambda taken, x: F.when(words_in(taken) + x["size"] <= words, F.concat(taken, F.array(x))).otherwise(taken))
-
-
 def rank_class() -> Column:
     return F.floor(F.col("rank") / (1 + F.col("rank")) * CLASSES).cast("int")
 
@@ -150,9 +129,9 @@ def rank_class() -> Column:
 def copies(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds size-based figures and n_copies to rows that have source, size and u; row by row, with a source's figures beside."""
     r = ranked(beside(rows, sources))
-    small = (rank_class() < F.col("last_class")) | ((rank_class() == F.col("last_class")) & (F.col("rank") <= F.col("rank_in_class")))
-    drawn = F.when(F.col("large"), F.array_contains("large_ranks", F.col("rank"))).otherwise(small)
-    return r.withColumn("n_copies", F.col("copies") + F.coalesce(F.when((F.col("part") > 0) & (F.col("size") > 0) & drawn, 1), F.lit(0)))
+    by_rank = (rank_class() < F.col("last_class")) | ((rank_class() == F.col("last_class")) & (F.col("rank") <= F.col("rank_in_class")))
+    taken = (F.col("part") > 0) & (F.col("size") > 0) & ((size_weight(F.col("size")) >= F.col("certain_weight")) | by_rank)
+    return r.withColumn("n_copies", F.col("copies") + F.coalesce(F.when(taken, 1), F.lit(0)))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
