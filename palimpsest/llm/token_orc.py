@@ -11,6 +11,8 @@ doc_id are all kept, ordered by text. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -20,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from .common import LongTable, in_tasks, small_batches
+from .common import in_tasks, small_batches
 
 END_ID = 0
 SCHEMA = T.StructType([
@@ -33,12 +35,10 @@ SCHEMA = T.StructType([
 CHUNK_BYTES = 2 << 20
 #: Bytes of a batch between the JVM and Python, beside which the writer holds stripes.
 BATCH_BYTES = 4 << 20
-#: Longer runs of one class of characters go to the library.
-LONGEST_RUN = 256
-NO_RANK = np.int32(2**31 - 1)
-#: Texts whose white space isn't single blanks and line feeds between words, or that may hold special tokens.
-IRREGULAR = r"<\||  |\n\n| \n|\n |\x00|\A[ \n]|[ \n]\z"
-LETTERS, NUMBERS, OTHERS, SPACE, BREAK = 1, 2, 3, 4, 5
+#: Pieces whose ids are remembered, at most.
+REMEMBERED = 500_000
+#: Texts whose white space isn't single blanks and line feeds between words.
+IRREGULAR = r"  |\n\n| \n|\n |\x00|\A[ \n]|[ \n]\z|[\t\v\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -48,139 +48,57 @@ def take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Encodes whole texts with a byte-level BPE file of the tokenizers library.
+    """Encodes whole texts with a tokenizer of the tokenizers library, which gives every id.
 
-    Byte-level BPE never merges across a blank followed by a character, so a text whose white space
-    is single blanks and line feeds between words is encoded piece by piece: each distinct piece of a
-    chunk of texts once, all together, in numpy. Any other text goes to the library as a whole, any
-    piece with an apostrophe or a very long run too. Nothing is remembered from chunk to chunk.
+    A byte-level pre-tokenizer never joins what a blank and a character part. So a text whose white
+    space is single blanks and line feeds between words is sent to the library as its different pieces
+    (a word with the blank or line feed before it), those of many texts together and each once; ids are
+    told apart by the bytes they stand for, and those of up to REMEMBERED pieces are kept. Any other
+    text goes to the library as it is, and all texts do if the tokenizer is of another kind.
     """
 
     def __init__(self, tokenizer_json: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        model = json.loads(tokenizer_json)["model"]
-        self.tokenizer, vocabulary = Tokenizer.from_str(tokenizer_json), model["vocab"]
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as themselves
-        rest = [b for b in range(256) if b not in shown]
-        names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.byte_ids = np.array([vocabulary[names[b]] for b in range(256)], np.int32)
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        left, right = (np.array([vocabulary[p[k]] for p in pairs], np.int64) for k in (0, 1))
-        self.pairs, self.made = LongTable(left << 32 | right), np.array([vocabulary["".join(p)] for p in pairs], np.int32)
-        self.kinds = np.zeros(0x110000, np.uint8)
-
-    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        rank = self.pairs.find(left.astype(np.int64) << 32 | right)
-        rank[rank < 0] = NO_RANK
-        return rank
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-
-    def kinds_of(self, characters: np.ndarray) -> np.ndarray:
-        """How the library's own pre-tokenizer classes each character."""
-        kinds = self.kinds[characters]
-        if not kinds.all():
-            split = lambda s: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(s)) == 1
-            for c in np.unique(characters[kinds == 0]).tolist():
-                self.kinds[c] = next((k for k, x in ((LETTERS, "a"), (NUMBERS, "1"), (OTHERS, "!")) if split(x + chr(c))), SPACE)
-            self.kinds[[10, 0]] = BREAK
-            kinds = self.kinds[characters]
-        return kinds
-
-    def merge(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """BPE of runs of ids that begin at starts: the ids that are left, and how many of each run."""
-        run = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(ids))))
-        live = np.arange(len(starts))  # the runs in hand, by place
-        rank = self.ranks_of(ids, np.append(ids[1:], 0))
-        rank[np.append(starts[1:], len(ids)) - 1] = NO_RANK
-        done_run, done_ids = [], []
-        while len(ids):
-            least = np.minimum.reduceat(rank, starts)
-            over = least == NO_RANK
-            if np.count_nonzero(over) * 4 >= len(over):  # runs that are done leave
-                length = np.diff(np.append(starts, len(ids)))
-                out = np.repeat(over, length)
-                done_run.append(np.repeat(live[over], length[over]))
-                done_ids.append(ids[out])
-                keep = ~out
-                ids, rank, least, live, length = ids[keep], rank[keep], least[~over], live[~over], length[~over]
-                if not len(ids):
-                    break
-                starts = np.cumsum(length) - length
-                run = np.repeat(np.arange(len(starts), dtype=np.int32), length)
-            hit = (rank == least[run]) & (rank != NO_RANK)
-            beside = hit[1:] & hit[:-1]
-            if beside.any():  # one symbol several times: every second pair, from the left
-                first = hit & ~np.append(False, beside)
-                at = np.arange(len(hit))
-                hit &= (at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0
-            at = np.flatnonzero(hit)
-            ids[at], rank[at + 1] = self.made[rank[at]], NO_RANK
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            starts = starts - np.searchsorted(at, starts)
-            place = at - np.arange(len(at))
-            run, ids, rank = run[keep], ids[keep], rank[keep]
-            # pairs that have changed: of the merged symbol, and of the one before it
-            changed = np.zeros(len(ids), bool)
-            changed[place] = changed[np.maximum(place - 1, 0)] = True
-            rank[changed] = NO_RANK
-            changed[:-1] &= run[1:] == run[:-1]
-            changed[-1] = False
-            changed = np.flatnonzero(changed)
-            rank[changed] = self.ranks_of(ids[changed], ids[changed + 1])
-        if not done_run:
-            return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
-        run, ids = np.concatenate(done_run), np.concatenate(done_ids)
-        order = np.argsort(run, kind="stable")
-        return ids[order], run[order]
-
-    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of distinct pieces one after another, each piece's number of ids, and which pieces hold other white space.
-
-        A piece is "\\0" and a text's first word, a word that follows a blank, or "\\n" and a word; an
-        empty one has no ids.
-        """
-        n = len(pieces)
-        _, offsets, data = pieces.buffers()
-        offsets = np.frombuffer(offsets, np.int32)[pieces.offset:pieces.offset + n + 1].astype(np.int64)
-        raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data and data.size else np.zeros(0, np.uint8)
-        at, length = offsets[:-1] - offsets[0], np.diff(offsets)
-        lead = np.where(length > 0, raw[np.minimum(at, len(raw) - 1)] if len(raw) else 0, 0)
-        blank = ((length > 0) & (lead != 0) & (lead != 10)).astype(np.int64)
-        # a blank before each word that follows one
-        size = length + blank
-        begin = np.cumsum(size) - size
-        text = np.full(int(size.sum()), 32, np.uint8)
-        text[take(begin + blank, length)] = raw
-        # classes of characters for each of their bytes; the blank goes with what follows
-        wide = (text & 0xC0) != 0x80
-        kind = self.kinds_of(np.frombuffer(text.tobytes().decode().encode("utf-32-le"), np.uint32))
-        kind = kind[np.cumsum(wide) - 1] if len(text) else kind
-        where = begin[blank > 0]
-        kind[where] = kind[where + 1]
-        owner = np.repeat(np.arange(n), size)
-        new = np.append(True, (kind[1:] != kind[:-1]) | (owner[1:] != owner[:-1])) if len(text) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        odd = np.bincount(owner, (text == 39), n) > 0
-        odd[owner[starts[np.diff(np.append(starts, len(text))) > LONGEST_RUN]]] = True
-        other_space = np.bincount(owner, kind == SPACE, n) > 0
-        skip = (odd | other_space)[owner] | (text == 0)
-        ids, run = self.merge(self.byte_ids[text[~skip]], np.flatnonzero(new[~skip])) if not skip.all() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        run_owner = owner[~skip][new[~skip]]
-        count = np.bincount(run_owner[run], minlength=n).astype(np.int64) if len(run) else np.zeros(n, np.int64)
-        few = np.flatnonzero(odd & ~other_space)
-        if len(few):
-            own = [self.whole(text[begin[k]:begin[k] + size[k]].tobytes().decode().replace("\0", "")) for k in few]
-            more = count.copy()
-            more[few] = list(map(len, own))
-            out = np.empty(int(more.sum()), np.int32)
-            mine = np.repeat(np.isin(np.arange(n), few), more)
-            out[mine], out[~mine] = np.concatenate(own), ids
-            ids, count = out, more
-        return ids, count, other_space
+        self.tokenizer, parts = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json)
+        before, model = parts.get("pre_tokenizer") or {}, parts["model"]
+        self.by_piece = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout")
+                         and not any(parts.get(k) for k in ("normalizer", "truncation", "padding")) and not any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")))
+        special = "|".join(re.escape(t["content"]) for t in parts.get("added_tokens") or [])
+        self.irregular = f"{IRREGULAR}|{special}" if special else IRREGULAR
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # byte-level BPE shows each byte as a character
+            self.bytes_of[i] = len(token)
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and each one's number of ids. A piece is "\\0" and a text's first word, a word that follows a blank, or "\\n" and a word; an empty one has no ids."""
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known = self.known
+        known[""] = b""
+        new = [p for p in pieces if p not in known]
+        first = [p for p in new if p[0] == "\0"]
+        for p, ids in zip(first, self.whole([p[1:] for p in first])):
+            known[p] = ids.tobytes()
+        later = [p for p in new if p[0] != "\0"]
+        if later:
+            spelt = [p if p[0] == "\n" else " " + p for p in later]
+            ids = self.whole(["".join(spelt)])[0]
+            ends, stops = np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in spelt])
+            last = np.searchsorted(ends, stops)
+            if last[-1] >= len(ends) or (ends[last] != stops).any():
+                raise ValueError("the tokenizer joins pieces over blanks")
+            raw, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
+            for k, p in enumerate(later):
+                known[p] = raw[cuts[k]:cuts[k + 1]]
+        own = [known[p] for p in pieces]
+        return np.frombuffer(b"".join(own), np.int32), np.array([len(x) // 4 for x in own], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and each text's number of ids; null counts as empty."""
@@ -196,26 +114,22 @@ class PieceEncoder:
         return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([np.zeros(0, np.int64), *counts])
 
     def chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        irregular = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False).copy()
+        irregular = pc.match_substring_regex(texts, self.irregular).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(texts), bool)
         if len(texts) == 1 and len(texts[0].as_buffer()) > 2 * CHUNK_BYTES and not irregular[0]:
             made = self.in_parts(texts[0].as_py())
             if made is not None:
                 return made, np.array([len(made)])
-            irregular[0] = True
+            irregular = ~irregular
         pieces, owner = self.split(texts, irregular)
         coded = pieces.dictionary_encode()
-        ids, count, other_space = self.pieces(coded.dictionary)
+        ids, count = self.pieces(coded.dictionary.to_pylist())
         index = coded.indices.to_numpy()
-        if other_space.any():  # those texts go to the library
-            irregular[owner[other_space[index]]] = True
-            keep = ~irregular[owner]
-            index, owner = index[keep], owner[keep]
         each = count[index]
         ids = ids[take((np.cumsum(count) - count)[index], each)]
         total = np.bincount(owner, each, len(texts)).astype(np.int64)
         if not irregular.any():
             return ids, total
-        own = [self.whole(texts[int(k)].as_py()) for k in np.flatnonzero(irregular)]
+        own = self.whole([texts[int(k)].as_py() for k in np.flatnonzero(irregular)])
         total[irregular] = list(map(len, own))
         out, mine = np.empty(int(total.sum()), np.int32), np.repeat(irregular, total)
         out[mine], out[~mine] = np.concatenate(own), ids
@@ -229,7 +143,7 @@ class PieceEncoder:
         return lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
 
     def in_parts(self, text: str) -> np.ndarray | None:
-        """Ids of a long regular text, cut before blanks; None if there is other white space or no place to cut."""
+        """Ids of a long regular text, cut before blanks; None if there is no place to cut."""
         out, a, step = [], 0, CHUNK_BYTES // 4
         while a < len(text):
             b = text.rfind(" ", a + 1, a + step) if a + step < len(text) else len(text)
@@ -237,9 +151,7 @@ class PieceEncoder:
                 return None
             pieces, _ = self.split(pa.array([text[a:b]], pa.large_string()), np.zeros(1, bool), "" if a else "\0")
             coded = pieces.dictionary_encode()
-            ids, count, other_space = self.pieces(coded.dictionary)
-            if other_space.any():
-                return None
+            ids, count = self.pieces(coded.dictionary.to_pylist())
             index = coded.indices.to_numpy()
             out.append(ids[take((np.cumsum(count) - count)[index], count[index])])
             a = b
