@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as fn
-from ..operators import dictionary, restore as restoring, spans
+from ..operators import dictionary, keyword_join, restore as restoring, spans
 from ..operators.engine import PiiEngine, exploded
 from ..sources.rules import Rule, RuleList, builtin_rules, default_rules, groups, rules_frame
 from . import sql
@@ -154,6 +154,18 @@ def detect_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).groupBy("source", "id", "rule_ord", "original").agg(F.count(F.lit(1)).alias("n"))
 
 
+WORD_SQL = "SELECT DISTINCT unnest(regexp_extract_all(html, '\\p{L}{5,}', 0)) AS keyword FROM pages"
+
+
+@query(f"""SELECT doc_id, keyword, 'WORD_' || length(keyword) AS category, sum((length(text) - length(replace(text, keyword, ''))) // length(keyword))::BIGINT AS n, min(strlen(left(text, instr(text, keyword) - 1)))::INTEGER AS first_start
+  FROM documents JOIN ({WORD_SQL}) ON contains(text, keyword) GROUP BY doc_id, keyword""")
+def keyword_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of five letters and more of the pages, as keywords wherever they stand in documents."""
+    words = keyword_join.dictionary_of(table(spark, sf_dir, "pages"), "html", 5)
+    hits = keyword_join.keyword_hits(table(spark, sf_dir, "documents"), words, keys=("doc_id",))
+    return hits.groupBy("doc_id", "keyword", "category").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_start"))
+
+
 BUILTIN = builtin_rules()
 
 
