@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..scratch import stored
 from ..sources.rules import RuleList, default_rules
 from . import dictionary, restore as restoring, spans
+from .byte_segments import safe_byte_segments
 
 
 class PiiEngine:
@@ -25,9 +26,10 @@ class PiiEngine:
         self.overlap = overlap or ("greedy" if self.rules or self.recognizers else "split")
 
     def detect(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with `hits`: disjoint candidates with placeholders, in the order of start."""
+        """docs with `hits`: disjoint candidates with placeholders, in the order of start. Texts may be BINARY: bytes that aren't UTF-8 end a segment."""
         # segments and candidates are columns of their own, so each is worked out once
-        rows = docs.withColumn("segments_", spans.safe_segments(docs[text_col]))
+        cut = safe_byte_segments if isinstance(docs.schema[text_col].dataType, T.BinaryType) else spans.safe_segments
+        rows = docs.withColumn("segments_", cut(docs[text_col]))
         found = spans.detect("segments_", self.rules, self.keywords)
         if self.recognizers:
             found = F.concat(found, *[F.coalesce(spans.beside("segments_", r), spans.no_candidates()) for r in self.recognizers])
@@ -44,7 +46,8 @@ class PiiEngine:
         need other rows: redact_with_mapping() does that.
         """
         rows = self.detect(docs, text_col)
-        return rows.withColumn("redacted", spans.replace_spans(F.col(text_col), F.col("hits")))
+        made = spans.replace_spans(F.col(text_col).cast("string"), F.col("hits"))  # a cast keeps bytes as they are
+        return rows.withColumn("redacted", made.cast(docs.schema[text_col].dataType))
 
     def redact_with_mapping(self, docs: DataFrame, order_col: str, text_col: str = "text", created_at: Column | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """redact(), and the mapping; an original has one placeholder everywhere, that of its first hit or the one it has in `known`.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as fn
-from ..operators import dictionary, keyword_join, restore as restoring, spans
+from ..operators import byte_segments, dictionary, keyword_join, restore as restoring, spans
 from ..operators.engine import PiiEngine, exploded
 from ..sources.rules import Rule, RuleList, builtin_rules, default_rules, groups, rules_frame
 from . import sql
@@ -207,6 +207,25 @@ def safe_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.posexplode(spans.pieces_with_offsets(pieces, gaps))).select("id", (F.col("pos") + 1).alias("pos"), F.col("col.seg").alias("seg"), F.col("col.off").alias("off")).filter("seg <> ''")
 
 
+#: Bytes that no character has, that end early or are overlong, halves of surrogates, and whole escapes and control and format characters.
+PLANTED = ("ff", "c3", "e282", "f09f98", "80bf", "c0af", "eda080", "f4908080", "1b5b33316d", "1b5d303b7407", "00", "c285", "e2808b", "fe1b5b6dff")
+PLANTED_SQL = "[" + ", ".join(f"'{x}'" for x in PLANTED) + "]"
+
+
+@query(f"""WITH p AS (SELECT page_id, html, length(html) // 3 AS n, {PLANTED_SQL}[1 + abs(page_id) % {len(PLANTED)}] AS one, {PLANTED_SQL}[1 + abs(page_id * 7 + 3) % {len(PLANTED)}] AS two FROM pages WHERE html IS NOT NULL AND page_id IS NOT NULL),
+  c AS (SELECT page_id, 0 AS off, left(html, n) AS seg FROM p UNION ALL SELECT page_id, strlen(left(html, n)) + length(one) // 2, substr(html, n + 1, n) FROM p
+    UNION ALL SELECT page_id, strlen(left(html, 2 * n)) + length(one) // 2 + length(two) // 2, substr(html, 2 * n + 1) FROM p)
+  SELECT page_id, off::INTEGER AS off, md5(seg) AS seg_md5, strlen(seg)::INTEGER AS n_bytes FROM c WHERE seg <> ''""")
+def segment_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of pages as bytes, with bytes planted in two places of each."""
+    some = lambda c: F.unhex(F.get(F.array(*map(F.lit, PLANTED)), (F.abs(c) % len(PLANTED)).cast("int")))
+    n, i = F.floor(F.length("html") / 3).cast("int"), F.col("page_id")
+    part = lambda a, b: F.encode(F.substring("html", a, b), "UTF-8")
+    raw = F.concat(part(F.lit(1), n), some(i), part(n + 1, n), some(i * 7 + 3), part(2 * n + 1, F.length("html")))
+    rows = table(spark, sf_dir, "pages").filter("html IS NOT NULL AND page_id IS NOT NULL").select("page_id", byte_segments.safe_byte_segments(raw).alias("s"))
+    return rows.select("page_id", F.explode("s").alias("s")).select("page_id", "s.off", F.md5(F.col("s.seg").cast("binary")).alias("seg_md5"), F.octet_length("s.seg").alias("n_bytes"))
+
+
 @query(f"SELECT {CAND} FROM ({sql.candidates(DOCS, [RULES])}) WHERE original IS DISTINCT FROM (SELECT min(original) FROM ({sql.candidates(DOCS, [category_rules('EMAIL')])}))")
 def exclude_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All hits but those on the least e-mail address found."""

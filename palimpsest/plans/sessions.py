@@ -16,8 +16,9 @@ from ..sources import logs
 from ..sources.rules import Config, Rule, RuleError, RuleList, merge_keywords, parse_rules
 from ..sources.requests import read_requests
 from ..sources.settings import RuleListCache, config_of, opener, secret_files
+from ..streaming import live_dictionary as live
 from . import sql
-from .detection import KEY, literal_rows, query, table
+from .detection import ENGINE, HITS, KEY, literal_rows, query, table
 from .services import AUDITED, audited
 
 LISTS = [
@@ -267,3 +268,22 @@ def sealed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     sealed = spark.range(1).select(fn.seal(F.lit("open"), KEY)).first()[0]
     tree = {"patterns": {"keywords": [{"value": sealed, "category": "c"}, {"value": "plain"}, {"value": "__VG_ENC_V1__:AAAA"}]}}
     return literal_rows(spark, config_of(tree, str, opener(spark, KEY)).keywords, "text string, category string")
+
+
+LIVE_SQL = f"SELECT coalesce(source, '') AS session_id, original, first(category ORDER BY id, start_ DESC) AS category, min(id) AS created_at FROM ({HITS}) JOIN (SELECT doc_id AS id, source FROM documents) USING (id) GROUP BY ALL"
+
+
+@query(f"SELECT session_id, original, category, {sql.placeholder(KEY)} AS placeholder, created_at FROM ({LIVE_SQL})")
+def live_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions' dictionaries (a source is a session) from streamed hits of documents; the query is stopped half way and started again on its checkpoint."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("session_id"), "text")
+    hits = exploded(ENGINE.detect(docs).select("doc_id", "session_id", "hits"), "hits").select("session_id", F.col("doc_id").alias("doc_ord"), "h.start", "h.category", "h.original", F.col("doc_id").alias("at"))
+    hits = stored(hits, "hits")
+    middle = hits.agg(F.percentile_approx("doc_ord", 0.5).alias("m")).first().m or 0
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("hits", "events", "state"))
+    for part in (F.col("doc_ord") <= middle, F.col("doc_ord") > middle):
+        hits.filter(part).coalesce(4).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(hits.schema).parquet(source)
+        with live.rocksdb(spark):
+            live.dictionary_stream(stream, KEY).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return live.standing(spark.read.schema(live.EVENTS).parquet(out))
