@@ -41,6 +41,13 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.createDataFrame(rows, schema)
 
 
+def dealt(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """Cases dealt to all events in turn: row_id (the event's), and the case's columns."""
+    cases = literal_rows(spark, [(k, *r) for k, r in enumerate(rows)], f"case_ int, {schema}")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("row_id"))
+    return events.join(F.broadcast(cases), F.pmod("row_id", F.lit(len(rows))) == F.col("case_")).drop("case_")  # as many rows as there are cases
+
+
 def candidate_columns(c: str = "c") -> list:
     return [F.col(f"{c}.start").alias("start_"), F.col(f"{c}.end").alias("end_"), F.col(f"{c}.category").alias("category"), F.col(f"{c}.priority").alias("priority"), F.col(f"{c}.rule_ord").alias("rule_ord"), F.col(f"{c}.original").alias("original")]
 
@@ -56,14 +63,14 @@ def rule_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW = [(i, x) for i, x in enumerate(["my-cat", " a  b ", "a\tb", "é", "__x__", "﻿bom", "a​b", "", "A.B-c d", "x\x00y", "--", "Mixed Case_9", "a-é-b", " pad "])]
 
 
-@query(f"SELECT id, trim(regexp_replace(trim(raw, ' ' || chr(9) || chr(160)), '[\\p{{Cc}}\\p{{Cf}}]', '', 'g'), ' ' || chr(160)) AS clean FROM ({sql.values(RAW, 'id int, raw string')})")
+@query(f"SELECT id, trim(regexp_replace(trim(raw, ' ' || chr(9) || chr(160)), '[\\p{{Cc}}\\p{{Cf}}]', '', 'g'), ' ' || chr(160)) AS clean FROM ({sql.dealt(RAW, 'case_ int, raw string', 'id')})")
 def sanitize_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal_rows(spark, RAW, "id int, raw string").select("id", fn.sanitize_pattern(F.col("raw")).alias("clean"))
+    return dealt(spark, sf_dir, RAW, "n int, raw string").select(F.col("row_id").alias("id"), fn.sanitize_pattern(F.col("raw")).alias("clean"))
 
 
-@query(f"SELECT id, upper(trim(regexp_replace(regexp_replace(trim(regexp_replace(trim(raw, ' ' || chr(9) || chr(160)), '[\\p{{Cc}}\\p{{Cf}}]', '', 'g'), ' ' || chr(160)), '[^A-Za-z0-9_\\- ]', '', 'g'), '[_\\- ]+', '_', 'g'), '_')) AS clean FROM ({sql.values(RAW, 'id int, raw string')})")
+@query(f"SELECT id, upper(trim(regexp_replace(regexp_replace(trim(regexp_replace(trim(raw, ' ' || chr(9) || chr(160)), '[\\p{{Cc}}\\p{{Cf}}]', '', 'g'), ' ' || chr(160)), '[^A-Za-z0-9_\\- ]', '', 'g'), '[_\\- ]+', '_', 'g'), '_')) AS clean FROM ({sql.dealt(RAW, 'case_ int, raw string', 'id')})")
 def sanitize_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal_rows(spark, RAW, "id int, raw string").select("id", fn.sanitize_category(F.col("raw")).alias("clean"))
+    return dealt(spark, sf_dir, RAW, "n int, raw string").select(F.col("row_id").alias("id"), fn.sanitize_category(F.col("raw")).alias("clean"))
 
 
 HOSTS = [(0, "Example.COM:443"), (1, "[::1]:8443"), (2, " api.host "), (3, "10.0.0.1:80"), (4, "::1"), (5, "targets"), (6, "GLOBAL"), (7, "four"), (8, "a long value with more than twenty characters"), (9, "")]
@@ -72,10 +79,10 @@ HOSTS = [(0, "Example.COM:443"), (1, "[::1]:8443"), (2, " api.host "), (3, "10.0
 @query(f"""SELECT id, CASE WHEN starts_with(h, '[') THEN regexp_extract(h, '^\\[([^\\]]*)\\]', 1) WHEN regexp_matches(h, '^[^:]*:[0-9]*$') THEN regexp_extract(h, '^([^:]*)', 1) ELSE h END AS host,
   CASE WHEN h IN ('global', 'targets') THEN h ELSE 'global' END AS mode, CASE WHEN length(raw) > 20 THEN left(raw, 19) || '…' ELSE raw END AS cut,
   CASE WHEN length(raw) <= 4 THEN repeat('*', length(raw)) ELSE left(raw, 2) || '…' || right(raw, 2) END AS shown, contains(lower(raw), 'ho') AS has_ho, sha256(raw) AS sha
-  FROM (SELECT *, lower(trim(raw)) AS h FROM ({sql.values(HOSTS, 'id int, raw string')}))""")
+  FROM (SELECT *, lower(trim(raw)) AS h FROM ({sql.dealt(HOSTS, 'case_ int, raw string', 'id')}))""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("raw")
-    return literal_rows(spark, HOSTS, "id int, raw string").select("id", fn.canonical_host(raw).alias("host"), fn.intercept_mode(raw).alias("mode"), fn.truncate(raw, 20).alias("cut"), fn.preview(raw).alias("shown"), fn.contains_fold(raw, F.lit("HO")).alias("has_ho"), F.sha2(raw.cast("binary"), 256).alias("sha"))
+    return dealt(spark, sf_dir, HOSTS, "n int, raw string").select(F.col("row_id").alias("id"), fn.canonical_host(raw).alias("host"), fn.intercept_mode(raw).alias("mode"), fn.truncate(raw, 20).alias("cut"), fn.preview(raw).alias("shown"), fn.contains_fold(raw, F.lit("HO")).alias("has_ho"), F.sha2(raw.cast("binary"), 256).alias("sha"))
 
 
 URLS = [(0, "https://github.com/o/r/blob/main/a/b.rules"), (1, "http://x.org/list"), (2, "ftp://x"), (3, "not a url"), (4, "https://Host.example/Path?x=1")]
@@ -83,10 +90,11 @@ URLS = [(0, "https://github.com/o/r/blob/main/a/b.rules"), (1, "http://x.org/lis
 
 @query(f"""SELECT id, regexp_replace(url, '^https?://(?:www\\.)?github\\.com/([^/]+)/([^/]+)/blob/([^/]+)/(.+)$', 'https://raw.githubusercontent.com/\\1/\\2/\\3/\\4') AS raw_url, regexp_matches(url, '^https://[^/ ]+') AS secure,
   substr(trim(regexp_replace(lower(url), '[^a-z0-9_-]+', '_', 'g'), '_-'), 1, 64) AS cache_key, substr(trim(regexp_replace(regexp_replace(lower(url), '[^a-z0-9_\\-. ]', '', 'g'), '[_\\-. ]+', '_', 'g'), '_'), 1, 48) AS file_base
-  FROM ({sql.values(URLS, 'id int, url string')})""")
+  FROM ({sql.dealt(URLS, 'case_ int, url string', 'id')} UNION ALL SELECT page_id, url FROM pages)""")
 def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
-    return literal_rows(spark, URLS, "id int, url string").select("id", fn.raw_url(u).alias("raw_url"), fn.valid_url(u).alias("secure"), fn.cache_key(u).alias("cache_key"), fn.file_base(u).alias("file_base"))
+    rows = dealt(spark, sf_dir, URLS, "n int, url string").select(F.col("row_id").alias("id"), "url").unionByName(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"))
+    return rows.select("id", fn.raw_url(u).alias("raw_url"), fn.valid_url(u).alias("secure"), fn.cache_key(u).alias("cache_key"), fn.file_base(u).alias("file_base"))
 
 
 def found_in(spark: SparkSession, sf_dir: str, name: str, id_col: str, text_col: str, lists: list[RuleList], keywords=()) -> DataFrame:
@@ -186,10 +194,10 @@ PROBES = [
 PROBE_ROWS = list(enumerate(PROBES))
 
 
-@query(f"SELECT {CAND} FROM ({sql.candidates('(' + sql.values(PROBE_ROWS, 'id int, text string') + ')', [RULES])})")
+@query(f"SELECT {CAND} FROM ({sql.candidates('(' + sql.dealt(PROBE_ROWS, 'case_ int, text string', 'id') + ')', [RULES])})")
 def rule_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, PROBE_ROWS, "id int, text string").withColumn("segments", spans.safe_segments(F.col("text")))
-    return rows.select("id", F.explode(spans.detect("segments", [RULES])).alias("c")).select("id", *candidate_columns())
+    rows = dealt(spark, sf_dir, PROBE_ROWS, "n int, text string").withColumn("segments", spans.safe_segments(F.col("text")))
+    return exploded(rows.select(F.col("row_id").alias("id"), spans.detect("segments", [RULES]).alias("found")), "found").select("id", *candidate_columns("h"))
 
 
 SEGMENTED = list(enumerate(["foo\x1b[90mbar\x1b[0mbaz", "A​B", "tab\there\nline\r", "\x1b", "a\x1b[12", "a\x1b]0;t\x07b", "a\x1b]0;t\x1b\\b", "a\x1b]0;t", "a\x1bcd", "é\x7fé", "﻿x", "", "plain", "a\x00b\x01\x02c", "x­y"]))
@@ -198,10 +206,10 @@ SEGMENTED = list(enumerate(["foo\x1b[90mbar\x1b[0mbaz", "A​B", "tab\there\nlin
 @query(f"""SELECT id, i::INTEGER AS pos, seg, (coalesce(list_sum(list_transform(pieces[1:i - 1], lambda p: strlen(p))), 0) + coalesce(list_sum(list_transform(gaps[1:i - 1], lambda p: strlen(p))), 0))::INTEGER AS off FROM (
   SELECT id, pieces, gaps, unnest(range(1, len(pieces) + 1)) AS i, unnest(pieces) AS seg FROM (
     SELECT id, string_split(regexp_replace(text, p, chr(1), 'g'), chr(1)) AS pieces, regexp_extract_all(text, p) AS gaps FROM (
-      SELECT *, '\\x1b\\[[^@-~]*(?:[@-~]|\\z)|\\x1b[\\]PX^_](?s:.*?)(?:\\x07|\\x1b\\\\|\\z)|\\x1b(?s:.)?|[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}\\p{{Cf}}]' AS p FROM ({sql.values(SEGMENTED, 'id int, text string')}))))
+      SELECT *, '\\x1b\\[[^@-~]*(?:[@-~]|\\z)|\\x1b[\\]PX^_](?s:.*?)(?:\\x07|\\x1b\\\\|\\z)|\\x1b(?s:.)?|[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}\\p{{Cf}}]' AS p FROM ({sql.dealt(SEGMENTED, 'case_ int, text string', 'id')}))))
   WHERE seg <> ''""")
 def safe_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, SEGMENTED, "id int, text string")
+    rows = dealt(spark, sf_dir, SEGMENTED, "n int, text string").select(F.col("row_id").alias("id"), "text")
     pieces = F.split("text", spans.PROTECTED, -1)
     gaps = F.transform(F.regexp_extract_all("text", F.lit(spans.PROTECTED), F.lit(0)), F.octet_length)
     return rows.select("id", F.posexplode(spans.pieces_with_offsets(pieces, gaps))).select("id", (F.col("pos") + 1).alias("pos"), F.col("col.seg").alias("seg"), F.col("col.off").alias("off")).filter("seg <> ''")
@@ -238,17 +246,20 @@ def exclude_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 OVERLAPS = [(1, 0, 10, "A", 50, 1), (1, 2, 5, "B", 100, 0), (1, 5, 8, "C", 50, 2), (1, 8, 12, "D", 50, 3), (2, 0, 4, "A", 50, 0), (2, 0, 4, "B", 50, 1), (2, 4, 8, "C", 40, 2), (3, 0, 3, "A", 50, 0), (3, 1, 6, "B", 50, 1), (3, 5, 9, "C", 50, 2), (3, 9, 10, "D", 50, 3), (4, 3, 9, "A", 50, 0), (4, 4, 6, "B", 50, 1), (4, 2, 5, "C", 50, 2), (5, 0, 12, "A", 40, 0)]
 OVERLAP_TEXT = "abcdefghijkl"
 OVERLAP_ROWS = [(i, a, b, a, b, c, p, r, OVERLAP_TEXT[a:b]) for i, a, b, c, p, r in OVERLAPS]
-OVERLAP_SQL = sql.values(OVERLAP_ROWS, "id int, start_ int, end_ int, c0 int, c1 int, category string, priority int, rule_ord int, original string")
+OVERLAP_SQL = f"SELECT row_id AS id, v.* EXCLUDE (id) FROM (SELECT event_id AS row_id, event_id % 5 + 1 AS id FROM events) JOIN ({sql.values(OVERLAP_ROWS, 'id int, start_ int, end_ int, c0 int, c1 int, category string, priority int, rule_ord int, original string')}) v USING (id)"
 
 
-def overlap_frame(spark: SparkSession) -> DataFrame:
-    rows = literal_rows(spark, OVERLAP_ROWS, "id int, start int, end int, c0 int, c1 int, category string, priority int, rule_ord int, original string")
+def overlap_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of five cases, one for each event."""
+    cases = literal_rows(spark, OVERLAP_ROWS, "id int, start int, end int, c0 int, c1 int, category string, priority int, rule_ord int, original string")
+    events = dealt(spark, sf_dir, [(i,) for i in range(1, 6)], "id int")
+    rows = events.join(F.broadcast(cases), "id").drop("id").withColumnRenamed("row_id", "id")  # fifteen cases
     return rows.groupBy("id").agg(F.collect_list(F.struct("start", "end", "category", "priority", F.lit("x").alias("source"), "rule_ord", "original")).cast(spans.NONE).alias("c"))
 
 
 @query(f"SELECT id, start_, end_, category, priority, rule_ord, original FROM ({sql.greedy(OVERLAP_SQL)}) UNION ALL SELECT id, start_, end_, category, priority, rule_ord::INTEGER, original FROM ({sql.greedy(sql.candidates(DOCS, [RULES]))})")
 def resolve_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = overlap_frame(spark).select(F.col("id").cast("long").alias("id"), F.explode(spans.greedy(F.col("c"))).alias("c")).select("id", *candidate_columns())
+    one = overlap_frame(spark, sf_dir).select(F.col("id").cast("long").alias("id"), F.explode(spans.greedy(F.col("c"))).alias("c")).select("id", *candidate_columns())
     two = ENGINE.detect(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "hits")
     return one.unionByName(exploded(two, "hits").select("id", *candidate_columns("h")))
 
@@ -258,7 +269,7 @@ def resolve_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
   runs AS (SELECT *, cell - row_number() OVER (PARTITION BY id, rule_ord ORDER BY cell) AS run FROM best)
   SELECT id, min(cell)::INTEGER AS start_, (max(cell) + 1)::INTEGER AS end_, category, rule_ord, substr('{OVERLAP_TEXT}', min(cell)::INTEGER + 1, (max(cell) - min(cell) + 1)::INTEGER) AS original FROM runs GROUP BY id, category, rule_ord, run""")
 def resolve_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = overlap_frame(spark).withColumn("text", F.lit(OVERLAP_TEXT))
+    rows = overlap_frame(spark, sf_dir).withColumn("text", F.lit(OVERLAP_TEXT))
     return rows.select("id", F.explode(spans.split_resolution(F.col("c"), F.col("text"))).alias("c")).select("id", *candidate_columns()).drop("priority")
 
 
@@ -340,8 +351,8 @@ TO_RESTORE = list(enumerate(["a\x02b __VG_NAME_0123456789ab__\x03", "hi __VG_NAM
 RESTORED = ["a\x02b Alice\x03", "hi Alice!", "Alice first", "x a@b.co end", "Alice then", "__VG_NAME_ffffffffffff__ unknown", "__VG_NAME_0123456789ab____VG_EMAIL_aaaaaaaaaaaa__", "Bob é 13800138000", "none", "_VG_NAME_0123456789ab__", "é 13800138000, a@b.co"]
 
 
-@query(sql.values([(i, r, n) for (i, _), r, n in zip(TO_RESTORE, RESTORED, (1, 1, 1, 1, 1, 0, 0, 2, 0, 0, 2))], "id int, restored string, n_restored long"))
+@query(sql.expected([(i, r, n) for (i, _), r, n in zip(TO_RESTORE, RESTORED, (1, 1, 1, 1, 1, 0, 0, 2, 0, 0, 2))], "id int, restored string, n_restored long", len(TO_RESTORE)))
 def restore_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = literal_rows(spark, MAPPED, "placeholder string, original string")
-    return restoring.restore(literal_rows(spark, TO_RESTORE, "id int, text string"), mapping, "text").select("id", "restored", "n_restored")
+    return restoring.restore(dealt(spark, sf_dir, TO_RESTORE, "id int, text string"), mapping, "text").select("row_id", "id", "restored", "n_restored")
 

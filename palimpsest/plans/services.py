@@ -18,7 +18,7 @@ from ..sources.rules import secret_keywords
 from ..sources import logs
 from ..streaming import events as sse, restorer, websocket
 from . import sql
-from .detection import ENGINE, HITS, KEY, KEYWORDS, document_mapping, literal_rows, query, table
+from .detection import ENGINE, HITS, KEY, KEYWORDS, dealt, document_mapping, literal_rows, query, table
 
 PROMPTED = PiiEngine(KEY, [], KEYWORDS[:2], overlap="greedy")
 TURNS = "(SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)"
@@ -52,9 +52,9 @@ REDACTED = [
 ]
 
 
-@query(sql.values([(i, r.replace("@", TOKEN), r.count("@"), i not in (4, 5)) for i, r in enumerate(REDACTED)], "id int, redacted_body string, n_hits long, is_json boolean"))
+@query(sql.expected([(i, r.replace("@", TOKEN), r.count("@"), i not in (4, 5)) for i, r in enumerate(REDACTED)], "id int, redacted_body string, n_hits long, is_json boolean", len(REDACTED)))
 def redact_json_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jsonprompt.redact_json(ALICE, literal_rows(spark, list(enumerate(BODIES)), "id int, body string"), "body").select("id", "redacted_body", "n_hits", "is_json")
+    return jsonprompt.redact_json(ALICE, dealt(spark, sf_dir, list(enumerate(BODIES)), "id int, body string"), "body").select("row_id", "id", "redacted_body", "n_hits", "is_json")
 
 
 BODY = b'{"messages":"hi"}'
@@ -70,18 +70,18 @@ REQUESTS = [  # id, host, method, content_type, content_encoding, connection, up
 REQUEST_SCHEMA = "id long, host string, method string, content_type string, content_encoding string, connection string, upgrade string, extensions string, body binary, declared_len long, read_failed boolean"
 
 
-@query(sql.values([(r[0], r[-1], r[-1] == "") for r in REQUESTS], "id long, note string, attempted boolean"))
+@query(sql.expected([(r[0], r[-1], r[-1] == "") for r in REQUESTS], "id long, note string, attempted boolean", len(REQUESTS), 1))
 def gate_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.gate(literal_rows(spark, [r[:-1] for r in REQUESTS], REQUEST_SCHEMA), "targets", ["a.com"]).select("id", "note", "attempted")
+    return requests.gate(dealt(spark, sf_dir, [r[:-1] for r in REQUESTS], REQUEST_SCHEMA), "targets", ["a.com"]).select("row_id", "id", "note", "attempted")
 
 
 RESPONSES = [(1, 101, None, True, False, 0, b"", "websocket"), (2, 200, "text/event-stream; charset=x", True, False, -1, b"", "events"), (3, 200, None, True, False, -1, b"  data: x", "events"), (4, 200, "application/vnd.x+json", False, False, 20 << 20, b"", "pass"), (5, 200, "text/json", False, False, 10, b"", "whole"), (6, 200, JSON, False, False, -1, b"", "stream"), (7, 200, "text/html", False, False, 5, b"", "stream"), (8, 200, "", True, False, 5, b"abc", "stream"), (9, 200, "", True, True, 5, b"abc", "pass"), (10, 200, "image/png", True, False, 5, b"", "pass")]
 
 
-@query(sql.values([(r[0], r[-1]) for r in RESPONSES], "id long, route string"))
+@query(sql.expected([(r[0], r[-1]) for r in RESPONSES], "id long, route string", len(RESPONSES), 1))
 def response_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, [r[:-1] for r in RESPONSES], "id long, status int, content_type string, redacted boolean, encoded boolean, declared_len long, body binary")
-    return rows.select("id", requests.response_route(rows).alias("route"))
+    rows = dealt(spark, sf_dir, [r[:-1] for r in RESPONSES], "id long, status int, content_type string, redacted boolean, encoded boolean, declared_len long, body binary")
+    return rows.select("row_id", "id", requests.response_route(rows).alias("route"))
 
 
 def raw_deflate(b: bytes) -> bytes:
@@ -100,18 +100,18 @@ ENCODED = [(0, "", BODY), (1, "gzip", gzip.compress(BODY)), (2, "deflate", zlib.
 DECODED = [BODY.decode()] * 7 + [BODY.decode() + "x", None, None]
 
 
-@query(sql.values([(i, d) for i, d in enumerate(DECODED)], "id int, decoded string"))
+@query(sql.expected([(i, d) for i, d in enumerate(DECODED)], "id int, decoded string", len(DECODED)))
 def decode_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, ENCODED, "id int, content_encoding string, body binary")
-    return rows.select("id", requests.decode_body(F.col("body"), requests.encodings(F.col("content_encoding"))).cast("string").alias("decoded"))
+    rows = dealt(spark, sf_dir, ENCODED, "id int, content_encoding string, body binary")
+    return rows.select("row_id", "id", requests.decode_body(F.col("body"), requests.encodings(F.col("content_encoding"))).cast("string").alias("decoded"))
 
 
 EXTENSIONS = [(0, "permessage-deflate; client_max_window_bits, x-test", "x-test"), (1, "permessage-deflate; server_no_context_takeover", None), (2, "a, b; q", "a, b; q"), (3, None, None)]
 
 
-@query(sql.values([(i, e) for i, _, e in EXTENSIONS], "id int, kept string"))
+@query(sql.expected([(i, e) for i, _, e in EXTENSIONS], "id int, kept string", len(EXTENSIONS)))
 def strip_deflate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal_rows(spark, [x[:2] for x in EXTENSIONS], "id int, header string").select("id", requests.without_deflate(F.col("header")).alias("kept"))
+    return dealt(spark, sf_dir, [x[:2] for x in EXTENSIONS], "id int, header string").select("row_id", "id", requests.without_deflate(F.col("header")).alias("kept"))
 
 
 AUDITED = """(SELECT event_id AS id, ts AS time, CASE WHEN event_id % 7 = 0 THEN 'CONNECT' ELSE 'POST' END AS method, event_id % 3 <> 0 AS attempted, event_id % 5 AS redacted_count,
@@ -176,14 +176,16 @@ def debug_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.merge_debug(captured(rows.filter("id % 2 = 0"), "event_type"), captured(rows.filter("id % 3 = 0"), "note"))
 
 
-HEADERS = [(1, {"Authorization": ["Bearer x"], "accept": ["a", "b"]}), (2, {"x-api-key": ["k"], "My-Token": ["abc"]}), (3, {"X-NotSecret": ["s"], "Cookie": [""]}), (4, {"set-cookie": ["a=b"], "Set-Cookie": ["c d"]}), (5, {"X-Client-Secrets": ["averyveryverylongscheme x"]})]
-MASKED = [(1, "Accept", "a,b"), (1, "Authorization", "Bearer ***"), (2, "My-Token", "***"), (2, "X-Api-Key", "***"), (3, "Cookie", ""), (3, "X-Notsecret", "s"), (4, "Set-Cookie", "***,c ***"), (5, "X-Client-Secrets", "***")]
+HEADERS = [(1, {"Authorization": ["Bearer x"], "accept": ["a", "b"]}), (2, {"x-api-key": ["k"], "My-Token": ["abc"]}), (3, {"X-NotSecret": ["s"], "Cookie": [""]}), (4, {"set-cookie": ["a=b"], "Set-Cookie": ["c d"]}), (5, {"X-Client-Secrets": ["averyveryverylongscheme x"]}),
+           (6, {"OpenAI-Api-Key": ["sk-1"], "X-OpenAI-Api-Key": ["sk-2"], "anthropic-api-key": ["k"], "X-Anthropic-Api-Key": ["Key k"]}), (7, {"Proxy-Authorization": ["Basic x"], "API-Key": ["k"], "X-Goog-Api-Key": [" "], "X-Auth-Key": ["shown"]})]
+MASKED = [(1, "Accept", "a,b"), (1, "Authorization", "Bearer ***"), (2, "My-Token", "***"), (2, "X-Api-Key", "***"), (3, "Cookie", ""), (3, "X-Notsecret", "s"), (4, "Set-Cookie", "***,c ***"), (5, "X-Client-Secrets", "***"), (6, "Openai-Api-Key", "***"), (6, "X-Openai-Api-Key", "***"), (6, "Anthropic-Api-Key", "***"), (6, "X-Anthropic-Api-Key", "Key ***"),
+          (7, "Proxy-Authorization", "Basic ***"), (7, "Api-Key", "***"), (7, "X-Goog-Api-Key", ""), (7, "X-Auth-Key", "shown")]
 
 
-@query(sql.values(MASKED, "id int, name string, value string"))
+@query(sql.expected(MASKED, "id int, name string, value string", len(HEADERS), 1))
 def mask_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, HEADERS, "id int, headers map<string,array<string>>").select("id", fn.mask_headers(F.col("headers")).alias("m"))
-    return rows.select("id", F.explode("m").alias("name", "v")).select("id", "name", F.array_join(F.array_sort("v"), ",").alias("value"))
+    rows = dealt(spark, sf_dir, HEADERS, "id int, headers map<string,array<string>>").select("row_id", "id", fn.mask_headers(F.col("headers")).alias("m"))
+    return rows.select("row_id", "id", F.explode("m").alias("name", "v")).select("row_id", "id", "name", F.array_join(F.array_sort("v"), ",").alias("value"))
 
 
 NOW = 1_000_000
@@ -193,10 +195,11 @@ FETCHED = [("a", "u", 200, "new", "e2", True), ("b", "u", 200, "new", "e2", True
 AFTER = [("a", "u", "e2", NOW, NOW, SHA("new"), None, True), ("b", "u", "e1", NOW - 100, 5, SHA("old"), None, False), ("c", "u", "e1", NOW, 5, SHA("old"), None, False), ("d", "u", "e1", NOW, 5, SHA("old"), "parse error", False), ("e", "u", "e2", NOW, 5, SHA("old"), None, False), ("f", "v", "e2", NOW, NOW, SHA("old"), None, True), ("g", "u", "e1", NOW - 700, 5, SHA("old"), "x", False)]
 
 
-@query(sql.values(AFTER, "key string, url string, etag string, checked_at long, updated_at long, content_sha256 string, last_error string, changed boolean"))
+@query("SELECT key || '-' || row_id AS key, * EXCLUDE (key, row_id, id) FROM (" + sql.expected([(i, *r) for i, r in enumerate(AFTER)], "id int, key string, url string, etag string, checked_at long, updated_at long, content_sha256 string, last_error string, changed boolean", len(AFTER)) + ")")
 def subscription_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = literal_rows(spark, META, "key string, url string, etag string, checked_at long, updated_at long, content_sha256 string, last_error string, update_interval string")
-    return audit.merge_subscriptions(meta, literal_rows(spark, FETCHED, "key string, new_url string, status int, body string, new_etag string, parses boolean"), NOW)
+    own = lambda rows: rows.withColumn("key", F.concat_ws("-", "key", "row_id")).drop("row_id")
+    meta = own(dealt(spark, sf_dir, META, "key string, url string, etag string, checked_at long, updated_at long, content_sha256 string, last_error string, update_interval string"))
+    return audit.merge_subscriptions(meta, own(dealt(spark, sf_dir, FETCHED, "key string, new_url string, status int, body string, new_etag string, parses boolean")), NOW)
 
 
 @query(sql.values([("a", "A", "subscription", True), ("g", "G", "subscription", False), ("z", "Z", "local", False)], "key string, name string, kind string, verified boolean"))
@@ -217,11 +220,11 @@ PLACES = {"Rome": "GPE", "New York": "LOC", "Acme": "ORGANIZATION", "Alice": "PE
 NER_TEXTS = [(0, "é Alice flew to New York"), (1, "Acme of Rome, on Monday"), (2, ""), (3, "none")]
 
 
-@query(sql.values([(0, 3, 8, "PERSON", "Alice"), (0, 17, 25, "LOCATION", "New York"), (1, 0, 4, "ORG", "Acme"), (1, 8, 12, "LOCATION", "Rome")], "id int, start_ int, end_ int, category string, original string"))
+@query(sql.expected([(0, 3, 8, "PERSON", "Alice"), (0, 17, 25, "LOCATION", "New York"), (1, 0, 4, "ORG", "Acme"), (1, 8, 12, "LOCATION", "Rome")], "id int, start_ int, end_ int, category string, original string", 4))
 def ner_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, NER_TEXTS, "id int, text string").withColumn("found", ner.gazetteer(PLACES)(F.col("text")))
-    hits = rows.select("id", F.explode(ner.candidates(F.col("text"), F.col("found"))).alias("c"))
-    return hits.select("id", F.col("c.start").alias("start_"), F.col("c.end").alias("end_"), "c.category", "c.original")
+    rows = dealt(spark, sf_dir, NER_TEXTS, "id int, text string").withColumn("found", ner.gazetteer(PLACES)(F.col("text")))
+    hits = rows.select("row_id", "id", F.explode(ner.candidates(F.col("text"), F.col("found"))).alias("c"))
+    return hits.select("row_id", "id", F.col("c.start").alias("start_"), F.col("c.end").alias("end_"), "c.category", "c.original")
 
 
 @query(f"SELECT {sql.placeholder(KEY)} AS placeholder, original FROM (SELECT original, first(category ORDER BY id, start_ DESC) AS category, min(id) AS first_doc FROM ({HITS}) GROUP BY original) WHERE first_doc >= 4000 - 3600")
@@ -287,21 +290,28 @@ SSE = [
     ("s2", f"event: content_block_delta\r\ndata: {delta('__VG_NAME_0123456789ab_', True)}\r\n\r\nevent: content_block_delta\r\ndata: {delta('_', True)}\r\n\r\n"),
     ("s3", 'data: {"choices":[{"delta":{"content":"__VG_NAME_0123456789ab__"}}]}\n\n: note\n\n'),
 ]
+
+
+def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams, each under a name of its own for each event."""
+    return dealt(spark, sf_dir, SSE, "stream_id string, body string").select(F.concat_ws("-", "stream_id", "row_id").alias("stream_id"), "body")
+
+
 SSE_OUT = [
     ("s1", 0, 'event: x.delta\ndata: {"delta":"hi ","type":"x.delta"}'), ("s1", 1, 'event: x.delta\ndata: {"delta":"Alice and","type":"x.delta"}'), ("s1", 2, 'event: x.completed\ndata: {"type":"x.completed"}'), ("s1", 3, "data: [DONE]"),
     ("s2", 0, 'event: content_block_delta\ndata: {"delta":{"text":""},"type":"x.delta"}'), ("s2", 1, 'event: content_block_delta\ndata: {"delta":{"text":"Alice"},"type":"x.delta"}'), ("s3", 0, 'data: {"choices":[{"delta":{"content":"Alice"}}]}'), ("s3", 1, ": note"),
 ]
 
 
-@query(sql.values(SSE_OUT, "stream_id string, seq long, event string"))
+@query("SELECT stream_id || '-' || row_id AS stream_id, seq, event FROM (" + sql.expected([(int(s[1]) - 1, s, n, e) for s, n, e in SSE_OUT], "id int, stream_id string, seq long, event string", len(SSE)) + ")")
 def sse_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sse.restore_events(literal_rows(spark, SSE, "stream_id string, body string"), {"__VG_NAME_0123456789ab__": "Alice"})
+    return sse.restore_events(streams(spark, sf_dir), {"__VG_NAME_0123456789ab__": "Alice"})
 
 
 @query(f"""SELECT stream_id, (row_number() OVER (PARTITION BY stream_id ORDER BY i) - 1)::INTEGER AS seq, trim(regexp_extract(event, '(?:^|\\n)event:([^\\r\\n]*)', 1)) AS name,
-  array_to_string(list_transform(regexp_extract_all(event, '(?:^|\\n)data: ?([^\\r\\n]*)', 1), lambda x: x), chr(10)) AS data FROM (SELECT stream_id, unnest(e) AS event, generate_subscripts(e, 1) AS i FROM (SELECT stream_id, regexp_split_to_array(body, '\\r?\\n\\r?\\n') AS e FROM ({sql.values(SSE, 'stream_id string, body string')}))) WHERE event <> ''""")
+  array_to_string(list_transform(regexp_extract_all(event, '(?:^|\\n)data: ?([^\\r\\n]*)', 1), lambda x: x), chr(10)) AS data FROM (SELECT stream_id, unnest(e) AS event, generate_subscripts(e, 1) AS i FROM (SELECT stream_id, regexp_split_to_array(body, '\\r?\\n\\r?\\n') AS e FROM (SELECT stream_id || '-' || row_id AS stream_id, body FROM ({sql.dealt([(k, *x) for k, x in enumerate(SSE)], 'case_ int, stream_id string, body string', 'row_id')})))) WHERE event <> ''""")
 def sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sse.parsed_events(literal_rows(spark, SSE, "stream_id string, body string")).select("stream_id", "seq", "name", "data")
+    return sse.parsed_events(streams(spark, sf_dir)).select("stream_id", "seq", "name", "data")
 
 
 FRAMES = [("c", "up", 1, True, 0, 1, "hello Alice"), ("c", "up", 2, False, 0, 1, "hel"), ("c", "up", 3, True, 0, 9, "ping"), ("c", "up", 4, False, 0, 0, "lo Al"), ("c", "up", 5, True, 0, 0, "ice"), ("c", "up", 6, True, 4, 1, "packed"), ("c", "down", 1, True, 0, 0, "orphan"), ("c", "down", 2, True, 0, 2, "binary"), ("d", "up", 1, False, 0, 1, "open")]

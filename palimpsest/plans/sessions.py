@@ -18,7 +18,7 @@ from ..sources.requests import read_requests
 from ..sources.settings import RuleListCache, config_of, opener, secret_files
 from ..streaming import live_dictionary as live
 from . import sql
-from .detection import ENGINE, HITS, KEY, literal_rows, query, table
+from .detection import ENGINE, HITS, KEY, dealt, literal_rows, query, table
 from .services import AUDITED, audited
 
 LISTS = [
@@ -43,31 +43,31 @@ def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINED = [(1, "x\nxx\nx"), (2, "x"), (3, "ax\n"), (4, None)]
 
 
-@query(sql.values([(1, 0, "A", "x"), (1, 5, "A", "x"), (2, 0, "A", "x"), (1, 0, "B", "x"), (1, 2, "B", "x"), (1, 3, "B", "x"), (1, 5, "B", "x"), (2, 0, "B", "x"), (3, 1, "B", "x")], "id int, start_ int, category string, original string"))
+@query(sql.expected([(1, 0, "A", "x"), (1, 5, "A", "x"), (2, 0, "A", "x"), (1, 0, "B", "x"), (1, 2, "B", "x"), (1, 3, "B", "x"), (1, 5, "B", "x"), (2, 0, "B", "x"), (3, 1, "B", "x")], "id int, start_ int, category string, original string", 4, 1))
 def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules with the flags m (lines) and U (least repetition first)."""
-    rows = literal_rows(spark, LINED, "id int, text string").withColumn("segments", spans.safe_segments(F.col("text")))
+    rows = dealt(spark, sf_dir, LINED, "id int, text string").withColumn("segments", spans.safe_segments(F.col("text")))
     found = spans.detect("segments", [RuleList([Rule("regex", "A", "(?m)^x$"), Rule("regex", "B", "(?U)x+")])])
-    return exploded(rows.select("id", found.alias("found")), "found").select("id", F.col("h.start").alias("start_"), "h.category", "h.original")
+    return exploded(rows.select("row_id", "id", found.alias("found")), "found").select("row_id", "id", F.col("h.start").alias("start_"), "h.category", "h.original")
 
 
 FALLBACKS = [(1, "Alpha beta"), (2, "x gamma")]
 
 
-@query(sql.values([(1, "TEXT", "Alpha"), (1, "REGEX", "beta"), (2, "REGEX", "gamma")], "id int, category string, original string"))
+@query(sql.expected([(1, "TEXT", "Alpha"), (1, "REGEX", "beta"), (2, "REGEX", "gamma")], "id int, category string, original string", 2, 1))
 def category_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords without a category are TEXT, patterns without one REGEX; a keyword with an empty one is left out of detection."""
     config = config_of({"patterns": {"keywords": [{"value": "Alpha"}], "regex": [{"pattern": "beta|gamma"}]}}, str)
-    rows = PiiEngine(KEY, config.rule_lists, [*config.keywords, ("x", "")]).detect(literal_rows(spark, FALLBACKS, "id int, text string"))
-    return exploded(rows.select("id", "hits"), "hits").select("id", "h.category", "h.original")
+    rows = PiiEngine(KEY, config.rule_lists, [*config.keywords, ("x", "")]).detect(dealt(spark, sf_dir, FALLBACKS, "id int, text string"))
+    return exploded(rows.select("row_id", "id", "hits"), "hits").select("row_id", "id", "h.category", "h.original")
 
 
 LANGUAGES = [(0, " EN_us "), (1, "auto"), (2, "AUTO "), (3, "zh--Hans!"), (4, "-_ x _-"), (5, "")]
 
 
-@query(sql.values([(0, "en-us"), (1, "auto"), (2, "auto"), (3, "zh-hans"), (4, "x"), (5, "")], "id int, language string"))
+@query(sql.expected([(0, "en-us"), (1, "auto"), (2, "auto"), (3, "zh-hans"), (4, "x"), (5, "")], "id int, language string", 6))
 def sanitize_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal_rows(spark, LANGUAGES, "id int, raw string").select("id", fn.sanitize_language(F.col("raw")).alias("language"))
+    return dealt(spark, sf_dir, LANGUAGES, "id int, raw string").select("row_id", "id", fn.sanitize_language(F.col("raw")).alias("language"))
 
 
 DURATIONS = ["24h", "7d", "1h30m", "250ms", "x", "", "-2s"]
@@ -81,9 +81,9 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 NER_URLS = [(0, "http://h:1/analyze/?x#y"), (1, "https://h"), (2, "ftp://h"), (3, "http://h/a/"), (4, None)]
 
 
-@query(sql.values([(0, "http://h:1/analyze"), (1, "https://h/analyze"), (2, None), (3, "http://h/a/analyze"), (4, None)], "id int, url string"))
+@query(sql.expected([(0, "http://h:1/analyze"), (1, "https://h/analyze"), (2, None), (3, "http://h/a/analyze"), (4, None)], "id int, url string", 5))
 def ner_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal_rows(spark, NER_URLS, "id int, raw string").select("id", ner.analyze_url(F.col("raw")).alias("url"))
+    return dealt(spark, sf_dir, NER_URLS, "id int, raw string").select("row_id", "id", ner.analyze_url(F.col("raw")).alias("url"))
 
 
 @query(sql.values([(0, "en", None), (1, "en", None), (2, "de-at", 0.5), (3, "en", 1.0)], "id int, language string, score_threshold double"))

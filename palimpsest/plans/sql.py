@@ -39,6 +39,16 @@ def values(rows: list[tuple], columns: str) -> str:
     return "SELECT " + ", ".join(f"{n}::{kinds[k]} AS {n}" for n, k in names) + f" FROM (VALUES {body}) AS v({', '.join(n for n, _ in names)})"
 
 
+def dealt(rows: list[tuple], columns: str, id_name: str) -> str:
+    """Cases (numbered from 0) dealt to all events in turn: the event's id and the case's other columns."""
+    return f"SELECT event_id AS {id_name}, v.* EXCLUDE (case_) FROM events JOIN ({values(rows, columns)}) v ON event_id % {len(rows)} = v.case_"
+
+
+def expected(rows: list[tuple], columns: str, cases: int, first: int = 0) -> str:
+    """What each event's case leads to: row_id (the event's) and the rows of the case, which `id` numbers from `first`."""
+    return f"SELECT event_id AS row_id, v.* FROM events JOIN ({values(rows, columns)}) v ON event_id % {cases} + {first} = v.id"
+
+
 def candidates(source: str, lists: list[RuleList], keywords: list[tuple[str, str]] = (), columns: str = "id") -> str:
     """id, start_, end_ (bytes), c0, c1 (characters), category, priority, rule_ord, original of all hits in source (id, text) without protected characters."""
     todo = [("keyword", t, c, 100) for t, c in keywords] + [(r.kind, r.pattern, r.category, lst.priority) for lst in lists for r in lst.rules]
