@@ -36,7 +36,11 @@ CHUNK_BYTES = 2 << 20
 #: Bytes of a batch between the JVM and Python, beside which the writer holds stripes.
 BATCH_BYTES = 4 << 20
 #: Pieces whose ids are remembered, at most.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
+#: Pieces that the library gets as one text.
+JOINED = 200
+#: Marks that end a word: a byte-level pre-tokenizer parts them from letters and digits before them.
+MARKS = ",.;:!?"
 #: Texts whose white space isn't single blanks and line feeds between words.
 IRREGULAR = r"  |\n\n| \n|\n |\x00|\A[ \n]|[ \n]\z|[\t\v\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -47,13 +51,19 @@ def take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def word_and_marks(piece: str) -> tuple[str, str]:
+    """A piece without the marks behind its last letter or digit, and these."""
+    word = piece.rstrip(MARKS)
+    return (word, piece[len(word):]) if word and word[-1].isalnum() else (piece, "")
+
+
 class PieceEncoder:
     """Encodes whole texts with a tokenizer of the tokenizers library, which gives every id.
 
     A byte-level pre-tokenizer never joins what a blank and a character part. So a text whose white
     space is single blanks and line feeds between words is sent to the library as its different pieces
     (a word with the blank or line feed before it), those of many texts together and each once; ids are
-    told apart by the bytes they stand for, and those of up to REMEMBERED pieces are kept. Any other
+    told apart by the bytes they stand for, and those of about REMEMBERED pieces are kept. Any other
     text goes to the library as it is, and all texts do if the tokenizer is of another kind.
     """
 
@@ -72,6 +82,7 @@ class PieceEncoder:
         for token, i in vocabulary.items():  # byte-level BPE shows each byte as a character
             self.bytes_of[i] = len(token)
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,24 +90,29 @@ class PieceEncoder:
     def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after another, and each one's number of ids. A piece is "\\0" and a text's first word, a word that follows a blank, or "\\n" and a word; an empty one has no ids."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known, self.marks = {}, {"": b""}
         known = self.known
         known[""] = b""
-        new = [p for p in pieces if p not in known]
-        first = [p for p in new if p[0] == "\0"]
-        for p, ids in zip(first, self.whole([p[1:] for p in first])):
-            known[p] = ids.tobytes()
-        later = [p for p in new if p[0] != "\0"]
+        new = [(p, *word_and_marks(p)) for p in pieces if p not in known]
+        marks = sorted({m for _, _, m in new} - self.marks.keys())
+        self.marks.update(zip(marks, (ids.tobytes() for ids in self.whole(marks))))
+        words = [w for w in dict.fromkeys(w for _, w, _ in new) if w not in known]
+        first, later = [w for w in words if w[0] == "\0"], [w for w in words if w[0] != "\0"]
+        for w, ids in zip(first, self.whole([w[1:] for w in first])):
+            known[w] = ids.tobytes()
         if later:
-            spelt = [p if p[0] == "\n" else " " + p for p in later]
-            ids = self.whole(["".join(spelt)])[0]
-            ends, stops = np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in spelt])
+            spelt = [w if w[0] == "\n" else " " + w for w in later]
+            ids = np.concatenate(self.whole(["".join(spelt[k:k + JOINED]) for k in range(0, len(spelt), JOINED)]))
+            ends, stops = np.cumsum(self.bytes_of[ids]), np.cumsum([len(w.encode()) for w in spelt])
             last = np.searchsorted(ends, stops)
             if last[-1] >= len(ends) or (ends[last] != stops).any():
                 raise ValueError("the tokenizer joins pieces over blanks")
             raw, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
-            for k, p in enumerate(later):
-                known[p] = raw[cuts[k]:cuts[k + 1]]
+            for k, w in enumerate(later):
+                known[w] = raw[cuts[k]:cuts[k + 1]]
+        for p, w, m in new:
+            if m:
+                known[p] = known[w] + self.marks[m]
         own = [known[p] for p in pieces]
         return np.frombuffer(b"".join(own), np.int32), np.array([len(x) // 4 for x in own], np.int64)
 
