@@ -16,7 +16,7 @@ from ..operators.engine import PiiEngine
 from ..scratch import scratch_path, stored
 from ..sources.rules import secret_keywords
 from ..sources import logs
-from ..streaming import events as sse, restorer, websocket
+from ..streaming import events as sse, live_dictionary as live, restorer, websocket
 from . import sql
 from .detection import ENGINE, HITS, KEY, KEYWORDS, dealt, document_mapping, literal_rows, query, table
 
@@ -281,6 +281,35 @@ def stream_restore_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_digests(chunks, restorer.restore_batch(chunks, known))
 
 
+WORD = r"\p{L}{5,}"
+
+
+@query(f"SELECT conv_id || '-' || turn AS stream_id, conv_id::VARCHAR AS session_id, md5(text) AS restored_md5, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS n_words FROM {TURNS}")
+def restore_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with every word of five letters and more replaced, restored by a stream to which mappings come too; it is stopped half way and started again."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.concat_ws("-", "conv_id", "turn").alias("stream_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # words and what stands between: between[0] words[0] between[1] ...
+    parts = turns.withColumns({"words": F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), "between": F.split("text", WORD, -1)})
+    named = F.transform("words", lambda w: dictionary.placeholder(KEY, F.lit("WORD"), w))
+    red = parts.withColumn("redacted", F.concat(F.get("between", F.lit(0)), F.array_join(F.zip_with(named, F.slice("between", 2, F.size("words")), lambda a, b: F.concat(a, b)), "")))
+    red = stored(red.select("session_id", "stream_id", "words", "redacted", F.greatest(F.ceil(F.length("redacted") / STEP), F.lit(1)).cast("int").alias("n")), "redacted")
+    cut = red.select("session_id", "stream_id", "redacted", "n", F.explode(F.sequence(F.lit(1), "n")).alias("k"))
+    chunks = cut.select("session_id", "stream_id", F.col("k").cast("long").alias("seq"), F.expr(f"substring(redacted, (k - 1) * {STEP} + 1, {STEP})").alias("fragment"), (F.col("k") == F.col("n")).alias("is_last"), (F.col("k") * 2 <= F.col("n")).alias("early"))
+    words = red.select("session_id", F.explode("words").alias("original")).distinct()
+    mappings = words.select("session_id", dictionary.placeholder(KEY, F.lit("WORD"), F.col("original")).alias("placeholder"), "original")
+    sent, known, out, checkpoint = (scratch_path(spark, n) for n in ("chunks", "mappings", "restored", "state"))
+    mappings.write.parquet(known)
+    for early in (True, False):
+        chunks.filter(F.col("early") == early).drop("early").write.mode("append").parquet(sent)
+        streams_ = (spark.readStream.schema(mappings.schema).parquet(known), spark.readStream.schema(chunks.drop("early").schema).parquet(sent))
+        with live.rocksdb(spark):
+            restorer.restore_sessions(*streams_).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("session_id string, stream_id string, seq long, output string").parquet(out)
+    whole = rows.groupBy("session_id", "stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "output"))), lambda x: x["output"]), "").alias("whole"))
+    n = red.select("stream_id", F.size("words").cast("long").alias("n_words"))
+    return whole.join(n, "stream_id").select("stream_id", "session_id", F.md5(F.col("whole").cast("binary")).alias("restored_md5"), "n_words")
+
+
 def delta(text: str, nested: bool = False) -> str:
     return '{"delta":' + (f'{{"text":"{text}"}}' if nested else f'"{text}"') + ',"type":"x.delta"}'
 

@@ -13,7 +13,9 @@ from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators.dictionary import PREFIX
 from ..operators.restore import BODY
@@ -86,6 +88,64 @@ def restore_stream(chunks: DataFrame, mapping: Mapping[str, str], prefix: str =
     return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, output string", "before string, tail string", "append", GroupStateTimeout.NoTimeout)
 
 
+class Looked:
+    """Originals by placeholder, from a map state; what a batch has looked up is kept for the batch."""
+
+    def __init__(self, state):
+        self.state, self.seen = state, {}
+
+    def get(self, token: str, default: str) -> str:
+        if token not in self.seen:
+            self.seen[token] = self.state.getValue((token,))[0] if self.state.containsKey((token,)) else None
+        return default if self.seen[token] is None else self.seen[token]
+
+
+class SessionRestorer(StatefulProcessor):
+    """A session's placeholders in a map state, and what each of its streams has held back in another."""
+
+    def __init__(self, prefix: str):
+        self.prefix = prefix
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "placeholder string", "original string")
+        self.held = handle.getMapState("held", "stream_id string", "before string, tail string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        both = pd.concat(list(rows))
+        for r in both[both.placeholder.notna()].itertuples():
+            self.known.updateValue((r.placeholder,), (r.original,))
+        restorer, made = Restorer(Looked(self.known), self.prefix), []
+        for stream, own in both[both.placeholder.isna()].sort_values(["stream_id", "seq"]).groupby("stream_id"):
+            before, tail, over = *(self.held.getValue((stream,)) if self.held.containsKey((stream,)) else ("", "")), False
+            for r in own.itertuples():
+                out, before, tail = restorer.feed(before, tail, r.fragment or "")
+                if r.is_last:
+                    out, before, tail, over = out + restorer.restore(tail, before), "", "", True
+                made.append((key[0], stream, r.seq, out))
+            if not over:
+                self.held.updateValue((stream,), (before, tail))
+            elif self.held.containsKey((stream,)):  # a stream that has ended leaves nothing behind
+                self.held.removeKey((stream,))
+        yield pd.DataFrame(made, columns=["session_id", "stream_id", "seq", "output"]).astype({"seq": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def restore_sessions(mappings: DataFrame, chunks: DataFrame, prefix: str = PREFIX) -> DataFrame:
+    """(session_id, stream_id, seq, output) from two streams: (session_id, placeholder, original) and (session_id, stream_id, seq, fragment, is_last).
+
+    Mappings arrive as they are made; those of a batch are known to its fragments. No dictionary
+    travels with the function, so a session may hold any number: a fragment looks up the placeholders
+    that it holds. Start the query within live_dictionary.rocksdb().
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    one = mappings.select("session_id", "placeholder", "original", none("string").alias("stream_id"), none("long").alias("seq"), none("string").alias("fragment"), none("boolean").alias("is_last"))
+    two = chunks.select("session_id", none("string").alias("placeholder"), none("string").alias("original"), "stream_id", "seq", "fragment", "is_last")
+    schema = StructType.fromDDL("session_id string, stream_id string, seq long, output string")
+    return one.unionByName(two).groupBy("session_id").transformWithStateInPandas(SessionRestorer(prefix), schema, "Append", "None")
+
+
 def restore_batch(chunks: DataFrame, mapping: Mapping[str, str], prefix: str = PREFIX) -> DataFrame:
     """restore_stream() of all fragments at once; one stream's fragments meet in one task, as their order is the result."""
     restorer = Restorer(dict(mapping), prefix)
@@ -151,4 +211,4 @@ def eviction_stream(mappings: DataFrame, most: int) -> DataFrame:
     return mappings.groupBy("session_id").applyInPandasWithState(run, "session_id string, placeholder string, created_at long", "at array<long>, names array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-__all__ = ["Restorer", "eviction_stream", "restore_batch", "restore_stream", "session_stream"]
+__all__ = ["Restorer", "eviction_stream", "restore_batch", "restore_sessions", "restore_stream", "session_stream"]
