@@ -15,7 +15,7 @@ from ..operators import audit, dictionary, jsonprompt, ner, requests
 from ..operators.engine import PiiEngine
 from ..scratch import scratch_path, stored
 from ..sources.rules import secret_keywords
-from ..sources import logs
+from ..sources import log_files, logs
 from ..streaming import events as sse, live_dictionary as live, restorer, websocket
 from . import sql
 from .detection import ENGINE, HITS, KEY, KEYWORDS, dealt, document_mapping, literal_rows, query, table
@@ -237,6 +237,17 @@ def wal_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.restore_log(log.unionByName(again).unionByName(broken), KEY, F.timestamp_seconds(F.lit(4000)), 3600).select("placeholder", "original")
 
 
+@query(f"SELECT {sql.placeholder(KEY)} AS placeholder, original FROM (SELECT original, first(category ORDER BY id, start_ DESC) AS category, min(id) AS first_doc FROM ({HITS}) GROUP BY original) WHERE first_doc >= 4000 - 3600")
+def session_log_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' mapping in files of framed, sealed records, one batch written twice, and read again by ranges."""
+    log_files.register(spark)
+    path = scratch_path(spark, "wal")
+    sealed = stored(dictionary.seal_log(document_mapping(spark, sf_dir)[1].withColumn("seq", F.unix_micros("created_at")), KEY), "sealed")
+    for _ in range(2):
+        sealed.select(F.lit("").alias("file"), "seq", "entry").write.format("session_log").option("batch", "one").option("range_bytes", "4096").mode("append").save(path)
+    return dictionary.restore_log(spark.read.format("session_log").load(path), KEY, F.timestamp_seconds(F.lit(4000)), 3600).select("placeholder", "original")
+
+
 STEP = 37
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as fn
 from ..operators import audit, dictionary, ner, requests, spans
@@ -188,7 +188,7 @@ def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEWEST = "(SELECT max(ts) FROM events) - INTERVAL 7 DAY"
 
 
-@query(f"""SELECT row_number() OVER (ORDER BY time, id) AS n, method, CASE WHEN note = 'decode_error' THEN 'seen' ELSE note END AS note, redacted_count::BIGINT AS redacted_count FROM {AUDITED} WHERE time >= {NEWEST}""")
+@query(f"""SELECT id AS event_id, method, CASE WHEN note = 'decode_error' THEN 'seen' ELSE note END AS note, redacted_count::BIGINT AS redacted_count FROM {AUDITED} WHERE time >= {NEWEST}""")
 def audit_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store cleared of what it held, fed by a stream, updated by id and purged."""
     rows = audited(spark, sf_dir).select("time", "method", "note", "redacted_count", "attempted", "restore_applied", F.col("id").cast("string").alias("path"))
@@ -201,9 +201,8 @@ def audit_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.update(store.read().filter("note = 'decode_error'").withColumn("note", F.lit("seen")))
     store.purge(F.lit(rows.agg(F.max("time")).first()[0]), 7 * 86400)
     kept = store.read()
-    by_time = kept.select(F.row_number().over(W.orderBy("time", F.col("path").cast("long"))).cast("long").alias("n"), "method", "note", "redacted_count", "id")
     assert kept.agg(F.countDistinct("id") == F.count(F.lit(1))).first()[0]
-    return by_time.drop("id")
+    return kept.select(F.col("path").cast("long").alias("event_id"), "method", "note", "redacted_count")
 
 
 @query(f"SELECT count(*) FILTER (method <> 'CONNECT')::BIGINT AS total_requests, count(*) FILTER (restore_applied)::BIGINT AS restored_requests, count(*) FILTER (note IN ('read_error', 'decode_error'))::BIGINT AS errors FROM {AUDITED}")
@@ -216,11 +215,11 @@ def audit_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).orderBy(F.col("batch").desc()).limit(1).select("total_requests", "restored_requests", "errors")
 
 
-@query("SELECT source || ' ' || lang || ' ' || doc_id AS value FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL ORDER BY doc_id DESC LIMIT 100")
+@query("SELECT coalesce(source, '-') || ' ' || coalesce(lang, '-') || ' ' || doc_id AS value FROM documents ORDER BY doc_id DESC LIMIT 100")
 def log_file_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last lines of a text file."""
+    """The last lines of a log in several files."""
     path = scratch_path(spark, "log")
-    table(spark, sf_dir, "documents").filter("source is not null and lang is not null").orderBy("doc_id").select(F.concat_ws(" ", "source", "lang", "doc_id").alias("value")).coalesce(1).write.text(path)
+    table(spark, sf_dir, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.concat_ws(" ", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), "doc_id").alias("value")).write.text(path)
     return logs.tail_file(spark, path, 100)
 
 
