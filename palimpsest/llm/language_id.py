@@ -4,8 +4,11 @@ For each language a suffix automaton of labelled text is built. A text is cut gr
 longest phrases that the automaton knows; the number of phrases, over what the language's own text
 needs for as many letters, is its normalised count, and the language with the smallest wins.
 
-Whole texts are parsed. A text is laid out in lanes of LANE symbols that numpy steps through
-together, so a phrase ends at a lane's end too; that is the same for all languages. Every letter that
+Whole texts are parsed, and a result doesn't depend on how. A text is laid out in lanes of LANE symbols
+that numpy steps through together, each going on into the next one for OVERLAP symbols. What follows
+the begin of a phrase doesn't depend on what was before it, so where a lane and the next one begin a
+phrase at one place they agree from there on, and the count goes over to the next lane. Where two
+lanes don't meet, the text is parsed in one. Every letter that
 was learnt is a symbol of its own; transitions are kept in one table of those that exist, whose size
 follows the learnt letters and not the alphabets.
 
@@ -30,7 +33,7 @@ from .common import LongTable, append_columns, stored
 
 #: Bounds of the learning sample: documents of a language and of all, characters (fewer are preferred), symbols of a language and of all.
 SAMPLE_DOCUMENTS, SAMPLE_ALL, SAMPLE_CHARS, LONGEST, LEARN_LETTERS, LEARN_ALL = 48, 12_000, 8000, 40_000, 12_000, 1_200_000
-LANE = 512
+LANE, OVERLAP = 1536, 512
 #: Languages that are stepped through together.
 ABREAST = 16
 #: Symbols of texts that are parsed together.
@@ -99,35 +102,63 @@ class LanguageModel:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """How many phrases each text (rows) needs by each language (columns)."""
-        size, found = np.fromiter(map(len, texts), np.int64, len(texts)), np.zeros((len(texts), len(self.languages)), np.int64)
-        lanes = -(-size // LANE)
+        found = np.zeros((len(texts), len(self.languages)), np.int64)
+        for a in range(0, len(self.languages), ABREAST):
+            start = self.starts[a:a + ABREAST]
+            found[:, a:a + len(start)], apart = self.in_lanes(texts, start, LANE, OVERLAP)
+            for k, j in zip(*np.nonzero(apart)):
+                found[k, a + j] = self.in_lanes([texts[k]], start[j:j + 1], len(texts[k]), 0)[0][0, 0]
+        return found
+
+    def in_lanes(self, texts: list[np.ndarray], start: np.ndarray, lane: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each text by the automata that begin at `start`, and which of these counts aren't known as lanes didn't meet."""
+        k, size = len(start), np.fromiter(map(len, texts), np.int64, len(texts))
+        lanes = -(-size // max(1, lane))
         n = int(lanes.sum())
-        if not n or not self.languages:
-            return found
+        if not n:
+            return np.zeros((len(texts), k), np.int64), np.zeros((len(texts), k), bool)
         flat = np.concatenate(texts)
         owner = np.repeat(np.arange(len(texts)), lanes)
         place = np.arange(n) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        length = np.minimum(LANE, size[owner] - place * LANE)
+        own = np.minimum(lane, size[owner] - place * lane)
+        length = np.minimum(lane + overlap, size[owner] - place * lane)
         # longest lanes first: those still open are a prefix
         order = np.argsort(-length, kind="stable")
-        first, owner, shorter = (np.cumsum(size) - size)[owner[order]] + place[order] * LANE, owner[order], -length[order]
-        for a in range(0, len(self.languages), ABREAST):
-            start = self.starts[a:a + ABREAST]
-            k = len(start)
-            state, count = np.repeat(start[:, None], n, 1), np.zeros((k, n), np.int32)
-            for t in range(-int(shorter[0])):
-                live = int(np.searchsorted(shorter, -t))
-                now, symbol, begin = state[:, :live].ravel(), np.tile(flat[first[:live] + t].astype(np.int64), k), np.repeat(start, live)
-                then = self.step(now, symbol)
-                fresh = then < 0
-                again = np.flatnonzero(fresh & (now != begin))
-                then[again] = self.step(begin[again], symbol[again])
-                # at the start any phrase begins; a symbol that the language hasn't is a phrase
-                count[:, :live] += (fresh | (now == begin)).reshape(k, live)
-                state[:, :live] = np.where(then < 0, begin, then).reshape(k, live)
-            for j in range(k):
-                found[:, a + j] = np.bincount(owner, count[j], len(texts)).astype(np.int64)
-        return found
+        first, shorter = (np.cumsum(size) - size)[owner[order]] + place[order] * lane, -length[order]
+        several = bool((lanes > 1).any())
+        head, tail = (np.zeros((overlap, k, n) if several else (0, k, n), bool) for _ in range(2))
+        state, count = np.repeat(start[:, None], n, 1), np.zeros((k, n), np.int32)
+        for t in range(-int(shorter[0])):
+            live = int(np.searchsorted(shorter, -t))
+            now, symbol, begin = state[:, :live].ravel(), np.tile(flat[first[:live] + t].astype(np.int64), k), np.repeat(start, live)
+            then = self.step(now, symbol)
+            fresh = then < 0
+            again = np.flatnonzero(fresh & (now != begin))
+            then[again] = self.step(begin[again], symbol[again])
+            # at the start any phrase begins; a symbol that the language hasn't is a phrase
+            begins = (fresh | (now == begin)).reshape(k, live)
+            if t < lane:
+                count[:, :live] += begins
+            else:
+                tail[t - lane, :, :live] = begins
+            if t < len(head):
+                head[t, :, :live] = begins
+            state[:, :live] = np.where(then < 0, begin, then).reshape(k, live)
+        back = np.argsort(order)
+        count, apart = count[:, back].astype(np.int64), np.zeros((k, n), bool)
+        if several:
+            head, tail = head[:, :, back], tail[:, :, back]
+            nexts = np.flatnonzero(place > 0)  # each goes on with the lane before it
+            common = tail[:, :, nexts - 1] & head[:, :, nexts]
+            met = common.any(0)
+            over = own[nexts] <= overlap  # the lane before reaches the text's end
+            at = np.where(met, common.argmax(0), np.where(over, own[nexts], overlap))
+            before = np.arange(overlap)[:, None, None] < at[None]
+            count[:, nexts] -= (head[:, :, nexts] & before).sum(0)
+            count[:, nexts - 1] += (tail[:, :, nexts - 1] & before).sum(0)
+            apart[:, nexts] = ~met & ~over
+        total = np.stack([np.bincount(owner, count[j], len(texts)) for j in range(k)], 1).astype(np.int64)
+        return total, np.stack([np.bincount(owner, apart[j], len(texts)) > 0 for j in range(k)], 1)
 
 
 def learn_languages(rows: list[tuple[str, str]]) -> LanguageModel:
