@@ -359,9 +359,11 @@ FRAME_SCHEMA = "conn string, dir string, seq int, fin boolean, rsv int, opcode i
 
 
 @query(f"""SELECT conn, dir, message, count(*)::BIGINT AS n_frames, string_agg(payload, '' ORDER BY seq) AS payload, message > 0 AND first(opcode ORDER BY seq) = 1 AND first(rsv ORDER BY seq) = 0 AND last(fin ORDER BY seq) AS is_text FROM (
-  SELECT *, sum(CASE WHEN opcode > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conn, dir ORDER BY seq)::BIGINT AS message FROM ({sql.values(FRAMES, FRAME_SCHEMA)}) WHERE opcode < 8) GROUP BY conn, dir, message""")
+  SELECT *, sum(CASE WHEN opcode > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conn, dir ORDER BY seq)::BIGINT AS message FROM (SELECT conn || '-' || row_id // {len(FRAMES)} AS conn, * EXCLUDE (conn, row_id) FROM ({sql.dealt(sql.numbered(FRAMES), 'case_ int, ' + FRAME_SCHEMA)})) WHERE opcode < 8) GROUP BY conn, dir, message""")
 def ws_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.reassembled(literal_rows(spark, FRAMES, FRAME_SCHEMA))
+    """Connections of a few events each, a frame by event."""
+    frames = dealt(spark, sf_dir, FRAMES, FRAME_SCHEMA)
+    return audit.reassembled(frames.withColumn("conn", F.concat_ws("-", "conn", F.floor(F.col("row_id") / len(FRAMES)))).drop("row_id"))
 
 
 @query(sql.values([("c", "up", 1, f"hello {TOKEN}", "hello Alice"), ("c", "up", 2, f"hello {TOKEN}", "hello Alice"), ("c", "up", 3, "packed", "packed"), ("c", "down", 0, "orphan", "orphan"), ("c", "down", 1, "binary", "binary"), ("d", "up", 1, "open", "open")], "conn string, dir string, message long, redacted string, restored string"))
@@ -392,21 +394,24 @@ def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.tail(rows, 100).select(F.col("seq").alias("line_no"), "value")
 
 
-@query(sql.values([(0, "secret word"), (1, "é"), (2, "not sealed")], "id int, opened string"))
+@query(sql.expected([(0, "secret word"), (1, "é"), (2, "not sealed")], "id int, opened string", 3))
 def sealed_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sealed configuration values opened again, and others as they are."""
-    rows = literal_rows(spark, [(0, "secret word"), (1, "é"), (2, "")], "id int, value string").withColumn("sealed", fn.seal(F.col("value"), KEY))
+    rows = dealt(spark, sf_dir, [(0, "secret word"), (1, "é"), (2, "")], "id int, value string").withColumn("sealed", fn.seal(F.col("value"), KEY))
     plain = F.when(F.col("id") == 2, F.lit("not sealed")).otherwise(F.col("sealed"))
-    return rows.select("id", fn.open_sealed(plain, KEY).alias("opened"))
+    return rows.select("row_id", "id", fn.open_sealed(plain, KEY).alias("opened"))
 
 
-RAW = [(0, websocket.build_frame(b"hello Alice", mask=b"\x01\x02\x03\x04") + websocket.build_frame(b"", 9) + websocket.build_frame(b"x" * 200, 0, False, 4) + b"\x81\x7f"), (1, websocket.build_frame(b"y" * 70_000, 2))]
+#: Frames masked, of control, packed and cut; every fiftieth case is one of more than 65,535 bytes.
+SMALL = websocket.build_frame(b"hello Alice", mask=b"\x01\x02\x03\x04") + websocket.build_frame(b"", 9) + websocket.build_frame(b"x" * 200, 0, False, 4) + b"\x81\x7f"
+RAW = [(k, SMALL) for k in range(49)] + [(49, websocket.build_frame(b"y" * 70_000, 2))]
+FRAMED = [(k, *f) for k in range(49) for f in ((0, True, 0, 1, 11), (1, True, 0, 9, 0), (2, False, 4, 0, 200))] + [(49, 0, True, 0, 2, 70_000)]
 
 
-@query(sql.values([(0, 0, True, 0, 1, 11), (0, 1, True, 0, 9, 0), (0, 2, False, 4, 0, 200), (1, 0, True, 0, 2, 70_000)], "id int, seq int, fin boolean, rsv int, opcode int, n int"))
+@query(sql.expected(FRAMED, "id int, seq int, fin boolean, rsv int, opcode int, n int", len(RAW)))
 def ws_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, RAW, "id int, raw binary").select("id", F.explode(websocket.frames_of("raw")).alias("f"))
-    return rows.select("id", "f.seq", "f.fin", "f.rsv", "f.opcode", F.octet_length("f.payload").alias("n"))
+    rows = dealt(spark, sf_dir, RAW, "id int, raw binary").select("row_id", "id", F.explode(websocket.frames_of("raw")).alias("f"))
+    return rows.select("row_id", "id", "f.seq", "f.fin", "f.rsv", "f.opcode", F.octet_length("f.payload").alias("n"))
 
 
 @query(sql.values([("a", "x"), ("b", "y")], "placeholder string, original string"))

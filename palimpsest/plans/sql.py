@@ -39,9 +39,14 @@ def values(rows: list[tuple], columns: str) -> str:
     return "SELECT " + ", ".join(f"{n}::{kinds[k]} AS {n}" for n, k in names) + f" FROM (VALUES {body}) AS v({', '.join(n for n, _ in names)})"
 
 
-def dealt(rows: list[tuple], columns: str, id_name: str) -> str:
-    """Cases (numbered from 0) dealt to all events in turn: the event's id and the case's other columns."""
-    return f"SELECT event_id AS {id_name}, v.* EXCLUDE (case_) FROM events JOIN ({values(rows, columns)}) v ON event_id % {len(rows)} = v.case_"
+def dealt(rows: list[tuple], columns: str, id_name: str = "row_id", cases: int | None = None) -> str:
+    """Rows of cases (case_, from 0) dealt to all events in turn: the event's id and the rows' other columns."""
+    return f"SELECT event_id AS {id_name}, v.* EXCLUDE (case_) FROM events JOIN ({values(rows, columns)}) v ON event_id % {cases or len(rows)} = v.case_"
+
+
+def numbered(rows: list[tuple]) -> list[tuple]:
+    """Rows as cases of their own."""
+    return [(k, *r) for k, r in enumerate(rows)]
 
 
 def expected(rows: list[tuple], columns: str, cases: int, first: int = 0) -> str:

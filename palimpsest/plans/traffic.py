@@ -14,7 +14,7 @@ from ..scratch import scratch_path
 from ..sources.rules import Rule, RuleList
 from ..streaming import events as sse, restorer, websocket
 from . import sql
-from .detection import KEY, literal_rows, query, table
+from .detection import KEY, dealt, literal_rows, query, table
 from .services import ALICE, BODY, FRAME_SCHEMA, JSON, PLACES, REQUEST_SCHEMA, SSE, SSE_OUT, TOKEN
 
 PEOPLE = PiiEngine(KEY, [], [("Alice", "NAME"), ("Bob", "NAME")])
@@ -25,32 +25,32 @@ def token(name: str, category: str = "NAME") -> str:
 
 
 ODD_IDS = [(1, "x Bob"), (1, "hi Alice, Bob"), (1, "hi Alice, Bob"), (None, "hi Alice"), (None, None), (2, ""), (2, "none"), (None, "é Bob é")]
-ODD_SQL = sql.values(ODD_IDS, "doc_id long, text string")
+ODD_SQL = sql.dealt(sql.numbered(ODD_IDS), "case_ int, doc_id long, text string")
 PEOPLE_REPLACED = f"replace(replace(text, 'Alice', '{token('Alice')}'), 'Bob', '{token('Bob')}')"
 PEOPLE_COUNT = "coalesce(len(string_split(text, 'Alice')) + len(string_split(text, 'Bob')) - 2, 0)::BIGINT"
 
 
-@query(f"SELECT doc_id, {PEOPLE_REPLACED} AS redacted, {PEOPLE_COUNT} AS n_hits FROM ({ODD_SQL})")
+@query(f"SELECT row_id, doc_id, {PEOPLE_REPLACED} AS redacted, {PEOPLE_COUNT} AS n_hits FROM ({ODD_SQL})")
 def redact_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with one id, with none, and alike: each has its own hits."""
-    out, _ = PEOPLE.redact_with_mapping(literal_rows(spark, ODD_IDS, "doc_id long, text string"), "doc_id")
-    return out.select("doc_id", "redacted", F.greatest(F.size("hits"), F.lit(0)).cast("long").alias("n_hits"))
+    out, _ = PEOPLE.redact_with_mapping(dealt(spark, sf_dir, ODD_IDS, "doc_id long, text string"), "doc_id")
+    return out.select("row_id", "doc_id", "redacted", F.greatest(F.size("hits"), F.lit(0)).cast("long").alias("n_hits"))
 
 
-@query(f"SELECT doc_id, {PEOPLE_REPLACED} AS redacted, text AS restored, {PEOPLE_COUNT} AS n_restored FROM ({ODD_SQL})")
+@query(f"SELECT row_id, doc_id, {PEOPLE_REPLACED} AS redacted, text AS restored, {PEOPLE_COUNT} AS n_restored FROM ({ODD_SQL})")
 def restore_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    red, mapping = PEOPLE.redact_with_mapping(literal_rows(spark, ODD_IDS, "doc_id long, text string"), "doc_id")
-    return PEOPLE.restore(red.select("doc_id", "redacted"), mapping, "redacted").select("doc_id", "redacted", "restored", "n_restored")
+    red, mapping = PEOPLE.redact_with_mapping(dealt(spark, sf_dir, ODD_IDS, "doc_id long, text string"), "doc_id")
+    return PEOPLE.restore(red.select("row_id", "doc_id", "redacted"), mapping, "redacted").select("row_id", "doc_id", "redacted", "restored", "n_restored")
 
 
 ODD_BODIES = [(1, '{"messages":["Alice","x"]}'), (1, '{"messages":["Bob","Alice"]}'), (None, '{"input":"Alice \\u001b]0;t"}'), (None, None), (2, "not JSON, Alice"), (2, ""), (3, '{"messages":["Bo","b","Bob"],"n":1.0}'), (3, '{"messages":["Bo","b","Bob"],"n":1.0}')]
 
 
-@query(f"""SELECT id, {PEOPLE_REPLACED.replace("text", "body")} AS redacted_body, {PEOPLE_COUNT.replace("text", "body")} AS n_hits, coalesce(json_valid(body), false) AS is_json FROM ({sql.values(ODD_BODIES, 'id long, body string')})""")
+@query(f"""SELECT row_id, id, {PEOPLE_REPLACED.replace("text", "body")} AS redacted_body, {PEOPLE_COUNT.replace("text", "body")} AS n_hits, coalesce(json_valid(body), false) AS is_json FROM ({sql.dealt(sql.numbered(ODD_BODIES), 'case_ int, id long, body string')})""")
 def redact_json_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies with one id, with none, and alike; prompts whose ends would make a hit together."""
-    out = jsonprompt.redact_json(PEOPLE, literal_rows(spark, ODD_BODIES, "id long, body string"), "body")
-    return out.select("id", "redacted_body", "n_hits", "is_json")
+    out = jsonprompt.redact_json(PEOPLE, dealt(spark, sf_dir, ODD_BODIES, "id long, body string"), "body")
+    return out.select("row_id", "id", "redacted_body", "n_hits", "is_json")
 
 
 ASKED = b'{"metadata":{"note":"Alice"},"messages":[{"role":"user","content":"hello Alice"}]}'
@@ -64,28 +64,28 @@ TRAFFIC = [
 ]
 
 
-def asked(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return literal_rows(spark, [(i, "a.com", "POST", kind, encoding, None, None, None, body, len(body or b""), False) for i, kind, encoding, body in rows], REQUEST_SCHEMA)
+def asked(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFrame:
+    return dealt(spark, sf_dir, [(i, "a.com", "POST", kind, encoding, None, None, None, body, len(body or b""), False) for i, kind, encoding, body in rows], REQUEST_SCHEMA)
 
 
 TRAFFIC_COLUMNS = "id long, note string, attempted boolean, out_body string, redacted_count long, redacted boolean, n_matches int"
 
 
-@query(sql.values([(r[0], *out, out[3]) for r, out in TRAFFIC], TRAFFIC_COLUMNS))
+@query(sql.dealt(sql.numbered([(r[0], *out, out[3]) for r, out in TRAFFIC]), "case_ int, " + TRAFFIC_COLUMNS))
 def redact_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests from gate to audit row: decoded, redacted in prompts or as a whole, forwarded."""
-    out = traffic.redact_requests(ALICE, asked(spark, [r for r, _ in TRAFFIC]))
-    return out.select("id", "note", "attempted", "out_body", "redacted_count", "redacted", F.greatest(F.size("matches"), F.lit(0)).alias("n_matches"))
+    out = traffic.redact_requests(ALICE, asked(spark, sf_dir, [r for r, _ in TRAFFIC]))
+    return out.select("row_id", "id", "note", "attempted", "out_body", "redacted_count", "redacted", F.greatest(F.size("matches"), F.lit(0)).alias("n_matches"))
 
 
 BREAKING = PiiEngine(KEY, [RuleList([Rule("regex", "Q", r'("n":\d)')])])
 BROKEN = [(1, JSON, None, b'{"n":1}'), (2, "text/plain", None, b'{"n":1}'), (3, JSON, None, b'{"n":1')]
 
 
-@query(f"""SELECT id, CASE WHEN id = 1 THEN 'invalid_json' ELSE '' END AS note, CASE WHEN id = 1 THEN body ELSE replace(body, '"n":1', '{token('"n":1', 'Q')}') END AS out_body, 1::BIGINT AS redacted_count, id > 1 AS redacted FROM ({sql.values([(r[0], r[3].decode()) for r in BROKEN], 'id long, body string')})""")
+@query(f"""SELECT row_id, id, CASE WHEN id = 1 THEN 'invalid_json' ELSE '' END AS note, CASE WHEN id = 1 THEN body ELSE replace(body, '"n":1', '{token('"n":1', 'Q')}') END AS out_body, 1::BIGINT AS redacted_count, id > 1 AS redacted FROM ({sql.dealt(sql.numbered([(r[0], r[3].decode()) for r in BROKEN]), 'case_ int, id long, body string')})""")
 def invalid_json_revert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON that redaction as a whole breaks goes on as it came, with its hits counted."""
-    return traffic.redact_requests(BREAKING, asked(spark, BROKEN), json_prompts=False).select("id", "note", "out_body", "redacted_count", "redacted")
+    return traffic.redact_requests(BREAKING, asked(spark, sf_dir, BROKEN), json_prompts=False).select("row_id", "id", "note", "out_body", "redacted_count", "redacted")
 
 
 CREATE = '{"type":"response.create","metadata":{"note":"Alice"},"input":[{"role":"user","content":[{"type":"input_text","text":"hello Alice"}]}]}'
@@ -102,11 +102,11 @@ def ws_json_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 BAD_RAW = [(0, websocket.build_frame(b"one") + b"\x81\x7f" + b"\xff" * 8 + b"rest Alice"), (None, websocket.build_frame(b"two")), (None, None)]
 
 
-@query(sql.values([(0, 0, 1, "one"), (0, 1, None, "817fffffffffffffffff7265737420416c696365"), (None, 0, 1, "two")], "id int, seq int, opcode int, payload string"))
+@query(sql.dealt([(0, 0, 0, 1, "one"), (0, 0, 1, None, "817fffffffffffffffff7265737420416c696365"), (1, None, 0, 1, "two")], "case_ int, id int, seq int, opcode int, payload string", cases=3))
 def ws_bad_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After what is no frame all bytes pass on as they are."""
-    rows = literal_rows(spark, BAD_RAW, "id int, raw binary").select("id", F.explode(websocket.frames_of("raw")).alias("f"))
-    return rows.select("id", "f.seq", "f.opcode", F.when(F.col("f.opcode").isNull(), F.lower(F.hex("f.payload"))).otherwise(F.col("f.payload").cast("string")).alias("payload"))
+    rows = dealt(spark, sf_dir, BAD_RAW, "id int, raw binary").select("row_id", "id", F.explode(websocket.frames_of("raw")).alias("f"))
+    return rows.select("row_id", "id", "f.seq", "f.opcode", F.when(F.col("f.opcode").isNull(), F.lower(F.hex("f.payload"))).otherwise(F.col("f.payload").cast("string")).alias("payload"))
 
 
 PARTS = ("th", "an", "er", "on", "re", "he", "in", "nd", "ou", "ti")
@@ -126,21 +126,21 @@ NAMED = PiiEngine(KEY, [RuleList([Rule("keyword", "CITY", "New York")])], recogn
 NAMED_TEXTS = [(1, "é Alice flew to New York on Monday"), (1, "Acme\x1b[0m of Rome"), (None, "Alice and Alice"), (None, None), (2, "none")]
 
 
-@query(sql.values([(1, f"é {token('Alice', 'PERSON')} flew to {token('New York', 'CITY')} on Monday", 2), (1, f"{token('Acme', 'ORG')}\x1b[0m of {token('Rome', 'LOCATION')}", 2), (None, f"{token('Alice', 'PERSON')} and {token('Alice', 'PERSON')}", 2), (None, None, 0), (2, "none", 0)], "id int, redacted string, n_hits int"))
+@query(sql.dealt(sql.numbered([(1, f"é {token('Alice', 'PERSON')} flew to {token('New York', 'CITY')} on Monday", 2), (1, f"{token('Acme', 'ORG')}\x1b[0m of {token('Rome', 'LOCATION')}", 2), (None, f"{token('Alice', 'PERSON')} and {token('Alice', 'PERSON')}", 2), (None, None, 0), (2, "none", 0)]), "case_ int, id int, redacted string, n_hits int"))
 def redact_with_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recognizer beside rules: a rule's hit has priority, other entities are redacted too."""
-    out = NAMED.redact(literal_rows(spark, NAMED_TEXTS, "id int, text string"))
-    return out.select("id", "redacted", F.greatest(F.size("hits"), F.lit(0)).alias("n_hits"))
+    out = NAMED.redact(dealt(spark, sf_dir, NAMED_TEXTS, "id int, text string"))
+    return out.select("row_id", "id", "redacted", F.greatest(F.size("hits"), F.lit(0)).alias("n_hits"))
 
 
 REPORTED = [(1, "Alice, Bob and Alice"), (2, "none")]
 
 
-@query(sql.values([(1, 0, 15, "Alice"), (1, 1, 7, "Bob"), (1, 2, 0, "Alice")], "id int, pos int, start_ int, original string"))
+@query(sql.dealt([(0, 1, 0, 15, "Alice"), (0, 1, 1, 7, "Bob"), (0, 1, 2, 0, "Alice")], "case_ int, id int, pos int, start_ int, original string", cases=2))
 def hits_last_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits as they are reported: by start, last first."""
-    rows = PEOPLE.detect(literal_rows(spark, REPORTED, "id int, text string")).select("id", F.posexplode_outer(spans.last_first(F.col("hits"))).alias("pos", "h")).filter("h is not null")
-    return rows.select("id", "pos", F.col("h.start").alias("start_"), "h.original")
+    rows = PEOPLE.detect(dealt(spark, sf_dir, REPORTED, "id int, text string")).select("row_id", "id", F.posexplode_outer(spans.last_first(F.col("hits"))).alias("pos", "h")).filter("h is not null")
+    return rows.select("row_id", "id", "pos", F.col("h.start").alias("start_"), "h.original")
 
 
 def cut(text: str, step: int) -> list[str]:
