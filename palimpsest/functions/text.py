@@ -124,15 +124,30 @@ def seal(value: Column, key: bytes) -> Column:
     return F.concat(F.lit("__VG_ENC_V1__:"), F.rtrim(F.base64(F.aes_encrypt(value.cast("binary"), F.lit(key), F.lit("GCM"))), F.lit("=")))
 
 
+# Units of a duration in seconds.
+UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
+
+
+def duration_seconds(c: Column, default: float) -> Column:
+    """parse_duration() of a column."""
+    text = F.trim(c)
+    unit = F.create_map(*[x for u, n in UNITS.items() for x in (F.lit(u), F.lit(n))])
+    one = lambda p: F.regexp_extract(p, r"^[\d.]+", 0).cast("double") * F.element_at(unit, F.regexp_extract(p, r"[a-zµ]+$", 0))
+    parts = F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d*)?(?:ns|us|µs|ms|s|m|h)"), F.lit(0))
+    total = F.aggregate(F.transform(parts, one), F.lit(0.0), lambda a, x: a + x)
+    days = F.regexp_extract(text, r"^(\d+)d$", 1)
+    whole = text.rlike(r"^-?(?:\d+(?:\.\d*)?(?:ns|us|µs|ms|s|m|h))+$")
+    return F.when(days != "", F.nullif(days, F.lit("")).cast("double") * 86400).when(whole, F.when(text.startswith("-"), -total).otherwise(total)).otherwise(F.lit(float(default)))
+
+
 def parse_duration(text: str, default: float) -> float:
     """Seconds of "1h30m", "250ms" or "7d"; default for anything else."""
     import re
 
-    units = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
     text = text.strip()
     if re.fullmatch(r"\d+d", text):
         return int(text[:-1]) * 86400.0
     if not re.fullmatch(r"-?(?:\d+(?:\.\d*)?(?:ns|us|µs|ms|s|m|h))+", text):
         return default
-    total = sum(float(n) * units[u] for n, u in re.findall(r"(\d+(?:\.\d*)?)(ns|us|µs|ms|s|m|h)", text))
+    total = sum(float(n) * UNITS[u] for n, u in re.findall(r"(\d+(?:\.\d*)?)(ns|us|µs|ms|s|m|h)", text))
     return -total if text.startswith("-") else total

@@ -208,12 +208,15 @@ def rule_list_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.rule_list_status(lists, literal_rows(spark, META, "key string, url string, etag string, checked_at long, updated_at long, content_sha256 string, last_error string, update_interval string"))
 
 
-SECRET_LINES = ["# comment", "DB_PASSWORD=hunter2hunter2", "export TOKEN='quoted value # kept'", "SHORT=abc", "KEY = spaced_value_1 # note", "no equals sign here", "", '  Q="double quoted"']
+SECRET_LINES = ["# comment @", "DB_PASSWORD@=hunter2hunter@", "export TOKEN='quoted value # kept @'", "SHORT=abc", "KEY = spaced_value_@ # note", "no equals sign here @", "", '  Q="double quoted @"']
+SECRETS = ["hunter2hunter@", "quoted value # kept @", "spaced_value_@", "double quoted @"]
 
 
-@query(sql.values([("hunter2hunter2", "DOTENV"), ("quoted value # kept", "DOTENV"), ("spaced_value_1", "DOTENV"), ("double quoted", "DOTENV")], "pattern string, category string"))
+@query("SELECT replace(pattern, '@', row_id::VARCHAR) AS pattern, 'DOTENV' AS category FROM (" + sql.dealt([(k, v) for k, v in zip((1, 2, 4, 7), SECRETS)], "case_ int, pattern string", cases=len(SECRET_LINES)) + ")")
 def secret_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_keywords(literal_rows(spark, [(x,) for x in SECRET_LINES], "value string"), "dotenv")
+    """Values of a secret file of as many lines as there are events."""
+    lines = dealt(spark, sf_dir, [(x,) for x in SECRET_LINES], "line string")
+    return secret_keywords(lines.select(F.expr("replace(line, '@', CAST(row_id AS STRING))").alias("value")), "dotenv")
 
 
 PLACES = {"Rome": "GPE", "New York": "LOC", "Acme": "ORGANIZATION", "Alice": "PERSON", "Monday": "DATE"}

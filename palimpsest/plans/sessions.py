@@ -70,12 +70,12 @@ def sanitize_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(spark, sf_dir, LANGUAGES, "id int, raw string").select("row_id", "id", fn.sanitize_language(F.col("raw")).alias("language"))
 
 
-DURATIONS = ["24h", "7d", "1h30m", "250ms", "x", "", "-2s"]
+DURATIONS = ["24h", "7d", "1h30m", "250ms", "x", "", "-2s", "1d2h", "1.5h", " 3m "]
 
 
-@query(sql.values([(0, 86400.0), (1, 604800.0), (2, 5400.0), (3, 0.25), (4, -1.0), (5, -1.0), (6, -2.0)], "id int, seconds double"))
+@query(sql.expected([(0, 86400.0), (1, 604800.0), (2, 5400.0), (3, 0.25), (4, -1.0), (5, -1.0), (6, -2.0), (7, -1.0), (8, 5400.0), (9, 180.0)], "id int, seconds double", 10))
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal_rows(spark, [(i, float(fn.parse_duration(x, -1))) for i, x in enumerate(DURATIONS)], "id int, seconds double")
+    return dealt(spark, sf_dir, list(enumerate(DURATIONS)), "id int, raw string").select("row_id", "id", fn.duration_seconds(F.col("raw"), -1).alias("seconds"))
 
 
 NER_URLS = [(0, "http://h:1/analyze/?x#y"), (1, "https://h"), (2, "ftp://h"), (3, "http://h/a/"), (4, None)]
@@ -108,16 +108,14 @@ def derived(use: str) -> bytes:
     return hashlib.sha256(hashlib.sha256(KEY).digest() + f"palimpsest/{use}".encode()).digest()
 
 
-@query(sql.values([("fixed", hmac.new(derived("placeholders"), b"Alice", hashlib.sha256).hexdigest()[:12], True), ("other", hmac.new(derived("log"), b"Alice", hashlib.sha256).hexdigest()[:12], True), ("random", None, False)], "mode string, digits string, again boolean"))
+@query(f"""SELECT event_id, mode, CASE WHEN mode = 'fixed' THEN substr({sql.hmac(derived('placeholders'), 'event_id::VARCHAR')}, 1, 12) WHEN mode = 'other' THEN substr({sql.hmac(derived('log'), 'event_id::VARCHAR')}, 1, 12) END AS digits, mode <> 'random' AS again
+  FROM events, (SELECT unnest(['fixed', 'other', 'random']) AS mode)""")
 def key_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys derived from one secret give the same placeholders again, each use its own; random ones don't."""
-    digits = lambda key: F.substring(dictionary.hmac_sha256(key, F.lit("Alice")), 1, 12)
+    digits = lambda key: F.substring(dictionary.hmac_sha256(key, F.col("event_id").cast("string")), 1, 12)
     keys = [("fixed", dictionary.derived_key(KEY, "placeholders"), dictionary.derived_key(KEY, "placeholders")), ("other", dictionary.derived_key(KEY, "log"), dictionary.derived_key(KEY, "log")), ("random", dictionary.random_key(), dictionary.random_key())]
-    out = None
-    for mode, one, two in keys:
-        row = spark.range(1).select(F.lit(mode).alias("mode"), (digits(one) if mode != "random" else F.lit(None).cast("string")).alias("digits"), (digits(one) == digits(two)).alias("again"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    modes = [F.struct(F.lit(mode).alias("mode"), (digits(one) if mode != "random" else F.lit(None).cast("string")).alias("digits"), (digits(one) == digits(two)).alias("again")) for mode, one, two in keys]
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.explode(F.array(*modes)).alias("x")).select("event_id", "x.*")
 
 
 GLOBAL = {"proxy": {"placeholder_prefix": "__P_", "intercept_mode": "targets"}, "targets": [{"host": " A.com ", "enabled": True}, {"host": "b.com"}], "session": {"ttl": "2h", "max_mappings": 5, "wal_enabled": False},
