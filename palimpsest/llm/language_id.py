@@ -8,7 +8,7 @@ Whole texts are parsed, and a result doesn't depend on how. A text is laid out i
 that numpy steps through together, each going on into the next one for OVERLAP symbols. What follows
 the begin of a phrase doesn't depend on what was before it, so where a lane and the next one begin a
 phrase at one place they agree from there on, and the count goes over to the next lane. Where two
-lanes don't meet, the text is parsed in one. Every letter that
+lanes don't meet so soon, a plain parse goes on from the first until it meets another. Every letter that
 was learnt is a symbol of its own; transitions are kept in one table of those that exist, whose size
 follows the learnt letters and not the alphabets.
 
@@ -24,6 +24,7 @@ are. Ties go to the first label by code point. Repeated rows are judged alike; e
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from .common import LongTable, append_columns, stored
 
 #: Bounds of the learning sample: documents of a language and of all, characters (fewer are preferred), symbols of a language and of all.
 SAMPLE_DOCUMENTS, SAMPLE_ALL, SAMPLE_CHARS, LONGEST, LEARN_LETTERS, LEARN_ALL = 48, 12_000, 8000, 40_000, 12_000, 1_200_000
-LANE, OVERLAP = 1536, 512
+LANE, OVERLAP = 512, 64
 #: Languages that are stepped through together.
-ABREAST = 16
+ABREAST = 8
 #: Symbols of texts that are parsed together.
 TOGETHER = 3_000_000
 #: Bits of a symbol in a transition's key.
@@ -100,34 +101,34 @@ class LanguageModel:
         alone = LanguageModel([self.languages[language]], self.classes, self.transitions, self.to, self.starts[language:language + 1], self.rates)
         return int(alone.phrases(texts).sum())
 
+    @cached_property
+    def edges(self) -> dict[int, int]:
+        """All transitions by key."""
+        at = np.flatnonzero(self.transitions.keys >= 0)
+        return dict(zip(self.transitions.keys[at].tolist(), self.to[self.transitions.places[at]].tolist()))
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """How many phrases each text (rows) needs by each language (columns)."""
         found = np.zeros((len(texts), len(self.languages)), np.int64)
-        for a in range(0, len(self.languages), ABREAST):
-            start = self.starts[a:a + ABREAST]
-            found[:, a:a + len(start)], apart = self.in_lanes(texts, start, LANE, OVERLAP)
-            for k, j in zip(*np.nonzero(apart)):
-                found[k, a + j] = self.in_lanes([texts[k]], start[j:j + 1], len(texts[k]), 0)[0][0, 0]
+        if sum(map(len, texts)):
+            for a in range(0, len(self.languages), ABREAST):
+                start = self.starts[a:a + ABREAST]
+                found[:, a:a + len(start)] = self.in_lanes(texts, start)
         return found
 
-    def in_lanes(self, texts: list[np.ndarray], start: np.ndarray, lane: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each text by the automata that begin at `start`, and which of these counts aren't known as lanes didn't meet."""
+    def in_lanes(self, texts: list[np.ndarray], start: np.ndarray) -> np.ndarray:
+        """Phrases of each text by the automata that begin at `start`."""
         k, size = len(start), np.fromiter(map(len, texts), np.int64, len(texts))
-        lanes = -(-size // max(1, lane))
-        n = int(lanes.sum())
-        if not n:
-            return np.zeros((len(texts), k), np.int64), np.zeros((len(texts), k), bool)
-        flat = np.concatenate(texts)
+        lanes = -(-size // LANE)
+        n, flat = int(lanes.sum()), np.concatenate(texts)
         owner = np.repeat(np.arange(len(texts)), lanes)
         place = np.arange(n) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        own = np.minimum(lane, size[owner] - place * lane)
-        length = np.minimum(lane + overlap, size[owner] - place * lane)
+        at = (np.cumsum(size) - size)[owner] + place * LANE
+        own, length = (np.minimum(x, size[owner] - place * LANE) for x in (LANE, LANE + OVERLAP))
         # longest lanes first: those still open are a prefix
         order = np.argsort(-length, kind="stable")
-        first, shorter = (np.cumsum(size) - size)[owner[order]] + place[order] * lane, -length[order]
-        several = bool((lanes > 1).any())
-        head, tail = (np.zeros((overlap, k, n) if several else (0, k, n), bool) for _ in range(2))
-        state, count = np.repeat(start[:, None], n, 1), np.zeros((k, n), np.int32)
+        first, shorter = at[order], -length[order]
+        state, begins = np.repeat(start[:, None], n, 1), np.zeros((LANE + OVERLAP, k, n), bool)
         for t in range(-int(shorter[0])):
             live = int(np.searchsorted(shorter, -t))
             now, symbol, begin = state[:, :live].ravel(), np.tile(flat[first[:live] + t].astype(np.int64), k), np.repeat(start, live)
@@ -136,29 +137,53 @@ class LanguageModel:
             again = np.flatnonzero(fresh & (now != begin))
             then[again] = self.step(begin[again], symbol[again])
             # at the start any phrase begins; a symbol that the language hasn't is a phrase
-            begins = (fresh | (now == begin)).reshape(k, live)
-            if t < lane:
-                count[:, :live] += begins
-            else:
-                tail[t - lane, :, :live] = begins
-            if t < len(head):
-                head[t, :, :live] = begins
+            begins[t, :, :live] = (fresh | (now == begin)).reshape(k, live)
             state[:, :live] = np.where(then < 0, begin, then).reshape(k, live)
-        back = np.argsort(order)
-        count, apart = count[:, back].astype(np.int64), np.zeros((k, n), bool)
-        if several:
-            head, tail = head[:, :, back], tail[:, :, back]
-            nexts = np.flatnonzero(place > 0)  # each goes on with the lane before it
-            common = tail[:, :, nexts - 1] & head[:, :, nexts]
-            met = common.any(0)
-            over = own[nexts] <= overlap  # the lane before reaches the text's end
-            at = np.where(met, common.argmax(0), np.where(over, own[nexts], overlap))
-            before = np.arange(overlap)[:, None, None] < at[None]
-            count[:, nexts] -= (head[:, :, nexts] & before).sum(0)
-            count[:, nexts - 1] += (tail[:, :, nexts - 1] & before).sum(0)
-            apart[:, nexts] = ~met & ~over
-        total = np.stack([np.bincount(owner, count[j], len(texts)) for j in range(k)], 1).astype(np.int64)
-        return total, np.stack([np.bincount(owner, apart[j], len(texts)) > 0 for j in range(k)], 1)
+        begins = begins[:, :, np.argsort(order)]
+        inside, beyond = begins[:LANE], begins[LANE:]
+        joins, over = np.zeros((k, n), np.int64), np.zeros((k, n), np.int64)  # where the parse comes to a lane; phrases of the lane before that begin in it until then
+        nexts = np.flatnonzero(place > 0)
+        if len(nexts):
+            common = beyond[:, :, nexts - 1] & inside[:OVERLAP][:, :, nexts]
+            met, joins[:, nexts] = common.any(0), common.argmax(0)
+            over[:, nexts] = (beyond[:, :, nexts - 1] & (np.arange(OVERLAP)[:, None, None] < joins[None][:, :, nexts])).sum(0)
+            for j, i in zip(*np.nonzero(~met)):
+                self.go_on(j, int(nexts[i]), start, flat, at, own, owner, inside, joins, over)
+        kept = (inside & (np.arange(LANE)[:, None, None] >= joins[None])).sum(0) + over
+        return np.stack([np.bincount(owner, kept[j], len(texts)) for j in range(k)], 1).astype(np.int64)
+
+    def go_on(self, j: int, lane: int, start: np.ndarray, flat: np.ndarray, at: np.ndarray, own: np.ndarray, owner: np.ndarray, inside: np.ndarray, joins: np.ndarray, over: np.ndarray) -> None:
+        """Parses on from the lane before `lane` until a phrase begins where one of a later lane does; lanes in between have no part."""
+        before = lane - 1
+        if joins[j, before] >= own[before]:  # passed over by an earlier one, which has settled this lane
+            return
+        edges, begin = self.edges, int(start[j])
+        p, end = int(at[before] + np.flatnonzero(inside[:, j, before])[-1]), int(at[lane] + own[lane])
+        over[j, lane], now, symbols = 0, begin, None
+        last = int(np.searchsorted(owner, owner[lane], "right"))
+        stop, q = int(at[last - 1] + own[last - 1]), p
+        joins[j, lane] = own[lane]
+        while q < stop:
+            if symbols is None or q >= base + len(symbols):
+                base, symbols = q, flat[q:q + LANE].tolist()
+            c = symbols[q - base]
+            then = edges.get(now << SYMBOL_BITS | c, -1)
+            if then < 0 or now == begin:
+                if q > p:  # a phrase begins here
+                    while q >= end:
+                        lane += 1
+                        end = int(at[lane] + own[lane])
+                        joins[j, lane], over[j, lane] = own[lane], 0
+                    if inside[q - int(at[lane]), j, lane]:
+                        joins[j, lane] = q - int(at[lane])
+                        return
+                    over[j, lane] += 1
+                if then < 0:
+                    then = edges.get(begin << SYMBOL_BITS | c, -1)
+            now = begin if then < 0 else then
+            q += 1
+        for lane in range(lane + 1, last):
+            joins[j, lane], over[j, lane] = own[lane], 0
 
 
 def learn_languages(rows: list[tuple[str, str]]) -> LanguageModel:

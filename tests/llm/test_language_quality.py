@@ -19,13 +19,13 @@ def longest_match_phrases(text, sample):
     return n
 
 
-@pytest.mark.parametrize("lane, overlap", [(language_id.LANE, language_id.OVERLAP), (40, 40), (16, 3)])
+@pytest.mark.parametrize("lane, overlap", [(language_id.LANE, language_id.OVERLAP), (40, 40), (16, 3), (5, 1)])
 def test_automaton_finds_longest_matches(monkeypatch, lane, overlap):
     """Whatever the lanes are; short overlaps often don't meet."""
     monkeypatch.setattr(language_id, "LANE", lane)
     monkeypatch.setattr(language_id, "OVERLAP", overlap)
     rng = np.random.default_rng(2)
-    for _ in range(30 if overlap > 100 else 3):
+    for _ in range(10):
         samples = [rng.integers(1, 4, 60).tolist() for _ in range(3)]
         keys, to, starts, states = [], [], [], 0
         for sample in samples:
