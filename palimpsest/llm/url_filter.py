@@ -1,12 +1,13 @@
 """URL filters: a blocked Bloom filter in front of an exact hash join.
 
 A list holds (host, path, verdict) and perhaps a priority: an entry fits its host and all subdomains
-of it, if a URL's path starts with the entry's. A URL's canonical form is its host (A-Z in lower case) and its path; from it
-come the keys that entries could have: each run of trailing labels with each beginning of the path,
-of numbers and lengths that the list has. A key's hash names one block of 256 bits of the filter and
-eight bits in it, so a probe is a lookup of one row. Keys with all eight bits set are possible hits;
-an exact join with the list drops the false ones. Of fitting entries the one with the
-greatest priority, then the longest host, then the longest path decides; URLs without one are allowed.
+of it, if a URL's path starts with the entry's. A URL's canonical form is its host (A-Z in lower case)
+and its path; from it come the keys that entries could have: each run of trailing labels with each
+beginning of the path, of numbers and lengths that the list has. A key's hash names one block of 256
+bits of the filter and eight bits in it, so a probe is a lookup of one row. Keys with all eight bits
+set are possible hits; an exact join with the list drops the false ones. Of fitting entries the one
+with the greatest priority, then the longest host, then the longest path decides; URLs without one
+are allowed.
 
 All is done in the JVM. The filter is broadcast up to BROADCAST_BLOCKS blocks; beyond that distinct
 keys meet it by a shuffle. Confirmed keys that many URLs have are few, and are broadcast; others are
@@ -14,8 +15,8 @@ joined by a shuffle, so no key is hot there.
 
 Null URLs and those without "://" have an empty host and path and fit nothing. Repeated rows are
 judged each; extra columns are kept if asked for, under their own names. Entries that are listed twice
-count once, by priority, allow before block; entries with a null or empty host are no entries, a null path is
-empty. An empty list allows all; an empty table gives an empty result.
+count once, by priority, allow before block; entries with a null or empty host are no entries, a null
+path is empty. An empty list allows all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def entries(listed: DataFrame) -> DataFrame:
 
 
 def key(host: Column, path: Column) -> Column:
-    """Host and path in one text; a host has no line feed after which a path could be cut otherwise."""
+    """Host and path in one text, parted by a line feed, which no listed host holds."""
     return F.concat(host, F.lit("\n"), path)
 
 
