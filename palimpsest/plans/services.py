@@ -202,10 +202,14 @@ def subscription_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.merge_subscriptions(meta, own(dealt(spark, sf_dir, FETCHED, "key string, new_url string, status int, body string, new_etag string, parses boolean")), NOW)
 
 
-@query(sql.values([("a", "A", "subscription", True), ("g", "G", "subscription", False), ("z", "Z", "local", False)], "key string, name string, kind string, verified boolean"))
+@query("SELECT key || '-' || row_id AS key, upper(key) AS name, 'subscription' AS kind, last_error IS NULL AS verified FROM (" + sql.dealt(sql.numbered([(m[0], m[6]) for m in META]), "case_ int, key string, last_error string") + ") UNION ALL SELECT 'z-' || event_id, 'Z', 'local', false FROM events")
 def rule_list_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = literal_rows(spark, [("a", "A", True), ("g", "G", True), ("z", "Z", False)], "key string, name string, is_subscription boolean")
-    return audit.rule_list_status(lists, literal_rows(spark, META, "key string, url string, etag string, checked_at long, updated_at long, content_sha256 string, last_error string, update_interval string"))
+    """Lists of each event, one of them local, beside what is known of subscriptions."""
+    own = lambda rows: rows.withColumn("key", F.concat_ws("-", "key", "row_id"))
+    meta = own(dealt(spark, sf_dir, META, "key string, url string, etag string, checked_at long, updated_at long, content_sha256 string, last_error string, update_interval string"))
+    lists = meta.select("key", F.upper(F.substring("key", 1, 1)).alias("name"), F.lit(True).alias("is_subscription"))
+    local = own(dealt(spark, sf_dir, [("z",)], "key string")).select("key", F.lit("Z").alias("name"), F.lit(False).alias("is_subscription"))
+    return audit.rule_list_status(lists.unionByName(local), meta.drop("row_id"))
 
 
 SECRET_LINES = ["# comment @", "DB_PASSWORD@=hunter2hunter@", "export TOKEN='quoted value # kept @'", "SHORT=abc", "KEY = spaced_value_@ # note", "no equals sign here @", "", '  Q="double quoted @"']

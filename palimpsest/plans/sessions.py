@@ -18,7 +18,7 @@ from ..sources.requests import read_requests
 from ..sources.settings import RuleListCache, config_of, opener, secret_files
 from ..streaming import live_dictionary as live
 from . import sql
-from .detection import ENGINE, HITS, KEY, dealt, literal_rows, query, table
+from .detection import ENGINE, FIRST, HITS, KEY, dealt, document_mapping, literal_rows, query, table
 from .services import AUDITED, audited
 
 LISTS = [
@@ -170,15 +170,15 @@ def hot_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal_rows(spark, [(i, c, e) for i, (c, e) in enumerate(zip(calls, errors))], "round int, rules string, errors string")
 
 
-SESSION_ROWS = [("p1", "x"), ("p2", "y"), ("p3", "z")]
-
-
-@query(sql.values([("lookup", "p1", "x"), ("lookup", "p3", "z"), ("reverse", "p2", "y"), ("size", "3", "10"), ("cleared", "0", "10")], "asked string, a string, b string"))
+@query(f"""WITH f AS (SELECT {sql.placeholder(KEY)} AS placeholder, original, category FROM ({FIRST}))
+  SELECT 'lookup' AS asked, placeholder AS a, original AS b FROM f WHERE category = 'EMAIL' UNION ALL SELECT 'reverse', placeholder, original FROM f WHERE category = 'IPV4'
+  UNION ALL SELECT 'size', count(*)::VARCHAR, '10' FROM f UNION ALL SELECT 'cleared', '0', '10'""")
 def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session asked for placeholders, for originals, for its size, and after it was cleared."""
-    mapping = literal_rows(spark, SESSION_ROWS, "placeholder string, original string")
-    found = dictionary.lookup(mapping, literal_rows(spark, [("p1",), ("p3",), ("p3",), ("none",), (None,)], "placeholder string")).select(F.lit("lookup").alias("asked"), F.col("placeholder").alias("a"), F.col("original").alias("b"))
-    back = dictionary.reverse(mapping, literal_rows(spark, [("y",), ("none",)], "original string")).select(F.lit("reverse").alias("asked"), F.col("placeholder").alias("a"), F.col("original").alias("b"))
+    """The documents' session asked for placeholders, for originals, for its size, and after it was cleared."""
+    mapping = document_mapping(spark, sf_dir)[1]
+    of = lambda category, column: mapping.filter(F.col("category") == category).select(column).unionByName(literal_rows(spark, [("none",), (None,)], f"{column} string"))
+    found = dictionary.lookup(mapping, of("EMAIL", "placeholder")).select(F.lit("lookup").alias("asked"), F.col("placeholder").alias("a"), F.col("original").alias("b"))
+    back = dictionary.reverse(mapping, of("IPV4", "original")).select(F.lit("reverse").alias("asked"), F.col("placeholder").alias("a"), F.col("original").alias("b"))
     size = lambda m, name: dictionary.gauges(m, 10, 60).select(F.lit(name).alias("asked"), F.col("active").cast("string").alias("a"), F.col("most").cast("string").alias("b"))
     return found.unionByName(back).unionByName(size(mapping, "size")).unionByName(size(dictionary.cleared(mapping), "cleared"))
 
@@ -221,14 +221,15 @@ def log_file_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.tail_file(spark, path, 100)
 
 
-SENT = [(1, "a.com", "application/json", b"{}"), (2, "a.com", "application/json", b"x" * ((10 << 20) + 9)), (3, "a.com", "image/png", b"x"), (4, "a.com", None, None)]
+SENT = [(-1, "a.com", "application/json", b"{}"), (-2, "a.com", "application/json", b"x" * ((10 << 20) + 9)), (-3, "a.com", "image/png", b"x"), (-4, "a.com", None, None)]
 
 
-@query(sql.values([(1, 2, ""), (2, (10 << 20) + 1, "too_large"), (3, 1, "not_text"), (4, None, "no_body")], "id long, n int, note string"))
+@query(sql.values([(-1, 2, ""), (-2, (10 << 20) + 1, "too_large"), (-3, 1, "not_text"), (-4, None, "no_body")], "id long, n int, note string") + " UNION ALL SELECT doc_id, strlen(text)::INTEGER, CASE WHEN coalesce(text, '') = '' THEN 'no_body' ELSE '' END FROM documents")
 def request_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests read from files, their bodies cut where the gate says they are too large."""
+    """Requests read from files, documents as their bodies; those too large are cut where the gate says so."""
     path = scratch_path(spark, "requests")
-    literal_rows(spark, SENT, "id long, host string, content_type string, body binary").write.parquet(path)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("a.com").alias("host"), F.lit("text/plain").alias("content_type"), F.encode("text", "UTF-8").alias("body"))
+    docs.unionByName(literal_rows(spark, SENT, "id long, host string, content_type string, body binary")).write.parquet(path)
     return requests.gate(read_requests(spark, path)).select("id", F.octet_length("body").alias("n"), "note")
 
 
@@ -244,19 +245,16 @@ def debug_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.col("request.body").alias("request"), F.col("request.truncated").alias("cut"), F.col("response.body").alias("response"))
 
 
-FOLLOWED = [("GET", 1), ("POST", 2), ("PUT", 3)]
-
-
-@query(sql.values([(1, "GET"), (2, "POST"), (3, "PUT")], "id long, method string"))
+@query(f"SELECT method, count(*)::BIGINT AS n, count(*)::BIGINT AS n_ids FROM {AUDITED} GROUP BY method")
 def audit_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a store held and what came after, as a stream tells it."""
+    """What a store held and what came after, as a stream tells it: half of the events, then the others."""
     store, out, state = AuditStore(spark, scratch_path(spark, "store")), scratch_path(spark, "followed"), scratch_path(spark, "state")
     run = lambda: store.follow().select("id", "method").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    store.insert(literal_rows(spark, FOLLOWED[:2], "method string, n int").coalesce(1).orderBy("n"))
-    run()
-    store.insert(literal_rows(spark, FOLLOWED[2:], "method string, n int"))
-    run()
-    return spark.read.schema("id long, method string").parquet(out)
+    rows = audited(spark, sf_dir).withColumnRenamed("id", "event")
+    for half in (0, 1):
+        store.insert(rows.filter(F.col("event") % 2 == half))
+        run()
+    return spark.read.schema("id long, method string").parquet(out).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"))
 
 
 @query(sql.values([("open", "C"), ("plain", "TEXT")], "text string, category string"))

@@ -63,7 +63,7 @@ def test_random_rules_find_what_re2_finds(spark, monkeypatch):
 
     rng = random.Random(9)
     texts = ["".join(rng.choice("kKsSé日É. x1\n") for _ in range(rng.randint(0, 25))) for _ in range(60)] + ["SECRET=abc secret=x", "kéx", "ã x zzéè"]
-    patterns = [r"(?i:secret)=(\w+)", r"(?:(k.)|zz)", r"(?:([éè]+)|zz)", r"x(?i)(K|s)", *(random_pattern(rng) for _ in range(120))]
+    patterns = [r"(?i:secret)=(\w+)", r"(?:(k.)|zz)", r"(?:([éè]+)|zz)", r"x(?i)(K|s)", *(random_pattern(rng) for _ in range(60))]
     con = duckdb.connect()
     con.execute("CREATE TABLE t (id INTEGER, text VARCHAR)")
     con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
@@ -102,7 +102,7 @@ def test_cost_is_linear_in_hits(spark):
 
     for engine, unit in ((PiiEngine(bytes(range(32)), [], keywords=[("aa", "A"), ("ab", "B"), ("bb", "C")]), "aab bb "), (PiiEngine(bytes(range(32))), "u1@ex.com; ")):
         seconds(engine, 2000, unit)
-        few, many = seconds(engine, 10_000, unit), seconds(engine, 40_000, unit)
+        few, many = seconds(engine, 5000, unit), seconds(engine, 20_000, unit)
         assert many < 4 * few * 2
 
 
