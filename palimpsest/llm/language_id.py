@@ -38,7 +38,7 @@ LANE, OVERLAP = 512, 64
 #: Languages that are stepped through together.
 ABREAST = 8
 #: Symbols of texts that are parsed together.
-TOGETHER = 3_000_000
+TOGETHER = 1_500_000
 #: Bits of a symbol in a transition's key.
 SYMBOL_BITS = 21
 UNKNOWN = "und"

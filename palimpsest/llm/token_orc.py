@@ -63,11 +63,12 @@ class PieceEncoder:
     A byte-level pre-tokenizer never joins what a blank and a character part. So a text whose white
     space is single blanks and line feeds between words is sent to the library as its different pieces
     (a word with the blank or line feed before it), those of many texts together and each once; ids are
-    told apart by the bytes they stand for, and those of about REMEMBERED pieces are kept. Any other
+    told apart by the bytes they stand for, and those of about `remembered` pieces are kept. Any other
     text goes to the library as it is, and all texts do if the tokenizer is of another kind.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -89,7 +90,7 @@ class PieceEncoder:
 
     def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after another, and each one's number of ids. A piece is "\\0" and a text's first word, a word that follows a blank, or "\\n" and a word; an empty one has no ids."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.marks = {}, {"": b""}
         known = self.known
         known[""] = b""
@@ -175,12 +176,12 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(tokenizer_json: str) -> PieceEncoder:
-    return PieceEncoder(tokenizer_json)
+def encoder(tokenizer_json: str, remembered: int) -> PieceEncoder:
+    return PieceEncoder(tokenizer_json, remembered)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, end_id: int = END_ID) -> None:
-    """Writes doc_id, local_start (ids before it in its file), n_tokens and ids, files and rows in ascending doc_id order."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, end_id: int = END_ID, remembered: int = REMEMBERED) -> None:
+    """Writes doc_id, local_start (ids before it in its file), n_tokens and ids, files and rows in ascending doc_id order. A task's worker remembers so many pieces' ids, at some 200 bytes each."""
     small_batches(docs.sparkSession, size=BATCH_BYTES)
     with open(tokenizer_file, encoding="utf-8") as f:  # the driver's file; executors get its contents
         model = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -188,7 +189,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, id_col: str =
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, before = encoder(model.value), 0
+        enc, before = encoder(model.value, remembered), 0
         for batch in batches:
             ids, count = enc.encode(batch.column(1))
             ends = np.cumsum(count + 1)
