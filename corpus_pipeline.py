@@ -18,6 +18,10 @@ from palimpsest.llm.common import deleted, scratch_path, stored
 from palimpsest.llm.queries import byte_bpe, table
 
 
+#: Pieces whose ids a worker remembers: fewer than a job of its own would, as the stages before hold memory too.
+REMEMBERED = 50_000
+
+
 def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs under names that no operator makes, and these by the columns' own."""
     names = {c: f"given_{k}" for k, c in enumerate(docs.columns)}
@@ -57,7 +61,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in ORC files; what the files hold of each row."""
     path = scratch_path(spark, "tokens")
-    token_orc.write_tokens(docs, path, byte_bpe())
+    token_orc.write_tokens(docs, path, byte_bpe(), remembered=REMEMBERED)
     return token_orc.token_digests(spark, path)
 
 
