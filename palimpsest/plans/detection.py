@@ -170,8 +170,7 @@ WORD_SQL = "SELECT DISTINCT unnest(regexp_extract_all(html, '\\p{L}{5,}', 0)) AS
 def keyword_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of five letters and more of the pages, as keywords wherever they stand in documents."""
     words = keyword_join.dictionary_of(table(spark, sf_dir, "pages"), "html", 5)
-    hits = keyword_join.keyword_hits(table(spark, sf_dir, "documents"), words, keys=("doc_id",))
-    return hits.groupBy("doc_id", "keyword", "category").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_start"))
+    return keyword_join.keyword_totals(table(spark, sf_dir, "documents"), words)
 
 
 BUILTIN = builtin_rules()
