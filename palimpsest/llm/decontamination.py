@@ -84,11 +84,12 @@ class FMIndex:
         ends = np.flatnonzero(text == 0)
         rank = text.astype(np.int64) + len(ends)
         rank[ends] = np.arange(len(ends))
+        base = max(n, sigma + len(ends)) + 1  # above any second rank: a short text of a large vocabulary has symbols beyond n
         step = 1
         while True:
             second = np.zeros(n, np.int64)
             second[: n - step] = rank[step:] + 1
-            key = rank * (n + 1) + second
+            key = rank * base + second
             order = np.argsort(key)
             changed = np.concatenate([[False], key[order[1:]] != key[order[:-1]]])
             rank[order] = np.cumsum(changed)

@@ -245,3 +245,16 @@ def test_large_documents_are_drawn_by_their_odds(spark):
         p = min(1, 0.5 * max(1, int(n**0.5)) * words / weighed)
         assert abs(np.mean(rate[n]) - p) < 0.12, (n, p, np.mean(rate[n]))
     assert max(abs(v - words / 2) for v in taken.values()) <= 160 / 2
+
+
+def test_index_of_a_short_text_with_a_large_vocabulary():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        sigma, runs = int(rng.integers(50, 100_000)), int(rng.integers(1, 6))
+        words = rng.integers(1, sigma, 6)
+        text = np.concatenate([[0], *(np.append(rng.choice(words, int(rng.integers(1, 9))), 0) for _ in range(runs))])
+        index, stream = decontamination.FMIndex(text, sigma), words.astype(np.int32)
+        low, high = index.search(stream, np.arange(5), np.full(5, 2))
+        for k in range(5):
+            want = [i for i in range(len(text) - 1) if (text[i:i + 2] == words[k:k + 2]).all()]
+            assert sorted(index.locate(np.arange(low[k], max(low[k], high[k]))).tolist()) == want
