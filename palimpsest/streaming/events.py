@@ -7,11 +7,12 @@ import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dictionary import PREFIX
-from .restorer import MOST_MAPPINGS, Restorer, fragments_in_order
+from .restorer import MOST_MAPPINGS, Restorer, fragments_in_order, in_streams
 
 
 def split_events(body: Column) -> Column:
@@ -19,19 +20,19 @@ def split_events(body: Column) -> Column:
     return F.filter(F.split(body, r"\r?\n\r?\n", -1), lambda e: e != "")
 
 
-def event_fields(event: Column) -> dict[str, Column]:
-    """name, data (lines joined; one leading blank of each taken away), is_terminal, is_delta and delta of an event's text."""
-    lines = F.split(event, r"\r?\n")
-    of = lambda field: F.transform(F.filter(lines, lambda x: x.startswith(field)), lambda x: F.regexp_replace(F.substring(x, len(field) + 1, 1 << 30), "^ ", ""))
-    names = of("event:")
-    name = F.coalesce(F.trim(F.try_element_at(names, F.lit(-1))), F.lit(""))
-    data = F.array_join(of("data:"), "\n")
-    kind = F.coalesce(F.get_json_object(data, "$.type"), F.lit(""))
+def with_fields(events: DataFrame) -> DataFrame:
+    """events with name, data (lines joined; one leading blank of each taken away), is_terminal, is_delta and delta of the column event.
+
+    What others refer to is a column of its own, worked out once.
+    """
+    of = lambda field: F.transform(F.filter("lines_", lambda x: x.startswith(field)), lambda x: F.regexp_replace(F.substring(x, len(field) + 1, 1 << 30), "^ ", ""))
+    rows = events.withColumn("lines_", F.split("event", r"\r?\n"))
+    rows = rows.withColumns({"name": F.coalesce(F.trim(F.try_element_at(of("event:"), F.lit(-1))), F.lit("")), "data": F.array_join(of("data:"), "\n")}).drop("lines_")
+    rows = rows.withColumns({"kind_": F.coalesce(F.get_json_object("data", "$.type"), F.lit("")), "text_": F.get_json_object("data", "$.delta"), "nested_": F.get_json_object("data", "$.delta.text")})
     ends = lambda c: F.lower(c).rlike("done|completed|complete")
-    text = F.get_json_object(data, "$.delta")
-    nested = F.get_json_object(data, "$.delta.text")
-    delta = F.when(name.contains("delta") | kind.contains("delta"), F.coalesce(nested, F.when(~F.coalesce(text, F.lit("")).startswith("{"), text)))
-    return {"name": name, "data": data, "is_terminal": (F.trim(data) == "[DONE]") | ends(name) | ends(kind), "is_delta": delta.isNotNull(), "delta": delta}
+    delta = F.when(F.col("name").contains("delta") | F.col("kind_").contains("delta"), F.coalesce("nested_", F.when(~F.coalesce("text_", F.lit("")).startswith("{"), F.col("text_"))))
+    made = rows.withColumns({"is_terminal": (F.trim("data") == "[DONE]") | ends(F.col("name")) | ends(F.col("kind_")), "delta": delta})
+    return made.select(*events.columns, "name", "data", "is_terminal", F.col("delta").isNotNull().alias("is_delta"), "delta")
 
 
 class EventRestorer:
@@ -78,22 +79,40 @@ class EventRestorer:
 
 def parsed_events(streams: DataFrame) -> DataFrame:
     """(stream_id, seq, event and its fields) of whole bodies (stream_id, body)."""
-    rows = streams.select("stream_id", F.posexplode(split_events(F.col("body"))).alias("seq", "event"))
-    return rows.withColumns(event_fields(F.col("event")))
+    return with_fields(streams.select("stream_id", F.posexplode(split_events(F.col("body"))).alias("seq", "event")))
 
 
 def restore_events(streams: DataFrame, mapping: Mapping[str, str], prefix: str = PREFIX) -> DataFrame:
     """(stream_id, seq, event): events as they go out; one stream is one task's, as its order is the result."""
     known = dict(mapping)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        r, out = EventRestorer(known, prefix), []
-        for row in rows.sort_values("seq").to_dict("records"):
-            out += r.feed(row)
-        out += r.flush()
-        return pd.DataFrame({"stream_id": [key[0]] * len(out), "seq": range(len(out)), "event": out})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, current, n, begun, made = EventRestorer(known, prefix), None, 0, False, []
+
+        def put(events: list[str]) -> None:
+            nonlocal n
+            made.extend((current, n + k, e) for k, e in enumerate(events))
+            n += len(events)
+
+        def taken() -> pa.RecordBatch:
+            columns = list(zip(*made)) or [()] * 3
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["stream_id", "seq", "event"])
+
+        for batch in batches:
+            for stream, event in zip(batch.column("stream_id").to_pylist(), batch.column("event").to_pylist()):
+                if not begun or stream != current:
+                    put(r.flush() if begun else [])
+                    current, n, begun = stream, 0, True
+                    r.before, r.tail, r.pending = "", "", None
+                put(r.feed(read_event(event)))
+            yield taken()
+        if begun:
+            put(r.flush())
+            yield taken()
 
-    return parsed_events(streams).groupBy("stream_id").applyInPandas(run, "stream_id string, seq long, event string")
+    rows = in_streams(streams.select("stream_id", F.posexplode(split_events(F.col("body"))).alias("seq", "event")))
+    return rows.mapInArrow(run, "stream_id string, seq long, event string")
 
 
 BREAK = re.compile(r"\r?\n\r?\n")
@@ -101,7 +120,7 @@ ENDS = re.compile("done|completed|complete", re.IGNORECASE)
 
 
 def read_event(event: str) -> dict:
-    """What event_fields() says of an event's text."""
+    """What with_fields() says of an event's text."""
     lines = re.split(r"\r?\n", event)
     of = lambda field: [re.sub("^ ", "", x[len(field):]) for x in lines if x.startswith(field)]
     names, data = of("event:"), "\n".join(of("data:"))

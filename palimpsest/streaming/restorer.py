@@ -12,12 +12,14 @@ import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.dictionary import PREFIX
+from ..operators.python_columns import small_batches
 from ..operators.restore import BODY
 
 LONGEST_TAIL = 512
@@ -148,18 +150,28 @@ def restore_sessions(mappings: DataFrame, chunks: DataFrame, prefix: str = PREFI
 
 def restore_batch(chunks: DataFrame, mapping: Mapping[str, str], prefix: str = PREFIX) -> DataFrame:
     """restore_stream() of all fragments at once; one stream's fragments meet in one task, as their order is the result."""
-    restorer = Restorer(dict(mapping), prefix)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        before, tail, made = "", "", []
-        for r in rows.sort_values("seq").itertuples():
-            out, before, tail = restorer.feed(before, tail, r.fragment or "")
-            if r.is_last:
-                out, before, tail = out + restorer.restore(tail, before), "", ""
-            made.append((key[0], r.seq, out))
-        return pd.DataFrame(made, columns=["stream_id", "seq", "output"])
-
-    return chunks.groupBy("stream_id").applyInPandas(run, "stream_id string, seq long, output string")
+    known = dict(mapping)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer, current, before, tail = Restorer(known, prefix), None, "", ""
+        for batch in batches:
+            outs = []
+            for stream, fragment, last in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "fragment", "is_last"))):
+                if stream != current:
+                    current, before, tail = stream, "", ""
+                out, before, tail = restorer.feed(before, tail, fragment or "")
+                if last:
+                    out, before, tail = out + restorer.restore(tail, before), "", ""
+                outs.append(out)
+            yield pa.RecordBatch.from_arrays([batch.column("stream_id"), batch.column("seq"), pa.array(outs, pa.string())], names=["stream_id", "seq", "output"])
+
+    return in_streams(chunks).select("stream_id", F.col("seq").cast("long").alias("seq"), "fragment", "is_last").mapInArrow(run, "stream_id string, seq long, output string")
+
+
+def in_streams(rows: DataFrame) -> DataFrame:
+    """rows by stream_id and seq, a stream whole in one task: tasks go through many short streams one after another, and a long one is never held."""
+    small_batches(rows.sparkSession)
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq")
 
 
 def session_stream(hits: DataFrame, ttl_seconds: int) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import keyword_join
+from palimpsest.streaming import events, restorer
 
 
 def plan(df):
@@ -28,3 +29,18 @@ def test_keywords_in_blocks_move_no_text(spark, monkeypatch, block):
     assert want[(1, "abab", None)] == (3, 0) and want[(3, "abc", "X")] == (1, 5) and want[(None, "bc", "Z")] == (4, 1)
     once = keyword_join.keyword_totals(docs.filter("doc_id > 1"), words)
     assert "Exchange" not in plan(once) and once.count() == 2
+
+
+def test_streams_share_a_task_without_a_call_each(spark):
+    known = {"__VG_NAME_0123456789ab__": "Alice"}
+    parts = ["hi __VG_NAM", "E_0123456789ab__", " and __VG"]
+    chunks = spark.createDataFrame([(f"s{i}", k, p, k == 2) for k, p in enumerate(parts) for i in range(3000)] + [(None, 0, "x", True)], "stream_id string, seq long, fragment string, is_last boolean")
+    made = restorer.restore_batch(chunks, known)
+    assert "FlatMapGroups" not in plan(made)
+    whole = made.groupBy("stream_id").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("seq", "output"))), lambda x: x["output"])).alias("w"))
+    assert {(r.w, r.n) for r in whole.groupBy("w").agg(F.count("*").alias("n")).collect()} == {("hi Alice and __VG", 3000), ("x", 1)}
+    body = 'data: {"delta":"__VG_NAME_01234","type":"x.delta"}\n\ndata: {"delta":"56789ab__","type":"x.delta"}\n\ndata: [DONE]\n\n'
+    out = events.restore_events(spark.range(3000).select(F.col("id").cast("string").alias("stream_id"), F.lit(body).alias("body")), known)
+    assert "FlatMapGroups" not in plan(out)
+    got = {(r.seq, r.event, r.n) for r in out.groupBy("seq", "event").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0, 'data: {"delta":"","type":"x.delta"}', 3000), (1, 'data: {"delta":"Alice","type":"x.delta"}', 3000), (2, "data: [DONE]", 3000)}
