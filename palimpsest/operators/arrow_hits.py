@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession, functions as F, types as T
 
 from ..sources.rules import java_pattern
+from .python_columns import small_batches
 
 
 #: POSIX classes, and ASCII classes that Python's own would take more for, as they stand inside brackets.
@@ -89,6 +93,45 @@ def matches(compiled, text: str):
         at = m.end() + (m.end() == m.start())
 
 
+CANDIDATES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n in ("start", "end", "priority", "rule_ord") else T.StringType()) for n in ("start", "end", "category", "priority", "source", "rule_ord", "original")]))
+
+
+class Found:
+    """Candidates of a batch's rows as columns: a number each for start, end and kind (category, priority, source, rule_ord), and the original."""
+
+    def __init__(self, kinds: list[tuple[str, int, str, int]]):
+        self.kinds, self.bounds, self.start, self.end, self.kind, self.original = kinds, array("i", [0]), array("i"), array("i"), array("i"), []
+
+    def put(self, start: int, end: int, kind: int, original: str) -> None:
+        self.start.append(start)
+        self.end.append(end)
+        self.kind.append(kind)
+        self.original.append(original)
+
+    def arrow(self) -> pa.Array:
+        numbers = lambda values: pa.array(np.array(values, np.int32), pa.int32())
+        kind = numbers(self.kind)
+        category, priority, source, rule_ord = (pa.array([k[i] for k in self.kinds], t).take(kind) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int32())))
+        columns = [numbers(self.start), numbers(self.end), category, priority, source, rule_ord, pa.array(self.original, pa.string())]
+        return pa.ListArray.from_arrays(numbers(self.bounds), pa.StructArray.from_arrays(columns, CANDIDATES.elementType.names))
+
+
+def candidates_udf(kinds: list[tuple[str, int, str, int]], search: Callable[[str, int, Callable[[int, int, int, str], None]], None]):
+    """A UDF from segments (off, seg) to candidates; search() puts those of one segment. Batches are small, as a text may hold many times its size in hits."""
+    small_batches(SparkSession.active())
+
+    def hits(segments: pa.Array) -> pa.Array:
+        found, bounds = Found(kinds), segments.offsets.to_pylist()
+        off, seg = (segments.values.field(n).to_pylist() for n in ("off", "seg"))
+        for a, b in zip(bounds, bounds[1:]):
+            for i in range(a, b):
+                search(seg[i], off[i], found.put)
+            found.bounds.append(len(found.start))
+        return found.arrow()
+
+    return F.arrow_udf(hits, CANDIDATES)
+
+
 def keyword_hits_udf(keywords: list[tuple[str, str, int, str, int]]):
     """A UDF from segments (off, seg) to candidates of all keywords (text, category, priority, source, rule_ord), in one pass of an automaton.
 
@@ -99,8 +142,7 @@ def keyword_hits_udf(keywords: list[tuple[str, str, int, str, int]]):
         same.setdefault(text, []).append(k)
     built: list = []
 
-    @F.pandas_udf("array<struct<start:int,end:int,category:string,priority:int,source:string,rule_ord:int,original:string>>")
-    def hits(segments: pd.Series) -> pd.Series:
+    def search(seg: str, off: int, put: Callable[[int, int, int, str], None]) -> None:
         import ahocorasick
 
         if not built:
@@ -109,50 +151,33 @@ def keyword_hits_udf(keywords: list[tuple[str, str, int, str, int]]):
                 automaton.add_word(text, (text, numbers))
             automaton.make_automaton()
             built.append(automaton)
-
-        def one(segs):
-            found = []
-            for s in segs if segs is not None else ():
-                seg, free, at, counted = s["seg"], {}, 0, 0
-                plain = seg.isascii()
-                for last, (text, numbers) in sorted(built[0].iter(seg), key=lambda m: m[0] - len(m[1][0])):
-                    first = last + 1 - len(text)
-                    if first < free.get(text, 0):
-                        continue
-                    free[text] = last + 1
-                    if not plain:  # bytes before this one, from those before the one before
-                        at += len(seg[counted:first].encode())
-                        counted = first
-                    begin = s["off"] + (first if plain else at)
-                    for k in numbers:
-                        _, category, priority, source, rule_ord = keywords[k]
-                        found.append((begin, begin + len(text.encode()), category, priority, source, rule_ord, text))
-            return found
-
-        return segments.map(one)
-
-    return hits
+        free, at, counted, plain = {}, 0, 0, seg.isascii()
+        for last, (text, numbers) in sorted(built[0].iter(seg), key=lambda m: m[0] - len(m[1][0])):
+            first = last + 1 - len(text)
+            if first < free.get(text, 0):
+                continue
+            free[text] = last + 1
+            if not plain:  # bytes before this one, from those before the one before
+                at += len(seg[counted:first].encode())
+                counted = first
+            begin = off + (first if plain else at)
+            for k in numbers:
+                put(begin, begin + len(text.encode()), k, text)
+
+    return candidates_udf([k[1:] for k in keywords], search)
 
 
 def regex_hits_udf(pattern: str, category: str, priority: int, source: str, rule_ord: int):
     """A UDF from segments (off, seg) to candidates: of group 1 if it took part in a match, else of the match."""
     compiled = python_pattern(pattern)
 
-    @F.pandas_udf("array<struct<start:int,end:int,category:string,priority:int,source:string,rule_ord:int,original:string>>")
-    def hits(segments: pd.Series) -> pd.Series:
-        def one(segs):
-            found = []
-            for s in segs if segs is not None else ():
-                seg, at, counted = s["seg"], s["off"], 0
-                plain = seg.isascii()
-                for m in matches(compiled, seg):
-                    a, b = m.span(1) if compiled.groups and m.start(1) >= 0 else m.span()
-                    if a < b:
-                        at += a - counted if plain else len(seg[counted:a].encode()) if a >= counted else -len(seg[a:counted].encode())
-                        counted = a
-                        found.append((at, at + (b - a if plain else len(seg[a:b].encode())), category, priority, source, rule_ord, seg[a:b]))
-            return found
-
-        return segments.map(one)
-
-    return hits
+    def search(seg: str, off: int, put: Callable[[int, int, int, str], None]) -> None:
+        at, counted, plain = off, 0, seg.isascii()
+        for m in matches(compiled, seg):
+            a, b = m.span(1) if compiled.groups and m.start(1) >= 0 else m.span()
+            if a < b:
+                at += a - counted if plain else len(seg[counted:a].encode()) if a >= counted else -len(seg[a:counted].encode())
+                counted = a
+                put(at, at + (b - a if plain else len(seg[a:b].encode())), 0, seg[a:b])
+
+    return candidates_udf([(category, priority, source, rule_ord)], search)
