@@ -15,8 +15,13 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession, functions as F
 
+from .python_columns import small_batches
+
+#: Bytes of values that are looked at together.
+TOGETHER = 1 << 18
 ESCAPE, BELL = 0x1B, 0x07
 #: Beginnings of escape sequences that a bell or ESC \\ ends.
 STRINGS = np.frombuffer(b"]PX^_", np.uint8)
@@ -87,10 +92,20 @@ def protected(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def segments_of(values: pa.Array) -> pa.Array:
-    """list<struct<off, seg>> of each value of a binary array."""
-    values = values.cast(pa.large_binary())
+    """list<struct<off, seg>> of each value of a binary array. Numbers for each byte take many times its size, so some values are looked at after others."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    made, done = [], 0
+    while done < len(values) or not made:
+        upto = max(int(np.searchsorted(ends, (ends[done - 1] if done else 0) + TOGETHER, "right")), done + 1)
+        made.append(segments_of_some(values.slice(done, upto - done)))
+        done = upto
+    return pa.concat_arrays(made)
+
+
+def segments_of_some(values: pa.Array) -> pa.Array:
+    values = values.cast(pa.large_binary()).fill_null(b"")  # an array of its own if there are nulls, which begins elsewhere in its buffers
     n = len(values)
-    _, offsets, data = values.fill_null(b"").buffers()
+    _, offsets, data = values.buffers()
     ends = np.frombuffer(offsets, np.int64)[values.offset:values.offset + n + 1] if n else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data is not None and n else np.zeros(0, np.uint8)
     bounds = ends - ends[0]
@@ -113,4 +128,5 @@ def segments_of(values: pa.Array) -> pa.Array:
 
 def safe_byte_segments(value: Column) -> Column:
     """array<struct<off, seg>> of a BINARY column."""
+    small_batches(SparkSession.active())
     return F.arrow_udf(segments_of, SEGMENTS)(value)

@@ -3,10 +3,11 @@
 import contextlib
 import io
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import keyword_join
+from palimpsest.operators import byte_segments, keyword_join, requests
 from palimpsest.streaming import events, restorer
 
 
@@ -44,3 +45,19 @@ def test_streams_share_a_task_without_a_call_each(spark):
     assert "FlatMapGroups" not in plan(out)
     got = {(r.seq, r.event, r.n) for r in out.groupBy("seq", "event").agg(F.count("*").alias("n")).collect()}
     assert got == {(0, 'data: {"delta":"","type":"x.delta"}', 3000), (1, 'data: {"delta":"Alice","type":"x.delta"}', 3000), (2, "data: [DONE]", 3000)}
+
+
+def test_bytes_are_looked_at_in_pieces(monkeypatch):
+    values = pa.array([b"a\xffb" * 40, None, b"", b"x" * 500, b"\x1b[0mz"] * 20, pa.binary())
+    whole, sizes = byte_segments.segments_of(values).to_pylist(), []
+    some = byte_segments.segments_of_some
+    monkeypatch.setattr(byte_segments, "TOGETHER", 600)
+    monkeypatch.setattr(byte_segments, "segments_of_some", lambda v: sizes.append(sum(len(x or b"") for x in v.to_pylist())) or some(v))
+    assert byte_segments.segments_of(values).to_pylist() == whole and len(sizes) > 10 and max(sizes) <= 600
+
+
+def test_python_gets_small_batches(spark):
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    spark.range(1).select(requests.decode_body(F.lit(b"x"), F.array(F.lit("")))).collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
