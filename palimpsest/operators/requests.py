@@ -5,11 +5,11 @@ from __future__ import annotations
 import io
 import zlib
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import canonical_host, intercept_mode
+from .python_columns import small_batches
 
 LARGEST = 10 << 20
 ENCODINGS = ("identity", "gzip", "br", "brotli", "deflate", "zstd")
@@ -68,9 +68,14 @@ def decoded(body: bytes | None, names: list[str], most: int = LARGEST) -> bytes
         return None
 
 
-@F.pandas_udf(T.BinaryType())
-def decode_body(bodies: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series([decoded(b, list(n)) if n is not None else b for b, n in zip(bodies, names)])
+def decoded_bodies(bodies: pa.Array, names: pa.Array) -> pa.Array:
+    return pa.array([decoded(b, n) if n is not None else b for b, n in zip(bodies.to_pylist(), names.to_pylist())], pa.binary())
+
+
+def decode_body(body: Column, names: Column) -> Column:
+    """body without the encodings named; null if that fails."""
+    small_batches(SparkSession.active())
+    return F.arrow_udf(decoded_bodies, T.BinaryType())(body, names)
 
 
 def header_tokens(header: Column) -> Column:
