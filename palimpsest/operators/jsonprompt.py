@@ -136,9 +136,9 @@ def is_valid(body: str | None) -> bool:
     return True
 
 
-def with_validity(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df with whether a text is one JSON value."""
-    return with_python(df, [column], [T.StructField(name, T.BooleanType())], lambda body: (is_valid(body),))
+def with_validity(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """df with whether texts are one JSON value: column to the new one's name. All in one operator, as each has Python workers of its own."""
+    return with_python(df, list(names), [T.StructField(n, T.BooleanType()) for n in names.values()], lambda *bodies: tuple(map(is_valid, bodies)))
 
 
 def redact_json(engine: PiiEngine, docs: DataFrame, body_col: str, as_json: Column | None = None) -> DataFrame:

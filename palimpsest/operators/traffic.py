@@ -24,7 +24,7 @@ def redact_requests(engine: PiiEngine, requests: DataFrame, mode: str = "global"
     # JSON that isn't JSON any more; then what came in goes on
     told = F.col("attempted") & F.col("json_type_") & (F.col("n_hits") > 0)
     rows = rows.withColumns({"before_": F.when(told, F.col("text_")), "after_": F.when(told, F.col("redacted_body"))})
-    rows = with_validity(with_validity(rows, "before_", "was_json_"), "after_", "stays_json_")
+    rows = with_validity(rows, {"before_": "was_json_", "after_": "stays_json_"})
     rows = rows.withColumn("broken_", told & F.col("was_json_") & ~F.col("stays_json_"))
     done = F.col("attempted") & (F.col("n_hits") > 0) & ~F.coalesce("broken_", F.lit(False))
     rows = rows.withColumns({
