@@ -11,6 +11,9 @@ from ..sources.rules import RuleList, default_rules
 from . import dictionary, restore as restoring, spans
 from .byte_segments import safe_byte_segments
 
+#: Texts that stand in so many rows on average are worked out once each and joined to their rows.
+REPEATED = 8
+
 
 class PiiEngine:
     """overlap: "greedy" drops what overlaps a better hit, "split" keeps the parts that are left; None as the reference chooses.
@@ -54,8 +57,17 @@ class PiiEngine:
 
         Rows are detected once and kept in the shared folder. One shuffle on originals for the mapping;
         rows with hits meet their spans again by their text, so ids may be null or repeated, and rows
-        without hits never move.
+        without hits never move. Where texts repeat much, each is redacted once, at its first row in
+        the order, and rows meet theirs by their text.
         """
+        if repeat(docs, text_col):
+            at = F.col(order_col), created_at if created_at is not None else F.current_timestamp()
+            once = docs.groupBy(F.col(text_col).alias("text")).agg(F.min(F.struct(at[0].alias("ord"), at[1].alias("at"))).alias("first")).select("text", "first.ord", "first.at")
+            once, mapping = self._redact_rows(once, "ord", "text", F.col("at"), known)
+            return by_text(docs, text_col, once, "hits", "redacted"), mapping
+        return self._redact_rows(docs, order_col, text_col, created_at, known)
+
+    def _redact_rows(self, docs: DataFrame, order_col: str, text_col: str, created_at: Column | None, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         rows = stored(self.detect(docs, text_col), "detected")
         made = created_at if created_at is not None else F.current_timestamp()
         each = exploded(rows.select(F.col(order_col).alias("doc_ord"), made.alias("created_at"), "hits"), "hits").select("doc_ord", "created_at", "h.start", "h.category", "h.original")
@@ -81,6 +93,19 @@ def text_key(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def repeat(docs: DataFrame, text_col: str) -> bool:
+    """Whether texts stand in REPEATED rows each, on average."""
+    n = docs.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64(docs[text_col])).alias("texts")).first()
+    return n.rows >= REPEATED * max(n.texts, 1)
+
+
+def by_text(docs: DataFrame, text_col: str, once: DataFrame, *made: str) -> DataFrame:
+    """docs with the columns that once (one row for each text) has made of `text`; null is a text."""
+    once = stored(once.select(F.col("text").alias("text_met_"), *[F.col(c).alias(f"{c}_met_") for c in made]), "once")
+    met = docs.join(once, docs[text_col].eqNullSafe(once["text_met_"]), "left")
+    return met.select(*[docs[c] for c in docs.columns if c not in made], *[F.col(f"{c}_met_").alias(c) for c in made])
+
+
 def exploded(rows: DataFrame, column: str) -> DataFrame:
     """rows without the array column and with its elements as `h`; the array isn't asked for its size below, which would work it out again."""
     return rows.select(*[c for c in rows.columns if c != column], F.explode_outer(column).alias("h")).filter("h is not null")

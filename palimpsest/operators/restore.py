@@ -6,8 +6,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..scratch import stored
 from .dictionary import PREFIX
-from .spans import by_cluster, pieces_with_offsets, replace_spans
+from .spans import by_cluster, let, pieces_with_offsets, replace_spans
 
 # Fixed value: what follows the prefix of a placeholder.
 BODY = r"[A-Za-z0-9_]+_[a-f0-9]{12}(?:_\d+)?(?:__)?"
@@ -23,9 +24,11 @@ def patterns(prefix: str = PREFIX) -> list[str]:
 def found_tokens(text: Column, pattern: str) -> Column:
     """array<struct<start, end, token>>: offsets from the lengths of what stands between."""
     found = F.regexp_extract_all(text, F.lit(f"(?d){pattern}"), F.lit(0))
-    before = pieces_with_offsets(F.split(text, f"(?d){pattern}", -1), F.transform(found, F.octet_length))
+    before = lambda f: pieces_with_offsets(F.split(text, f"(?d){pattern}", -1), F.transform(f, F.octet_length))
     at = lambda p: p["off"] + F.octet_length(p["seg"])
-    return F.transform(found, lambda t, i: F.struct(at(F.get(before, i)).alias("start"), (at(F.get(before, i)) + F.octet_length(t)).alias("end"), t.alias("token")))
+    token = lambda p, t: F.struct(at(p).alias("start"), (at(p) + F.octet_length(t)).alias("end"), t.alias("token"))
+    # both are bound once: inside the function of each token they would be worked out for each
+    return let(found, lambda f: let(before(f), lambda b: F.transform(f, lambda t, i: token(F.get(b, i), t))))
 
 
 def normal_token(token: Column, prefix: str = PREFIX) -> Column:
@@ -45,14 +48,27 @@ def restore(docs: DataFrame, mapping: DataFrame, text_col: str, prefix: str = PR
     """docs with `restored` and n_restored.
 
     Placeholders meet the mapping in an equi-join and come back by their text, so rows need no id and
-    may repeat; rows without a placeholder take no part and never move.
+    may repeat; rows without a placeholder take no part and never move. Rows are kept in the shared
+    folder: they are read several times, and a filter on tokens would work out again whatever makes
+    the text. Where texts repeat much, each is restored once.
     """
-    from .engine import exploded, text_key
+    from .engine import by_text, repeat
 
     kept = [c for c in docs.columns if c not in ("restored", "n_restored")]
-    rows = docs.select(*[docs[c] for c in kept], docs[text_col].alias("text_in_hand_")).withColumn("tokens_found_", tokens(F.col("text_in_hand_"), prefix))
+    rows = stored(docs.select(*[docs[c] for c in kept], docs[text_col].alias("text_in_hand_")), "to_restore")
+    if repeat(rows, "text_in_hand_"):
+        once = restored_rows(rows.select(F.col("text_in_hand_").alias("text")).distinct(), mapping, "text", prefix)
+        return by_text(rows, "text_in_hand_", once, "restored", "n_restored").drop("text_in_hand_")
+    return restored_rows(rows, mapping, "text_in_hand_", prefix).drop("text_in_hand_")
+
+
+def restored_rows(docs: DataFrame, mapping: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    from .engine import exploded, text_key
+
+    kept = docs.columns
+    rows = stored(docs.withColumn("tokens_found_", tokens(F.col(text_col), prefix)), "tokens")
     some = F.coalesce(F.size("tokens_found_") > 0, F.lit(False))
-    with_tokens = rows.filter(some).withColumn("text_key_", text_key(F.col("text_in_hand_")))
+    with_tokens = rows.filter(some).withColumn("text_key_", text_key(F.col(text_col)))
     each = exploded(with_tokens.select("text_key_", "tokens_found_"), "tokens_found_").select("text_key_", "h.start", "h.end", "h.token").distinct()
     known = each.join(mapping.select(F.col("placeholder").alias("token"), "original"), "token")
     free = "array<struct<start:int,end:int,original:string>>"
@@ -60,5 +76,5 @@ def restore(docs: DataFrame, mapping: DataFrame, text_col: str, prefix: str = PR
     first = lambda some: F.aggregate(some, F.array().cast(free), lambda acc, x: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) <= x["start"], F.concat(acc, F.array(x))).otherwise(acc))
     disjoint = by_cluster(F.col("known_spans_"), first)
     out = with_tokens.join(spans, "text_key_", "left").withColumn("known_spans_", F.coalesce(disjoint, F.array().cast(free)))
-    out = out.select(*kept, replace_spans(F.col("text_in_hand_"), F.col("known_spans_"), "original").alias("restored"), F.size("known_spans_").cast("long").alias("n_restored"))
-    return out.unionByName(rows.filter(~some).select(*kept, F.col("text_in_hand_").alias("restored"), F.lit(0).cast("long").alias("n_restored")))
+    out = out.select(*kept, replace_spans(F.col(text_col), F.col("known_spans_"), "original").alias("restored"), F.size("known_spans_").cast("long").alias("n_restored"))
+    return out.unionByName(rows.filter(~some).select(*kept, F.col(text_col).alias("restored"), F.lit(0).cast("long").alias("n_restored")))

@@ -210,7 +210,8 @@ def by_cluster(ordered: Column, resolve: Callable[[Column], Column]) -> Column:
         clusters = let(let(ends, first), slices)
         return F.flatten(F.transform(clusters, lambda x: F.when(F.size(x) > 1, resolve(x)).otherwise(x)))
 
-    return let(ordered, lambda c: F.when(F.size(c) > 1, cut(c)).otherwise(c))
+    apart = lambda c: F.forall(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.get(c, i - 1)["end"] <= F.get(c, i)["start"])
+    return let(ordered, lambda c: F.when(F.size(c) <= 1, c).when(apart(c), c).otherwise(cut(c)))
 
 
 def greedy(candidates: Column) -> Column:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import byte_segments, keyword_join, requests
+from palimpsest.operators import byte_segments, engine, keyword_join, requests, restore
 from palimpsest.streaming import events, restorer
 
 
@@ -61,3 +61,27 @@ def test_python_gets_small_batches(spark):
         spark.conf.unset(f"spark.sql.execution.arrow.{name}")
     spark.range(1).select(requests.decode_body(F.lit(b"x"), F.array(F.lit("")))).collect()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+
+
+def test_texts_that_repeat_are_worked_out_once(spark, monkeypatch):
+    people = engine.PiiEngine(bytes(32), [], [("Alice", "NAME"), ("Bob", "NAME"), ("lice", "PART")])
+    texts = ["hi Alice, Bob", "x Bob", None, "", "é Bob é Bob", "none"]
+    docs = spark.range(1200).select(F.when(F.col("id") % 5 > 0, 1200 - F.col("id")).alias("doc_id"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 6 + 1).cast("int")).alias("text"), F.lit("kept").alias("hits_met"))
+    detect, sizes = engine.PiiEngine.detect, []
+    monkeypatch.setattr(engine.PiiEngine, "detect", lambda self, rows, *a: sizes.append(rows.count()) or detect(self, rows, *a))
+
+    def made():
+        red, mapping = people.redact_with_mapping(docs, "doc_id", created_at=F.timestamp_seconds(F.coalesce("doc_id", F.lit(-1))))
+        out = people.restore(red.withColumn("n", F.size("hits")).drop("hits"), mapping, "redacted")
+        return [out.columns, mapping.columns, sorted(map(repr, out.collect())), sorted(map(repr, mapping.collect()))]
+
+    once = made()
+    monkeypatch.setattr(engine, "REPEATED", 10_000)
+    assert made() == once and sizes == [len(texts), 1200]
+
+
+def test_tokens_of_a_text_cost_one_split_for_each_pattern(spark):
+    docs = spark.createDataFrame([("__VG_NAME_0123456789ab__ é VG_NAME_0123456789ab__ " * 3000,)], "text string")
+    found = docs.select(F.explode(restore.tokens(F.col("text"))).alias("t"))
+    assert plan(found).count("split(") <= len(restore.patterns())
+    assert found.count() == 6000 and found.agg(F.max("t.end")).first()[0] == 3000 * 51 - 1
