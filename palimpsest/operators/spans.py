@@ -9,6 +9,7 @@ import re
 import re._parser as sre_parser
 
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import Column, functions as F
 
@@ -73,21 +74,80 @@ def safe_segments(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.array().cast("array<struct<off:int,seg:string>>")).when(text.rlike(PROTECTED), cut).otherwise(whole)
 
 
+DIGITS = frozenset("0123456789")
+
+
+def one_case(c: str) -> bool:
+    return c.lower() == c == c.upper()
+
+
+def parsed(pattern: str):
+    """The pattern as Python reads it; None if it would read it otherwise."""
+    pattern = unquoted(pattern)
+    if re.search(r"\[:\^?\w+:\]", pattern):
+        return None
+    try:
+        return sre_parser.parse(pattern)
+    except (re.error, OverflowError):
+        return None
+
+
+def needed(items) -> list[frozenset[str]]:
+    """Sets of digits and of characters without case, of each of which every match holds one."""
+    out = []
+    for op, arg in items:
+        if op is sre_parser.LITERAL:
+            out.append(some_of([(op, arg)]))
+        elif op is sre_parser.IN:
+            out.append(some_of(arg))
+        elif op is sre_parser.SUBPATTERN:
+            out += needed(arg[3])
+        elif op in (sre_parser.MAX_REPEAT, sre_parser.MIN_REPEAT) and arg[0] >= 1:
+            out += needed(arg[2])
+        elif op is sre_parser.BRANCH:
+            least = [min(needed(b), key=len, default=frozenset()) for b in arg[1]]
+            out.append(frozenset().union(*least) if all(least) else frozenset())
+    return [s for s in out if s]
+
+
+def some_of(items) -> frozenset[str]:
+    """The characters of a class of digits and characters without case; none for other classes."""
+    out = set()
+    for op, arg in items:
+        if op is sre_parser.CATEGORY and arg is sre_parser.CATEGORY_DIGIT:
+            out |= DIGITS
+        elif op is sre_parser.RANGE and chr(arg[0]) in DIGITS and chr(arg[1]) in DIGITS:
+            out |= set(map(chr, range(arg[0], arg[1] + 1)))
+        elif op is sre_parser.LITERAL and (chr(arg) in DIGITS or not chr(arg).isalnum() and one_case(chr(arg))):
+            out.add(chr(arg))
+        else:
+            return frozenset()
+    return frozenset(out)
+
+
+def needs_digit(pattern: str) -> bool:
+    """Whether every match of a pattern holds an ASCII digit."""
+    tree = parsed(pattern)
+    return tree is not None and any(s <= DIGITS for s in needed(tree))
+
+
+def begins_with(pattern: str) -> list[str]:
+    """The words of which every match of (?i)(?:word|word)... holds one, in lower case; none for other patterns. A long s isn't lowered, so words hold no s."""
+    cut = re.match(r"\(\?i\)\(\?:([a-rt-z]{3,}(?:\|[a-rt-z]{3,})*)\)(?![?*{])", pattern)
+    return cut[1].split("|") if cut else []
+
+
 def required(pattern: str) -> tuple[str | None, str | None]:
     """What every match of a pattern holds: the longest literal, and the smallest set of a few characters (as a bracket); each None if there is none.
 
     Both are looked for before the regular expression runs. Characters whose case doesn't count, by the
     pattern's flags or a group's own, are no literals. Patterns that Python would read otherwise have neither.
     """
-    pattern = unquoted(pattern)
-    if "[:" in pattern:
-        return None, None
-    try:
-        tree = sre_parser.parse(pattern)
-    except (re.error, OverflowError):
+    tree = parsed(pattern)
+    if tree is None:
         return None, None
-    runs, sets = [""], []
-    one_case = lambda c: c.lower() == c == c.upper()
+    runs = [""]
+    sets = ["[" + "".join("\\" + c for c in sorted(s)) + "]" for s in needed(tree) if not s & DIGITS]
 
     def walk(items, fold: bool) -> None:
         for op, arg in items:
@@ -98,8 +158,6 @@ def required(pattern: str) -> tuple[str | None, str | None]:
                 walk(inner, (fold or bool(on & re.IGNORECASE)) and not off & re.IGNORECASE)
             else:
                 runs.append("")
-                if op is sre_parser.IN and all(o is sre_parser.LITERAL and not chr(c).isalnum() and one_case(chr(c)) for o, c in arg):
-                    sets.append("[" + "".join("\\" + chr(c) for _, c in arg) + "]")
                 if op is sre_parser.MAX_REPEAT and arg[0] >= 1:
                     walk(arg[2], fold)
                     runs.append("")
@@ -138,7 +196,11 @@ def regex_hits(rule: Rule, priority: int, source: str, rule_ord: int) -> str | N
     # cheapest first: what every match holds, then the group alone, which fails at most characters at once
     literal, some = required(rule.pattern)
     may = [f"contains(s.seg, {quoted(literal)})"] if literal else []
-    may += [f"s.seg RLIKE {quoted(some)}"] if some else []
+    few = [] if some is None else some[2:-1].split("\\")  # each of the set's characters follows a backslash
+    if some and not set(few) & set(literal or ""):
+        may.append("(" + " OR ".join(f"contains(s.seg, {quoted(c)})" for c in few) + ")" if len(few) <= 3 and all(few) else f"s.seg RLIKE {quoted(some)}")
+    words = begins_with(rule.pattern)
+    may += ["(" + " OR ".join(f"contains(lower(s.seg), {quoted(w)})" for w in words) + ")"] if words and not some else []
     may.append(f"s.seg RLIKE {quoted(java_pattern(before_flags(before) + group))}")
     may = may if PREFILTERS else ["true"]
     return f"IF({' AND '.join(may)}, {placed(marked, 0, 'odd', rule, priority, source, rule_ord, 'x')}, CAST(array() AS {NONE}))"
@@ -180,8 +242,11 @@ def detect(segments: str, lists: list[RuleList], keywords: list[tuple[str, str]]
         if made is None:
             other.append(beside(segments, regex_hits_udf(rule.pattern, rule.category or "REGEX", priority, source, ord_)))
         else:
-            native.append(made)
-    found = [F.expr(f"flatten(transform({segments}, s -> concat({', '.join(native)})))")] if native else []
+            native.append((rule.kind == "regex" and PREFILTERS and needs_digit(rule.pattern), made))
+    # rules that stand side by side and need a digit ask for one together
+    runs = [(digit, [m for _, m in run]) for digit, run in groupby(native, key=lambda x: x[0])]
+    asked = [f"IF(s.seg RLIKE '[0-9]', concat({', '.join(run)}), CAST(array() AS {NONE}))" if digit else ", ".join(run) for digit, run in runs]
+    found = [F.expr(f"flatten(transform({segments}, s -> concat({', '.join(asked)})))")] if native else []
     return F.coalesce(F.concat(*found, *other), no_candidates()) if found or other else no_candidates()
 
 
