@@ -19,7 +19,7 @@ from palimpsest.llm.queries import byte_bpe, table
 
 
 #: Pieces whose ids a worker remembers: fewer than a job of its own would, as the stages before hold memory too.
-REMEMBERED = 50_000
+REMEMBERED = 20_000
 
 
 def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -15,6 +15,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -57,6 +58,31 @@ def word_and_marks(piece: str) -> tuple[str, str]:
     return (word, piece[len(word):]) if word and word[-1].isalnum() else (piece, "")
 
 
+@dataclass(frozen=True)
+class Described:
+    """A tokenizer's file and what encoders need to know of it: read once by the driver, as a vocabulary in Python objects takes many times the memory of the library's own."""
+
+    tokenizer_json: str
+    by_piece: bool
+    irregular: str
+    bytes_of: np.ndarray = field(compare=False)
+
+
+def described(tokenizer_json: str) -> Described:
+    from tokenizers import Tokenizer
+
+    parts = json.loads(tokenizer_json)
+    before, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    by_piece = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout")
+                and not any(parts.get(k) for k in ("normalizer", "truncation", "padding")) and not any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")))
+    special = "|".join(re.escape(t["content"]) for t in parts.get("added_tokens") or [])
+    vocabulary = Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True)
+    bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():  # byte-level BPE shows each byte as a character
+        bytes_of[i] = len(token)
+    return Described(tokenizer_json, by_piece, f"{IRREGULAR}|{special}" if special else IRREGULAR, bytes_of)
+
+
 class PieceEncoder:
     """Encodes whole texts with a tokenizer of the tokenizers library, which gives every id.
 
@@ -67,21 +93,14 @@ class PieceEncoder:
     text goes to the library as it is, and all texts do if the tokenizer is of another kind.
     """
 
-    def __init__(self, tokenizer_json: str, remembered: int = REMEMBERED):
+    def __init__(self, tokenizer_json: str | Described, remembered: int = REMEMBERED):
         self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, parts = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json)
-        before, model = parts.get("pre_tokenizer") or {}, parts["model"]
-        self.by_piece = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout")
-                         and not any(parts.get(k) for k in ("normalizer", "truncation", "padding")) and not any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")))
-        special = "|".join(re.escape(t["content"]) for t in parts.get("added_tokens") or [])
-        self.irregular = f"{IRREGULAR}|{special}" if special else IRREGULAR
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():  # byte-level BPE shows each byte as a character
-            self.bytes_of[i] = len(token)
+        about = tokenizer_json if isinstance(tokenizer_json, Described) else described(tokenizer_json)
+        self.tokenizer = Tokenizer.from_str(about.tokenizer_json)
+        self.by_piece, self.irregular, self.bytes_of = about.by_piece, about.irregular, about.bytes_of
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
@@ -176,15 +195,15 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(tokenizer_json: str, remembered: int) -> PieceEncoder:
-    return PieceEncoder(tokenizer_json, remembered)
+def encoder(about: Described, remembered: int) -> PieceEncoder:
+    return PieceEncoder(about, remembered)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, end_id: int = END_ID, remembered: int = REMEMBERED) -> None:
     """Writes doc_id, local_start (ids before it in its file), n_tokens and ids, files and rows in ascending doc_id order. A task's worker remembers so many pieces' ids, at some 200 bytes each."""
     small_batches(docs.sparkSession, size=BATCH_BYTES)
     with open(tokenizer_file, encoding="utf-8") as f:  # the driver's file; executors get its contents
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
+        model = docs.sparkSession.sparkContext.broadcast(described(f.read()))
     ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 

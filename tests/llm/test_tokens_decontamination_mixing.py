@@ -258,3 +258,17 @@ def test_index_of_a_short_text_with_a_large_vocabulary():
         for k in range(5):
             want = [i for i in range(len(text) - 1) if (text[i:i + 2] == words[k:k + 2]).all()]
             assert sorted(index.locate(np.arange(low[k], max(low[k], high[k]))).tolist()) == want
+
+
+def test_workers_read_no_vocabulary(monkeypatch):
+    """What encoders need to know of a tokenizer comes with it: no worker makes Python objects of its file."""
+    from palimpsest.llm.queries import byte_bpe
+
+    with open(byte_bpe(), encoding="utf-8") as f:
+        text = f.read()
+    about, texts = token_orc.described(text), ["a b, c\nd", "", "two  blanks", None]
+    whole = token_orc.PieceEncoder(text).encode(pa.array(texts))
+    monkeypatch.setattr(token_orc, "json", None)
+    ours = token_orc.PieceEncoder(about).encode(pa.array(texts))
+    assert [x.tolist() for x in ours] == [x.tolist() for x in whole]
+    assert token_orc.encoder(about, 5) is token_orc.encoder(token_orc.Described(text, about.by_piece, about.irregular, about.bytes_of), 5)
