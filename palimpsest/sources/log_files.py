@@ -24,6 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 #: A reader of a session log may begin after so many bytes.
 RANGE_BYTES = 16 << 20
+#: A read has so many tasks for ranges at most, beside one for each file; of more, neighbours are read together.
+MOST_RANGES = 512
 LIST = "_records-"
 #: Bytes of a poll, and of the longest line.
 POLL_BYTES, LONGEST_LINE = 256 << 10, 1 << 20
@@ -89,7 +91,9 @@ class RecordReader(DataSourceReader):
                 files += json.loads(f.read())
         if not lists:
             files = [{"file": x.base_name, "bytes": x.size, "starts": [[0, 0]]} for x in sorted(there, key=lambda x: x.base_name) if x.base_name.endswith(".wal")]
-        return [Range(x["file"], a, b, n) for x in files for (a, n), (b, _) in zip(x["starts"], [*x["starts"][1:], [x["bytes"], 0]])] or [Range("", 0, 0, 0)]
+        step = -(-sum(len(x["starts"]) for x in files) // MOST_RANGES) or 1
+        taken = [(x, x["starts"][::step]) for x in files]
+        return [Range(x["file"], a, b, n) for x, starts in taken for (a, n), (b, _) in zip(starts, [*starts[1:], [x["bytes"], 0]])] or [Range("", 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         file, at, end, seq = partition.value

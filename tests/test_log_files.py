@@ -70,3 +70,20 @@ def test_lines_are_followed_while_a_file_grows_and_shrinks(spark, sf_dir):
     q.processAllAvailable()
     q.stop()
     assert sorted(got()) == sorted([*lines, "new", "y" * 5000])
+
+
+def test_small_ranges_are_read_together(spark, tmp_path, monkeypatch):
+    """The tasks of a read don't grow with the number of ranges."""
+    from palimpsest.sources import log_files
+
+    log_files.register(spark)
+    path = f"file://{tmp_path}/wal"
+    rows = spark.range(0, 400, numPartitions=2).selectExpr("'' AS file", "id AS seq", "CAST(CAST(id AS STRING) AS BINARY) AS entry")
+    rows.write.format("session_log").option("batch", "one").option("range_bytes", "16").mode("append").save(path)
+    every = log_files.RecordReader(path).partitions()
+    monkeypatch.setattr(log_files, "MOST_RANGES", 10)
+    reader = log_files.RecordReader(path)
+    some = reader.partitions()
+    assert len(every) > 100 and len(some) <= 12
+    read = lambda parts: [r for p in parts for r in reader.read(p)]
+    assert read(some) == read(every) and len(read(some)) == 400
