@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
+from collections import defaultdict
 from collections.abc import Iterator, Mapping
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -21,11 +24,12 @@ from pyspark.sql.types import StructType
 from ..operators.dictionary import PREFIX
 from ..operators.python_columns import small_batches
 from ..operators.restore import BODY
+from .pages import Pages
 
 LONGEST_TAIL = 512
 #: A session's capacity.
 MOST_MAPPINGS = 100_000
-RUN = re.compile(r"[A-Za-z0-9_]*\Z")
+RUN = string.ascii_letters + string.digits + "_"
 
 
 class Restorer:
@@ -33,19 +37,25 @@ class Restorer:
         self.mapping, self.prefix, self.bare = mapping, prefix, prefix.lstrip("_") or prefix
         self.lead = prefix[: len(prefix) - len(prefix.lstrip("_"))]
         self.token = re.compile(rf"{re.escape(prefix)}{BODY}|(?<!_){re.escape(self.bare)}{BODY}")
+        self.either = re.compile(f"({self.token.pattern})")
 
     def restore(self, text: str, before: str = "") -> str:
         """text with known placeholders replaced; `before` is the character that stood before it."""
 
-        def one(m: re.Match) -> str:
-            token = m[0] if m[0].startswith(self.prefix) else self.lead + m[0]
-            return self.mapping.get(token if token.endswith("__") else token + "__", m[0])
+        return self.token.sub(lambda m: self.mapping.get(self.name(m[0]), m[0]), before + text)[len(before):] if text else ""
 
-        return self.token.sub(one, before + text)[len(before):] if text else ""
+    def name(self, token: str) -> str:
+        """A token in full, as mappings have it."""
+        token = token if token.startswith(self.prefix) else self.lead + token
+        return token if token.endswith("__") else token + "__"
+
+    def parts(self, text: str, before: str = "") -> list[str]:
+        """before + text in pieces: what is no token and tokens by turns."""
+        return self.either.split(before + text)
 
     def cut(self, text: str) -> int:
         """Where what may still become a placeholder begins."""
-        run = RUN.search(text).start()
+        run = len(text.rstrip(RUN))
         if self.bare in text[run:]:
             return run if len(text) - run <= LONGEST_TAIL else len(text)
         for k in range(min(len(self.prefix) - 1, len(text) - run), 0, -1):
@@ -90,50 +100,63 @@ def restore_stream(chunks: DataFrame, mapping: Mapping[str, str], prefix: str =
     return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, output string", "before string, tail string", "append", GroupStateTimeout.NoTimeout)
 
 
-class Looked:
-    """Originals by placeholder, from a map state; what a batch has looked up is kept for the batch."""
-
-    def __init__(self, state):
-        self.state, self.seen = state, {}
-
-    def get(self, token: str, default: str) -> str:
-        if token not in self.seen:
-            self.seen[token] = self.state.getValue((token,))[0] if self.state.containsKey((token,)) else None
-        return default if self.seen[token] is None else self.seen[token]
-
-
 class SessionRestorer(StatefulProcessor):
-    """A session's placeholders in a map state, and what each of its streams has held back in another."""
+    """A session's placeholders in pages of a map state, and what each of its streams has held back in others."""
 
     def __init__(self, prefix: str):
         self.prefix = prefix
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "placeholder string", "original string")
-        self.held = handle.getMapState("held", "stream_id string", "before string, tail string")
+        self.known, self.held = Pages(handle, "known"), Pages(handle, "held")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        both = pd.concat(list(rows))
-        for r in both[both.placeholder.notna()].itertuples():
-            self.known.updateValue((r.placeholder,), (r.original,))
-        restorer, made = Restorer(Looked(self.known), self.prefix), []
-        for stream, own in both[both.placeholder.isna()].sort_values(["stream_id", "seq"]).groupby("stream_id"):
-            before, tail, over = *(self.held.getValue((stream,)) if self.held.containsKey((stream,)) else ("", "")), False
-            for r in own.itertuples():
-                out, before, tail = restorer.feed(before, tail, r.fragment or "")
-                if r.is_last:
-                    out, before, tail, over = out + restorer.restore(tail, before), "", "", True
-                made.append((key[0], stream, r.seq, out))
-            if not over:
-                self.held.updateValue((stream,), (before, tail))
-            elif self.held.containsKey((stream,)):  # a stream that has ended leaves nothing behind
-                self.held.removeKey((stream,))
-        yield pd.DataFrame(made, columns=["session_id", "stream_id", "seq", "output"]).astype({"seq": "int64"})
+        new, fragments = {}, defaultdict(list)
+        for frame in rows:
+            for is_mapping, name, seq, text, is_last in zip(*(frame[c].tolist() for c in ("is_mapping", "name", "seq", "text", "is_last"))):
+                if is_mapping:
+                    new[name] = text
+                else:
+                    fragments[stream_name(name)].append((seq, text or "", is_last))
+        self.known.change(new)
+        restorer, made, open_, over = Restorer({}, self.prefix), [], {}, set()
+        held = self.held.look_up(fragments.keys())
+        for stream, own in fragments.items():
+            before, tail = held.get(stream, ("", ""))
+            for seq, fragment, is_last in sorted(own, key=itemgetter(0)):
+                text = tail + fragment
+                at = restorer.cut(text)
+                out = [(before, restorer.parts(text[:at], before))]
+                before, tail = text[at - 1:at] or before, text[at:]
+                if is_last:
+                    out.append((before, restorer.parts(tail, before)))
+                    before, tail = "", ""
+                made.append((stream, seq, out))
+            if not is_last:
+                open_[stream] = (before, tail)
+            elif stream in held:  # a stream that has ended leaves nothing behind
+                over.add(stream)
+        self.held.change(open_, over)
+        originals = self.originals({token: restorer.name(token) for _, _, out in made for _, parts in out for token in parts[1::2]}, new)
+        for _, _, out in made:
+            for _, parts in out:
+                parts[1::2] = [originals.get(token, token) for token in parts[1::2]]
+        streams, seqs, outs = zip(*made) if made else ((), (), ())
+        yield pd.DataFrame({"session_id": [key[0]] * len(made), "stream_id": [s[1:] if s else None for s in streams], "seq": pd.Series(seqs, dtype="int64"), "output": ["".join("".join(parts)[len(left):] for left, parts in out) for out in outs]})
+
+    def originals(self, names: dict[str, str], new: dict[str, str]) -> dict[str, str]:
+        """Originals of tokens, from a batch's own mappings and from those that the pages hold."""
+        asked = set(names.values())
+        found = {**self.known.look_up(asked - new.keys()), **{name: new[name] for name in asked & new.keys()}}
+        return {token: found[name] for token, name in names.items() if found.get(name) is not None}
 
     def close(self) -> None:
         pass
 
 
+def stream_name(stream: str | None) -> str:
+    return "" if stream is None else f"={stream}"
+
+
 def restore_sessions(mappings: DataFrame, chunks: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """(session_id, stream_id, seq, output) from two streams: (session_id, placeholder, original) and (session_id, stream_id, seq, fragment, is_last).
 
@@ -141,9 +164,8 @@ def restore_sessions(mappings: DataFrame, chunks: DataFrame, prefix: str = PREFI
     travels with the function, so a session may hold any number: a fragment looks up the placeholders
     that it holds. Start the query within live_dictionary.rocksdb().
     """
-    none = lambda kind: F.lit(None).cast(kind)
-    one = mappings.select("session_id", "placeholder", "original", none("string").alias("stream_id"), none("long").alias("seq"), none("string").alias("fragment"), none("boolean").alias("is_last"))
-    two = chunks.select("session_id", none("string").alias("placeholder"), none("string").alias("original"), "stream_id", "seq", "fragment", "is_last")
+    one = mappings.filter("placeholder IS NOT NULL").select("session_id", F.lit(True).alias("is_mapping"), F.col("placeholder").alias("name"), F.lit(0).cast("long").alias("seq"), F.col("original").alias("text"), F.lit(False).alias("is_last"))
+    two = chunks.select("session_id", F.lit(False).alias("is_mapping"), F.col("stream_id").alias("name"), F.col("seq").cast("long").alias("seq"), F.col("fragment").alias("text"), F.coalesce("is_last", F.lit(False)).alias("is_last"))
     schema = StructType.fromDDL("session_id string, stream_id string, seq long, output string")
     return one.unionByName(two).groupBy("session_id").transformWithStateInPandas(SessionRestorer(prefix), schema, "Append", "None")
 
