@@ -33,11 +33,12 @@ SCHEMA = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
 ])
 #: Bytes of text that are encoded at once; longer texts are cut at blanks.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 3 << 20
 #: Bytes of a batch between the JVM and Python, beside which the writer holds stripes.
 BATCH_BYTES = 4 << 20
-#: Pieces whose ids are remembered, at most.
+#: Words whose ids are remembered, at most, but for those of one chunk; and their bytes on average.
 REMEMBERED = 600_000
+REMEMBERED_BYTES = 100
 #: Pieces that the library gets as one text.
 JOINED = 200
 #: Marks that end a word: a byte-level pre-tokenizer parts them from letters and digits before them.
@@ -52,10 +53,23 @@ def take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def word_and_marks(piece: str) -> tuple[str, str]:
-    """A piece without the marks behind its last letter or digit, and these."""
-    word = piece.rstrip(MARKS)
-    return (word, piece[len(word):]) if word and word[-1].isalnum() else (piece, "")
+def words_and_marks(pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words: pieces without the marks behind their last letter or digit; each piece's place among them; and its marks as bytes of a number, 0 without any or with more than 8."""
+    ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset + 1:pieces.offset + len(pieces) + 1].astype(np.int64)
+    data = np.frombuffer(pieces.buffers()[2] or b"\0", np.uint8)
+    marked = np.isin(data[np.maximum(ends, 1) - 1], np.frombuffer(MARKS.encode(), np.uint8)) & (pc.binary_length(pieces).to_numpy() > 0)
+    some = pieces.filter(pa.array(marked))
+    words = pc.utf8_rtrim(some, MARKS)
+    n = (pc.binary_length(some).to_numpy() - pc.binary_length(words).to_numpy()).astype(np.int64)
+    n[(n > 8) | ~pc.match_substring_regex(words, r"[\p{L}\p{N}]\z").to_numpy(zero_copy_only=False)] = 0
+    code, own = np.zeros(len(some), np.uint64), ends[marked]
+    for i in range(8):
+        more = n > i
+        code[more] = code[more] << np.uint64(8) | data[own[more] - n[more] + i]
+    marks, place = np.zeros(len(pieces), np.uint64), np.empty(len(pieces), np.int64)
+    marks[marked] = code
+    place[marked], place[~marked] = np.arange(len(some)) + len(pieces) - len(some), np.arange(len(pieces) - len(some))
+    return pa.concat_arrays([pieces.filter(pa.array(~marked)), pc.if_else(pa.array(n > 0), words, some)]), place, marks
 
 
 @dataclass(frozen=True)
@@ -101,40 +115,59 @@ class PieceEncoder:
         about = tokenizer_json if isinstance(tokenizer_json, Described) else described(tokenizer_json)
         self.tokenizer = Tokenizer.from_str(about.tokenizer_json)
         self.by_piece, self.irregular, self.bytes_of = about.by_piece, about.irregular, about.bytes_of
-        self.known: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        """Words that are known, where their ids begin in `ids` and how many they are; the empty one has none."""
+        self.known, self.ids = pa.array([""]), np.zeros(0, np.int32)
+        self.start, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces one after another, and each one's number of ids. A piece is "\\0" and a text's first word, a word that follows a blank, or "\\n" and a word; an empty one has no ids."""
-        if len(self.known) > self.remembered:
-            self.known, self.marks = {}, {"": b""}
-        known = self.known
-        known[""] = b""
-        new = [(p, *word_and_marks(p)) for p in pieces if p not in known]
-        marks = sorted({m for _, _, m in new} - self.marks.keys())
-        self.marks.update(zip(marks, (ids.tobytes() for ids in self.whole(marks))))
-        words = [w for w in dict.fromkeys(w for _, w, _ in new) if w not in known]
-        first, later = [w for w in words if w[0] == "\0"], [w for w in words if w[0] != "\0"]
-        for w, ids in zip(first, self.whole([w[1:] for w in first])):
-            known[w] = ids.tobytes()
-        if later:
-            spelt = [w if w[0] == "\n" else " " + w for w in later]
-            ids = np.concatenate(self.whole(["".join(spelt[k:k + JOINED]) for k in range(0, len(spelt), JOINED)]))
-            ends, stops = np.cumsum(self.bytes_of[ids]), np.cumsum([len(w.encode()) for w in spelt])
+    def remember(self, words: pa.Array, ids: list[np.ndarray], count: np.ndarray) -> None:
+        ids = np.concatenate(ids)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+        self.known, self.ids, self.count = pa.concat_arrays([self.known, words]), np.concatenate([self.ids, ids]), np.concatenate([self.count, count])
+
+    def pieces(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and each one's number of ids. A piece is "\0" and a text's first word, a word that follows a blank, or "\n" and a word; an empty one has no ids."""
+        if len(self.known) > self.remembered or self.known.nbytes > REMEMBERED_BYTES * self.remembered:
+            self.forget()
+        words, place, marks = words_and_marks(coded.dictionary)
+        found = pc.index_in(words, value_set=self.known)
+        at = found.fill_null(-1).to_numpy().copy()
+        if found.null_count:
+            new = words.filter(found.is_null()).dictionary_encode()
+            at[at < 0] = self.learn(new.dictionary)[new.indices.to_numpy()]
+        kinds, mark = np.unique(marks, return_inverse=True)
+        tails = self.whole([int(k).to_bytes(8, "big").lstrip(b"\0").decode() for k in kinds])
+        ids, sizes = np.concatenate([self.ids, *tails]), np.array([len(x) for x in tails])
+        # each piece's ids: those of its word, then those of its marks
+        index = coded.indices.to_numpy()
+        start = np.stack([self.start[at[place]], (len(self.ids) + np.cumsum(sizes) - sizes)[mark]], 1)[index]
+        count = np.stack([self.count[at[place]], sizes[mark]], 1)[index]
+        return ids[take(start.ravel(), count.ravel())], count.sum(1)
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Has the library encode words that aren't known; their places in `known`."""
+        first = pc.starts_with(words, "\0")
+        alone, after = first.to_numpy(zero_copy_only=False), np.empty(len(words), np.int64)
+        after[np.concatenate([np.flatnonzero(alone), np.flatnonzero(~alone)])] = len(self.known) + np.arange(len(words))
+        alone, words = words.filter(first), words.filter(pc.invert(first))
+        if len(alone):
+            ids = self.whole([w[1:] for w in alone.to_pylist()])
+            self.remember(alone, ids, np.array([len(x) for x in ids]))
+        if len(words):
+            spelt = pc.binary_join_element_wise(pc.if_else(pc.starts_with(words, "\n"), "", " "), words, "")
+            joined = pa.ListArray.from_arrays(pa.array([*range(0, len(spelt), JOINED), len(spelt)], pa.int32()), spelt)
+            ids, stops = np.concatenate(self.whole(pc.binary_join(joined, "").to_pylist())), np.cumsum(pc.binary_length(spelt).to_numpy(), dtype=np.int64)
+            ends = np.cumsum(self.bytes_of[ids])
             last = np.searchsorted(ends, stops)
             if last[-1] >= len(ends) or (ends[last] != stops).any():
                 raise ValueError("the tokenizer joins pieces over blanks")
-            raw, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
-            for k, w in enumerate(later):
-                known[w] = raw[cuts[k]:cuts[k + 1]]
-        for p, w, m in new:
-            if m:
-                known[p] = known[w] + self.marks[m]
-        own = [known[p] for p in pieces]
-        return np.frombuffer(b"".join(own), np.int32), np.array([len(x) // 4 for x in own], np.int64)
+            self.remember(words, [ids], np.diff(last, prepend=-1))
+        return after
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and each text's number of ids; null counts as empty."""
@@ -157,11 +190,7 @@ class PieceEncoder:
                 return made, np.array([len(made)])
             irregular = ~irregular
         pieces, owner = self.split(texts, irregular)
-        coded = pieces.dictionary_encode()
-        ids, count = self.pieces(coded.dictionary.to_pylist())
-        index = coded.indices.to_numpy()
-        each = count[index]
-        ids = ids[take((np.cumsum(count) - count)[index], each)]
+        ids, each = self.pieces(pieces.dictionary_encode())
         total = np.bincount(owner, each, len(texts)).astype(np.int64)
         if not irregular.any():
             return ids, total
@@ -186,10 +215,7 @@ class PieceEncoder:
             if b < 0:
                 return None
             pieces, _ = self.split(pa.array([text[a:b]], pa.large_string()), np.zeros(1, bool), "" if a else "\0")
-            coded = pieces.dictionary_encode()
-            ids, count = self.pieces(coded.dictionary.to_pylist())
-            index = coded.indices.to_numpy()
-            out.append(ids[take((np.cumsum(count) - count)[index], count[index])])
+            out.append(self.pieces(pieces.dictionary_encode())[0])
             a = b
         return np.concatenate(out)
 

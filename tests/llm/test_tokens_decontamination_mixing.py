@@ -272,3 +272,22 @@ def test_workers_read_no_vocabulary(monkeypatch):
     ours = token_orc.PieceEncoder(about).encode(pa.array(texts))
     assert [x.tolist() for x in ours] == [x.tolist() for x in whole]
     assert token_orc.encoder(about, 5) is token_orc.encoder(token_orc.Described(text, about.by_piece, about.irregular, about.bytes_of), 5)
+
+
+def test_words_are_remembered_without_their_marks():
+    """What is remembered are words in Arrow, not a Python object for each piece."""
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(queries.byte_bpe()), random.Random(6)
+    ours = token_orc.PieceEncoder(tok.to_str())
+    words = [f"{a}{b}" for a in "abcdé" for b in ("x", "7", "日", "", "-", "ß", "'s", "!x")] + [""]
+    texts = ["z" + "".join(rng.choice(" \n") + (rng.choice(words) + "".join(rng.choices(token_orc.MARKS, k=rng.choice([0, 1, 2, 8, 9, 12]))) or "q") for _ in range(400)) for _ in range(20)]
+    for part in (pa.array(texts[:10]), pa.array(["sliced", *texts]).slice(1)):
+        ids, count = ours.encode(part)
+        for t, a, n in zip(part.to_pylist(), np.cumsum(count) - count, count):
+            assert ids[a:a + n].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert isinstance(ours.known, pa.Array)
+    marked = ["m", *(" ".join(f"w{k}{a}{b}" for k in range(20)) for a in token_orc.MARKS for b in token_orc.MARKS)]
+    before = len(ours.known)
+    ours.encode(pa.array(["m " + t for t in marked]))
+    assert len(ours.known) - before <= 25
