@@ -173,9 +173,9 @@ class PieceEncoder:
         """Ids of all texts one after another, and each text's number of ids; null counts as empty."""
         texts = texts.cast(pa.large_string()).fill_null("")
         size, parts, counts = pc.binary_length(texts).to_numpy(zero_copy_only=False), [], []
-        a, n = 0, len(texts)
+        a, n, most = 0, len(texts), CHUNK_BYTES if self.remembered >= REMEMBERED else CHUNK_BYTES * 2 // 3  # who remembers less is short of memory
         while a < n:
-            b = max(a + 1, int(np.searchsorted(np.cumsum(size[a:]), CHUNK_BYTES, "right")) + a)
+            b = max(a + 1, int(np.searchsorted(np.cumsum(size[a:]), most, "right")) + a)
             ids, count = self.chunk(texts.slice(a, b - a))
             parts.append(ids)
             counts.append(count)
