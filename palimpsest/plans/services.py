@@ -313,7 +313,7 @@ def restore_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     red = stored(red.select("session_id", "stream_id", "words", "redacted", F.greatest(F.ceil(F.length("redacted") / STEP), F.lit(1)).cast("int").alias("n")), "redacted")
     cut = red.select("session_id", "stream_id", "redacted", "n", F.explode(F.sequence(F.lit(1), "n")).alias("k"))
     chunks = cut.select("session_id", "stream_id", F.col("k").cast("long").alias("seq"), F.expr(f"substring(redacted, (k - 1) * {STEP} + 1, {STEP})").alias("fragment"), (F.col("k") == F.col("n")).alias("is_last"), (F.col("k") * 2 <= F.col("n")).alias("early"))
-    words = red.select("session_id", F.explode("words").alias("original")).distinct()
+    words = red.select("session_id", F.explode(F.array_distinct("words")).alias("original")).repartition("session_id").distinct().sortWithinPartitions("session_id")
     mappings = words.select("session_id", dictionary.placeholder(KEY, F.lit("WORD"), F.col("original")).alias("placeholder"), "original")
     sent, known, out, checkpoint = (scratch_path(spark, n) for n in ("chunks", "mappings", "restored", "state"))
     mappings.write.parquet(known)

@@ -9,8 +9,8 @@ from collections.abc import Collection, Iterable, Mapping
 
 from pyspark.sql.streaming import StatefulProcessorHandle
 
-#: Entries of a page on average, at most.
-PAGE = 256
+#: Entries of a page on average, at most: about as many as take the time of a call.
+PAGE = 2048
 
 
 class Pages:
@@ -57,11 +57,12 @@ class Pages:
         if not put and not gone:
             return
         pages, entries, first = self.head()
+        had = entries
         if entries + len(put) > pages * PAGE:
             pages, first = self.spread(pages, entries, first, entries + len(put))
         before = first is not None
         for k, own in self.dealt([*put, *gone], pages).items():
-            was = self.page(k) if k else first
+            was = (self.page(k) if had else None) if k else first
             held = dict(was or {})
             for name in own:
                 if name in put:

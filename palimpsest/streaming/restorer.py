@@ -12,8 +12,10 @@ import re
 import string
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -22,13 +24,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.dictionary import PREFIX
-from ..operators.python_columns import small_batches
+from ..operators.python_columns import BATCH_ROWS, small_batches
 from ..operators.restore import BODY
 from .pages import Pages
 
 LONGEST_TAIL = 512
 #: A session's capacity.
 MOST_MAPPINGS = 100_000
+#: Groups that sessions are dealt into by restore_sessions(); the state is laid out by them.
+BUCKETS = 4096
+#: Mappings and fragments of sessions in one stream.
+ROWS = pa.schema([("session_id", pa.string()), ("is_mapping", pa.bool_()), ("name", pa.string()), ("seq", pa.int64()), ("text", pa.string()), ("is_last", pa.bool_())])
 RUN = string.ascii_letters + string.digits + "_"
 
 
@@ -101,7 +107,7 @@ def restore_stream(chunks: DataFrame, mapping: Mapping[str, str], prefix: str =
 
 
 class SessionRestorer(StatefulProcessor):
-    """A session's placeholders in pages of a map state, and what each of its streams has held back in others."""
+    """Placeholders of a group's sessions, one or more, in pages of a map state, and what each of their streams has held back in others."""
 
     def __init__(self, prefix: str):
         self.prefix = prefix
@@ -109,19 +115,25 @@ class SessionRestorer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.known, self.held = Pages(handle, "known"), Pages(handle, "held")
 
+    def columns(self, frame: pd.DataFrame) -> Iterator[list[list]]:
+        """The columns of ROWS, a batch at a time."""
+        yield [frame[c].tolist() for c in ROWS.names]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new, fragments = {}, defaultdict(list)
         for frame in rows:
-            for is_mapping, name, seq, text, is_last in zip(*(frame[c].tolist() for c in ("is_mapping", "name", "seq", "text", "is_last"))):
-                if is_mapping:
-                    new[name] = text
-                else:
-                    fragments[stream_name(name)].append((seq, text or "", is_last))
+            for columns in self.columns(frame):
+                for session, is_mapping, name, seq, text, is_last in zip(*columns):
+                    if is_mapping:
+                        new[owned(session, name)] = text
+                    else:
+                        fragments[session, name].append((seq, text or "", is_last))
         self.known.change(new)
         restorer, made, open_, over = Restorer({}, self.prefix), [], {}, set()
-        held = self.held.look_up(fragments.keys())
+        held = self.held.look_up([owned(*stream) for stream in fragments])
         for stream, own in fragments.items():
-            before, tail = held.get(stream, ("", ""))
+            name = owned(*stream)
+            before, tail = held.get(name, ("", ""))
             for seq, fragment, is_last in sorted(own, key=itemgetter(0)):
                 text = tail + fragment
                 at = restorer.cut(text)
@@ -130,21 +142,22 @@ class SessionRestorer(StatefulProcessor):
                 if is_last:
                     out.append((before, restorer.parts(tail, before)))
                     before, tail = "", ""
-                made.append((stream, seq, out))
+                made.append((*stream, seq, out))
             if not is_last:
-                open_[stream] = (before, tail)
-            elif stream in held:  # a stream that has ended leaves nothing behind
-                over.add(stream)
+                open_[name] = (before, tail)
+            elif name in held:  # a stream that has ended leaves nothing behind
+                over.add(name)
         self.held.change(open_, over)
-        originals = self.originals({token: restorer.name(token) for _, _, out in made for _, parts in out for token in parts[1::2]}, new)
-        for _, _, out in made:
+        tokens = {(session, token) for session, _, _, out in made for _, parts in out for token in parts[1::2]}
+        originals = self.originals({(session, token): owned(session, restorer.name(token)) for session, token in tokens}, new)
+        for session, _, _, out in made:
             for _, parts in out:
-                parts[1::2] = [originals.get(token, token) for token in parts[1::2]]
-        streams, seqs, outs = zip(*made) if made else ((), (), ())
-        yield pd.DataFrame({"session_id": [key[0]] * len(made), "stream_id": [s[1:] if s else None for s in streams], "seq": pd.Series(seqs, dtype="int64"), "output": ["".join("".join(parts)[len(left):] for left, parts in out) for out in outs]})
+                parts[1::2] = [originals.get((session, token), token) for token in parts[1::2]]
+        sessions, streams, seqs, outs = zip(*made) if made else ((), (), (), ())
+        yield pd.DataFrame({"session_id": sessions, "stream_id": streams, "seq": pd.Series(seqs, dtype="int64"), "output": ["".join("".join(parts)[len(left):] for left, parts in out) for out in outs]})
 
-    def originals(self, names: dict[str, str], new: dict[str, str]) -> dict[str, str]:
-        """Originals of tokens, from a batch's own mappings and from those that the pages hold."""
+    def originals(self, names: dict[tuple, str], new: dict[str, str]) -> dict[tuple, str]:
+        """Originals of sessions' tokens, from a batch's own mappings and from those that the pages hold."""
         asked = set(names.values())
         found = {**self.known.look_up(asked - new.keys()), **{name: new[name] for name in asked & new.keys()}}
         return {token: found[name] for token, name in names.items() if found.get(name) is not None}
@@ -153,8 +166,40 @@ class SessionRestorer(StatefulProcessor):
         pass
 
 
-def stream_name(stream: str | None) -> str:
-    return "" if stream is None else f"={stream}"
+class BucketRestorer(SessionRestorer):
+    """SessionRestorer for groups of sessions whose rows come packed()."""
+
+    def columns(self, frame: pd.DataFrame) -> Iterator[list[list]]:
+        for piece in frame["packed"]:
+            yield [c.to_numpy(zero_copy_only=False).tolist() for c in pa.ipc.read_record_batch(pa.py_buffer(piece), ROWS).columns]
+
+
+@lru_cache(BUCKETS)
+def owner(session: str | None) -> str:
+    """How names of a session begin: no other session's names are the same, whatever follows."""
+    return "0" if session is None else f"{len(session) + 1}={session}"
+
+
+def owned(session: str | None, name: str | None) -> str:
+    return owner(session) + ("" if name is None else f"={name}")
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, packed) from batches of a bucket and the columns of ROWS: what a batch has of a bucket in one value."""
+    for batch in batches:
+        buckets = batch.column("bucket").to_numpy()
+        order = np.argsort(buckets, kind="stable")
+        buckets, rows = buckets[order], batch.select(ROWS.names).cast(ROWS).take(pa.array(order))
+        starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+        packed_ = [rows.slice(a, b - a).serialize().to_pybytes() for a, b in zip(starts, [*starts[1:], len(buckets)])]
+        yield pa.RecordBatch.from_arrays([pa.array(buckets[starts], pa.int32()), pa.array(packed_, pa.binary())], names=["bucket", "packed"])
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(bucket, packed) from columns of ROWS; Spark hands rows and groups to a stateful processor one by one, so there should be few of both."""
+    small_batches(rows.sparkSession)
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    return rows.select(bucket, *ROWS.names).mapInArrow(pieces, "bucket int, packed binary")
 
 
 def restore_sessions(mappings: DataFrame, chunks: DataFrame, prefix: str = PREFIX) -> DataFrame:
@@ -162,12 +207,13 @@ def restore_sessions(mappings: DataFrame, chunks: DataFrame, prefix: str = PREFI
 
     Mappings arrive as they are made; those of a batch are known to its fragments. No dictionary
     travels with the function, so a session may hold any number: a fragment looks up the placeholders
-    that it holds. Start the query within live_dictionary.rocksdb().
+    that it holds. A task holds what a batch brings to one of BUCKETS groups of sessions; rows of a session
+    that stand together cost least. Start the query within live_dictionary.rocksdb().
     """
     one = mappings.filter("placeholder IS NOT NULL").select("session_id", F.lit(True).alias("is_mapping"), F.col("placeholder").alias("name"), F.lit(0).cast("long").alias("seq"), F.col("original").alias("text"), F.lit(False).alias("is_last"))
     two = chunks.select("session_id", F.lit(False).alias("is_mapping"), F.col("stream_id").alias("name"), F.col("seq").cast("long").alias("seq"), F.col("fragment").alias("text"), F.coalesce("is_last", F.lit(False)).alias("is_last"))
     schema = StructType.fromDDL("session_id string, stream_id string, seq long, output string")
-    return one.unionByName(two).groupBy("session_id").transformWithStateInPandas(SessionRestorer(prefix), schema, "Append", "None")
+    return packed(one.unionByName(two)).groupBy("bucket").transformWithStateInPandas(BucketRestorer(prefix), schema, "Append", "None")
 
 
 def restore_batch(chunks: DataFrame, mapping: Mapping[str, str], prefix: str = PREFIX) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 
 from palimpsest.streaming import pages, restorer
 
@@ -73,3 +74,24 @@ def test_calls_to_the_store_do_not_follow_mappings_and_streams():
     assert whole["s0"] == "late w0" and whole["s7"] == f"{name(2007)} w7" and len(whole) == 201 and whole[whole.index.isna()].iloc[0] == f"{name(2200)} w200"
     assert not handle.stores["held"].held
     assert sum(store.calls for store in handle.stores.values()) < 150
+
+
+def test_calls_to_the_store_do_not_follow_sessions():
+    """A group holds many sessions: their rows come packed, their pages are shared, their dictionaries and streams are apart."""
+    handle, processor = Handle(), restorer.BucketRestorer("__VG_")
+    processor.init(handle)
+    name, sessions = "__VG_WORD_0123456789ab__", [f"c{k}" for k in range(300)] + ["", "=", "1", None]
+
+    def ran(rows):
+        table = pa.Table.from_pylist([dict(zip(["bucket", *restorer.ROWS.names], (k % 2, *row))) for k, row in enumerate(rows)], pa.schema([("bucket", pa.int32()), *restorer.ROWS]))
+        pieces = list(restorer.pieces(table.to_batches(400)))
+        assert sum(p.num_rows for p in pieces) == 2 * len(table.to_batches(400)) and all(p.column("bucket").to_pylist() == [0, 1] for p in pieces)
+        return pd.concat(processor.handleInputRows((0,), iter([p.to_pandas() for p in pieces]), None))
+
+    out = ran([(s, True, name, 0, f"<{s}>", False) for s in sessions] + [(s, False, t, 0, f"a {name[:9]}", False) for s in sessions for t in ("s", None)])
+    assert len(out) == 2 * len(sessions) and set(out.output) == {"a "}
+    out = ran([(s, False, t, 1, f"{name[9:]} {name}", True) for s in sessions for t in ("s", None)])
+    assert sorted(map(repr, zip(out.session_id, out.stream_id, out.output))) == sorted(repr((s, t, f"<{s}> <{s}>")) for s in sessions for t in ("s", None))
+    assert not handle.stores["held"].held
+    assert sum(store.calls for store in handle.stores.values()) < 30
+    assert list(restorer.pieces(iter([pa.RecordBatch.from_pylist([], pa.schema([("bucket", pa.int32()), *restorer.ROWS]))])))[0].num_rows == 0
